@@ -114,7 +114,7 @@ def arrow_schema(ddl: str):
     """The Arrow schema of a DDL string with plain types."""
     import pyarrow as pa
 
-    kinds = {"long": pa.int64(), "bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<string>": pa.list_(pa.string())}
+    kinds = {"long": pa.int64(), "bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<string>": pa.list_(pa.string()), "array<binary>": pa.list_(pa.binary())}
     fields = [x.strip().rsplit(" ", 1) for x in ddl.split(",")]
     return pa.schema([pa.field(n, kinds[k]) for n, k in fields])
 

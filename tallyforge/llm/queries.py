@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyforge.llm import chat, packing, quality, sharding, urlfilter, warc
+from tallyforge.llm import chat, jaccard, packing, quality, sharding, urlfilter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": sharding.op2_shards,
@@ -14,10 +14,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_url_filter": urlfilter.op4_url_filter,
     "op6_packing": packing.op6_packing,
     "op7_quality": quality.op7_quality,
+    "op8_jaccard": jaccard.op8_jaccard,
     "op9_warc": warc.op9_warc,
 }
 ORACLES: dict[str, str] = {
     "op3_chat": chat.OP3_SQL,
     "op4_url_filter": urlfilter.OP4_SQL,
+    "op8_jaccard": jaccard.OP8_SQL,
     "op9_warc": warc.OP9_SQL,
 }
