@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyforge.llm import chat, jaccard, packing, quality, sharding, urlfilter, warc
+from tallyforge.llm import chat, decontaminate, jaccard, packing, quality, sharding, urlfilter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": decontaminate.op1_decontamination,
     "op2_sharding": sharding.op2_shards,
     "op3_chat": chat.op3_chat,
     "op4_url_filter": urlfilter.op4_url_filter,
