@@ -6,17 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyforge.llm import chat, decontaminate, jaccard, packing, quality, sharding, urlfilter, warc
+from tallyforge.llm import chat, decontaminate, htmltext, jaccard, packing, pii, quality, sharding, urlfilter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontaminate.op1_decontamination,
     "op2_sharding": sharding.op2_shards,
     "op3_chat": chat.op3_chat,
     "op4_url_filter": urlfilter.op4_url_filter,
+    "op5_html": htmltext.op5_html,
     "op6_packing": packing.op6_packing,
     "op7_quality": quality.op7_quality,
     "op8_jaccard": jaccard.op8_jaccard,
     "op9_warc": warc.op9_warc,
+    "op10_pii": pii.op10_pii,
 }
 ORACLES: dict[str, str] = {
     "op3_chat": chat.OP3_SQL,
