@@ -23,11 +23,12 @@ from pyspark.sql import functions as F
 from tallyforge.llm.common import arrow_schema, batches_of, new_path, staged
 
 VERSION = b"WARC/1.1"
-#: Archives are cut at about so many bytes of payload and so many records.
-ARCHIVE_BYTES, ARCHIVE_RECORDS = 8 << 20, 20_000
-RECORDS = "path string, start long, end long, problem string, page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload string"
+#: Archives are cut at about so many bytes before compression.
+ARCHIVE_BYTES = 8 << 20
+RECORDS = "path string, member long, start long, end long, problem string, page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload string"
 HEX32, BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"  # fixed digits of conv() and of RFC 4648
 _HEAD = re.compile(rb"WARC/1\.[01]\r\n((?:[!-9;-~]+:[^\r\n]*\r\n)*)\r\n")
+_VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _NEXT = re.compile(rb"WARC/1\.[01]\r\n|\x1f\x8b\x08")
 
 
@@ -116,22 +117,21 @@ def record_text(date: str = "2000-01-01T00:00:00Z") -> Column:
     )
 
 
-def archive_bytes(copies: DataFrame) -> int:
-    """About how many bytes the archives of a catalogue take: one payload for each digest, and the headers."""
-    held, heads = copies.groupBy("payload_digest").agg(F.max("payload_bytes").alias("b"), F.sum("n").alias("n")).agg(F.sum("b"), F.sum("n")).first()
-    return int(held or 0) + 700 * int(heads or 0)
+def mean_record_bytes(copies: DataFrame) -> int:
+    """Mean size of a catalogue's response records: one payload for each digest, and its headers."""
+    mean = copies.groupBy("payload_digest").agg(F.max("payload_bytes").alias("b")).agg(F.avg("b")).first()[0]
+    return int(mean or 0) + 700
 
 
-def write_archives(records: DataFrame, path: str, n_bytes: int) -> None:
-    """Writes the records of ``deduplicated`` as uncompressed WARC files below ``path``.
+def write_archives(records: DataFrame, path: str, mean_bytes: int) -> None:
+    """Writes the records of ``deduplicated`` as gzip-compressed WARC files below ``path``, where their payloads lie.
 
-    ``n_bytes`` (see ``archive_bytes``) sets the number of files, each of about
-    ARCHIVE_BYTES, so that the reader can hold one at a time; a longer record
-    has a file of its own size.
+    ``mean_bytes`` (see ``mean_record_bytes``) limits the records of a file to
+    about ARCHIVE_BYTES, so that the reader can hold one file at a time. A
+    file of Spark's text sink is one gzip member with many records.
     """
-    files = max(1, -(-n_bytes // ARCHIVE_BYTES))
-    dealt = records.repartition(files, F.xxhash64("payload_digest", "page_id", "url", "record_type"))
-    dealt.select(record_text()).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", ARCHIVE_RECORDS).text(path)
+    limit = max(1, ARCHIVE_BYTES // max(1, mean_bytes))
+    records.select(record_text()).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", limit).text(path)
 
 
 @dataclass
@@ -140,22 +140,22 @@ class Record:
     end: int
     headers: dict[str, str]
     block: bytes
+    #: Where the gzip member begins in the file; start and end then count its bytes after inflation.
+    member: int | None = None
+
+
+@dataclass
+class Gap:
+    """Quarantined bytes and the check that failed first."""
+
+    start: int
+    end: int
+    problem: str
+    member: int | None = None
 
 
 def read_record(data: bytes, at: int) -> Record:
-    """The valid record at ``at``, plain or as a gzip member; ValueError says which check failed."""
-    if data[at : at + 3] == b"\x1f\x8b\x08":
-        unpack = zlib.decompressobj(31)
-        try:
-            inner = unpack.decompress(memoryview(data)[at:]) + unpack.flush()
-        except zlib.error as error:
-            raise ValueError("gzip member") from error
-        if not unpack.eof:
-            raise ValueError("gzip member is cut")
-        record = read_record(inner, 0) if inner[:5] == b"WARC/" else _fail("no record in gzip member")
-        if record.end != len(inner):
-            raise ValueError("bytes after the record of a gzip member")
-        return Record(at, len(data) - len(unpack.unused_data), record.headers, record.block)
+    """The valid record at ``at``; ValueError says which check failed."""
     head = _HEAD.match(data, at) or _fail("version line or headers")
     headers: dict[str, str] = {}
     for line in head[1].decode("utf-8", "replace").split("\r\n")[:-1]:
@@ -179,25 +179,51 @@ def _fail(what: str):
     raise ValueError(what)
 
 
-def salvage(data: bytes) -> Iterator[Record | tuple[int, int, str]]:
-    """Valid records in order, and (start, end, problem) for each gap between them."""
+def inflate(data: bytes, at: int) -> tuple[bytes, int | None]:
+    """What the gzip member at ``at`` holds, and where it ends; None if it is damaged or cut, with what comes before the damage."""
+    unpack, parts, place = zlib.decompressobj(31), [], at
+    try:
+        while place < len(data) and not unpack.eof:
+            parts.append(unpack.decompress(data[place : place + 4096]))
+            place += 4096
+    except zlib.error:
+        return b"".join(parts), None
+    return b"".join(parts), min(place, len(data)) - len(unpack.unused_data) if unpack.eof else None
+
+
+def salvage(data: bytes, version: re.Pattern = _NEXT) -> Iterator[Record | Gap]:
+    """Valid records in order, plain or in gzip members of one record or many, and the gaps between them."""
     at, bad, problem = 0, -1, ""
     while at < len(data):
-        try:
-            record = read_record(data, at)
-        except ValueError as error:
-            if bad < 0:
-                bad, problem = at, str(error)
-            found = _NEXT.search(data, at + 1)
-            at = found.start() if found else len(data)
-            continue
-        if bad >= 0:
-            yield bad, at, problem
+        found: list[Record | Gap] = []
+        end: int | None = None
+        reason = ""
+        if version is _NEXT and data.startswith(b"\x1f\x8b\x08", at):
+            inner, end = inflate(data, at)
+            found = list(salvage(inner, _VERSION))
+            for x in found:
+                x.member = at
+            reason = "gzip member"
+            if not any(isinstance(x, Record) for x in found):
+                found, end = [], end if end is not None and not inner else None
+        else:
+            try:
+                found = [read_record(data, at)]
+                end = found[0].end
+            except ValueError as error:
+                reason = str(error)
+        if bad >= 0 and (found or end is not None):
+            yield Gap(bad, at, problem)
             bad = -1
-        yield record
-        at = record.end
+        yield from found
+        if end is None:
+            if bad < 0:
+                bad, problem = at, reason
+            following = version.search(data, at + 1)
+            end = following.start() if following else len(data)
+        at = end
     if bad >= 0:
-        yield bad, len(data), problem
+        yield Gap(bad, len(data), problem)
 
 
 def _number(urn: str | None) -> int | None:
@@ -206,16 +232,17 @@ def _number(urn: str | None) -> int | None:
 
 
 def _read_file(path: str, data: bytes, with_payload: bool) -> Iterator[tuple]:
+    nothing = (None,) * 7
     for x in salvage(data):
-        if isinstance(x, tuple):
-            yield (path, *x, None, None, None, None, None, None, None)
+        if isinstance(x, Gap):
+            yield path, x.member, x.start, x.end, x.problem, *nothing
             continue
         head, _, payload = x.block.partition(b"\r\n\r\n")
         kind = x.headers.get("warc-type")
         stated = re.search(rb"(?i)\r\ncontent-length:[ \t]*([0-9]+)", head)
         digest, n = x.headers.get("warc-payload-digest", "").removeprefix("sha1:"), len(payload)
         if kind == "response" and digest and digest != _base32(payload):
-            yield path, x.start, x.end, "payload digest", None, None, None, None, None, None, None
+            yield path, x.member, x.start, x.end, "payload digest", *nothing
             continue
         if kind == "revisit":
             n = int(stated[1]) if stated else 0
@@ -223,7 +250,7 @@ def _read_file(path: str, data: bytes, with_payload: bool) -> Iterator[tuple]:
         if url is not None:
             url = url.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")
         text = payload.decode("utf-8", "replace") if with_payload and kind == "response" else None
-        yield path, x.start, x.end, None, _number(x.headers.get("warc-record-id")), url, kind, _number(x.headers.get("warc-refers-to")), n, digest or _base32(payload), text
+        yield path, x.member, x.start, x.end, None, _number(x.headers.get("warc-record-id")), url, kind, _number(x.headers.get("warc-refers-to")), n, digest or _base32(payload), text
 
 
 def read_archives(spark: SparkSession, path: str, *, with_payload: bool = True) -> DataFrame:
@@ -250,7 +277,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     copies = catalogue(pages)
-    write_archives(deduplicated(pages, copies), path, archive_bytes(copies))
+    write_archives(deduplicated(pages, copies), path, mean_record_bytes(copies))
     records = read_archives(spark, path, with_payload=False)
     return records.filter("problem IS NULL").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
