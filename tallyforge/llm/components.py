@@ -8,10 +8,6 @@ from pyspark.sql import functions as F
 from tallyforge.llm.common import staged
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
-
-
 def _large(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is tied to the least of the node and its neighbours."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -26,18 +22,22 @@ def _small(edges: DataFrame) -> DataFrame:
     return tied.select("u", F.col("m").alias("v")).unionByName(tied.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
 
 
+def _is_done(edges: DataFrame) -> bool:
+    """Whether the edges are stars: every node has one smaller neighbour or is a centre, not both."""
+    roles = edges.select(F.col("u").alias("w"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("w"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    mixed = roles.groupBy("w").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 OR up > 0 AND down > 0")
+    return mixed.isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node that has an edge in (a, b); the root is the least node of the component.
 
-    Each half round is written to the shared folder and read again. Rounds go
-    on until the edges no longer change, about the logarithm of the longest
-    chain. Edges from a node to itself are dropped; nodes with no other edge
-    are not returned.
+    Each round is written to the shared folder and read again. Rounds go on
+    until only stars are left, about the logarithm of the longest chain. Edges
+    from a node to itself are dropped; nodes with no other edge are not
+    returned.
     """
     now = staged(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    state = _state(now)
-    while True:
-        now = staged(_small(staged(_large(now), "large-star")), "small-star")
-        state, before = _state(now), state
-        if state == before:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    while not _is_done(now):
+        now = staged(_small(_large(now)), "stars")
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -8,7 +8,7 @@ share a prefix of that length in a tree are candidates. Walking each subtree in
 sorted order, a sketch keeps the candidates that can be similar, as edges to a
 few pivots instead of all pairs. In the components of those edges, which
 contain every candidate link, exact Jaccard is computed block by block:
-all links are counted and a spanning forest of them is kept.
+all links are counted, and each node is tied to the least node it is connected with.
 """
 
 from __future__ import annotations
@@ -118,26 +118,42 @@ def _sign(rows: Iterator[tuple]) -> Iterator[tuple]:
 def similar_to_pivots(rows: Iterator[tuple]) -> Iterator[tuple]:
     """Edges (member, pivot) of rows (key, label, node, sketch) sorted by key and label.
 
-    Only a subtree's pivots are held. A row is tied to every pivot that its
-    sketch resembles, and becomes a pivot itself unless it is close to one.
+    Only a subtree's pivots are held. A row joins the pivots that its sketch
+    resembles, and becomes a pivot itself unless it is close to one. An edge
+    is given only where it joins what was apart: fewer edges than rows.
     """
     now: object = None
+    root: list[int] = []
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
     for key, _, node, sketch in rows:
         own = np.frombuffer(sketch, np.uint8)
         if key != now:
-            now, nodes, n = key, [node], 1
+            now, nodes, root = key, [node], [0]
             pivots = np.empty((8, len(own)), np.uint8)
             pivots[0] = own
             continue
+        n = len(nodes)
         alike = (pivots[:n] == own).mean(axis=1)
+        joined = -1
         for i in np.flatnonzero(alike >= TIED).tolist():
-            yield node, nodes[i]
+            r = find(i)
+            if r != joined:
+                yield node, nodes[i]
+                if joined >= 0:
+                    root[r] = joined
+                else:
+                    joined = r
         if alike.max() < CORE:
             if n == len(pivots):
                 pivots = np.concatenate([pivots, np.empty_like(pivots)])
             pivots[n] = own
             nodes.append(node)
-            n += 1
+            root.append(joined if joined >= 0 else n)
 
 
 def links(sets: list[np.ndarray], sides: np.ndarray, threshold: Fraction) -> Iterator[tuple[int, np.ndarray]]:
@@ -173,7 +189,7 @@ def links(sets: list[np.ndarray], sides: np.ndarray, threshold: Fraction) -> Ite
 
 
 def _verify(rows: Iterator[tuple]) -> Iterator[tuple]:
-    """Rows (key, node, copies, block, shingles) sorted by key: (node, null, linked documents) and (node, other, 0) for a spanning forest."""
+    """Rows (key, node, copies, block, shingles) sorted by key: (node, null, linked documents) and (node, least node connected with it, 0)."""
     threshold = Fraction(str(THRESHOLD))
     held: dict[bytes, tuple] = {}
     now: object = None
@@ -183,6 +199,7 @@ def _verify(rows: Iterator[tuple]) -> Iterator[tuple]:
         weights, sides = np.array([m[0] for m in members]), np.array([m[1] for m in members])
         sums = np.zeros(len(nodes), np.int64)
         root = list(range(len(nodes)))
+        parent = np.arange(len(nodes))  # roots as last seen; equal ones need no further look
 
         def find(i):
             while root[i] != i:
@@ -192,12 +209,14 @@ def _verify(rows: Iterator[tuple]) -> Iterator[tuple]:
         for i, js in links([m[2] for m in members], sides, threshold):
             sums[i] += weights[js].sum()
             sums[js] += weights[i]
-            for j in js.tolist():
+            for j in js[parent[js] != parent[i]].tolist():
                 a, b = find(i), find(j)
-                if a != b:
-                    root[max(a, b)] = min(a, b)
-                    yield nodes[j], nodes[i], 0
+                root[max(a, b)] = min(a, b)
+                parent[j] = min(a, b)
+            parent[i] = find(i)
         for i in np.flatnonzero(sums).tolist():
+            if find(i) != i:
+                yield nodes[i], nodes[find(i)], 0
             yield nodes[i], None, int(sums[i])
 
     for key, node, copies, block, own in rows:
@@ -253,7 +272,8 @@ def join_ngrams(docs: DataFrame, *, target_recall: float = TARGET_RECALL) -> Dat
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK_NODES), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int")
     members = staged(members.join(sizes, "root").select("node", "copies", F.coalesce("rep_id", F.lit(0)).alias("rep_id"), F.col("rep_id").isNull().alias("no_id"), "rep_hash", "root", blocks.alias("blocks")), "members")
     keyed = rows.select("text", F.coalesce("doc_id", F.lit(0)).alias("rep_id"), F.col("doc_id").isNull().alias("no_id"), F.col("text_hash").alias("rep_hash"))
-    chosen = keyed.join(members, ["rep_id", "no_id", "rep_hash"]).select("text", "node", "copies", "root", "blocks")
+    # a sort-merge join at every size, which neither side's size can turn into a broadcast
+    chosen = keyed.join(members.hint("merge"), ["rep_id", "no_id", "rep_hash"]).select("text", "node", "copies", "root", "blocks")
     sets = map_rows(chosen, _shingle_rows, "node binary, copies long, root binary, blocks int, shingles binary")
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j"))))
