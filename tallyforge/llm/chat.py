@@ -25,6 +25,7 @@ from tallyforge.llm.common import map_rows
 
 #: Fixed control strings of the template and of common other ones; a backslash before them in a text undoes their meaning.
 _CONTROL = re.compile(r"\\|<turn|</turn>|###|<\|")
+_ROLE_CONTROL = re.compile(r"\\|<turn|###|<\||>|\n")
 _ESCAPED = re.compile(r"\\(\\|<turn|</turn>|###|<\||>|\n)")
 _TURN = re.compile(r"<turn ((?:[^\\>]++|\\.)*+)>((?:[^\\<]++|\\.|<(?!/turn>))*+)</turn>\n", re.DOTALL)
 FOLDED = "conv_id long, formatted string, loss_starts array<int>, loss_ends array<int>"
@@ -39,7 +40,7 @@ def unescape(text: str) -> str:
 
 
 def _escape_role(role: str) -> str:
-    return re.sub(r"[>\n]", lambda m: "\\" + m[0], escape(role))
+    return _ROLE_CONTROL.sub(lambda m: "\\" + m[0], role)
 
 
 def render(messages: Iterable[tuple[str, str]], loss_role: str = "assistant") -> tuple[str, list[int], list[int]]:
@@ -170,7 +171,7 @@ WITH c AS (
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
 ), e AS (
   SELECT *, regexp_replace(text, '(\\|<turn|</turn>|###|<\|)', '\\\1', 'g') AS escaped,
-         regexp_replace(regexp_replace(role, '(\\|<turn|</turn>|###|<\|)', '\\\1', 'g'), '([>\n])', '\\\1', 'g') AS escaped_role FROM c
+         regexp_replace(role, '(\\|<turn|###|<\||>|\n)', '\\\1', 'g') AS escaped_role FROM c
 )
 SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, md5(text))) AS turns_sha256,
