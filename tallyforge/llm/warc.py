@@ -160,6 +160,8 @@ def read_record(data: bytes, at: int) -> Record:
     headers: dict[str, str] = {}
     for line in head[1].decode("utf-8", "replace").split("\r\n")[:-1]:
         name, _, value = line.partition(":")
+        if name.lower() in headers or re.search(r"WARC/1\.[01]$", value):
+            raise ValueError("headers of two records")  # the end of one is lost
         headers[name.lower()] = value.strip()
     length = headers.get("content-length", "")
     if not re.fullmatch(r"[0-9]{1,15}", length):
