@@ -262,7 +262,7 @@ def join_ngrams(docs: DataFrame, *, target_recall: float = TARGET_RECALL) -> Dat
     prefixed = nodes.select("node", F.explode("labels").alias("label")).select("node", F.xxhash64(F.substring("label", 1, 1 + 2 * depth)).alias("prefix"))
     together = prefixed.groupBy("prefix").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("members")).filter("n > 1")
     subtrees = prefixed.join(together, "prefix").select("node", F.xxhash64("n", "members").alias("subtree")).repartition("node").distinct()
-    sketched = subtrees.join(nodes.select("node", "sketch", F.col("labels")[0].alias("label")), "node")
+    sketched = subtrees.join(nodes.select("node", "sketch", F.get("labels", F.lit(0)).alias("label")), "node")
     walked = sketched.select("subtree", "label", "node", "sketch").repartition("subtree").sortWithinPartitions("subtree", "label", "node")
     coarse = components(map_rows(walked, similar_to_pivots, "a binary, b binary"))
 
