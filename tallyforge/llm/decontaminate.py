@@ -44,7 +44,7 @@ class NormalHashes(dict):
     def __missing__(self, word: str) -> int:
         import xxhash
 
-        if len(self) >= 1_000_000:
+        if len(self) >= 150_000:
             self.clear()
         found = self[word] = xxhash.xxh3_64_intdigest((word.strip(EDGES) or word).lower())
         return found

@@ -32,7 +32,7 @@ TARGET_RECALL = 0.999
 #: If two texts are similar from 0.8 on and one is within CORE of a pivot, the other is at 0.55 or more to it; TIED leaves four standard errors below that.
 TIED, CORE = 0.43, 0.75
 #: Nodes and shingles of a block, about.
-BLOCK_NODES, BLOCK_SHINGLES = 1024, 2_000_000
+BLOCK_NODES, BLOCK_SHINGLES = 1024, 1_000_000
 SIGNED = "doc_id long, text_hash long, node binary, n_shingles long, labels array<binary>, sketch binary"
 
 
@@ -42,7 +42,7 @@ class WordHashes(dict):
     def __missing__(self, word: str) -> int:
         import xxhash
 
-        if len(self) >= 1_000_000:
+        if len(self) >= 150_000:
             self.clear()
         found = self[word] = xxhash.xxh3_64_intdigest(word)
         return found
