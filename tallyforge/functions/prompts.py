@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyforge.functions.text import S, strip
+from tallyforge.shipping import ship
 
 #: Fixed wording of the instructions.
 COT_INSTRUCTION = "Think step by step, then give the final answer."
@@ -85,6 +86,7 @@ def _shuffled(answers: list[str], task_id: int) -> list[str]:
 
 
 def _permute_udf():
+    ship(SparkSession.active())
     return F.udf(_shuffled, T.ArrayType(T.StringType()))
 
 

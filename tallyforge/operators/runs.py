@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyforge import schemas
 from tallyforge.functions.prompts import CONDITIONS, SYSTEM_PROMPT, sample_seed
+from tallyforge.shipping import ship
 
 
 @dataclass(frozen=True)
@@ -160,6 +161,7 @@ def generate(cells: DataFrame, options: RunOptions, adapter: Adapter = echo_adap
 
     types = {f.name: f.dataType.simpleString() for f in cells.schema}
     ddl = ", ".join(f"{n} {types[n]}" for n in names) + ", completion_text string, n_input_tokens long, n_output_tokens long, elapsed_seconds double, error string"
+    ship(cells.sparkSession)
     made = cells.select(*names).mapInPandas(run, ddl)
     constants = {"do_sample": F.lit(options.do_sample), "temperature": F.lit(options.temperature).cast("double"), "max_new_tokens": F.lit(options.max_new_tokens).cast("long")}
     order = [c.split(" ")[0] for c in schemas.GENERATION.split(", ")]

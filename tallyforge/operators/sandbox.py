@@ -16,6 +16,8 @@ import sys
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.shipping import ship
+
 _RUNNER = r"""
 import contextlib, copy, io, json, resource, sys
 seconds, memory = int(sys.argv[1]), int(sys.argv[2])
@@ -67,6 +69,8 @@ def grade_code_rows(df: DataFrame, *, enabled: bool = False, review: bool = Fals
     if not enabled:
         raise PermissionError("model output is only executed with enabled=True")
 
+    ship(df.sparkSession)
+
     def rows(parts):
         import pandas as pd
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tallyforge import schemas
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     found = spark._jvm.org.apache.hadoop.fs.Path(path)
     return found.getFileSystem(spark._jsc.hadoopConfiguration()).exists(found)
 
@@ -56,14 +56,14 @@ def write_json(path: str, data: object) -> None:
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     """The predictions of a graded run; an ungraded run is an error that says what to do."""
-    if not _exists(spark, path):
+    if not exists(spark, path):
         raise FileNotFoundError(f"{path}: grade the run first")
     return read_predictions_or_none(spark, path)
 
 
 def read_predictions_or_none(spark: SparkSession, path: str) -> DataFrame:
     """As ``read_predictions``; a missing file gives no rows."""
-    if not _exists(spark, path):
+    if not exists(spark, path):
         return spark.createDataFrame([], schemas.PREDICTION)
     whole = spark.read.schema(schemas.PREDICTION_FILE).option("multiLine", True).json(path)
     return whole.select(F.explode("predictions").alias("p")).select("p.*")
@@ -71,7 +71,7 @@ def read_predictions_or_none(spark: SparkSession, path: str) -> DataFrame:
 
 def count_parse_failures(spark: SparkSession, path: str) -> int:
     """The stored number of parse failures; 0 without the file or the field."""
-    if not _exists(spark, path):
+    if not exists(spark, path):
         return 0
     row = spark.read.schema("n long").option("multiLine", True).json(path).first()
     return int(row.n or 0) if row else 0
@@ -83,7 +83,7 @@ def read_config(spark: SparkSession, path: str) -> DataFrame:
 
 def read_overrides(spark: SparkSession, path: str) -> DataFrame:
     """Human corrections (task_id, condition, correct, reason); a missing file has none."""
-    if not _exists(spark, path):
+    if not exists(spark, path):
         return spark.createDataFrame([], schemas.OVERRIDES)
     whole = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,map<string,struct<correct:boolean,reason:string>>>").alias("m"))
     by_task = whole.select(F.explode("m").alias("task_id", "cells")).select(F.col("task_id").cast("long").alias("task_id"), F.explode("cells").alias("condition", "c"))
