@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import map_rows, staged
+from tallyforge.llm.common import map_arrow, map_rows, staged
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 END_ID = 0
@@ -129,22 +129,22 @@ def tokenize(docs: DataFrame, *, capacity: int = 2048, tokenizer: str | None = N
     return map_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, PIECES + ", ids array<int>" * with_ids)
 
 
-def _exact(counts: np.ndarray, top: int, gap: int) -> tuple[int, ...] | None:
-    """One to three available lengths that sum to the gap; those longest first that leave fewest pieces behind."""
+def _exact(counts: np.ndarray, gap: int, parts: int) -> tuple[int, ...] | None:
+    """One to ``parts`` available lengths that sum to the gap, the fewest and longest first."""
     if gap <= 0:
         return ()
     if counts[gap] > 0:
         return (gap,)
     some = counts > 0
-    if pair := _pair(some, counts, gap, gap - 1):
+    if parts >= 2 and (pair := _pair(some, gap, gap - 1)):
         return pair
-    for a in range(gap - 2, (gap + 2) // 3 - 1, -1):
-        if some[a] and (pair := _pair(some, counts, gap - a, a)):
+    for a in range(gap - 2, (gap + 2) // 3 - 1, -1) if parts >= 3 else ():
+        if some[a] and (pair := _pair(some, gap - a, a)):
             return (a, *pair)
     return None
 
 
-def _pair(some: np.ndarray, counts: np.ndarray, total: int, most: int) -> tuple[int, int] | None:
+def _pair(some: np.ndarray, total: int, most: int) -> tuple[int, int] | None:
     """The available (a, b) with a + b = total, most >= a >= b, and a as large as can be."""
     low, high = (total + 1) // 2, min(most, total - 1)
     if low > high:
@@ -159,7 +159,17 @@ def _times(counts: np.ndarray, lengths: tuple[int, ...]) -> int:
 
 
 def plan_packing(histogram: np.ndarray, capacity: int) -> Plan:
-    """Combinations of lengths and how often to use each. ``histogram[n]``: pieces of n tokens."""
+    """Combinations of lengths and how often to use each. ``histogram[n]``: pieces of n tokens.
+
+    Exact fills of up to three pieces are not always best: where large pieces
+    are many, small ones are scarce. So the plan is made with fills of up to
+    three, two and one pieces, and the one with the fewest sequences is kept.
+    """
+    plans = [_plan(histogram, capacity, parts) for parts in (3, 2, 1)]
+    return min(plans, key=lambda plan: sum(n for _, n in plan))
+
+
+def _plan(histogram: np.ndarray, capacity: int, parts: int) -> Plan:
     counts = np.array(histogram, dtype=np.int64)
     plan: Plan = []
 
@@ -174,7 +184,7 @@ def plan_packing(histogram: np.ndarray, capacity: int) -> Plan:
     for top in range(capacity, 0, -1):
         while counts[top] > 0:
             counts[top] -= 1  # the piece itself is no longer available for its own gap
-            rest = _exact(counts, top, capacity - top)
+            rest = _exact(counts, capacity - top, parts)
             counts[top] += 1
             if rest is None or not take((top, *rest)):
                 break
@@ -238,7 +248,7 @@ def pack_pieces(pieces: DataFrame, *, capacity: int = 2048) -> DataFrame:
             columns += [pa.array(sequences[at] + (length * _RANKS + ranks - keys[at])), pa.array(offsets[at])]
             yield pa.RecordBatch.from_arrays(columns, names=[*names, "sequence_id", "offset"])
 
-    return ranked.select(*names, "rank").mapInArrow(place, PIECES + ", sequence_id long, offset long")
+    return map_arrow(ranked.select(*names, "rank"), place, PIECES + ", sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, *, capacity: int = 2048, tokenizer: str | None = None) -> DataFrame:
