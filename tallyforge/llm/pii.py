@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import map_rows
+from tallyforge.llm.common import map_arrow, map_rows
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
@@ -201,9 +201,17 @@ def fit(texts: list[str], *, rounds: int = 300, ridge: float = 1e-3) -> Field:
 
 
 def train(docs: DataFrame, *, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Field:
-    """Fits on a bounded sample: the first ``sample_docs`` documents by hash that have a digit or an ``@`` and at most ``sample_chars`` code points."""
-    some = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter(F.col("text").rlike("[0-9@]") & (F.length("text") <= sample_chars))
-    return fit([r.text for r in some.orderBy(F.xxhash64("doc_id"), F.md5("text")).limit(sample_docs).collect()])
+    """Fits on a bounded sample: up to ``sample_docs`` documents, first by hash, that have a digit or an ``@`` and at most ``sample_chars`` code points.
+
+    A threshold on the hash, from the number of rows, lets about 25 times as
+    many documents through to the choice, so that what tasks send does not grow
+    with their number.
+    """
+    share = min(1.0, 25 * sample_docs / max(1, docs.count()))
+    key = F.xxhash64("doc_id", "text")
+    some = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter(F.pmod(key, F.lit(1 << 30)) < int(share * (1 << 30)))
+    some = some.filter(F.col("text").rlike("[0-9@]") & (F.length("text") <= sample_chars))
+    return fit([r.text for r in some.orderBy(key, F.md5("text")).limit(sample_docs).collect()])
 
 
 def beliefs(local: np.ndarray, observed: np.ndarray, chain: list[tuple[int, int]], hubs: list[list[int]], field: Field, *, rounds: int = 12) -> np.ndarray:
@@ -315,7 +323,7 @@ def mask_personal_data(docs: DataFrame, field: Field) -> DataFrame:
                     columns[n] = pa.array(counted, part.schema.field(n).type)
                 yield pa.RecordBatch.from_arrays(columns, schema=part.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
