@@ -11,6 +11,8 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyforge.shipping import ship
+
 #: White space that separates words: U+0020 and U+0009 to U+000D.
 SPACES = "\t\n\x0b\x0c\r "
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -125,4 +127,10 @@ def map_rows(df: DataFrame, function, ddl: str, **limits) -> DataFrame:
     def run(batches):
         return batches_of(function(rows_of(batches)), arrow_schema(ddl), **limits)
 
-    return df.mapInArrow(run, ddl)
+    return map_arrow(df, run, ddl)
+
+
+def map_arrow(df: DataFrame, function, schema) -> DataFrame:
+    """``mapInArrow``, with this package brought to the workers."""
+    ship(df.sparkSession)
+    return df.mapInArrow(function, schema)

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import map_rows, words_of
+from tallyforge.llm.common import map_arrow, map_rows, words_of
 from tallyforge.llm.jaccard import _mixed
 
 #: Edits allowed, as a share of the item's words (rounded down).
@@ -400,7 +400,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 rows = ((t,) for at in range(0, batch.num_rows, 256) for t in texts.slice(at, 256).to_pylist())
                 yield batch.filter(pa.array([not items for _, items in search_stream(rows, index)], pa.bool_()))
 
-        kept = kept.mapInArrow(run, docs.schema)
+        kept = map_arrow(kept, run, docs.schema)
     return kept
 
 

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import _OTHER_SPACE, WORD, map_rows
+from tallyforge.llm.common import _OTHER_SPACE, WORD, map_arrow, map_rows
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -227,7 +227,7 @@ def keep_quality(docs: DataFrame, model: LineModel, *, min_content: float = MIN_
                 texts = part.column(part.schema.get_field_index("text")).to_pylist()
                 yield part.filter(pa.array([judge(t or "", model, min_content)[-1] for t in texts], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
