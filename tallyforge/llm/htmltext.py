@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from tallyforge.llm.common import map_rows
 
 EXTRACTED = "page_id long, url string, text string, n_chars long"
-_TAG = re.compile(r"""<!--(?:.*?--!?>|.*\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""", re.DOTALL)
+# the bounds keep a page of unpaired quotes from being searched again at every tag; longer attributes end at the next >
+_TAG = re.compile(r"""<!--(?:.*?--!?>|.*\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']{1,5000}+|"[^"]{0,5000}+"|'[^']{0,5000}+'){0,200}+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""", re.DOTALL)
 _ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/]|$)""", re.IGNORECASE)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea xmp iframe noembed noframes".split())
