@@ -59,11 +59,15 @@ def shared_folder(spark: SparkSession) -> str:
 _cleaned: set[str] = set()
 
 
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def _remove(spark: SparkSession, folder: str) -> None:
     """Deletes the application's folder when the driver's Python ends, as far as Spark still answers."""
     try:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(spark, folder)
     except Exception:  # noqa: BLE001  the session may be gone already
         pass
 
@@ -72,6 +76,23 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Paths that staged() wrote, in order.
+_written: list[str] = []
+
+
+def finished(df: DataFrame, name: str, since: int) -> DataFrame:
+    """``staged``, after which what was staged from place ``since`` of ``n_staged()`` on is deleted: the result no longer needs it."""
+    held = staged(df, name)
+    for path in _written[since:-1]:
+        delete(df.sparkSession, path)
+    del _written[since:-1]
+    return held
+
+
+def n_staged() -> int:
+    return len(_written)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` once as Parquet in the shared folder and reads it back.
 
@@ -80,6 +101,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
