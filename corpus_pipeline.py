@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyforge.llm import decontaminate, jaccard, packing, pii, quality
-from tallyforge.llm.common import staged, table
+from tallyforge.llm.common import finished, n_staged, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,8 +51,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies all stages to ``documents``; each stage's rows are written and read again."""
+    """Applies all stages to ``documents``; each stage's rows are written and read again, and its working tables deleted."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before = n_staged()
+        docs = finished(stage(spark, docs, sf_dir), name.replace(" ", "-"), before)
     return docs
