@@ -268,9 +268,10 @@ def join_ngrams(docs: DataFrame, *, target_recall: float = TARGET_RECALL) -> Dat
 
     # exact verification inside the components, one pair of blocks at a time
     members = coarse.join(nodes.select("node", "copies", "rep_id", "rep_hash", "n_shingles"), "node")
+    # what rows fetch by a key that many of them share is written first: a join with a table is one that adaptive execution can split
     sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s"))
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK_NODES), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int")
-    members = staged(members.join(sizes, "root").select("node", "copies", F.coalesce("rep_id", F.lit(0)).alias("rep_id"), F.col("rep_id").isNull().alias("no_id"), "rep_hash", "root", blocks.alias("blocks")), "members")
+    members = staged(members.join(staged(sizes, "sizes"), "root").select("node", "copies", F.coalesce("rep_id", F.lit(0)).alias("rep_id"), F.col("rep_id").isNull().alias("no_id"), "rep_hash", "root", blocks.alias("blocks")), "members")
     keyed = rows.select("text", F.coalesce("doc_id", F.lit(0)).alias("rep_id"), F.col("doc_id").isNull().alias("no_id"), F.col("text_hash").alias("rep_hash"))
     # a sort-merge join at every size, which neither side's size can turn into a broadcast
     chosen = keyed.join(members.hint("merge"), ["rep_id", "no_id", "rep_hash"]).select("text", "node", "copies", "root", "blocks")
@@ -290,7 +291,7 @@ def join_ngrams(docs: DataFrame, *, target_recall: float = TARGET_RECALL) -> Dat
     summary = nodes.select("node", "copies", "rep_id", "rep_hash").join(classed, "node", "left").select(
         "node", "copies", F.when(F.col("hash_of").isNull(), F.col("rep_id")).otherwise(F.col("class_of")).alias("class_id"), F.coalesce("hash_of", "rep_hash").alias("class_hash"), F.coalesce("linked", F.lit(0)).alias("linked")
     )
-    return signed.select("doc_id", "text_hash", "node").join(summary, "node").select(
+    return signed.select("doc_id", "text_hash", "node").join(staged(summary, "summary"), "node").select(
         "doc_id", "text_hash", "class_id", (F.col("linked") + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies"),
         (F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("text_hash") == F.col("class_hash"))).alias("is_first"),
     )
