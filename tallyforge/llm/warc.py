@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import arrow_schema, batches_of, new_path, staged
+from tallyforge.llm.common import arrow_schema, batches_of, map_arrow, new_path, staged
 
 VERSION = b"WARC/1.1"
 #: Archives are cut at about so many bytes before compression.
@@ -77,7 +77,9 @@ def deduplicated(pages: DataFrame, copies: DataFrame | None = None, *, min_bytes
     """
     copies = catalogue(pages) if copies is None else copies
     order = F.struct(F.col("page_id").isNull().alias("last"), F.col("page_id"), F.col("url"))
-    known = copies.join(copies.groupBy("payload_digest").agg(F.min(order).alias("first")), "payload_digest")
+    # written first, so that adaptive execution can split a digest that many pages share
+    firsts = staged(copies.groupBy("payload_digest").agg(F.min(order).alias("first")), "warc-firsts")
+    known = copies.join(firsts, "payload_digest")
     is_first = F.col("page_id").eqNullSafe(F.col("first.page_id")) & F.col("url").eqNullSafe(F.col("first.url"))
     known = known.withColumn("own", F.when(F.col("payload_bytes") < min_bytes, F.col("n")).when(is_first, 1).otherwise(0))
     revisits = (
@@ -272,7 +274,7 @@ def read_archives(spark: SparkSession, path: str, *, with_payload: bool = True)
 
         yield from batches_of(rows(), schema)
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*").load(path).select("path", "content").mapInArrow(run, RECORDS)
+    return map_arrow(spark.read.format("binaryFile").option("pathGlobFilter", "*").load(path).select("path", "content"), run, RECORDS)
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
