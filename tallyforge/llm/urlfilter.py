@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyforge.llm.common import staged
+
 #: (action, host, path): the fixed rules of the query.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 #: Up to so many rules are sent to every executor (about 100 bytes each); more are joined by a shuffle.
@@ -68,7 +70,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, *, default: str = "allow", br
     hits = _keyed(expressions, "x_host", "x_path").join(looked_up.withColumnRenamed("digest", "rule_digest"), "prefix").filter("digest = rule_digest AND x_host = rule_host AND x_path = rule_path")
     rank = F.struct((F.length("rule_host") + F.length("rule_path")).alias("all"), F.length("rule_host").alias("of_host"), "action", F.concat("rule_host", "rule_path").alias("rule"))
     best = hits.groupBy("host", "path").agg(F.max(rank).alias("best"))
-    return urls.join(best, ["host", "path"], "left").select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"))
+    # a written table, never broadcast: adaptive execution can split a pair that many rows share
+    return urls.join(staged(best, "verdicts").hint("merge"), ["host", "path"], "left").select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"))
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
