@@ -8,17 +8,27 @@ from pyspark.sql import functions as F
 from tallyforge.llm.common import staged
 
 
+#: The edges of one node are joined in so many parts, so that a node with a great share of the edges is no single task.
+PARTS = 8
+
+
+def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """The edges (u, v) with the ``m`` of their u; ``least`` has one row (u, m) for each node and is copied to every part."""
+    parted = edges.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(PARTS)).cast("int"))
+    copied = least.withColumn("part", F.explode(F.array(*[F.lit(i) for i in range(PARTS)])))
+    return parted.join(copied, ["u", "part"]).select("u", "v", "m")
+
+
 def _large(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is tied to the least of the node and its neighbours."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("m", "u").alias("m"))
-    return both.filter("v > u").join(least, both.u == least.w).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
+    return _with_least(both.filter("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small(edges: DataFrame) -> DataFrame:
     """A node and its smaller neighbours are tied to the least of those."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "w")
-    tied = edges.join(least, edges.u == least.w).select("u", "v", "m")
+    tied = _with_least(edges, edges.groupBy("u").agg(F.min("v").alias("m")))
     return tied.select("u", F.col("m").alias("v")).unionByName(tied.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
 
 
