@@ -1,4 +1,4 @@
-"""Grading drivers: generations of the current harness, and the older experiments."""
+"""Grading drivers: generations under the current rule set, and the older experiments."""
 
 from __future__ import annotations
 
