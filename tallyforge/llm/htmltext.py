@@ -19,9 +19,10 @@ from pyspark.sql import functions as F
 from tallyforge.llm.common import map_rows
 
 EXTRACTED = "page_id long, url string, text string, n_chars long"
-# the bounds keep a page of unpaired quotes from being searched again at every tag; longer attributes end at the next >
-_TAG = re.compile(r"""<!--(?:.*?--!?>|.*\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']{1,5000}+|"[^"]{0,5000}+"|'[^']{0,5000}+'){0,200}+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""", re.DOTALL)
-_ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/]|$)""", re.IGNORECASE)
+# As in HTML, only a quote right after "=" opens a value, of any length. One that is never closed is part of a bare value
+# and its tag ends at the next >; no quote of that kind follows, so each kind is searched in vain once a page.
+_TAG = re.compile(r"""<!--(?:.*?--!?>|.*\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""", re.DOTALL)
+_ATTRIBUTE = re.compile(r"""([^\s/=>]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"'][^\s>]*+))?+)?+""")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea xmp iframe noembed noframes".split())
 CUT = frozenset("script style title textarea xmp iframe noembed noframes head nav footer header aside form button select noscript template object embed svg canvas dialog menu audio video map datalist".split())
@@ -87,10 +88,10 @@ def parse(page: str) -> Node:
         if m.start() > at:
             stack[-1].children.append(page[at : m.start()])
         at = m.end()
-        tag = (m[2] or m[5] or "").lower()
+        tag = (m[2] or "").lower()
         if not tag:
             continue
-        if m[1] or m[4]:
+        if m[1]:
             if opened.get(tag):
                 i = len(stack) - 1
                 while stack[i].tag != tag and not (stack[i].tag in SCOPES and (tag in INLINE or tag == "p")):
@@ -111,7 +112,7 @@ def parse(page: str) -> Node:
                 close(last)
         node = Node(tag, stack[-1])
         stack[-1].children.append(node)
-        attributes = m[3] or m[6] or ""
+        attributes = m[3]
         if attributes and tag != "body":
             _describe(node, attributes)
         if tag in ("article", "main"):

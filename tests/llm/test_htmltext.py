@@ -34,6 +34,29 @@ def test_deep_and_long():
     assert htmltext.main_text("<p a='" * 3000) == ""
 
 
+@pytest.mark.parametrize("quote", ['"', "'"])
+def test_long_attributes(quote):
+    """A quoted value is part of its tag whatever its length, and what is in it is no tag and no attribute."""
+    for inner in ("a" * 6000 + " > LEAK", "<nav><script> hidden class=ad " * 3000, "x>" * 500_000):
+        assert htmltext.main_text(f"<article><p data-x={quote}{inner}{quote}>{P[0]}</p></article>") == P[0]
+    many = " ".join(f"data-{i}={quote}>{quote}" for i in range(5000))
+    assert htmltext.main_text(f"<article><p {many}>{P[0]}</p></article>") == P[0]
+    assert htmltext.main_text(f"<article><p title={quote}the hidden part{quote}>{P[0]}</p></article>") == P[0]
+
+
+def test_unpaired_quotes():
+    """Quotes that are not right after an equals sign open nothing; unpaired ones take linear time."""
+    import time
+
+    assert htmltext.main_text(f"<article><p don't>{P[0]}</p><p title=it's>{P[1]}</p><p a=\"b\"c\">{P[2]}</p></article>") == f"{P[0]} {P[1]} {P[2]}"
+    assert htmltext.main_text(f"<article><p a='x>{P[0]}</p><p b=\"y>{P[1]}</p></article>") == f"{P[0]} {P[1]}"
+    start = time.perf_counter()
+    for part in ("<p a=\"", "<p a=\">", "<p a='>\"<p a=\">'", "<p a=\">\" ", "<p '>", "<p a= ", "<p a=\"'>"):
+        for end in ("", "'", "\"", "='\"", "<p b='"):
+            htmltext.parse(part * 20_001 + end)
+    assert time.perf_counter() - start < 60
+
+
 def test_table(spark):
     rows = [(1, "u", f"<article><p>{P[0]}</p></article>", "clash"), (1, "u", f"<article><p>{P[0]}</p></article>", "clash"), (None, None, None, None), (2, "v", "", "")]
     got = htmltext.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
