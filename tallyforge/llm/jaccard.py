@@ -156,13 +156,12 @@ def similar_to_pivots(rows: Iterator[tuple]) -> Iterator[tuple]:
             root.append(joined if joined >= 0 else n)
 
 
-def links(sets: list[np.ndarray], sides: np.ndarray, threshold: Fraction) -> Iterator[tuple[int, np.ndarray]]:
-    """For each i the j > i with Jaccard of at least the threshold; where two sides are given, only links across.
+def links(sets: list[np.ndarray], sides: np.ndarray, threshold: Fraction, across: bool) -> Iterator[tuple[int, np.ndarray]]:
+    """For each i the j > i with Jaccard of at least the threshold; with ``across`` only those on another side.
 
     Sets are sorted and distinct. Intersections are counted with an inverted index.
     """
     sizes = np.array([len(s) for s in sets], np.int64)
-    across = sides.min() != sides.max()
     num, den = threshold.numerator, threshold.denominator
     flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
     order = np.argsort(flat, kind="stable")
@@ -189,12 +188,18 @@ def links(sets: list[np.ndarray], sides: np.ndarray, threshold: Fraction) -> Ite
 
 
 def _verify(rows: Iterator[tuple]) -> Iterator[tuple]:
-    """Rows (key, node, copies, block, shingles) sorted by key: (node, null, linked documents) and (node, least node connected with it, 0)."""
+    """Rows (key, node, copies, block, across, shingles) sorted by key: (node, null, linked documents) and (node, least node connected with it, 0).
+
+    ``across`` tells the pair of two blocks, even if one of them is empty: links inside a block are counted by its pair with itself.
+    """
     threshold = Fraction(str(THRESHOLD))
     held: dict[bytes, tuple] = {}
     now: object = None
+    across = False
 
     def group():
+        if across and len({m[1] for m in held.values()}) < 2:
+            return
         nodes, members = list(held), list(held.values())
         weights, sides = np.array([m[0] for m in members]), np.array([m[1] for m in members])
         sums = np.zeros(len(nodes), np.int64)
@@ -206,7 +211,7 @@ def _verify(rows: Iterator[tuple]) -> Iterator[tuple]:
                 root[i] = i = root[root[i]]
             return i
 
-        for i, js in links([m[2] for m in members], sides, threshold):
+        for i, js in links([m[2] for m in members], sides, threshold, across):
             sums[i] += weights[js].sum()
             sums[js] += weights[i]
             for j in js[parent[js] != parent[i]].tolist():
@@ -219,11 +224,11 @@ def _verify(rows: Iterator[tuple]) -> Iterator[tuple]:
                 yield nodes[i], nodes[find(i)], 0
             yield nodes[i], None, int(sums[i])
 
-    for key, node, copies, block, own in rows:
+    for key, node, copies, block, two, own in rows:
         if key != now:
             if len(held) > 1:
                 yield from group()
-            held, now = {}, key
+            held, now, across = {}, key, two
         held[node] = (copies, block, np.frombuffer(own, np.uint64))
     if len(held) > 1:
         yield from group()
@@ -279,7 +284,7 @@ def join_ngrams(docs: DataFrame, *, target_recall: float = TARGET_RECALL) -> Dat
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j"))))
     dealt = sets.withColumn("block", block).withColumn("pair", pair).withColumn("key", F.xxhash64("root", "pair.i", "pair.j"))
-    dealt = dealt.select("key", "node", "copies", "block", "shingles").repartition("key").sortWithinPartitions("key", "node")
+    dealt = dealt.select("key", "node", "copies", "block", (F.col("pair.i") != F.col("pair.j")).alias("across"), "shingles").repartition("key").sortWithinPartitions("key", "node")
     verified = staged(map_rows(dealt, _verify, "a binary, b binary, linked long"), "verified")
 
     # classes

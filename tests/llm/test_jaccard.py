@@ -88,6 +88,13 @@ def test_blocks(make, monkeypatch):
     assert joined(make(docs)) == brute(docs)
 
 
+def test_empty_blocks(make, monkeypatch):
+    """A group of many more blocks than nodes, most of them empty, gives the same links."""
+    docs = near_copies()
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 50)
+    assert joined(make(docs)) == brute(docs)
+
+
 def test_depth_reaches_recall():
     depth = jaccard.matched_depth()
     assert jaccard.expected_recall(0.8, jaccard.TREES, depth) >= jaccard.TARGET_RECALL
