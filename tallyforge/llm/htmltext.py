@@ -31,11 +31,13 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 CLOSES = {t: frozenset(["p"]) for t in "address article aside blockquote center details dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()}
 CLOSES |= {"li": frozenset(["li", "p"]), "dt": frozenset(["dt", "dd", "p"]), "dd": frozenset(["dt", "dd", "p"]), "tr": frozenset(["tr", "td", "th", "p"]), "td": frozenset(["td", "th", "p"]), "th": frozenset(["td", "th", "p"]), "tbody": frozenset(["tr", "td", "th", "thead", "p"]), "body": frozenset(["head"]), "option": frozenset(["option"])}
 SCOPES = frozenset("html body div article section main table ul ol dl td th blockquote nav aside header footer form button".split())
-#: Fixed word lists for classes and ids: always boilerplate; boilerplate unless a word of content stands beside it; content.
+#: Fixed word lists for classes and ids: boilerplate unless the element is an article or holds most of the text; boilerplate; content, beside which neither counts.
 ALWAYS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr sidebar nav navbar navigation menu breadcrumb breadcrumbs comment comments disqus share sharing social related recommended newsletter subscribe popup modal pagination pager skip".split())
 UNLESS = frozenset("header footer masthead notice notices widget side rail toolbar login signup alert form replies respond overlay meta tags byline".split())
 CONTENT = frozenset("article body content entry main post story text page".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
+#: Words of a class or id after which its other words tell what an element has or lacks, not what it is.
+HAVING = frozenset("has no with without".split())
 PARAGRAPHS = frozenset("p pre td th li dd dt blockquote h1 h2 h3 h4 h5 h6 figcaption".split())
 HEADINGS = frozenset("h1 h2".split())
 LISTS = frozenset("ul ol dl div table section".split())
@@ -44,12 +46,13 @@ REACH = 5
 
 
 class Node:
-    __slots__ = ("children", "cut", "inline", "links", "main", "parent", "points", "size", "tag")
+    __slots__ = ("children", "cut", "doubtful", "inline", "links", "main", "parent", "points", "size", "tag")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent = tag, parent
         self.children: list[Node | str] = []
-        self.cut, self.inline, self.main = tag in CUT, tag in INLINE, False
+        self.cut, self.inline, self.main = tag in CUT, tag in INLINE, tag in ("article", "main")
+        self.doubtful = False
         self.points = 0.0
         self.size = self.links = 0
 
@@ -60,7 +63,9 @@ def _describe(node: Node, attributes: str) -> None:
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name in ("class", "id"):
-            words.update(re.findall(r"[a-z]+", re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "-", m[2] or m[3] or m[4] or "").lower()))
+            for one in re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "-", m[2] or m[3] or m[4] or "").lower().split():
+                own = re.findall(r"[a-z]+", one)
+                words.update(own[: next((i for i, w in enumerate(own) if w in HAVING), None)])
         elif name == "role":
             node.cut |= value.strip() in ROLES
             node.main |= value.strip() == "main"
@@ -68,8 +73,9 @@ def _describe(node: Node, attributes: str) -> None:
             node.cut = True
         elif name == "itemprop":
             node.main |= value == "articlebody"
-    if words and not node.inline:
-        node.cut |= bool(words & ALWAYS) or bool(words & UNLESS) and not words & CONTENT
+    if words and not node.inline and not words & CONTENT:
+        node.cut |= bool(words & UNLESS)
+        node.doubtful = bool(words & ALWAYS) and not node.main
 
 
 def parse(page: str) -> Node:
@@ -115,8 +121,6 @@ def parse(page: str) -> Node:
         attributes = m[3]
         if attributes and tag != "body":
             _describe(node, attributes)
-        if tag in ("article", "main"):
-            node.main = True
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.IGNORECASE).search(page, at)
             at = end.end() if end else len(page)
@@ -141,6 +145,41 @@ def _walk(root: Node) -> Iterator[tuple[Node, bool]]:
             stack.extend((c, True) for c in reversed(node.children) if isinstance(c, Node) and not c.cut)
 
 
+def _settle(root: Node) -> None:
+    """Cuts the elements that words of ALWAYS name, except where one holds most of the page's paragraph points: the score decides on it.
+
+    Inside a marked article it must hold nearly all, because the score takes a marked article whole.
+    Points are those of blocks of 25 characters or more, links not counted.
+    """
+    doubtful: list[tuple[Node, Node | None]] = []  # with the marked article around it
+    mains: list[Node] = []
+    held: dict[int, float] = {}
+    clean: dict[int, float] = {}
+    for node, first in _walk(root):
+        if first:
+            if node.doubtful:
+                doubtful.append((node, mains[-1] if mains else None))
+            if node.main:
+                mains.append(node)
+            continue
+        if node.main:
+            mains.pop()
+        own = 0.0
+        if not node.inline:
+            text = " ".join("".join(c if isinstance(c, str) else _inline_text(c, links=False) if c.inline and not c.cut else " " for c in node.children).split())
+            own = _points(text) if len(text) >= 25 else 0.0
+        inside = [c for c in node.children if isinstance(c, Node) and not c.cut]
+        held[id(node)] = own + sum(held[id(c)] for c in inside)
+        clean[id(node)] = own + sum(clean[id(c)] for c in inside if not c.doubtful)
+    for node, article in doubtful:
+        most = held[id(node)] > 0.5 * held[id(root)]
+        node.cut = not most or article is not None and clean[id(article)] > 0.1 * held[id(node)]
+
+
+def _points(own: str) -> float:
+    return (1 if len(own) >= 25 else 0.2) + own.count(",") + min(len(own) / 100, 3)
+
+
 def _score(root: Node) -> list[Node]:
     """Sums sizes and links, cuts lists of links, gives points; returns the containers that got some."""
     scored: dict[int, Node] = {}
@@ -156,7 +195,7 @@ def _score(root: Node) -> list[Node]:
             node.cut = True
             continue
         if own and not node.inline:
-            points = (1 if len(own) >= 25 else 0.2) + own.count(",") + min(len(own) / 100, 3)
+            points = _points(own)
             up = node.parent if node.tag in PARAGRAPHS and node.parent else node
             level = 1
             while up is not None and level <= REACH:
@@ -166,14 +205,14 @@ def _score(root: Node) -> list[Node]:
     return list(scored.values())
 
 
-def _inline_text(node: Node) -> str:
+def _inline_text(node: Node, links: bool = True) -> str:
     parts: list[str] = []
     stack: list[Node | str] = [node]
     while stack:
         x = stack.pop()
         if isinstance(x, str):
             parts.append(x)
-        elif not x.cut:
+        elif not x.cut and (links or x.tag != "a"):
             if x.tag == "br":
                 parts.append(" ")
             stack.extend(reversed(x.children))
@@ -195,6 +234,7 @@ def _is_inside_cut(node: Node) -> bool:
 
 def _chosen(root: Node) -> list[Node]:
     """The best container and the siblings kept, in page order."""
+    _settle(root)
     containers = [c for c in _score(root) if not _is_inside_cut(c)]
     if not containers:
         return [root]

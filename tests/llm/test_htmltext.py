@@ -44,6 +44,21 @@ def test_long_attributes(quote):
     assert htmltext.main_text(f"<article><p title={quote}the hidden part{quote}>{P[0]}</p></article>") == P[0]
 
 
+@pytest.mark.parametrize(
+    "tag",
+    [
+        'div class="site-content has-sidebar"', 'article class="post no-comments"', 'div id="page" class="nav-open"', 'main class=menu', 'div role=main class=sidebar',
+        'div class="wrap with-left-sidebar"', "div class=nav-open", "div class=hasSidebar", "section id=related",
+    ],
+)
+def test_containers_named_like_boilerplate(tag):
+    """A container that holds the article stays whatever its class says; what stands in or beside it is cut as before."""
+    name = tag.split()[0]
+    inside = f"<div class=sidebar><p>{P[2]}</p></div><p>{P[1]}</p>"
+    assert htmltext.main_text(f"<body><ul class=menu><li><a>a</a></li></ul><{tag}><p>{P[0]}</p>{inside}</{name}><div class=comments><p>{P[3]}</p></div>") == f"{P[0]} {P[1]}"
+    assert htmltext.main_text(f"<article><h1>T</h1><div class=share-wrap><p>{P[0]}</p><p>{P[1]}</p></div></article>") == f"T {P[0]} {P[1]}"
+
+
 def test_unpaired_quotes():
     """Quotes that are not right after an equals sign open nothing; unpaired ones take linear time."""
     import time
