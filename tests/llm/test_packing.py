@@ -92,3 +92,16 @@ def _best_fit_decreasing(histogram, capacity):
                 g = capacity
                 yield 1
             gaps.append(g - length)
+
+
+def test_added_tokens():
+    """The literal of an added token is the id that the tokenizers library gives by default."""
+    from tokenizers import Tokenizer
+
+    path = packing.default_tokenizer()
+    plain, encoder = Tokenizer.from_file(path), packing.Encoder(path)
+    assert encoder.added
+    for literal in encoder.added:
+        for text in (f"a {literal} b", literal, f"\u4e00{literal}{literal}", literal[:-1]):
+            assert encoder.ids(text) == plain.encode(text, add_special_tokens=False).ids
+        assert plain.token_to_id(literal) in encoder.ids(f"a {literal} b")
