@@ -78,7 +78,7 @@ def base_spans(text: str) -> list[Span]:
     if not _ANY.search(text):
         return []
     spans = [(a, b, "email") for a, b in _emails(text, _DOMAIN)]
-    spans += [(*m.span(), "ip") for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+    spans += [(*m.span(), "ip") for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in m[0].split("."))]
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 12 and 12 <= len(digits := _digits(m[0])) <= 19 and luhn(digits):
             spans.append((*m.span(), "card"))

@@ -98,3 +98,10 @@ def test_odd_rows(spark, odd, nothing, field):
     assert pii.find_personal_data(nothing, field).collect() == [] == pii.mask_personal_data(nothing, field).collect()
     assert pii.find_spans("x 1234567890", pii.train(nothing))[1] == []
     assert pii.mask_personal_data(spark.createDataFrame([("a@b.example",)], "text string"), field).collect()[0].text == "<EMAIL>"
+
+
+def test_address_of_many_zeros():
+    """A part with more digits than Python turns into a number is read by what follows its zeros."""
+    zeros = "0" * 5000
+    for part, n in (("", 1), ("255", 1), ("256", 0)):
+        assert [k for _, _, k in pii.base_spans(f"at 1.2.3.{zeros}{part} now")].count("ip") == n
