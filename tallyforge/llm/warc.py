@@ -25,11 +25,17 @@ from tallyforge.llm.common import arrow_schema, batches_of, map_arrow, new_path,
 VERSION = b"WARC/1.1"
 #: Archives are cut at about so many bytes before compression.
 ARCHIVE_BYTES = 8 << 20
+#: Records of more than so many means are archived by size class.
+LARGE = 8
 RECORDS = "path string, member long, start long, end long, problem string, page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload string"
 HEX32, BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"  # fixed digits of conv() and of RFC 4648
-_HEAD = re.compile(rb"WARC/1\.[01]\r\n((?:[!-9;-~]+:[^\r\n]*\r\n)*)\r\n")
+# a line that begins with white space goes on with the field before it
+_HEAD = re.compile(rb"WARC/1\.[01]\r\n((?:[!-9;-~]+:[^\r\n]*\r\n(?:[ \t][^\r\n]*\r\n)*)*)\r\n")
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _NEXT = re.compile(rb"WARC/1\.[01]\r\n|\x1f\x8b\x08")
+#: Fields that every record has, and those that tell two records with one's end lost from one record with odd values.
+MANDATORY = ("warc-type", "warc-record-id", "warc-date", "content-length")
+_ONCE = frozenset((*MANDATORY, "warc-target-uri"))
 
 
 def sha1_base32(data: Column) -> Column:
@@ -125,15 +131,28 @@ def mean_record_bytes(copies: DataFrame) -> int:
     return int(mean or 0) + 700
 
 
-def write_archives(records: DataFrame, path: str, mean_bytes: int) -> None:
+def write_archives(records: DataFrame, path: str, mean_bytes: int, *, most_bytes: int | None = None) -> None:
     """Writes the records of ``deduplicated`` as gzip-compressed WARC files below ``path``, where their payloads lie.
 
-    ``mean_bytes`` (see ``mean_record_bytes``) limits the records of a file to
-    about ARCHIVE_BYTES, so that the reader can hold one file at a time. A
-    file of Spark's text sink is one gzip member with many records.
+    A file of Spark's text sink is one gzip member with many records, cut by
+    their number: about ARCHIVE_BYTES of records of ``mean_bytes`` (see
+    ``mean_record_bytes``). A record of more than LARGE means goes to the
+    files of its size class instead, which hold so few that they stay within
+    ARCHIVE_BYTES, or one record if that is larger. So no file holds more than
+    LARGE * ARCHIVE_BYTES or one record before compression, and the reader can
+    hold one file at a time. ``most_bytes``, the largest record if it is known,
+    saves the second pass where there are none of those.
     """
-    limit = max(1, ARCHIVE_BYTES // max(1, mean_bytes))
-    records.select(record_text()).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", limit).text(path)
+    mean = max(1, mean_bytes)
+    size = F.coalesce(F.octet_length("payload"), F.lit(0)) + F.coalesce(F.octet_length("url"), F.lit(0)) + 700
+    write = lambda df: df.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", max(1, ARCHIVE_BYTES // mean))
+    write(records.filter(size <= LARGE * mean).select(record_text())).text(f"{path}/usual")
+    if most_bytes is None or most_bytes > LARGE * mean:
+        # a task's rows are numbered, and a part of a class takes as many numbers as records of that size fit a file
+        size_class = F.ceil(F.log2(size)).cast("int")
+        fit = F.greatest(F.lit(1), F.floor(F.lit(ARCHIVE_BYTES) / F.pow(F.lit(2.0), size_class)))
+        large = records.filter(size > LARGE * mean).withColumn("_number", F.monotonically_increasing_id())
+        write(large.select(record_text().alias("value"), size_class.alias("class"), F.floor(F.col("_number") / fit).alias("part"))).partitionBy("class", "part").text(f"{path}/large")
 
 
 @dataclass
@@ -156,18 +175,40 @@ class Gap:
     member: int | None = None
 
 
-def read_record(data: bytes, at: int) -> Record:
-    """The valid record at ``at``; ValueError says which check failed."""
-    head = _HEAD.match(data, at) or _fail("version line or headers")
-    headers: dict[str, str] = {}
-    for line in head[1].decode("utf-8", "replace").split("\r\n")[:-1]:
+def _fields(head: bytes) -> dict[str, str]:
+    """The header fields by lower-case name, the first of each; ValueError if the end of one record and the head of another are in it.
+
+    Any field may stand several times, and any value may end like a version
+    line. Only both together, for a field that a record has once, tell that
+    the text between is lost.
+    """
+    found: dict[str, str] = {}
+    before: set[str] = set()  # the fields up to the last value that ends in a version line
+    for line in re.sub(r"\r\n[ \t]+", " ", head.decode("utf-8", "replace")).split("\r\n")[:-1]:
         name, _, value = line.partition(":")
-        if name.lower() in headers or re.search(r"WARC/1\.[01]$", value):
-            raise ValueError("headers of two records")  # the end of one is lost
-        headers[name.lower()] = value.strip()
+        name = name.lower()
+        if name in before and name in _ONCE:
+            raise ValueError("headers of two records")
+        found.setdefault(name, value.strip())
+        if re.search(r"WARC/1\.[01]$", value):
+            before = set(found)
+    return found
+
+
+def read_record(data: bytes, at: int, *, whole: bool = False) -> Record:
+    """The valid record at ``at``; ValueError says which check failed, and Damaged where the record ends all the same.
+
+    With ``whole`` the fields that every record must have are asked for, as
+    where the reader looks for a place to go on: the tail of a damaged record
+    can look like a record without them.
+    """
+    head = _HEAD.match(data, at) or _fail("version line or headers")
+    headers = _fields(head[1])
     length = headers.get("content-length", "")
     if not re.fullmatch(r"[0-9]{1,15}", length):
         raise ValueError("content length")
+    if whole and not all(headers.get(name) for name in MANDATORY):
+        raise ValueError("mandatory headers")
     start = head.end()
     end = start + int(length)
     if data[end : end + 4] != b"\r\n\r\n":
@@ -175,10 +216,18 @@ def read_record(data: bytes, at: int) -> Record:
     block = bytes(data[start:end])
     digest = headers.get("warc-block-digest", "")
     if digest.startswith("sha1:") and digest[5:].upper() != _base32(block):
-        raise ValueError("block digest")
+        raise Damaged("block digest", end + 4)
     return Record(at, end + 4, headers, block)
 
 
+class Damaged(ValueError):
+    """A damaged record with an end mark where its length says; what follows from ``end`` on may be sound."""
+
+    def __init__(self, problem: str, end: int):
+        super().__init__(problem)
+        self.end = end
+
+
 def _fail(what: str):
     raise ValueError(what)
 
@@ -212,10 +261,16 @@ def salvage(data: bytes, version: re.Pattern = _NEXT) -> Iterator[Record | Gap]:
                 found, end = [], end if end is not None and not inner else None
         else:
             try:
-                found = [read_record(data, at)]
+                found = [read_record(data, at, whole=bad >= 0)]
                 end = found[0].end
             except ValueError as error:
                 reason = str(error)
+                # a block whose bytes are damaged between sound headers and a sound end hides no record
+                beyond = getattr(error, "end", None)
+                if beyond is not None and bad < 0 and (beyond == len(data) or version.match(data, beyond)) and not _ends_with_record(data, at, beyond):
+                    yield Gap(at, beyond, reason)
+                    at = beyond
+                    continue
         if bad >= 0 and (found or end is not None):
             yield Gap(bad, at, problem)
             bad = -1
@@ -230,6 +285,17 @@ def salvage(data: bytes, version: re.Pattern = _NEXT) -> Iterator[Record | Gap]:
         yield Gap(bad, len(data), problem)
 
 
+def _ends_with_record(data: bytes, at: int, end: int) -> bool:
+    """Whether a valid record inside ends where the record at ``at`` claims to: then that one lost its own end and its length reaches too far."""
+    for m in _VERSION.finditer(data, at + 1, end):
+        try:
+            if read_record(data, m.start(), whole=True).end == end:
+                return True
+        except ValueError:
+            pass
+    return False
+
+
 def _number(urn: str | None) -> int | None:
     found = re.fullmatch(r"<urn:page:(-?[0-9]+)>", urn or "")
     return int(found[1]) if found else None
@@ -241,8 +307,9 @@ def _read_file(path: str, data: bytes, with_payload: bool) -> Iterator[tuple]:
         if isinstance(x, Gap):
             yield path, x.member, x.start, x.end, x.problem, *nothing
             continue
-        head, _, payload = x.block.partition(b"\r\n\r\n")
         kind = x.headers.get("warc-type")
+        http = x.headers.get("content-type", "application/http").lower().startswith("application/http")
+        head, _, payload = x.block.partition(b"\r\n\r\n") if http else (b"", b"", x.block)
         stated = re.search(rb"(?i)\r\ncontent-length:[ \t]*([0-9]+)", head)
         digest, n = x.headers.get("warc-payload-digest", "").removeprefix("sha1:"), len(payload)
         if kind == "response" and digest and digest != _base32(payload):
@@ -263,6 +330,14 @@ def read_archives(spark: SparkSession, path: str, *, with_payload: bool = True)
     A row whose ``problem`` is null is a record; other rows are quarantined
     bytes, start to end, with the check that failed first. Empty files give
     no rows. A task holds one archive at a time, beside Arrow's batch.
+
+    Records of other writers and of any type are read: fields may be repeated
+    or folded over lines and values may end like a version line; without a
+    block digest the block is taken as it is. What a record does not state is
+    null (page_id and refers_to also where the id is no ``urn:page``); the
+    payload is the body of an HTTP block and else the whole block, its digest
+    counted where none is stated; texts with bytes that are not UTF-8 get
+    replacement characters. Repeated records are repeated rows.
     """
     schema = arrow_schema(RECORDS)
 
@@ -274,16 +349,26 @@ def read_archives(spark: SparkSession, path: str, *, with_payload: bool = True)
 
         yield from batches_of(rows(), schema)
 
-    return map_arrow(spark.read.format("binaryFile").option("pathGlobFilter", "*").load(path).select("path", "content"), run, RECORDS)
+    return map_arrow(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content"), run, RECORDS)
+
+
+def check_complete(records: DataFrame, copies: DataFrame) -> None:
+    """An error unless the archives gave back one record for each page of the catalogue and no gap."""
+    pages = copies.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    gaps, found = records.agg(F.count_if(F.col("problem").isNotNull()), F.count_if(F.col("problem").isNull())).first()
+    if gaps or found != pages:
+        raise RuntimeError(f"{pages} pages were archived; {found} records and {gaps} gaps came back")
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     copies = catalogue(pages)
-    write_archives(deduplicated(pages, copies), path, mean_record_bytes(copies))
-    records = read_archives(spark, path, with_payload=False)
-    return records.filter("problem IS NULL").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    most = copies.agg(F.max(F.col("payload_bytes") + F.coalesce(F.octet_length("url"), F.lit(0)))).first()[0]
+    write_archives(deduplicated(pages, copies), path, mean_record_bytes(copies), most_bytes=(most or 0) + 700)
+    records = staged(read_archives(spark, path, with_payload=False), "warc-records")
+    check_complete(records, copies)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 OP9_SQL = """
