@@ -83,11 +83,18 @@ def parse(page: str) -> Node:
     root = Node("html", None)
     stack = [root]
     opened: dict[str, int] = {}
+    # for each open scope its place in the stack, and the places of the open elements by tag between it and the next scope
+    scopes: list[tuple[int, dict[str, list[int]]]] = [(0, {})]
     at = 0
 
     def close(n: int) -> None:
-        for node in stack[n:]:
-            opened[node.tag] -= 1
+        while scopes[-1][0] >= n:
+            scopes.pop()
+        left = scopes[-1][1]
+        for i in range(len(stack) - 1, n - 1, -1):
+            opened[stack[i].tag] -= 1
+            if (places := left.get(stack[i].tag)) and places[-1] == i:
+                places.pop()
         del stack[n:]
 
     for m in iter(lambda: _TAG.search(page, at), None):
@@ -98,22 +105,24 @@ def parse(page: str) -> Node:
         if not tag:
             continue
         if m[1]:
-            if opened.get(tag):
+            if tag in INLINE or tag == "p":  # open inside the last scope or not at all
+                if places := scopes[-1][1].get(tag):
+                    close(places[-1])
+            elif opened.get(tag):
                 i = len(stack) - 1
-                while stack[i].tag != tag and not (stack[i].tag in SCOPES and (tag in INLINE or tag == "p")):
+                while stack[i].tag != tag:
                     i -= 1
-                if stack[i].tag == tag:
-                    close(i)
+                close(i)
             continue
         if tag == "html" or tag == "body" and opened.get("body"):
             continue
         if shut := CLOSES.get(tag):
-            i = len(stack) - 1
             last = 0
-            while i > 0 and (stack[i].tag in shut or stack[i].tag not in SCOPES):
-                if stack[i].tag in shut:
-                    last = i
-                i -= 1
+            for scope, places in reversed(scopes):
+                last = min((places[t][0] for t in shut if places.get(t)), default=last)
+                if scope == 0 or stack[scope].tag not in shut:
+                    break
+                last = scope
             if last:
                 close(last)
         node = Node(tag, stack[-1])
@@ -125,6 +134,10 @@ def parse(page: str) -> Node:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.IGNORECASE).search(page, at)
             at = end.end() if end else len(page)
         elif tag not in VOID and not attributes.endswith("/"):
+            if tag in SCOPES:
+                scopes.append((len(stack), {}))
+            else:
+                scopes[-1][1].setdefault(tag, []).append(len(stack))
             stack.append(node)
             opened[tag] = opened.get(tag, 0) + 1
         if at >= len(page):
@@ -145,6 +158,41 @@ def _walk(root: Node) -> Iterator[tuple[Node, bool]]:
             stack.extend((c, True) for c in reversed(node.children) if isinstance(c, Node) and not c.cut)
 
 
+def _own_texts(root: Node) -> Iterator[tuple[Node, bool, str, str]]:
+    """The nodes of ``_walk``; where a block ends, with its own text and that outside links, white space turned into one space.
+
+    A piece of text belongs to the nearest block around it and is looked at once.
+    """
+    held: list[tuple[list[str], list[str]]] = []
+    links = 0
+    stack: list[tuple[Node | str, bool]] = [(root, True)]
+    while stack:
+        x, first = stack.pop()
+        if isinstance(x, str):
+            held[-1][0].append(x)
+            if not links:
+                held[-1][1].append(x)
+            continue
+        if first:
+            yield x, True, "", ""
+            if not x.inline:
+                if held:
+                    held[-1][0].append(" ")
+                    held[-1][1].append(" ")
+                held.append(([], []))
+            links += x.tag == "a"
+            stack.append((x, False))
+            for c in reversed(x.children):
+                if isinstance(c, str) or not c.cut:
+                    stack.append((c, True))
+                elif held:
+                    stack.append((" ", True))
+            continue
+        links -= x.tag == "a"
+        both = held.pop() if not x.inline else ([], [])
+        yield x, False, *(" ".join("".join(parts).split()) for parts in both)
+
+
 def _settle(root: Node) -> None:
     """Cuts the elements that words of ALWAYS name, except where one holds most of the page's paragraph points: the score decides on it.
 
@@ -155,7 +203,7 @@ def _settle(root: Node) -> None:
     mains: list[Node] = []
     held: dict[int, float] = {}
     clean: dict[int, float] = {}
-    for node, first in _walk(root):
+    for node, first, _, text in _own_texts(root):
         if first:
             if node.doubtful:
                 doubtful.append((node, mains[-1] if mains else None))
@@ -164,10 +212,7 @@ def _settle(root: Node) -> None:
             continue
         if node.main:
             mains.pop()
-        own = 0.0
-        if not node.inline:
-            text = " ".join("".join(c if isinstance(c, str) else _inline_text(c, links=False) if c.inline and not c.cut else " " for c in node.children).split())
-            own = _points(text) if len(text) >= 25 else 0.0
+        own = _points(text) if len(text) >= 25 else 0.0
         inside = [c for c in node.children if isinstance(c, Node) and not c.cut]
         held[id(node)] = own + sum(held[id(c)] for c in inside)
         clean[id(node)] = own + sum(clean[id(c)] for c in inside if not c.doubtful)
@@ -181,20 +226,19 @@ def _points(own: str) -> float:
 
 
 def _score(root: Node) -> list[Node]:
-    """Sums sizes and links, cuts lists of links, gives points; returns the containers that got some."""
+    """Sums sizes and links, cuts lists of links, gives points; returns the containers that got some and are not inside a cut element."""
     scored: dict[int, Node] = {}
     anchors: dict[int, int] = {}
-    for node, first in _walk(root):
+    for node, first, own, _ in _own_texts(root):
         if first:
             continue
-        own = " ".join("".join(c if isinstance(c, str) else (_inline_text(c) if c.inline and not c.cut else " ") for c in node.children).split()) if not node.inline else ""
         node.size = sum(len(c.strip()) if isinstance(c, str) else 0 if c.cut else c.size for c in node.children)
         node.links = node.size if node.tag == "a" else sum(c.links for c in node.children if isinstance(c, Node) and not c.cut)
         n_links = anchors[id(node)] = (node.tag == "a") + sum(anchors.get(id(c), 0) for c in node.children if isinstance(c, Node) and not c.cut)
         if node.tag in LISTS and n_links >= 3 and node.links > 0.7 * node.size:
             node.cut = True
             continue
-        if own and not node.inline:
+        if own:
             points = _points(own)
             up = node.parent if node.tag in PARAGRAPHS and node.parent else node
             level = 1
@@ -202,40 +246,18 @@ def _score(root: Node) -> list[Node]:
                 up.points += points / (1 if level == 1 else 2 if level == 2 else 3 * (level - 1))
                 scored[id(up)] = up
                 up, level = up.parent, level + 1
-    return list(scored.values())
-
-
-def _inline_text(node: Node, links: bool = True) -> str:
-    parts: list[str] = []
-    stack: list[Node | str] = [node]
-    while stack:
-        x = stack.pop()
-        if isinstance(x, str):
-            parts.append(x)
-        elif not x.cut and (links or x.tag != "a"):
-            if x.tag == "br":
-                parts.append(" ")
-            stack.extend(reversed(x.children))
-    return "".join(parts)
+    live = {id(node) for node, _ in _walk(root)} if not root.cut else set()
+    return [c for c in scored.values() if id(c) in live]
 
 
 def _density(node: Node) -> float:
     return node.links / node.size if node.size else 0.0
 
 
-def _is_inside_cut(node: Node) -> bool:
-    up: Node | None = node
-    while up is not None:
-        if up.cut:
-            return True
-        up = up.parent
-    return False
-
-
 def _chosen(root: Node) -> list[Node]:
     """The best container and the siblings kept, in page order."""
     _settle(root)
-    containers = [c for c in _score(root) if not _is_inside_cut(c)]
+    containers = _score(root)
     if not containers:
         return [root]
     value = {id(c): c.points * (1 - _density(c)) for c in containers}

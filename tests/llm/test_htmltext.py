@@ -72,6 +72,48 @@ def test_unpaired_quotes():
     assert time.perf_counter() - start < 60
 
 
+DEEP = {
+    "span div": "<span><div>text " * 50_000, "b then p": "<b>" * 50_000 + "<p>x" * 50_000, "ends of inline elements outside the scope": "<b><div>" + "<i>" * 50_000 + "</b>" * 50_000,
+    "lists": "<ul><li>" * 50_000, "tables": "<table><tr><td>x" * 30_000, "rows": "<table>" + "<tr><td><b>x" * 50_000, "unknown tags": "".join(f"<t{i}>" for i in range(30_000)) + "<p>x" * 30_000,
+    "ends of unknown tags": "".join(f"<t{i}>x" for i in range(20_000)) + "".join(f"</t{i}>" for i in range(20_000)), "references": "&amp" * 300_000, "comments": "<!--" * 100_000,
+}
+
+
+@pytest.mark.parametrize("name", DEEP)
+def test_deep_nesting(name):
+    """Time is linear in the page however its elements are nested; an article beside them is found."""
+    import time
+
+    start = time.perf_counter()
+    htmltext.main_text(DEEP[name])
+    assert time.perf_counter() - start < 40
+    assert htmltext.main_text(f"<article><p>{P[0]}</p></article><nav>{DEEP[name]}") == P[0]
+
+
+ITEMS = "".join(f"<li><a href=/{i}>{prose(50 + i, 3)}</a></li>" for i in range(8))
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        # a content class inside wrappers, menus and teasers beside it
+        (f"<div id=wrap><div class=top><ul>{ITEMS}</ul></div><div class=cols><div class=post-body><h1>T</h1><p>{P[0]}</p><p>{P[1]}</p><p>{P[2]}</p></div><div class=right><ul>{ITEMS}</ul></div></div></div>", f"T {P[0]} {P[1]} {P[2]}"),
+        # <main> with sections
+        (f"<body><main><section><h2>A</h2><p>{P[0]}</p></section><section><h2>B</h2><p>{P[1]}</p><p>{P[2]}</p></section></main><div class=links><ul>{ITEMS}</ul></div></body>", f"A {P[0]} B {P[1]} {P[2]}"),
+        # sibling sections without any mark, a list of links between them
+        (f"<body><div><div><h2>A</h2><p>{P[0]}</p><p>{P[1]}</p></div><ul>{ITEMS}</ul><div><h2>B</h2><p>{P[2]}</p><p>{P[3]}</p></div></div></body>", f"A {P[0]} {P[1]} B {P[2]} {P[3]}"),
+        # paragraphs straight in a cell of a layout table, the menu in another
+        (f"<table><tr><td><ul>{ITEMS}</ul></td><td><h1>T</h1><p>{P[0]}</p><p>{P[1]}</p></td></tr></table>", f"T {P[0]} {P[1]}"),
+        # text blocks without paragraphs
+        (f"<div class=menu><a href=x>home</a></div><div class=text>{P[0]}<br><br>{P[1]}</div><div class=footer>c</div>", f"{P[0]} {P[1]}"),
+        # links inside running text stay
+        (f"<div><p>{P[0]} <a href=x>a link</a> more</p><p>{P[1]}</p></div><div><p><a href=y>{P[2]}</a></p><p><a href=z>{P[3]}</a></p></div>", f"{P[0]} a link more {P[1]}"),
+    ],
+)
+def test_pages_without_article(page, want):
+    assert htmltext.main_text(page) == want
+
+
 def test_table(spark):
     rows = [(1, "u", f"<article><p>{P[0]}</p></article>", "clash"), (1, "u", f"<article><p>{P[0]}</p></article>", "clash"), (None, None, None, None), (2, "v", "", "")]
     got = htmltext.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
