@@ -5,10 +5,15 @@ CGK random walk embeds such a string so that its edit distance shows as a
 Hamming distance; hashes of sampled positions of the embedding, over several
 walks, meet the items' hashes, and the exact edit distance decides.
 
-Windows that cannot be near an item are ruled out before they are embedded:
-a string of n words within k edits of an item has at least n - 1 - 2k of its
-n - 1 pairs of adjacent words among the item's pairs, which a running sum of
-the pairs known from all items tells for every window at once.
+The Hamming distance grows with the square of the edits, so a long item would
+need ever more repetitions. It is searched by its parts instead: of p parts of
+an item within k edits, one is within k // p, whichever edits they are; windows
+of its size are embedded, and where one meets it, the whole item is verified.
+
+Windows that cannot be near a part are ruled out before they are embedded:
+a string of n words within k edits of a part has at least n - 1 - 2k of its
+n - 1 pairs of adjacent words among the part's pairs, which a running sum of
+the pairs known from all parts tells for every window at once.
 """
 
 from __future__ import annotations
@@ -30,7 +35,8 @@ EDIT_SHARE = 0.2
 TARGET_RECALL = 0.99
 #: Positions of the embedding that a hash samples.
 SAMPLED = 3
-MAX_REPETITIONS = 400
+#: Items of more words are searched by near equal parts of at most so many.
+PART_WORDS = 19
 #: Items sent to executors at once; more are searched in several passes over the documents.
 ITEMS_AT_ONCE, ITEM_WORDS_AT_ONCE = 20_000, 500_000
 #: Characters that a word loses at its ends before it is lower-cased.
@@ -107,13 +113,44 @@ def window_keys(walks: Walks, rows: np.ndarray, sizes: np.ndarray, steps: np.nda
 
 
 def repetitions_for(edits: int, size: int, target: float = TARGET_RECALL) -> int:
-    """How many repetitions find a window at ``edits`` with probability ``target``.
+    """How many repetitions find a window of up to PART_WORDS words at ``edits`` with probability ``target``, whatever kind the edits are.
 
     Each edit takes about 2.4 positions in ``size`` out of step until the walks
-    meet again, as measured on random strings of words (a test holds the recall).
+    meet again. Half as many again are made because walks differ: deletions,
+    the worst kind, need so many (measured on random strings; tests hold the
+    recall for each size and kind at the full number of edits).
     """
     agree = max(0.3, 1 - 2.4 * edits / size) ** SAMPLED
-    return min(MAX_REPETITIONS, math.ceil(math.log(1 - target) / math.log(1 - agree))) if agree < 1 else 1
+    return math.ceil(1.5 * math.log(1 - target) / math.log(1 - agree)) if agree < 1 else 1
+
+
+def parts_of(size: int) -> tuple[list[int], int]:
+    """Where the parts of an item of ``size`` words begin and end, and the edits allowed in one of them."""
+    n = -(-size // PART_WORDS)
+    return [size * i // n for i in range(n + 1)], edits_allowed(size) // n
+
+
+def occurs(item: list[int], words: list[int], most: int) -> bool:
+    """Whether some run of ``words`` is within ``most`` edits of the item (one step of word-wide operations for each word)."""
+    where: dict[int, int] = defaultdict(int)
+    for j, x in enumerate(item):
+        where[x] |= 1 << j
+    n = len(item)
+    every, last = (1 << n) - 1, 1 << n - 1
+    up, down, score = every, 0, n
+    if score <= most:
+        return True
+    for word in words:
+        same = where.get(word, 0)
+        vertical = same | down
+        level = (((same & up) + up) ^ up) | same
+        more, less = down | ~(level | up) & every, up & level
+        score += bool(more & last) - bool(less & last)
+        if score <= most:
+            return True
+        more, less = more << 1 & every, less << 1 & every
+        up, down = less | ~(vertical | more) & every, more & vertical
+    return False
 
 
 def nearest_run(item: list[int], words: list[int], most: int) -> tuple[int, int, int] | None:
@@ -140,63 +177,75 @@ def nearest_run(item: list[int], words: list[int], most: int) -> tuple[int, int,
 
 @dataclass
 class Index:
-    """Items by id and what finds them."""
+    """Items by id and what finds them. A kind is a size of parts and the edits allowed in one."""
 
     ids: list[int]
     words: list[np.ndarray]
-    #: Sorted pairs of words, with a bit table of them; items of one word by that word.
+    #: Sorted pairs of words, with a bit table of them, and the kinds of parts (a bit each) that each pair is in.
     pairs: np.ndarray
     bits: np.ndarray
+    kinds_of: np.ndarray
+    #: Items of one word by that word.
     singles: dict[int, list[int]]
-    #: Whether a pair (column) belongs to an item of a size (row).
-    of_size: np.ndarray
-    #: Item sizes from 2 on, and for each repetition the sampled steps by size, the sorted keys and the item of each.
+    #: The kinds, by size; of each, the edits and repetitions.
     sizes: np.ndarray
+    edits: np.ndarray
+    repetitions: np.ndarray
+    #: Item, and place in it, of each part.
+    owner: np.ndarray
+    offset: np.ndarray
+    #: For each repetition the sampled steps by kind, and the sorted keys with the part of each.
     steps: list[np.ndarray]
     keys: list[tuple[np.ndarray, np.ndarray]]
-    repetitions: np.ndarray
-    #: Known pairs that some block of the least size has in every window that can be near an item.
+    #: Known pairs that some block of the least size has in every window that can be near a part.
     least: int
 
+    def needed(self, kind: int) -> int:
+        """Least number of a part's pairs in a window within the edits allowed."""
+        return max(1, int(self.sizes[kind] - 1 - 2 * self.edits[kind]))
+
 
 def edits_allowed(size: int, share: float = EDIT_SHARE) -> int:
     return math.floor(size * share + 1e-9)
 
 
-def pairs_needed(size: int) -> int:
-    """Least number of an item's pairs in a window of the item's size within the edits allowed."""
-    return max(1, size - 1 - 2 * edits_allowed(size))
-
-
 def index_of(items: list[tuple[int, str]]) -> Index:
     """The index of (item_id, text) pairs; items without words are left out."""
     known = [(i, w) for i, t in items if len(w := word_ids(t or ""))]
     words = [w for _, w in known]
     singles: dict[int, list[int]] = defaultdict(list)
+    parts: list[tuple[int, int, int, int]] = []  # size, edits, item, place
     for k, w in enumerate(words):
         if len(w) == 1:
             singles[int(w[0])].append(k)
-    longer = [k for k, w in enumerate(words) if len(w) > 1]
-    sizes = np.array(sorted({len(words[k]) for k in longer}), np.int64)
-    pairs = np.unique(np.concatenate([_pairs(words[k]) for k in longer])) if longer else np.empty(0, np.uint64)
-    repetitions = np.array([repetitions_for(edits_allowed(n), n) for n in sizes.tolist()], np.int64)
+            continue
+        bounds, edits = parts_of(len(w))
+        parts += [(b - a, edits, k, a) for a, b in zip(bounds, bounds[1:], strict=False)]
+    kinds = sorted({p[:2] for p in parts})  # fewer than 64: sizes up to PART_WORDS, with up to three numbers of edits
+    sizes, edits = (np.array([k[i] for k in kinds], np.int64) for i in (0, 1))
+    repetitions = np.array([repetitions_for(e, n) for n, e in kinds], np.int64)
+    kind = np.array([kinds.index(p[:2]) for p in parts], np.int64)
+    owner, offset = (np.array([p[i] for p in parts], np.int64) for i in (2, 3))
     steps, keys = [], []
-    if longer:
-        flat = np.concatenate([words[k] for k in longer])
-        own = np.array([len(words[k]) for k in longer], np.int64)
-        ends = np.cumsum(own)
+    pairs, kinds_of = np.empty(0, np.uint64), np.empty(0, np.uint64)
+    if parts:
+        cut = [words[k][a : a + n] for n, _, k, a in parts]
+        own = sizes[kind]
+        every = np.concatenate([_pairs(w) for w in cut])
+        pairs, place = np.unique(every, return_inverse=True)
+        kinds_of = np.zeros(len(pairs), np.uint64)
+        np.bitwise_or.at(kinds_of, place, np.uint64(1) << np.repeat(kind, own - 1).astype(np.uint64))
+        flat, ends = np.concatenate(cut), np.cumsum(own)
         for r in range(int(repetitions.max())):
-            steps.append(np.array([sampled_steps(n, r) for n in sizes.tolist()]))
-            used = np.flatnonzero(repetitions[np.searchsorted(sizes, own)] > r)
+            steps.append(np.array([sampled_steps(n, r) for n, _ in kinds]))
+            used = np.flatnonzero(repetitions[kind] > r)
             walks = Walks(flat, ends - own, ends, int(2 * sizes[-1]), r)
-            found = window_keys(walks, used, own[used], steps[-1][np.searchsorted(sizes, own[used])], r)
+            found = window_keys(walks, used, own[used], steps[-1][kind[used]], r)
             order = np.argsort(found, kind="stable")
-            keys.append((found[order], np.array(longer, np.int64)[used[order]]))
-    least = min((-(-pairs_needed(n) // -(-n // int(sizes[0]))) for n in sizes.tolist()), default=1)
-    of_size = np.zeros((len(sizes), len(pairs)), bool)
-    for k in longer:
-        of_size[np.searchsorted(sizes, len(words[k])), np.searchsorted(pairs, _pairs(words[k]))] = True
-    return Index([i for i, _ in known], words, pairs, _bits(pairs), dict(singles), of_size, sizes, steps, keys, repetitions, least)
+            keys.append((found[order], used[order]))
+    index = Index([i for i, _ in known], words, pairs, _bits(pairs), kinds_of, dict(singles), sizes, edits, repetitions, owner, offset, steps, keys, 1)
+    index.least = min((-(-index.needed(i) // -(-int(n) // int(sizes[0]))) for i, n in enumerate(sizes)), default=1)
+    return index
 
 
 def _bits(known: np.ndarray) -> np.ndarray:
@@ -214,12 +263,12 @@ def _known(values: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray]:
 
 
 def likely_windows(ids: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray]:
-    """(start, place of the size among index.sizes) of the windows with enough pairs of items of their size.
+    """(start, kind) of the windows with enough pairs of parts of their kind.
 
-    None that can be near an item is left out. A window of n words holds at
+    None that can be near a part is left out. A window of n words holds at
     most ceil(n / m) blocks of the least size m, so one of them has that share
     of the pairs needed: a running sum over the pairs of all items finds the
-    few starts where any size can do. A document shorter than an item is one
+    few starts where any size can do. A document shorter than a part is one
     window.
     """
     none = np.empty(0, np.int64)
@@ -243,18 +292,18 @@ def likely_windows(ids: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarra
     starts = np.flatnonzero(near)
     found: list[tuple[np.ndarray, np.ndarray]] = []
     for i, size in enumerate(index.sizes.tolist()):
-        own = at[index.of_size[i, pair]]
-        if len(own) < pairs_needed(size):
+        own = at[index.kinds_of[pair] >> np.uint64(i) & np.uint64(1) == 1]
+        if len(own) < index.needed(i):
             continue
         ends = np.minimum(starts + size, n)
-        enough = np.searchsorted(own, ends - 1) - np.searchsorted(own, starts) >= pairs_needed(size)
-        good = starts[enough & (ends - starts >= size - edits_allowed(size))]
+        enough = np.searchsorted(own, ends - 1) - np.searchsorted(own, starts) >= index.needed(i)
+        good = starts[enough & (ends - starts >= size - int(index.edits[i]))]
         found.append((good, np.full(len(good), i)))
     return (np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])) if found else (none, none)
 
 
 def candidates(docs: list[np.ndarray], windows: list[tuple[np.ndarray, np.ndarray]], index: Index) -> dict[tuple[int, int], set[int]]:
-    """(document, item) -> starts of the windows that share an LSH key with the item, over all repetitions of its size."""
+    """(document, item) -> where the item would start by the windows that share an LSH key with one of its parts, over all repetitions of its kind."""
     found: dict[tuple[int, int], set[int]] = defaultdict(set)
     first = np.r_[0, np.cumsum([len(d) for d in docs])]
     start = np.concatenate([s + first[i] for i, (s, _) in enumerate(windows)])
@@ -266,7 +315,7 @@ def candidates(docs: list[np.ndarray], windows: list[tuple[np.ndarray, np.ndarra
     own, rows = np.unique(start, return_inverse=True)
     ends = first[np.searchsorted(first, own, side="right")]
     sizes = index.sizes[place]
-    for r, (keys, items) in enumerate(index.keys):
+    for r, (keys, parts) in enumerate(index.keys):
         live = np.flatnonzero(index.repetitions[place] > r)
         if not len(live):
             break
@@ -275,8 +324,8 @@ def candidates(docs: list[np.ndarray], windows: list[tuple[np.ndarray, np.ndarra
         low, high = np.searchsorted(keys, key), np.searchsorted(keys, key, side="right")
         for j in np.flatnonzero(high > low).tolist():
             w = live[j]
-            for item in items[low[j] : high[j]].tolist():
-                found[int(doc[w]), item].add(int(start[w] - first[doc[w]]))
+            for part in parts[low[j] : high[j]].tolist():
+                found[int(doc[w]), int(index.owner[part])].add(int(start[w] - first[doc[w]] - index.offset[part]))
     return found
 
 
@@ -286,7 +335,7 @@ def nearest(item: np.ndarray, ids: np.ndarray, starts: set[int]) -> tuple[int, i
     most = edits_allowed(n)
     ordered = sorted(starts)
     for start in ordered:
-        if start + n <= len(ids) and np.array_equal(ids[start : start + n], item):
+        if 0 <= start and start + n <= len(ids) and np.array_equal(ids[start : start + n], item):
             return 0, start, start + n
     found = None
     at = 0
@@ -295,7 +344,8 @@ def nearest(item: np.ndarray, ids: np.ndarray, starts: set[int]) -> tuple[int, i
         while last + 1 < len(ordered) and ordered[last + 1] - ordered[last] <= n:
             last += 1
         low, high = max(0, ordered[at] - most), min(len(ids), ordered[last] + n + most)
-        near = nearest_run(item.tolist(), ids[low:high].tolist(), most)
+        words = ids[low:high].tolist()
+        near = nearest_run(item.tolist(), words, most) if occurs(item.tolist(), words, most) else None
         if near and (found is None or (near[0], near[1] + low, near[2] + low) < found):
             found = (near[0], near[1] + low, near[2] + low)
         at = last + 1
@@ -385,7 +435,11 @@ def _parts(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents in which no benchmark item is found, with all their columns, in one pass and without a shuffle."""
+    """The documents in which no benchmark item is found (see ``find_leaks``), with all their columns, in one pass and without a shuffle.
+
+    Null and empty texts, null ids and repeated rows stay as they are; either
+    table may be empty; no column is added, so none can clash.
+    """
     import pyarrow as pa
 
     kept = docs

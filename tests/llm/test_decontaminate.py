@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from llm_cases import ODD_TEXTS, prose
 
 from tallyforge.llm import decontaminate as dc
@@ -94,3 +96,44 @@ def test_many_parts(spark, make, monkeypatch):
     docs = make([(i, prose(50, 10) + " " + prose(i, 20)) for i in range(12)])
     assert sorted((r.doc_id, r.item_id) for r in dc.find_leaks(docs, benchmark(spark, items)).collect()) == [(i, i) for i in range(10)]
     assert sorted(r.doc_id for r in dc.drop_leaks(docs, benchmark(spark, items)).collect()) == [10, 11]
+
+
+def test_occurs():
+    rng = random.Random(5)
+    for _ in range(600):
+        item, words = [rng.randrange(4) for _ in range(rng.randrange(1, 80))], [rng.randrange(4) for _ in range(rng.randrange(90))]
+        least = dc.nearest_run(item, words, 99)[0]
+        most = max(0, least + rng.randrange(-2, 2))
+        assert dc.occurs(item, words, most) == (least <= most)
+
+
+def test_parts():
+    for n in range(2, 500):
+        bounds, edits = dc.parts_of(n)
+        sizes = [b - a for a, b in zip(bounds, bounds[1:], strict=False)]
+        assert bounds[0] == 0 and bounds[-1] == n and max(sizes) <= dc.PART_WORDS and max(sizes) - min(sizes) <= 1
+        assert (edits + 1) * len(sizes) > dc.edits_allowed(n)  # more edits than that in every part are more than the item allows
+    assert len({(b - a, dc.parts_of(n)[1]) for n in range(2, 5000) for a, b in zip(dc.parts_of(n)[0], dc.parts_of(n)[0][1:], strict=False)}) < 64
+
+
+@pytest.mark.parametrize("kind", ["substitution", "insertion", "deletion"])
+@pytest.mark.parametrize("size", [5, 8, 10, 12, 15, 16, 19, 20, 25, 30, 39, 50, 59, 100, 200, 400])
+def test_recall_at_full_edits(size, kind):
+    """Items with exactly as many edits as allowed, all of one kind, in texts of their own."""
+    rng = random.Random(size)
+    items = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(size))) for i in range(max(40, min(150, 6000 // size)))]
+    index = dc.index_of(items)
+    docs = []
+    for _, text in items:
+        words = text.split()
+        for _ in range(dc.edits_allowed(size)):
+            p = rng.randrange(len(words))
+            if kind == "substitution":
+                words[p] = f"x{rng.randrange(10**6)}"
+            elif kind == "deletion":
+                del words[p]
+            else:
+                words.insert(p, f"x{rng.randrange(10**6)}")
+        docs.append(((" ".join([*(f"a{rng.randrange(10**6)}" for _ in range(25)), *words, *(f"b{rng.randrange(10**6)}" for _ in range(25))])),))
+    found = sum(i in hits for i, (_, hits) in enumerate(dc.search_stream(iter(docs), index)))
+    assert found >= 0.97 * len(items), found / len(items)
