@@ -10,6 +10,7 @@ that passes the base rules is kept.
 from __future__ import annotations
 
 import operator
+import random
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -91,39 +92,43 @@ def viterbi(scores: list[float], steps) -> list[int]:
     return labels[::-1]
 
 
-def fit(sequences: list[tuple[np.ndarray, int]], *, rounds: int = 200, rate: float = 0.1, ridge: float = 1e-2) -> LineModel:
-    """Fits the field by its conditional likelihood (forward-backward, Adam). Each sequence: features (lines x FEATURES) and the label of all its lines."""
-    n, longest, width = len(sequences), max(len(x) for x, _ in sequences), len(FEATURES)
-    x, live = np.zeros((n, longest, width)), np.zeros((n, longest), bool)
-    gold = np.array([y for _, y in sequences])
-    for i, (rows, _) in enumerate(sequences):
-        x[i, : len(rows)], live[i, : len(rows)] = rows, True
-    share = live / live.sum(1, keepdims=True)  # each document counts once
-    pairs = live[:, 1:] * share[:, :1]
+def fit(sequences: list[tuple[np.ndarray, np.ndarray]], *, rounds: int = 200, rate: float = 0.1, ridge: float = 1e-2) -> LineModel:
+    """Fits the field by its conditional likelihood (forward-backward, Adam). Each sequence: features (lines x FEATURES) and the label of each line."""
+    # lines lie by their place in the document, longer documents first: the first k[t] documents have a line at place t
+    sequences = sorted(sequences, key=lambda s: -len(s[0]))
+    n, width = len(sequences), len(FEATURES)
+    lengths = np.array([len(x) for x, _ in sequences])
+    k = [int((lengths > t).sum()) for t in range(lengths[0])]
+    at = np.r_[0, np.cumsum(k)]
+    x = np.concatenate([[s[0][t] for s in sequences[: k[t]]] for t in range(lengths[0])])
+    gold = np.concatenate([[s[1][t] for s in sequences[: k[t]]] for t in range(lengths[0])])
+    owner = np.concatenate([np.arange(m) for m in k])
+    share = 1 / lengths[owner]  # each document counts once
+    later = np.arange(n, at[-1])  # lines with one before them, and those
+    earlier = np.concatenate([np.arange(at[t - 1], at[t - 1] + k[t]) for t in range(1, len(k))]) if len(k) > 1 else later
+    seen = [np.bincount(2 * gold[earlier] + gold[later] == i, weights=share[later], minlength=2)[1] for i in range(4)] if len(later) else [0.0] * 4
     theta, m, v = np.zeros(width + 4), np.zeros(width + 4), np.zeros(width + 4)
-    for k in range(1, rounds + 1):
+    for i in range(1, rounds + 1):
         w, steps = theta[:width], theta[width:].reshape(2, 2)
-        local = np.stack([np.zeros((n, longest)), x @ w], axis=2)
-        forward, backward = np.zeros((n, longest, 2)), np.zeros((n, longest, 2))
-        forward[:, 0] = local[:, 0]
-        for t in range(1, longest):
-            forward[:, t] = np.logaddexp(forward[:, t - 1, :1] + steps[0], forward[:, t - 1, 1:] + steps[1]) + local[:, t]
-        for t in range(longest - 2, -1, -1):
-            ahead = local[:, t + 1] + backward[:, t + 1]
-            step = np.logaddexp(steps[:, 0] + ahead[:, :1], steps[:, 1] + ahead[:, 1:])
-            backward[:, t] = np.where(live[:, t + 1, None], step, 0)
+        local = np.stack([np.zeros(len(x)), x @ w], axis=1)
+        forward, backward = local.copy(), np.zeros_like(local)
+        for t in range(1, len(k)):
+            past = forward[at[t - 1] : at[t - 1] + k[t]]
+            forward[at[t] : at[t + 1]] += np.logaddexp(past[:, :1] + steps[0], past[:, 1:] + steps[1])
+        for t in range(len(k) - 1, 0, -1):
+            ahead = local[at[t] : at[t + 1]] + backward[at[t] : at[t + 1]]
+            backward[at[t - 1] : at[t - 1] + k[t]] = np.logaddexp(steps[:, 0] + ahead[:, :1], steps[:, 1] + ahead[:, 1:])
         both = forward + backward
-        whole = np.logaddexp(both[:, 0, 0], both[:, 0, 1])
-        content = np.exp(both[:, :, 1] - whole[:, None])
+        whole = np.logaddexp(both[:n, 0], both[:n, 1])[owner]
         grad = np.zeros(width + 4)
-        grad[:width] = np.einsum("nt,ntf->f", (gold[:, None] - content) * share, x)
-        for a in (0, 1):
-            for b in (0, 1):
-                p = np.exp(np.minimum(forward[:, :-1, a] + steps[a, b] + local[:, 1:, b] + backward[:, 1:, b] - whole[:, None], 0))
-                grad[width + 2 * a + b] = (((gold == a) & (gold == b))[:, None] * pairs - p * pairs).sum()
+        grad[:width] = ((gold - np.exp(both[:, 1] - whole)) * share) @ x
+        for j in range(4):
+            a, b = divmod(j, 2)
+            p = np.exp(np.minimum(forward[earlier, a] + steps[a, b] + local[later, b] + backward[later, b] - whole[later], 0))
+            grad[width + j] = seen[j] - p @ share[later]
         grad = grad / n - ridge * theta / width
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
-        theta = theta + rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
+        theta = theta + rate * (m / (1 - 0.9**i)) / (np.sqrt(v / (1 - 0.999**i)) + 1e-8)
     return LineModel(tuple(map(float, theta[:width])), tuple(tuple(map(float, r)) for r in theta[width:].reshape(2, 2)))
 
 
@@ -131,12 +136,69 @@ def features_of(text: str) -> np.ndarray:
     return np.array([line_features(*x) for x in lines_of(text)])
 
 
+def line_labels(documents: list[tuple[np.ndarray, int]]) -> list[np.ndarray]:
+    """Labels of lines, which the documents' labels leave open.
+
+    The lines of a good document are content. In a bad one they are
+    boilerplate except those that a field of single lines, fitted to the
+    documents' labels, takes for content; the line that looks least like
+    content stays boilerplate.
+    """
+    lines = [(x[i : i + 1], np.array([y])) for x, y in documents for i in range(len(x))]
+    # one line a sequence; every document counts once, as in the field
+    repeated = fit_lines(np.concatenate([x for x, _ in lines]), np.concatenate([y for _, y in lines]), np.concatenate([np.full(len(x), 1 / len(x)) for x, _ in documents]))
+    out = []
+    for x, y in documents:
+        scores = x @ repeated
+        own = np.full(len(x), 1) if y else (scores > 0).astype(np.int64)
+        if not y:
+            own[int(scores.argmin())] = 0
+        out.append(own)
+    return out
+
+
+def fit_lines(x: np.ndarray, y: np.ndarray, share: np.ndarray, *, rounds: int = 200, rate: float = 0.1, ridge: float = 1e-2) -> np.ndarray:
+    """Weights of single lines towards content: logistic regression in which line i counts ``share[i]``."""
+    w, m, v = np.zeros(x.shape[1]), np.zeros(x.shape[1]), np.zeros(x.shape[1])
+    for k in range(1, rounds + 1):
+        grad = ((y - 1 / (1 + np.exp(-np.clip(x @ w, -50, 50)))) * share) @ x / share.sum() - ridge * w / len(w)
+        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
+        w = w + rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
+    return w
+
+
+def spliced(texts: list[str], labels: list[np.ndarray], n: int, seed: int = 0) -> list[tuple[str, np.ndarray]]:
+    """``n`` documents with known changes of label: runs of one to six lines, content from the one class's lines and boilerplate from the other's, in turn."""
+    pools: tuple[list[list[str]], list[list[str]]] = ([], [])
+    for text, own in zip(texts, labels, strict=True):
+        lines = [line for line, _, _ in lines_of(text)]
+        for label in (0, 1):
+            if some := [x for x, y in zip(lines, own, strict=True) if y == label]:
+                pools[label].append(some)
+    out = []
+    rng = random.Random(seed)
+    for _ in range(n if all(pools) else 0):
+        label, lines, gold = rng.randrange(2), [], []
+        for _ in range(rng.randrange(2, 6)):
+            source = rng.choice(pools[label])
+            at = rng.randrange(len(source))
+            run = source[at : at + rng.randrange(1, 7)]
+            lines += run
+            gold += [label] * len(run)
+            label = 1 - label
+        out.append(("\n".join(lines), np.array(gold)))
+    return out
+
+
 def train(docs: DataFrame, labels: DataFrame, *, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> LineModel:
     """Fits on a bounded sample of labelled documents: up to ``sample_docs`` of each quality, none longer than ``sample_chars``.
 
-    The sample is the same on every run: ids in the order of their hash. Every
-    line of a document takes the document's label. PRIOR is used if one of
-    the classes has no document.
+    The sample is the same on every run: ids in the order of their hash.
+    Labels of lines come from ``line_labels``; as many documents again are
+    spliced from the lines of both classes, so that the field sees where labels
+    change. PRIOR is used if one of the classes has no document with a word.
+    Null ids, texts and labels are passed over; repeated rows are repeated in
+    the sample; other columns are not read.
     """
     hashed = (F.xxhash64("doc_id"), F.col("doc_id"))
     by_id: dict[int, int] = {}
@@ -145,10 +207,19 @@ def train(docs: DataFrame, labels: DataFrame, *, sample_docs: int = SAMPLE_DOCS,
         by_id |= {r.doc_id: quality for r in ids.collect() if r.doc_id not in by_id}
     if len(set(by_id.values())) < 2:
         return PRIOR
-    short = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("doc_id").isin(list(by_id)) & (F.length("text") <= sample_chars))
+    short = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(F.col("doc_id").isin(list(by_id)) & (F.length("text") <= sample_chars))
     rows = short.orderBy(*hashed, F.md5("text")).limit(2 * sample_docs).collect()
-    sequences = [(x, by_id[r.doc_id]) for r in rows if len(x := features_of(r.text))]
-    return fit(sequences) if len({y for _, y in sequences}) == 2 else PRIOR
+    return model_of([(r.text, by_id[r.doc_id]) for r in rows])
+
+
+def model_of(documents: list[tuple[str, int]]) -> LineModel:
+    """The field fitted to texts and their quality."""
+    known = [(t, x, y) for t, y in documents if len(x := features_of(t))]
+    if len({y for _, _, y in known}) < 2:
+        return PRIOR
+    labels = line_labels([(x, y) for _, x, y in known])
+    made = spliced([t for t, _, _ in known], labels, len(known))
+    return fit([(x, own) for (_, x, _), own in zip(known, labels, strict=True)] + [(features_of(t), own) for t, own in made])
 
 
 def count_repeats(words: list[str]) -> int:
@@ -217,7 +288,11 @@ def judge_quality(docs: DataFrame, model: LineModel, *, min_content: float = MIN
 
 
 def keep_quality(docs: DataFrame, model: LineModel, *, min_content: float = MIN_CONTENT) -> DataFrame:
-    """The documents that are kept, with all their columns, in one pass and without a shuffle."""
+    """The documents that are kept (see ``judge_quality``), with all their columns, in one pass and without a shuffle.
+
+    Null and empty texts go; null ids and repeated rows are judged row by row;
+    an empty table stays empty; no column is added, so none can clash.
+    """
     import pyarrow as pa
 
     def run(batches):

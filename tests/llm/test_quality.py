@@ -2,6 +2,8 @@ import itertools
 import random
 from collections import Counter
 
+import numpy as np
+
 from tallyforge.llm import quality
 
 from llm_cases import ODD_TEXTS, prose
@@ -61,3 +63,63 @@ def test_odd_rows(odd, nothing, spark):
 def test_one_class_of_labels(make, spark):
     docs = make([(1, prose(1, 40))])
     assert quality.train(docs, spark.createDataFrame([(1, 1, 0), (None, 0, 0)], "doc_id long, quality int, toxic int")) == quality.PRIOR
+
+
+def _labelled():
+    import pyarrow.parquet as pq
+
+    folder = "/root/testdata/sf0.1"
+    docs, labels = (pq.read_table(f"{folder}/{name}.parquet") for name in ("documents", "labels"))
+    quality_of = dict(zip(labels["doc_id"].to_pylist(), labels["quality"].to_pylist(), strict=True))
+    found = {0: [], 1: []}
+    for doc, text in zip(docs["doc_id"].to_pylist(), docs["text"].to_pylist(), strict=True):
+        if quality_of.get(doc) is not None and text and len(text) <= quality.SAMPLE_CHARS and quality.WORD.search(text):
+            found[quality_of[doc]].append(text)
+    for y in found:
+        random.Random(y).shuffle(found[y])
+    return found
+
+
+def test_lines_of_mixed_documents():
+    """The field labels lines, not documents: on documents spliced from held-out lines of both classes most lines are right, and the share of content follows the mixture."""
+    found = _labelled()
+    n = min(150, len(found[0]) // 2)
+    model = quality.model_of([(t, y) for y in (0, 1) for t in found[y][:n]])
+    held = [(t, y) for y in (0, 1) for t in found[y][n : 2 * n]]
+    texts, whole = [t for t, _ in held], [np.full(len(quality.features_of(t)), y) for t, y in held]
+    right = total = 0
+    shares = []
+    for text, gold in quality.spliced(texts, whole, 300, seed=5):
+        rows = list(quality.lines_of(text))
+        got = quality.viterbi([sum(a * b for a, b in zip(model.weights, quality.line_features(*r), strict=True)) for r in rows], model.steps)
+        right, total = right + int((np.array(got) == gold).sum()), total + len(gold)
+        words = np.array([len(r[1]) for r in rows])
+        shares.append((quality.judge(text, model)[6], float(words[gold == 1].sum() / words.sum())))
+    assert right >= 0.9 * total
+    assert np.mean([0 < got < 1 for got, _ in shares]) > 0.9
+    assert np.mean([abs(got - want) < 0.2 for got, want in shares]) > 0.85
+    real = [quality.judge(t, model)[6] for t in found[0][n:]]
+    assert np.mean([0 < s < 1 for s in real]) > 0.2  # bad documents with clean lines among them
+
+
+def test_fit_follows_its_likelihood():
+    """The fitted field is near a maximum: no small step along an axis raises the penalized likelihood, counted by all labellings."""
+    rng = np.random.default_rng(2)
+    sequences = [(np.c_[np.ones(n), rng.normal(size=(n, 9))], rng.integers(0, 2, n)) for n in (1, 2, 3, 4, 5, 4, 3)]
+
+    def value(theta):
+        w, steps, total = theta[:10], theta[10:].reshape(2, 2), 0.0
+        for x, y in sequences:
+            score = lambda labels: sum(float(r @ w) * b for r, b in zip(x, labels, strict=True)) + sum(steps[a, b] for a, b in itertools.pairwise(labels))  # noqa: E731, B023
+            total += (score(y) - np.logaddexp.reduce([score(z) for z in itertools.product((0, 1), repeat=len(y))])) / len(y)
+        return total / len(sequences) - 1e-2 * float(theta @ theta) / 2 / 10
+
+    model = quality.fit(sequences, rounds=3000, rate=0.03)
+    theta = np.r_[model.weights, np.ravel(model.steps)]
+    assert all(value(theta + d * e) <= value(theta) + 1e-5 for e in np.eye(14) for d in (-0.03, 0.03))
+
+
+def test_no_boilerplate_lines():
+    assert quality.spliced([], [], 5) == []
+    assert quality.spliced(["a b"], [np.array([1])], 5) == []
+    assert quality.model_of([("", 1), (" \n", 0)]) == quality.PRIOR
