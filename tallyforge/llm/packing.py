@@ -2,10 +2,10 @@
 
 Documents become pieces of at most ``capacity`` tokens. Only the histogram of
 piece lengths, ``capacity`` numbers at most, reaches the driver. There, from
-the longest length down, the gap a piece leaves is looked up among single,
-pair and triple sums of the lengths still available, and combinations that
-fill it exactly are consumed as often as their counts allow; what is left is
-packed best-fit. The plan says how often each combination is used. Executors
+the longest length down, the gap a piece leaves is looked up in an index of
+single, pair and triple sums of the lengths still available, and combinations
+that fill it exactly are consumed as often as their counts allow; what is left
+is packed best-fit. The plan says how often each combination is used. Executors
 then give every piece its rank among those of equal length and read its
 sequence and offset from the plan.
 """
@@ -21,12 +21,12 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import map_arrow, map_rows, staged
+from tallyforge.llm.common import literals, map_arrow, map_rows, staged
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 END_ID = 0
-#: Pieces of one length are numbered in so many independent groups.
-BUCKETS = 64
+#: Pieces of one length are numbered in independent groups of about so many.
+BUCKET_PIECES = 1_000_000
 #: Equal pieces are numbered in lots of so many.
 LOT = 64
 _RANKS = 1 << 48  # more than the pieces of any length
@@ -41,11 +41,12 @@ def default_tokenizer() -> str:
 
 
 class Encoder:
-    """Ids as the tokenizer file gives them.
+    """Ids as the tokenizer file gives them: ``Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids``.
 
     Where a file with the same vocabulary as ranks lies beside it, texts in
-    Latin-1 without extreme runs and added tokens take the faster library; both
-    give the same ids there, which a test holds.
+    Latin-1 without added tokens and extreme runs, for which the faster library
+    is no faster, are encoded by that library. The ids are the same, which
+    tests hold against the call above.
     """
 
     _made: dict[str, Encoder] = {}
@@ -130,76 +131,104 @@ def tokenize(docs: DataFrame, *, capacity: int = 2048, tokenizer: str | None = N
     return map_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, PIECES + ", ids array<int>" * with_ids)
 
 
-def _exact(counts: np.ndarray, gap: int, parts: int) -> tuple[int, ...] | None:
-    """One to ``parts`` available lengths that sum to the gap, the fewest and longest first."""
-    if gap <= 0:
-        return ()
-    if counts[gap] > 0:
-        return (gap,)
-    some = counts > 0
-    if parts >= 2 and (pair := _pair(some, gap, gap - 1)):
-        return pair
-    for a in range(gap - 2, (gap + 2) // 3 - 1, -1) if parts >= 3 else ():
-        if some[a] and (pair := _pair(some, gap - a, a)):
-            return (a, *pair)
-    return None
-
-
-def _pair(some: np.ndarray, total: int, most: int) -> tuple[int, int] | None:
-    """The available (a, b) with a + b = total, most >= a >= b, and a as large as can be."""
-    low, high = (total + 1) // 2, min(most, total - 1)
-    if low > high:
+class SumIndex:
+    """Which lengths still available make up a sum.
+
+    One length is its count. Two lengths are listed by their sum, the most even
+    pair first; three are a length and a pair that makes up the rest. Counts
+    only fall, so what once is used up is never looked at again: each list has
+    a place up to which nothing is left. Even combinations come first because
+    the small lengths they spare are what fills the last gaps.
+    """
+
+    def __init__(self, counts: list[int]):
+        self.counts = counts
+        some = np.array(counts) > 0
+        #: For each sum the larger parts of its pairs.
+        self.pairs: list[list[int]] = []
+        for total in range(len(counts)):
+            half = (total + 1) // 2
+            self.pairs.append((half + np.flatnonzero(some[half:total] & some[total - half : 0 : -1])).tolist() if total > 1 else [])
+        self.pair_from = [0] * len(counts)
+        self.triple_from = [-(-total // 3) for total in range(len(counts))]
+
+    def times(self, lengths: tuple[int, ...]) -> int:
+        """How often the combination can be taken."""
+        return min(self.counts[x] // lengths.count(x) for x in lengths)
+
+    def pair(self, total: int, most: int, taken: tuple[int, ...]) -> tuple[int, int] | None:
+        """(a, b) with a + b = total and most >= a >= b, available beside ``taken``."""
+        larger, i = self.pairs[total], self.pair_from[total]
+        while i < len(larger) and not self.times((larger[i], total - larger[i])):
+            i += 1
+        self.pair_from[total] = i
+        while i < len(larger) and larger[i] <= most:
+            a = larger[i]
+            if self.times((a, total - a, *taken)):
+                return a, total - a
+            i += 1
         return None
-    fits = np.flatnonzero(some[low : high + 1] & some[total - high : total - low + 1][::-1])
-    return (low + int(fits[-1]), total - low - int(fits[-1])) if len(fits) else None
 
+    def triple(self, total: int, taken: tuple[int, ...]) -> tuple[int, int, int] | None:
+        """(a, b, c) with a + b + c = total and a >= b >= c, available beside ``taken``."""
+        a = self.triple_from[total]
+        while a < total - 1 and not (self.counts[a] and self.pair(total - a, a, (a,))):
+            a += 1
+        self.triple_from[total] = a
+        while a < total - 1:
+            if self.counts[a] and (two := self.pair(total - a, a, (a, *taken))):
+                return a, *two
+            a += 1
+        return None
 
-def _times(counts: np.ndarray, lengths: tuple[int, ...]) -> int:
-    """How often the combination can be taken."""
-    return min(int(counts[x]) // lengths.count(x) for x in set(lengths))
+    def complement(self, top: int, gap: int) -> tuple[int, ...] | None:
+        """One to three available lengths, the fewest, that exactly fill the gap beside ``top``."""
+        if gap == 0:
+            return ()
+        if self.times((top, gap)):
+            return (gap,)
+        return self.pair(gap, gap - 1, (top,)) or self.triple(gap, (top,))
+
+    def best_fit(self, top: int, gap: int) -> tuple[int, ...]:
+        """The longest available length that fits in the gap beside ``top``, again and again."""
+        found: list[int] = []
+        self.counts[top] -= 1
+        while gap > 0 and (x := next((x for x in range(gap, 0, -1) if self.counts[x] > 0), 0)):
+            found.append(x)
+            self.counts[x] -= 1
+            gap -= x
+        for x in (top, *found):
+            self.counts[x] += 1
+        return tuple(found)
 
 
 def plan_packing(histogram: np.ndarray, capacity: int) -> Plan:
     """Combinations of lengths and how often to use each. ``histogram[n]``: pieces of n tokens.
 
-    Exact fills of up to three pieces are not always best: where large pieces
-    are many, small ones are scarce. So the plan is made with fills of up to
-    three, two and one pieces, and the one with the fewest sequences is kept.
+    From the longest length down, exact fills are taken as often as the counts
+    allow. A piece that has none is packed best-fit: at once if it is longer
+    than half the capacity, so that exact fills of small pieces do not use up
+    what only it can be filled with, else at the end.
     """
-    plans = [_plan(histogram, capacity, parts) for parts in (3, 2, 1)]
-    return min(plans, key=lambda plan: sum(n for _, n in plan))
-
-
-def _plan(histogram: np.ndarray, capacity: int, parts: int) -> Plan:
-    counts = np.array(histogram, dtype=np.int64)
+    counts = [int(n) for n in histogram]
+    index = SumIndex(counts)
     plan: Plan = []
 
-    def take(lengths: tuple[int, ...]) -> bool:
-        n = _times(counts, lengths)
-        if n:
-            for x in lengths:
-                counts[x] -= n
-            plan.append((lengths, n))
-        return bool(n)
+    def take(lengths: tuple[int, ...]) -> None:
+        n = index.times(lengths)
+        for x in lengths:
+            counts[x] -= n
+        plan.append((lengths, n))
 
     for top in range(capacity, 0, -1):
         while counts[top] > 0:
-            counts[top] -= 1  # the piece itself is no longer available for its own gap
-            rest = _exact(counts, capacity - top, parts)
-            counts[top] += 1
-            if rest is None or not take((top, *rest)):
+            rest = index.complement(top, capacity - top)
+            if rest is None and 2 * top <= capacity:
                 break
-    for top in range(capacity, 0, -1):
+            take((top, *(index.best_fit(top, capacity - top) if rest is None else rest)))
+    for top in range(capacity // 2, 0, -1):
         while counts[top] > 0:
-            lengths, gap = [top], capacity - top
-            counts[top] -= 1
-            while gap > 0 and len(fits := np.flatnonzero(counts[: gap + 1] > 0)):
-                lengths.append(int(fits[-1]))
-                counts[fits[-1]] -= 1
-                gap -= int(fits[-1])
-            for x in lengths:
-                counts[x] += 1
-            take(tuple(lengths))
+            take((top, *index.best_fit(top, capacity - top)))
     return plan
 
 
@@ -229,12 +258,12 @@ def pack_pieces(pieces: DataFrame, *, capacity: int = 2048) -> DataFrame:
         pieces.groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
         .withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / LOT).cast("long"))))
         .withColumn("copies", F.least(F.lit(LOT).cast("long"), F.col("n") - F.col("lot") * LOT))
-        .withColumn("bucket", F.pmod(F.xxhash64(*names, "lot"), F.lit(BUCKETS)))
+        .withColumn("bucket", F.pmod(F.xxhash64(*names, "lot"), F.element_at(literals(np.maximum(1, -(-histogram // BUCKET_PIECES)).tolist(), "long"), F.col("length").cast("int") + 1)))
     )
     inside = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "start", "ids_crc32", "lot").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     over = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     lots = lots.withColumn("before", F.sum("copies").over(inside) - F.col("copies"))
-    # capacity * BUCKETS rows of three numbers at most, whatever the input
+    # rows of three numbers: one for each length, and one more for each BUCKET_PIECES pieces (8 MB for 10^11 pieces)
     sums = lots.groupBy("length", "bucket").agg(F.sum("copies").alias("n_bucket")).withColumn("base", F.sum("n_bucket").over(over) - F.col("n_bucket"))
     rank = F.col("base") + F.col("before")
     ranked = lots.join(F.broadcast(sums.select("length", "bucket", "base")), ["length", "bucket"]).withColumn("rank", F.explode(F.sequence(rank, rank + F.col("copies") - 1)))

@@ -10,10 +10,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import staged, text_or_empty
+from tallyforge.llm.common import literals, staged, text_or_empty
 
 #: Equal rows are dealt in lots of so many, each with its own virtual slot.
 LOT = 64
@@ -71,11 +71,6 @@ def first_map(weights: list[int], n_shards: int) -> SlotMap:
     return SlotMap(1, n_shards, tuple(shards))
 
 
-def literals(values, kind: str) -> Column:
-    """An array column of the values, folded to one literal by the optimizer."""
-    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
-
-
 def map_frame(spark: SparkSession, slot_map: SlotMap, weights: list[int]) -> DataFrame:
     """The map as rows (version, n_shards, virtual_slot, shard, bytes)."""
     shards, sizes = literals(slot_map.shards, "int"), literals(weights, "long")

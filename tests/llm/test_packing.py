@@ -23,14 +23,20 @@ def check(rows, capacity=2048):
 
 
 def test_ids_agree():
-    encoder = packing.Encoder(packing.default_tokenizer())
+    """Against the contract's plain call, whichever library an encoder takes."""
+    from tokenizers import Tokenizer
+
+    encoder, plain = packing.Encoder(packing.default_tokenizer()), Tokenizer.from_file(packing.default_tokenizer())
     rng = random.Random(4)
     alphabet = ["a", "the ", "ing", " ", "  ", "\n", "\t", "é", "ß", "'s", "'LL", "12", "3", "!?", "###", "\x00", "\xa0", "\x85", "<|endoftext|>", "Ñ", "_", "http://"]
     for _ in range(1500):
         text = "".join(rng.choices(alphabet, k=rng.randrange(60)))
-        assert encoder.ids(text) == encoder.slow.encode(text, add_special_tokens=False).ids, text
-    for text in ("x" * 3000, " " * 3000, "日本語 текст 😀"):
-        assert encoder.ids(text) == encoder.slow.encode(text, add_special_tokens=False).ids
+        assert encoder.ids(text) == plain.encode(text, add_special_tokens=False).ids, text
+    for text in ("x" * 1999, "x" * 2001, "x" * 3000, " " * 499, " " * 501, " " * 3000, "a" + " " * 499 + "b", "a " * 800 + " " * 480, "日本語 текст 😀", "\xad\u0301", "a\u0000b"):
+        assert encoder.ids(text) == plain.encode(text, add_special_tokens=False).ids
+    for code in range(256):
+        for text in (chr(code), f"a{chr(code)}b", f" {chr(code) * 3} ", f"{chr(code)}'s 1"):
+            assert encoder.ids(text) == plain.encode(text, add_special_tokens=False).ids, code
 
 
 def test_pieces():
@@ -76,8 +82,8 @@ def test_plan(seed):
             used[x] += n
     assert (used == histogram).all()
     total = int((np.arange(201) * histogram).sum())
-    best_fit = sum(1 for _ in _best_fit_decreasing(histogram, 200))
-    assert sum(n for _, n in plan) <= min(best_fit, -(-total // 200) * 1.02 + 1) or sum(n for _, n in plan) <= best_fit
+    assert sum(n for _, n in plan) <= sum(1 for _ in _best_fit_decreasing(histogram, 200)) + 2
+    assert sum(n for _, n in plan) <= max(-(-total // 200), int(histogram[101:].sum())) * 1.01 + 1
 
 
 def _best_fit_decreasing(histogram, capacity):
@@ -105,3 +111,57 @@ def test_added_tokens():
         for text in (f"a {literal} b", literal, f"\u4e00{literal}{literal}", literal[:-1]):
             assert encoder.ids(text) == plain.encode(text, add_special_tokens=False).ids
         assert plain.token_to_id(literal) in encoder.ids(f"a {literal} b")
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_index_of_sums(seed):
+    """What the index finds is there, and it finds something whenever there is something, while counts fall."""
+    rng = random.Random(seed)
+    capacity = 24
+    counts = [0] + [rng.choice([0, 0, 1, 2, 3]) for _ in range(capacity)]
+    index = packing.SumIndex(counts)
+
+    def exists(top, gap, parts):
+        left = list(counts)
+        left[top] -= 1
+
+        def fill(gap, most, parts):
+            if gap == 0:
+                return True
+            for x in range(min(gap, most), 0, -1) if parts else ():
+                if left[x] > 0:
+                    left[x] -= 1
+                    found = fill(gap - x, x, parts - 1)
+                    left[x] += 1
+                    if found:
+                        return True
+            return False
+
+        return fill(gap, capacity, parts)
+
+    while any(counts):
+        top = rng.choice([x for x in range(1, capacity + 1) if counts[x]])
+        rest = index.complement(top, capacity - top)
+        assert (rest is not None) == exists(top, capacity - top, 3)
+        taken = (top, *(rest or ()))
+        assert rest is None or sum(taken) == capacity
+        for x in taken:
+            counts[x] -= 1
+            assert counts[x] >= 0
+
+
+def test_given_lengths(spark):
+    """The plans for the given tables are at the lower bound."""
+    for folder, least in (("sf0.001", None), ("sf0.01", 481)):
+        lengths = packing.tokenize(spark.read.parquet(f"/root/testdata/{folder}/documents.parquet")).select("length").toPandas()["length"]
+        histogram = np.bincount(lengths, minlength=2049)
+        n = sum(times for _, times in packing.plan_packing(histogram, 2048))
+        assert n == -(-int(lengths.sum()) // 2048)
+        assert least in (None, n)
+
+
+def test_buckets(make, monkeypatch):
+    monkeypatch.setattr(packing, "BUCKET_PIECES", 5)
+    rows = packing.pack_documents(make([(i % 7, "same words here" if i % 3 else f"w{i}") for i in range(400)])).collect()
+    assert len(rows) == 400 and len({(r.sequence_id, r.offset) for r in rows}) == 400
+    check(rows)
