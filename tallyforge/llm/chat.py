@@ -135,18 +135,17 @@ def events_of_turns(conversations: DataFrame, chunk: int = 512) -> DataFrame:
     """The event log of finished rows (conv_id, turn, role, text): a start, then deltas of ``chunk`` code points.
 
     ``turn`` of an event is (turn, role, text) together, so rows that share a turn number stay messages of their own;
-    fully equal rows are told apart by a count.
+    fully equal rows are told apart by a count. Null texts and roles are empty, and an empty message is a start alone;
+    null ids and turns are values like others; long texts are cut in one pass; an empty table gives no events; other columns are not read.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = conversations.select("conv_id", F.col("turn").cast("long").alias("n"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), text.alias("text"))
     rows = rows.groupBy("conv_id", "n", "role", "text").agg(F.count(F.lit(1)).alias("copies")).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    deltas = F.transform(
-        F.sequence(F.lit(0), F.floor(F.length("text") / chunk).cast("int")),
-        lambda i: F.struct((i + 1).alias("part"), F.lit("delta").alias("kind"), F.substring(F.col("text"), i * chunk + 1, F.lit(chunk)).alias("piece")),
-    )
-    start = F.array(F.struct(F.lit(0).alias("part"), F.lit("start").alias("kind"), F.lit("").alias("piece")))
-    events = rows.withColumn("turn", F.xxhash64("n", "role", "text", "copy")).withColumn("e", F.explode(F.concat(start, deltas)))
-    return events.select("conv_id", F.struct("n", "role", F.md5("text").alias("of"), "copy", "e.part").alias("seq"), F.col("e.kind").alias("kind"), "turn", "role", F.col("e.piece").alias("text"))
+    # the text is cut and digested once for each message; "." is a code point
+    pieces = F.concat(F.array(F.lit("")), F.regexp_extract_all("text", F.lit(f"(?s).{{1,{chunk}}}"), F.lit(0)))
+    cut = rows.select("conv_id", "n", "role", "copy", F.md5("text").alias("of"), F.xxhash64("n", "role", "text", "copy").alias("turn"), pieces.alias("pieces"))
+    events = cut.select("conv_id", "n", "role", "copy", "of", "turn", F.posexplode("pieces").alias("part", "piece"))
+    return events.select("conv_id", F.struct("n", "role", "of", "copy", "part").alias("seq"), F.when(F.col("part") == 0, "start").otherwise("delta").alias("kind"), "turn", "role", F.col("piece").alias("text"))
 
 
 def _digests(rows: Iterator[tuple]) -> Iterator[tuple]:

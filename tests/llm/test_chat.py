@@ -1,7 +1,10 @@
 import random
+import re
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from tallyforge.llm import chat
 
 EVENTS = "conv_id long, seq long, kind string, turn long, role string, text string, formatted string"
@@ -20,7 +23,7 @@ def test_round_trip():
         text, starts, ends = chat.render(messages)
         assert chat.parse(text) == messages
         assert [chat.unescape(text[a:b]) for a, b in zip(starts, ends, strict=True)] == [t for r, t in messages if r == "assistant"]
-        assert text.count("\n</turn") == 0 or True
+        assert len(re.findall(r"(?<!\\)(?:\\\\)*</turn>\n", text)) >= len(messages)
 
 
 def test_stated_text():
@@ -47,6 +50,58 @@ def test_fold(spark):
         chat.fold([("odd", 1, "user", "x")])
 
 
+def replayed(events):
+    """The log read the plain way: a list of messages changed event by event."""
+    messages = []  # [turn, role, text]
+    for kind, turn, role, text in events:
+        at = next((i for i, m in enumerate(messages) if m[0] == turn), None)
+        if kind == "start" and at is not None:
+            messages.pop(at)
+            at = None
+        if at is None:
+            messages.append([turn, role or "", ""])
+            at = len(messages) - 1
+        if kind == "delta":
+            messages[at][2] += text or ""
+        elif kind == "edit":
+            messages[at][2] = text or ""
+            messages = messages[: at + 1]
+        elif kind == "regenerate":
+            messages[at][2] = ""
+        elif kind == "remove":
+            messages.pop(at)
+    return [(r, t) for _, r, t in messages]
+
+
+def test_random_logs(spark):
+    rng = random.Random(8)
+    kinds = ["start", "delta", "delta", "delta", "edit", "regenerate", "remove"]
+    log = [(conv, seq, rng.choice(kinds), rng.randrange(4), rng.choice(["user", "assistant", None]), rng.choice(["a", "b\\", "</turn>", None, ""])) for conv in range(60) for seq in range(rng.randrange(1, 25))]
+    shuffled = list(log)
+    rng.shuffle(shuffled)
+    got = formatted(spark, shuffled)
+    for conv in range(60):
+        assert chat.parse(got[conv].formatted) == replayed([e[2:] for e in log if e[0] == conv])
+
+
+def test_long_message(spark):
+    """A message of 50 MB takes linear time."""
+    import time
+
+    long = "word </turn> \\ é " * 3_000_000
+
+    def checked(rows):
+        for _, text, _, _ in rows:
+            turns = chat.parse(text)
+            yield len(turns), len(text), turns[1][1] == "word </turn> \\ é " * 3_000_000
+
+    start = time.perf_counter()
+    events = chat.events_of_turns(spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", "")], "conv_id long, turn long, role string, text string").withColumn("text", F.when(F.col("turn") == 1, F.repeat(F.lit("word </turn> \\ é "), 3_000_000)).otherwise(F.col("text"))))
+    [(n, total, same)] = chat.map_rows(chat.format_conversations(events), checked, "n long, total long, same boolean").collect()
+    assert (n, same) == (2, True) and total > len(long)
+    assert time.perf_counter() - start < 120
+
+
 def test_turn_rows(spark):
     long = "x" * 100_000 + "é"
     rows = [(1, 1, "assistant", long), (1, 0, "user", None), (1, 2, None, "same"), (1, 2, None, "same"), (None, None, "user", "n")]
