@@ -1,7 +1,8 @@
 """URL filters: hash-prefix lookup of host-suffix and path-prefix expressions.
 
-Each distinct (host, path) is expanded into every host suffix at a dot joined
-with every path prefix whose length some rule has. The expressions meet the
+Each distinct (host, path) is expanded into every host suffix at a dot whose
+number of labels some rule has, joined with every path prefix whose length
+some rule has. The expressions meet the
 rules in an equi-join on a short hash prefix; the full digest then confirms
 the hit, and the longest rule decides.
 """
@@ -15,8 +16,8 @@ from tallyforge.llm.common import staged
 
 #: (action, host, path): the fixed rules of the query.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-#: Up to so many rules are sent to every executor (about 100 bytes each); more are joined by a shuffle.
-BROADCAST_RULES = 100_000
+#: Rules of up to so many bytes together, their digests included, are sent to every executor; more are joined by a shuffle.
+BROADCAST_BYTES = 16 << 20
 #: Hex digits of the digest that the equi-join compares.
 PREFIX = 8
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -42,7 +43,7 @@ def _keyed(df: DataFrame, host: str, path: str) -> DataFrame:
     return df.withColumn("digest", digest).withColumn("prefix", F.substring("digest", 1, PREFIX))
 
 
-def judge_urls(pages: DataFrame, rules: DataFrame, *, default: str = "allow", broadcast_rules: int = BROADCAST_RULES) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: DataFrame, *, default: str = "allow", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Judges the ``url`` of every row.
 
     Returns page_id, host, path, rule (host and path of the rule, else null)
@@ -58,15 +59,15 @@ def judge_urls(pages: DataFrame, rules: DataFrame, *, default: str = "allow", br
     (host, path), where adaptive execution splits a frequent pair.
     """
     rules = _keyed(rules.filter("rule_host IS NOT NULL AND rule_host <> '' AND rule_path IS NOT NULL AND action IS NOT NULL").select("action", "rule_host", "rule_path").distinct(), "rule_host", "rule_path")
-    n_rules, lengths = rules.agg(F.count(F.lit(1)), F.array_sort(F.collect_set(F.length("rule_path")))).first()
+    size = F.octet_length("rule_host") + F.octet_length("rule_path") + F.octet_length("action") + 150
+    n_bytes, lengths, labels_of_rules = rules.agg(F.coalesce(F.sum(size), F.lit(0)), F.array_sort(F.collect_set(F.length("rule_path"))), F.array_sort(F.collect_set(F.size(F.split("rule_host", r"\."))))).first()
     host, path = url_parts(F.col("url").cast("string"))
     urls = pages.select("page_id", host.alias("host"), path.alias("path"))
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    # the lengths that rules have are few; a path prefix of another length cannot be a rule's path
+    # the lengths that rules have are few; a host suffix of another number of labels or a path prefix of another length cannot be a rule's
+    suffixes = F.transform(F.filter(F.array(*map(F.lit, labels_of_rules)), lambda n: n <= F.size("labels")), lambda n: F.array_join(F.slice("labels", F.size("labels") - n + 1, n), ".")) if labels_of_rules else F.array().cast("array<string>")
     prefixes = F.transform(F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n)) if lengths else F.array().cast("array<string>")
-    expressions = urls.filter("host <> ''").select("host", "path").distinct().withColumn("x_path", F.explode(prefixes)).withColumn("x_host", F.explode(suffixes)).filter("x_host <> ''")
-    looked_up = F.broadcast(rules) if n_rules <= broadcast_rules else rules
+    expressions = urls.filter("host <> ''").select("host", "path").distinct().withColumn("labels", F.split("host", r"\.")).withColumn("x_host", F.explode(suffixes)).drop("labels").withColumn("x_path", F.explode(prefixes)).filter("x_host <> ''")
+    looked_up = F.broadcast(rules) if n_bytes <= broadcast_bytes else rules
     hits = _keyed(expressions, "x_host", "x_path").join(looked_up.withColumnRenamed("digest", "rule_digest"), "prefix").filter("digest = rule_digest AND x_host = rule_host AND x_path = rule_path")
     rank = F.struct((F.length("rule_host") + F.length("rule_path")).alias("all"), F.length("rule_host").alias("of_host"), "action", F.concat("rule_host", "rule_path").alias("rule"))
     best = hits.groupBy("host", "path").agg(F.max(rank).alias("best"))

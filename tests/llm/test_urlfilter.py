@@ -28,7 +28,7 @@ def test_random_urls(spark):
     urls += [f"{rng.choice(['http', 'https', ''])}://{'.'.join(rng.choices(hosts, k=rng.randrange(1, 5)))}{rng.choice(['', '/', '/en/', '/de/x', '/fr/', '/en', '//en/', '?a', '#b', '/en/?c'])}" for _ in range(400)]
     urls += ["http://example.net/en/1"] * 50
     rules = [*urlfilter.RULES, ("block", "example.net", "/en/1"), ("allow", "a.net", ""), ("block", "y", "/fr")]
-    for options in ({}, {"broadcast_rules": 0}):
+    for options in ({}, {"broadcast_bytes": 0}):
         got = judged(spark, urls, rules, **options)
         for i, u in enumerate(urls):
             assert got[i] == brute(u, rules), u
@@ -38,3 +38,16 @@ def test_empty(spark):
     assert judged(spark, [], urlfilter.RULES) == {}
     assert judged(spark, ["http://net/"], []) == {0: ("net", "/", None, "allow")}
     assert judged(spark, ["http://net/"], [], default="block")[0][3] == "block"
+
+
+def test_many_labels(spark):
+    """A host of many labels, and a long path, meet the rules in time linear in their length."""
+    import time
+
+    long = "a." * 100_000
+    rules = [*urlfilter.RULES, ("block", ".".join("b" * 40), "/"), ("block", "a.example.net", "/en/x")]
+    urls = [f"http://{long}net/x", f"http://{long}example.net/en/" + "y" * 1_000_000, f"http://{long}example.net/en/x", "http://" + "c." * 50_000 + ".".join("b" * 40) + "/", "http://" + ".".join("b" * 39) + "/"]
+    start = time.perf_counter()
+    got = judged(spark, urls, rules)
+    assert time.perf_counter() - start < 60
+    assert [got[i][2] for i in range(5)] == ["net/", "example.net/en/", "a.example.net/en/x", ".".join("b" * 40) + "/", None]
