@@ -8,12 +8,15 @@ code; the driver only sees one row for each virtual slot.
 
 from __future__ import annotations
 
+import bisect
+import heapq
+import re
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import literals, staged, text_or_empty
+from tallyforge.llm.common import literals, new_path, staged, text_or_empty
 
 #: Equal rows are dealt in lots of so many, each with its own virtual slot.
 LOT = 64
@@ -32,7 +35,8 @@ class SlotMap:
 
         Slots leave the heaviest shard, largest fitting slot first, for the
         lightest one, until no shard is over the mean by more than ``slack`` of
-        the mean or no move helps.
+        the mean or no move helps; then slots of the two are exchanged as long
+        as that helps.
         """
         n_shards = n_shards or self.n_shards
         if n_shards < self.n_shards:
@@ -43,25 +47,40 @@ class SlotMap:
             loads[shard] += weights[slot]
             held[shard].add(slot)
         mean = sum(loads) / n_shards
+
+        def move(slot: int, source: int, target: int) -> None:
+            held[source].remove(slot)
+            held[target].add(slot)
+            shards[slot] = target
+            loads[source] -= weights[slot]
+            loads[target] += weights[slot]
+
         for _ in range(4 * len(shards)):
             high, low = max(range(n_shards), key=loads.__getitem__), min(range(n_shards), key=loads.__getitem__)
-            gap = min(loads[high] - mean, mean - loads[low]) if loads[high] - loads[low] > 2 * slack * mean else 0
-            fit = [s for s in held[high] if 0 < weights[s] <= max(gap, (loads[high] - loads[low]) // 2)]
-            if loads[high] <= mean * (1 + slack) or not fit:
+            if loads[high] <= mean * (1 + slack) and loads[low] >= mean * (1 - slack):
+                break
+            # moving a weight of w makes the gap between the two 2 * w less
+            gap = min(loads[high] - mean, mean - loads[low])
+            half = (loads[high] - loads[low]) // 2
+            fit = [s for s in held[high] if 0 < weights[s] <= max(gap, half)]
+            if fit:
+                move(max(fit, key=lambda s: (weights[s], s)), high, low)
+                continue
+            light = sorted((weights[s], s) for s in held[low])
+            best = None
+            for s in held[high]:
+                at = bisect.bisect_left(light, (weights[s] - half, -1))
+                if at < len(light) and 0 < (less := weights[s] - light[at][0]) and (best is None or less > best[0]):
+                    best = (less, s, light[at][1])
+            if best is None:
                 break
-            slot = max(fit, key=lambda s: (weights[s], s))
-            held[high].remove(slot)
-            held[low].add(slot)
-            shards[slot] = low
-            loads[high] -= weights[slot]
-            loads[low] += weights[slot]
+            move(best[1], high, low)
+            move(best[2], low, high)
         return replace(self, version=self.version + 1, n_shards=n_shards, shards=tuple(shards))
 
 
 def first_map(weights: list[int], n_shards: int) -> SlotMap:
-    """Version 1: the heaviest slots first, each to the shard with the fewest bytes so far."""
-    import heapq
-
+    """Version 1: the heaviest slots first, each to the shard with the least weight so far."""
     heap = [(0, s) for s in range(n_shards)]
     shards = [0] * len(weights)
     for slot in sorted(range(len(weights)), key=lambda s: (-weights[s], s)):
@@ -84,19 +103,40 @@ def map_frame(spark: SparkSession, slot_map: SlotMap, weights: list[int]) -> Dat
     )
 
 
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def store_map(spark: SparkSession, slot_map: SlotMap, weights: list[int], path: str) -> None:
-    """Appends this version to the table of maps; earlier versions stay readable."""
-    map_frame(spark, slot_map, weights).coalesce(1).write.mode("append").parquet(path)
+    """Writes this version beside the earlier ones, which stay readable; an error if the version exists.
+
+    A file made only if it is not there yet claims the version, so of two
+    writers of one version one gets the error. A version is read once it is
+    complete; a claim without one is that of a writer that failed.
+    """
+    files, _ = _file_system(spark, path)
+    claim = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_claim-{slot_map.version}")
+    if not files.createNewFile(claim):
+        raise FileExistsError(f"version {slot_map.version} of the map at {path} exists or is being written")
+    map_frame(spark, slot_map, weights).coalesce(1).write.mode("error").parquet(f"{path}/v{slot_map.version}")
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """The complete versions of the map, in order; none if nothing is stored."""
+    files, at = _file_system(spark, path)
+    if not files.exists(at):
+        return []
+    names = [s.getPath().getName() for s in files.listStatus(at) if s.isDirectory()]
+    return sorted(int(n[1:]) for n in names if re.fullmatch(r"v[0-9]+", n) and files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS")))
 
 
 def load_map(spark: SparkSession, path: str, version: int | None = None) -> SlotMap:
-    """The newest map of the table, or the given version."""
-    maps = spark.read.parquet(path)
-    if version is None:
-        version = maps.agg(F.max("version")).first()[0]
-    rows = maps.filter(F.col("version") == version).select("virtual_slot", "shard", "n_shards").collect()  # one row a slot
+    """The newest stored map, or the given version."""
+    version = versions(spark, path)[-1] if version is None else version
+    rows = spark.read.parquet(f"{path}/v{version}").select("version", "virtual_slot", "shard", "n_shards").collect()  # one row a slot
     by_slot = {r.virtual_slot: r.shard for r in rows}
-    return SlotMap(version, rows[0].n_shards, tuple(by_slot[i] for i in range(len(by_slot))))
+    return SlotMap(rows[0].version, rows[0].n_shards, tuple(by_slot[i] for i in range(len(by_slot))))
 
 
 def lots(docs: DataFrame, n_slots: int) -> DataFrame:
@@ -130,8 +170,10 @@ def shard_documents(docs: DataFrame, *, n_shards: int = 16, n_slots: int = 4096,
 
     Returns doc_id, size (UTF-8 bytes plus 1; a null text counts as empty),
     text_crc32, shard, slot (place in the shard, gapless from 0), virtual_slot
-    and map_version. With ``map_path`` the newest stored map is edited and the
-    next version stored; else a first map is made.
+    and map_version. The first map is made from the rows of each slot and
+    stored; the newest stored map is then edited by the bytes of each slot,
+    stored as the next version, and read back for use. Without ``map_path``
+    the maps are stored in a new folder of the application.
 
     Null ids and texts are values like others; equal rows are interchangeable
     and may land in different shards; an empty table gives an empty result;
@@ -141,16 +183,11 @@ def shard_documents(docs: DataFrame, *, n_shards: int = 16, n_slots: int = 4096,
     spark = docs.sparkSession
     held = staged(lots(docs, n_slots), "shard-lots")
     weights, counts = weigh(held, n_slots)
-    slot_map = None
-    if map_path:
-        try:
-            slot_map = load_map(spark, map_path).rebalanced(weights, n_shards)
-        except Exception as error:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-    slot_map = slot_map or first_map(weights, n_shards)
-    if map_path:
-        store_map(spark, slot_map, weights, map_path)
+    map_path = map_path or new_path(spark, "shard-maps")
+    if not versions(spark, map_path):
+        store_map(spark, first_map(counts, n_shards), counts, map_path)
+    store_map(spark, load_map(spark, map_path).rebalanced(weights, n_shards), weights, map_path)
+    slot_map = load_map(spark, map_path)
     start, filled = [0] * n_slots, [0] * n_shards
     for s, shard in enumerate(slot_map.shards):
         start[s], filled[shard] = filled[shard], filled[shard] + counts[s]
