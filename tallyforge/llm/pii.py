@@ -3,18 +3,20 @@
 Base patterns find emails, IP addresses, card and phone numbers. Everything
 that looks a little like one of them is a node of a field: spans of the base
 patterns are observed, the others have evidence from their shape. Neighbours in
-the text are linked, and so are distant nodes with the same or nearly the same
-content, through one hub for each content, so a value that occurs ten
-thousand times adds ten thousand links and not their square. Loopy message
-passing then makes labels consistent across the document: a number written
-once as a phone number is one where it lacks its plus sign too.
+the text are linked, and so are distant nodes with the same content, through
+one hub for each content, so a value that occurs ten thousand times adds ten
+thousand links and not their square. Contents one edit apart, such as a number
+with a digit wrong or a trunk zero for its country code, are linked through
+hubs of what is left of both without a character. Loopy message passing then
+makes labels consistent across the document: a number written once as a phone
+number is one where it lacks its plus sign too.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -87,15 +89,25 @@ def base_spans(text: str) -> list[Span]:
 
 
 def other_nodes(text: str, base: list[Span]) -> list[tuple[int, int]]:
-    """Spans that look like personal data and touch no base span: numbers of LEAST_DIGITS digits and names at hosts."""
+    """Spans that look like personal data and touch no base span: numbers of LEAST_DIGITS digits and names at hosts.
+
+    A run of more than 19 digits is several numbers in a row. Its groups of
+    digits are joined wherever that gives a number that stands elsewhere in
+    the text; else it is cut at spaces.
+    """
     if not _ANY.search(text):
         return []
     found = list(_emails(text, _HOST))
+    runs: list[tuple[int, str]] = []
     for m in _NUMBER.finditer(text):
-        if (n := len(_digits(m[0]))) > 19:  # several numbers in a row
-            found += [(m.start() + w.start(), m.start() + w.end()) for w in re.finditer(r"[^\x20]+", m[0]) if len(_digits(w[0])) >= LEAST_DIGITS]
+        if (n := len(_digits(m[0]))) > 19:
+            runs.append((m.start(), m[0]))
         elif n >= LEAST_DIGITS:
             found.append(m.span())
+    if runs:
+        known = {content_key(text[a:b]) for a, b, _ in base} | {content_key(text[a:b]) for a, b in found}
+        for start, run in runs:
+            found += [(start + a, start + b) for a, b in _numbers_of_run(run, known)]
     out: list[tuple[int, int]] = []
     taken = sorted((a, b) for a, b, _ in base)
     i, reach = 0, -1
@@ -109,6 +121,31 @@ def other_nodes(text: str, base: list[Span]) -> list[tuple[int, int]]:
     return out
 
 
+def _numbers_of_run(run: str, known: set[str]) -> Iterator[tuple[int, int]]:
+    """Where numbers with a known content stand in a run of groups of digits, from the left; of what is between, the words at spaces with LEAST_DIGITS digits."""
+    groups = [m.span() for m in re.finditer("[0-9]+", run)]
+
+    def between(low: int, high: int) -> Iterator[tuple[int, int]]:
+        for w in re.finditer(r"[^\x20]+", run[low:high]):
+            if len(_digits(w[0])) >= LEAST_DIGITS:
+                yield low + w.start(), low + w.end()
+
+    at = free = 0
+    for j, (_, end) in enumerate(groups):
+        digits, best = 0, (0, -1)
+        for i in range(j, free - 1, -1):
+            digits += groups[i][1] - groups[i][0]
+            if digits > 19:
+                break
+            if digits >= LEAST_DIGITS and (key := content_key(run[groups[i][0] : end])) in known:
+                best = (len(key), i) if len(key) > best[0] else best
+        if best[1] >= 0:
+            yield from between(at, groups[best[1]][0])
+            yield groups[best[1]][0], end
+            at, free = end, j + 1
+    yield from between(at, len(run))
+
+
 def shape(span: str) -> list[float]:
     """Evidence of a node's own text."""
     digits = _digits(span)
@@ -141,13 +178,19 @@ def content_key(span: str) -> str:
     return _digits(span)[-10:]
 
 
+def left_without(key: str) -> set[str]:
+    """A content key and what is left of it without one character: keys one edit apart have one of these in common. Short and very long keys have none."""
+    return {key, *(key[:i] + key[i + 1 :] for i in range(len(key)))} if LEAST_DIGITS <= len(key) <= 64 else set()
+
+
 @dataclass(frozen=True)
 class Field:
-    """Weights of shapes towards labels, log potentials of neighbours, and the potential that equal content shares a label."""
+    """Weights of shapes towards labels, and log potentials of neighbours, of equal contents and of contents one edit apart."""
 
     weights: np.ndarray
     chain: np.ndarray
     same: float
+    near: float
 
 
 def _nodes(text: str) -> tuple[list[Span], list[tuple[int, int, int]]]:
@@ -157,47 +200,88 @@ def _nodes(text: str) -> tuple[list[Span], list[tuple[int, int, int]]]:
     return base, sorted(nodes)
 
 
+def _fit_shapes(x: np.ndarray, y: np.ndarray, rounds: int, ridge: float) -> np.ndarray:
+    weights = np.zeros((N_SHAPE, len(LABELS)))
+    m, v = np.zeros_like(weights), np.zeros_like(weights)
+    for k in range(1, rounds + 1):
+        z = x @ weights
+        p = np.exp(z - z.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        grad = x.T @ (y - p) / len(x) - ridge * weights
+        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
+        weights += 0.1 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
+    return weights
+
+
+def fit_potential(agree: list[float], differ: list[float]) -> float:
+    """The potential under which links are likeliest: ``agree`` and ``differ`` are what speaks for another label in nodes that share, or do not share, the label at the other end.
+
+    One pair of each outcome is added, of average evidence; without pairs the potential is nothing.
+    """
+    if not agree:
+        return 0.0
+    middle = float(np.mean(agree))
+    a, d = np.array([*agree, middle]), np.array([*differ, middle])
+    grid = np.linspace(0, 30, 301)
+    likelihood = [-np.logaddexp(0, a - s).sum() - np.logaddexp(0, s - d).sum() for s in grid]
+    return float(grid[int(np.argmax(likelihood))])
+
+
 def fit(texts: list[str], *, rounds: int = 300, ridge: float = 1e-3) -> Field:
-    """Piecewise training: shapes by logistic regression, neighbours and equal contents by their counts.
+    """Piecewise training: shapes by logistic regression, neighbours by their counts, links between contents by the likelihood of masked copies.
 
     Base spans have their kind as label, other nodes have none. For each base
     phone number a copy without its plus sign is shown as no phone number,
-    because that is what its shape alone says.
+    because that is what its shape alone says. The same copy stands for an
+    entity mentioned twice: it has the label of the number that it was made
+    of, so the potential of equal contents is fitted to such pairs, and to
+    equal contents with different base labels. That of contents one edit apart
+    is fitted to copies with the last digit changed, and to the base spans one
+    edit from a node that is none.
     """
-    rows, gold = [], []
-    steps, agree, differ = np.ones((len(LABELS), len(LABELS))), 0, 0
+    rows, gold, copies = [], [], []
+    steps = np.ones((len(LABELS), len(LABELS)))
+    same: list[tuple[str, int, bool]] = []
+    near: list[tuple[str, int, bool]] = []
     for text in texts:
         _, nodes = _nodes(text)
-        by_key: dict[str, list[int]] = defaultdict(list)
+        by_key: dict[str, list[tuple[str, int]]] = defaultdict(list)
         for a, b, label in nodes:
             label = max(label, 0)
-            rows.append(shape(text[a:b]))
+            own = text[a:b]
+            rows.append(shape(own))
             gold.append(label)
             if LABELS[label] == "phone":
-                rows.append(shape(text[a + 1 : b]))
-                gold.append(0)
-            by_key[content_key(text[a:b])].append(label)
+                copies.append((own[1:], label))
+            by_key[content_key(own)].append((own, label))
         for (_, end, one), (start, _, two) in zip(nodes, nodes[1:], strict=False):
             if start - end <= NEAR:
                 steps[max(one, 0), max(two, 0)] += 1
-        for labels in by_key.values():
-            agree += sum(x == labels[0] for x in labels[1:])
-            differ += sum(x != labels[0] for x in labels[1:])
+        for found in by_key.values():
+            same += [(own, found[0][1], label == found[0][1]) for own, label in found[1:] if label and found[0][1]]
+        by_rest: dict[str, set[str]] = defaultdict(set)
+        for key in by_key if len(by_key) > 1 else ():
+            for rest in left_without(key):
+                by_rest[rest].add(key)
+        for keys in by_rest.values():
+            labels = {by_key[k][0][1] for k in keys}
+            if len(keys) > 1 and len(labels) == 2 and 0 in labels:
+                near += [(by_key[k][0][0], max(labels), False) for k in keys if by_key[k][0][1] == 0]
     weights = np.zeros((N_SHAPE, len(LABELS)))
     if rows:
-        x, y = np.array(rows), np.eye(len(LABELS))[gold]
-        m, v = np.zeros_like(weights), np.zeros_like(weights)
-        for k in range(1, rounds + 1):
-            z = x @ weights
-            p = np.exp(z - z.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            grad = x.T @ (y - p) / len(x) - ridge * weights
-            m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
-            weights += 0.1 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
+        shown = [shape(own) for own, _ in copies]
+        weights = _fit_shapes(np.array(rows + shown), np.eye(len(LABELS))[gold + [0] * len(shown)], rounds, ridge)
+
+    def against(own: str, label: int) -> float:
+        scores = np.array(shape(own)) @ weights
+        return float(np.logaddexp.reduce(np.delete(scores, label)) - scores[label])
+
+    same += [(own, label, True) for own, label in copies]
+    near += [(own[:-1] + str((int(own[-1]) + 1) % 10), label, True) for own, label in copies]
     joint = steps / steps.sum()
     chain = np.log(joint / (joint.sum(1, keepdims=True) * joint.sum(0, keepdims=True)))
-    # a prior of many agreeing pairs: contents that agree by definition are rare in a small sample
-    return Field(weights, np.clip(chain, -1, 1), float(np.log((agree + 4000) / (differ + 1))))
+    potentials = [fit_potential([against(o, k) for o, k, yes in pairs if yes], [against(o, k) for o, k, yes in pairs if not yes]) for pairs in (same, near)]
+    return Field(weights, np.clip(chain, -1, 1), *potentials)
 
 
 def train(docs: DataFrame, *, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Field:
@@ -205,7 +289,8 @@ def train(docs: DataFrame, *, sample_docs: int = SAMPLE_DOCS, sample_chars: int
 
     A threshold on the hash, from the number of rows, lets about 25 times as
     many documents through to the choice, so that what tasks send does not grow
-    with their number.
+    with their number. Null texts are passed over; repeated rows are repeated in
+    the sample; from no documents comes a field that adds nothing.
     """
     share = min(1.0, 25 * sample_docs / max(1, docs.count()))
     key = F.xxhash64("doc_id", "text")
@@ -214,17 +299,29 @@ def train(docs: DataFrame, *, sample_docs: int = SAMPLE_DOCS, sample_chars: int
     return fit([r.text for r in some.orderBy(key, F.md5("text")).limit(sample_docs).collect()])
 
 
-def beliefs(local: np.ndarray, observed: np.ndarray, chain: list[tuple[int, int]], hubs: list[list[int]], field: Field, *, rounds: int = 12) -> np.ndarray:
-    """Marginal beliefs of all nodes by loopy message passing; hubs are extra nodes without evidence."""
+#: Message passing ends when no message changes by more than this, or after so many rounds.
+SETTLED, MOST_ROUNDS = 1e-6, 1000
+
+
+def beliefs(local: np.ndarray, observed: np.ndarray, chain: list[tuple[int, int]], hubs: list[list[int]], bridges: list[list[int]], field: Field) -> np.ndarray:
+    """Marginal beliefs of all nodes by loopy message passing.
+
+    Hubs and bridges are extra nodes without evidence. A hub links its nodes by
+    the potential of equal contents; a bridge links nodes, and hubs as node
+    ``len(local) + place``, by that of contents one edit apart. Messages are
+    averaged with the ones before, which settles where plain updates swing;
+    if they have not settled after MOST_ROUNDS, the last ones count.
+    """
     n, k = local.shape
-    unary = np.concatenate([local, np.zeros((len(hubs), k))])
+    unary = np.concatenate([local, np.zeros((len(hubs) + len(bridges), k))])
     for i in np.flatnonzero(observed >= 0):
         unary[i] = -50.0
         unary[i, observed[i]] = 0.0
-    one = np.array([a for a, _ in chain] + [i for h in hubs for i in h], np.int64)
-    two = np.array([b for _, b in chain] + [n + j for j, h in enumerate(hubs) for _ in h], np.int64)
-    same = np.eye(k) * field.same
-    table = np.stack([field.chain] * len(chain) + [same] * (len(one) - len(chain))) if len(one) else np.zeros((0, k, k))
+    groups = [*hubs, *bridges]
+    one = np.array([a for a, _ in chain] + [i for h in groups for i in h], np.int64)
+    two = np.array([b for _, b in chain] + [n + j for j, h in enumerate(groups) for _ in h], np.int64)
+    n_same = sum(map(len, hubs))
+    table = np.stack([field.chain] * len(chain) + [np.eye(k) * field.same] * n_same + [np.eye(k) * field.near] * (len(one) - len(chain) - n_same)) if len(one) else np.zeros((0, k, k))
     to_two, to_one = np.zeros((len(one), k)), np.zeros((len(one), k))
 
     def sums():
@@ -238,27 +335,44 @@ def beliefs(local: np.ndarray, observed: np.ndarray, chain: list[tuple[int, int]
         out = np.log(np.exp(x - top).sum(axis=1)) + top[:, 0]
         return out - out.max(axis=1, keepdims=True)
 
-    for _ in range(rounds if len(one) else 0):
+    for _ in range(MOST_ROUNDS if len(one) else 0):
         total = sums()
         new_two = passed((total[one] - to_one)[:, :, None] + table)
         new_one = passed((total[two] - to_two)[:, :, None] + table.transpose(0, 2, 1))
+        change = max(np.abs(new_two - to_two).max(), np.abs(new_one - to_one).max())
         to_two, to_one = (to_two + new_two) / 2, (to_one + new_one) / 2
+        if change < SETTLED:
+            break
     total = sums()[:n]
     p = np.exp(total - total.max(axis=1, keepdims=True))
     return p / p.sum(axis=1, keepdims=True)
 
 
+def links_of(keys: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+    """(hubs, bridges) of nodes with these content keys: see ``beliefs``."""
+    by_key: dict[str, list[int]] = defaultdict(list)
+    for i, key in enumerate(keys):
+        by_key[key].append(i)
+    hubs = [h for h in by_key.values() if len(h) > 1]
+    place = {keys[h[0]]: len(keys) + j for j, h in enumerate(hubs)}
+    by_rest: dict[str, list[int]] = defaultdict(list)
+    for key, own in by_key.items() if len(by_key) > 1 else ():
+        for rest in left_without(key):
+            by_rest[rest].append(place.get(key, own[0]))
+    return hubs, sorted({tuple(b) for b in by_rest.values() if len(b) > 1})
+
+
 def find_spans(text: str, field: Field) -> tuple[list[Span], list[Span]]:
     """(base spans, all spans) of a text."""
     base, nodes = _nodes(text)
     if all(label >= 0 for _, _, label in nodes):
         return base, base
-    local = np.array([shape(text[a:b]) for a, b, _ in nodes]) @ field.weights
-    by_key: dict[str, list[int]] = defaultdict(list)
-    for i, (a, b, _) in enumerate(nodes):
-        by_key[content_key(text[a:b])].append(i)
+    keys = [content_key(text[a:b]) for a, b, _ in nodes]
+    # the same content shows the same evidence however often it stands: each of its open nodes takes its share
+    mentions = Counter(key for key, (_, _, label) in zip(keys, nodes, strict=True) if label < 0)
+    local = np.array([shape(text[a:b]) for a, b, _ in nodes]) @ field.weights / np.array([[max(1, mentions[key])] for key in keys])
     near = [(i, i + 1) for i in range(len(nodes) - 1) if nodes[i + 1][0] - nodes[i][1] <= NEAR]
-    p = beliefs(local, np.array([label for _, _, label in nodes]), near, [h for h in by_key.values() if len(h) > 1], field)
+    p = beliefs(local, np.array([label for _, _, label in nodes]), near, *links_of(keys), field)
     added = [(a, b, LABELS[int(q.argmax())]) for (a, b, label), q in zip(nodes, p, strict=True) if label < 0 and q.argmax() > 0 and q.max() >= CERTAIN]
     return base, sorted(base + added, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
@@ -304,7 +418,12 @@ def masked(text: str, spans: list[Span]) -> str:
 
 
 def mask_personal_data(docs: DataFrame, field: Field) -> DataFrame:
-    """The documents with personal data masked in ``text`` and ``n_chars`` counted anew where that column exists; null texts stay."""
+    """The documents with personal data masked in ``text`` and ``n_chars`` counted anew where that column exists.
+
+    Null texts stay with what ``n_chars`` they have; empty texts, null ids and
+    repeated rows are rows like others; an empty table stays empty; no column
+    is added, so none can clash.
+    """
     import pyarrow as pa
 
     names = docs.columns

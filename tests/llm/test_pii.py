@@ -64,7 +64,7 @@ def test_beliefs_are_exact_on_trees(field):
     rng = np.random.default_rng(2)
     local, observed = rng.normal(size=(4, 5)), np.array([-1, 2, -1, -1])
     chain, hubs = [(0, 1), (1, 2)], [[2, 3]]
-    got = pii.beliefs(local, observed, chain, hubs, field, rounds=60)
+    got = pii.beliefs(local, observed, chain, hubs, [], field)
     total = np.zeros((4, 5))
     for y in itertools.product(range(5), repeat=5):
         if y[1] != 2:
@@ -105,3 +105,53 @@ def test_address_of_many_zeros():
     zeros = "0" * 5000
     for part, n in (("", 1), ("255", 1), ("256", 0)):
         assert [k for _, _, k in pii.base_spans(f"at 1.2.3.{zeros}{part} now")].count("ip") == n
+
+
+def test_contents_one_edit_apart(field):
+    """A number with a digit wrong, one more or one less, or in national form shares the label; so do addresses."""
+    for other in ("1 (974) 555-3437", "1 (974) 555-343", "1 (974) 555-34367", "(974) 555-3436"):
+        text = f"call +1 (974) 555-3436 today, {'or so we say, ' * 9}{other} too"
+        assert other.strip("(") in [text[a:b].strip("(") for a, b, k in pii.find_spans(text, field)[1] if k == "phone"], other
+    text = "at +41 44 668 18 00 or 044 668 18 00"
+    assert [text[a:b] for a, b, _ in pii.find_spans(text, field)[1]] == ["+41 44 668 18 00", "044 668 18 00"]
+    text = "a.b@mail.example.com, a.c@mail and xyz@host"
+    assert [text[a:b] for a, b, _ in pii.find_spans(text, field)[1]] == ["a.b@mail.example.com", "a.c@mail"]
+    assert pii.find_spans("call +1 (974) 555-3436 or 1 (974) 777-9999", field)[1] == pii.base_spans("call +1 (974) 555-3436")
+    flat = pii.Field(field.weights, field.chain, 0.0, 0.0)
+    assert len(pii.find_spans("at +41 44 668 18 00 or 044 668 18 00", flat)[1]) == 1
+
+
+def test_numbers_in_a_row(field):
+    text = "+1 974 555 3436 then 555 123 4567 974 555 3436 and 974 555 3436 555 987 6543"
+    spans = [text[a:b] for a, b, _ in pii.find_spans(text, field)[1]]
+    assert spans == ["+1 974 555 3436", "974 555 3436", "974 555 3436"]
+    pii.find_spans("12 " * 100_000 + "+1 974 555 3436", field)
+
+
+def test_links():
+    keys = ["1234567890", "1234567891", "1234567890", "5555555555", "234567890", "a@b"]
+    hubs, bridges = pii.links_of(keys)
+    assert hubs == [[0, 2]]
+    ends = {frozenset(keys[i] if i < 6 else keys[hubs[i - 6][0]] for i in b) for b in bridges}
+    assert frozenset(["1234567890", "1234567891"]) in ends and frozenset(["1234567890", "234567890"]) in ends
+    assert not any("5555555555" in e or "a@b" in e for e in ends)
+    rng = random.Random(3)
+    for _ in range(300):
+        one, two = ("".join(rng.choices("012", k=rng.randrange(7, 10))) for _ in range(2))
+        near = one[:-1] == two or two[:-1] == one or any(one[:i] + one[i + 1 :] in (two, two[:i] + two[i + 1 :]) or two[:i] + two[i + 1 :] == one for i in range(10))
+        linked = one != two and bool(pii.links_of([one, two])[1])
+        assert linked >= (one != two and near and abs(len(one) - len(two)) <= 1)
+
+
+def test_fitted_potentials(field):
+    assert field.same > 0 and field.near > 0
+    none = pii.fit(["no number", "1234567 items"])
+    assert (none.same, none.near) == (0.0, 0.0)
+    # nodes one edit from a phone number that are none speak against the link
+    odd = [f"+1 (974) 555-3436 and item 974555343{d} or 974555{d}436" for d in range(10)] * 20
+    assert pii.fit(odd).near < pii.fit(["+1 (974) 555-3436"] * 200).near
+
+
+def test_loops_settle(field):
+    text = "".join(f"+1 974 555 {i % 90:04d} or 1 974 555 {(i + 1) % 90:04d}, " for i in range(400))
+    assert len(pii.find_spans(text, field)[1]) >= 400
