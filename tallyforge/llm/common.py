@@ -40,6 +40,18 @@ def words_of(text: str) -> list[str]:
     return WORD.findall(text) if _OTHER_SPACE.search(text) else text.split()
 
 
+def fresh_names(df: DataFrame, *names: str) -> list[str]:
+    """These names, each with underscores before it until the table has no such column."""
+    taken = {c.lower() for c in df.columns}
+    found = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A folder of this application below ``spark.checkpoint.dir``.
 
@@ -157,7 +169,8 @@ def map_rows(df: DataFrame, function, ddl: str, **limits) -> DataFrame:
     return map_arrow(df, run, ddl)
 
 
-#: Smaller Arrow batches than Spark's own, which hold ten thousand texts: (setting, Spark's value, ours). Other values of the session stay.
+#: Smaller Arrow batches than Spark's own, which hold ten thousand texts: (setting, Spark's value, ours). They become settings of the session,
+#: because a plan reads them when it runs; other values that the session has stay.
 BATCHES = (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"), ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8388608b"))
 
 

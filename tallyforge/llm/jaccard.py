@@ -14,6 +14,7 @@ all links are counted, and each node is tied to the least node it is connected w
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -21,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import map_rows, staged, text_or_empty, words_of
+from tallyforge.llm.common import fresh_names, map_arrow, map_rows, staged, text_or_empty, words_of
 from tallyforge.llm.components import components
 
 SHINGLE = 5
@@ -32,7 +33,9 @@ TARGET_RECALL = 0.999
 #: If two texts are similar from 0.8 on and one is within CORE of a pivot, the other is at 0.55 or more to it; TIED leaves four standard errors below that.
 TIED, CORE = 0.43, 0.75
 #: Nodes and shingles of a block, about.
-BLOCK_NODES, BLOCK_SHINGLES = 1024, 1_000_000
+BLOCK_NODES, BLOCK_SHINGLES = 256, 1_000_000
+#: Nodes of a subtree that one task walks; a larger one is walked in slices.
+SUBTREE_NODES = 50_000
 SIGNED = "doc_id long, text_hash long, node binary, n_shingles long, labels array<binary>, sketch binary"
 
 
@@ -115,12 +118,18 @@ def _sign(rows: Iterator[tuple]) -> Iterator[tuple]:
             yield doc, text_hash, node, 0, [], b""
 
 
-def similar_to_pivots(rows: Iterator[tuple]) -> Iterator[tuple]:
-    """Edges (member, pivot) of rows (key, label, node, sketch) sorted by key and label.
+#: What a row of a walk is: a pivot found before, a row that is to be given if it is close to no pivot, or another row.
+PIVOT, TOLD, QUIET = 0, 1, 2
 
-    Only a subtree's pivots are held. A row joins the pivots that its sketch
-    resembles, and becomes a pivot itself unless it is close to one. An edge
-    is given only where it joins what was apart: fewer edges than rows.
+
+def similar_to_pivots(rows: Iterator[tuple], grow: bool = True) -> Iterator[tuple]:
+    """Walks rows (key, subtree, role, label, node, sketch) sorted by key, role and label.
+
+    Only a group's pivots are held. A row joins the pivots that its sketch
+    resembles: (member, pivot, null), given only where it joins what was apart,
+    so there are fewer edges than rows. A row that is close to none of them is
+    a pivot from then on with ``grow``, and given as (node, null, subtree) if
+    its role is TOLD.
     """
     now: object = None
     root: list[int] = []
@@ -130,25 +139,28 @@ def similar_to_pivots(rows: Iterator[tuple]) -> Iterator[tuple]:
             root[i] = i = root[root[i]]
         return i
 
-    for key, _, node, sketch in rows:
+    for key, subtree, role, _, node, sketch in rows:
         own = np.frombuffer(sketch, np.uint8)
         if key != now:
-            now, nodes, root = key, [node], [0]
+            now, nodes, root = key, [], []
             pivots = np.empty((8, len(own)), np.uint8)
-            pivots[0] = own
-            continue
         n = len(nodes)
-        alike = (pivots[:n] == own).mean(axis=1)
         joined = -1
-        for i in np.flatnonzero(alike >= TIED).tolist():
-            r = find(i)
-            if r != joined:
-                yield node, nodes[i]
-                if joined >= 0:
-                    root[r] = joined
-                else:
-                    joined = r
-        if alike.max() < CORE:
+        if role != PIVOT and n:
+            alike = (pivots[:n] == own).mean(axis=1)
+            for i in np.flatnonzero(alike >= TIED).tolist():
+                r = find(i)
+                if r != joined:
+                    yield node, nodes[i], None
+                    if joined >= 0:
+                        root[r] = joined
+                    else:
+                        joined = r
+            if alike.max() >= CORE:
+                continue
+        if role == TOLD:
+            yield node, None, subtree
+        if role == PIVOT or grow:
             if n == len(pivots):
                 pivots = np.concatenate([pivots, np.empty_like(pivots)])
             pivots[n] = own
@@ -156,6 +168,42 @@ def similar_to_pivots(rows: Iterator[tuple]) -> Iterator[tuple]:
             root.append(joined if joined >= 0 else n)
 
 
+WALKED = "a binary, b binary, subtree long"
+
+
+def candidate_edges(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect all nodes of a subtree that can be similar, from rows (subtree, n, node), n the subtree's nodes, and (node, label, sketch).
+
+    A subtree is one task up to SUBTREE_NODES. Of a larger one a slice of about
+    that many nodes is walked alone; its pivots then go to the other slices,
+    where every row meets them, and only rows close to none of them stay for
+    the next round: a group of near copies, however large, is close to a few.
+    """
+
+    def walk(rows: DataFrame, grow: bool) -> DataFrame:
+        rows = rows.join(nodes, "node").select("key", "subtree", "role", "label", "node", "sketch")
+        rows = rows.repartition("key").sortWithinPartitions("key", "role", "label", "node")
+        return staged(map_rows(rows, lambda r: similar_to_pivots(r, grow), WALKED), "walked")
+
+    edges: DataFrame | None = None
+    slices = F.ceil(F.col("n") / SUBTREE_NODES)
+    for turn in itertools.count():
+        rows = members.withColumn("slices", slices).withColumn("slice", F.pmod(F.xxhash64("node", F.lit(turn)), slices))
+        role = F.when(F.col("slices") > 1, TOLD).otherwise(QUIET).alias("role")
+        walked = walk(rows.filter("slice = 0").select(F.col("subtree").alias("key"), "subtree", role, "node"), True)
+        found = walked.filter("b IS NOT NULL").select("a", "b")
+        edges = found if edges is None else edges.unionByName(found)
+        if rows.filter("slice > 0").isEmpty():
+            return edges
+        sizes = rows.filter("slices > 1").groupBy("subtree").agg(F.max("slices").alias("slices"))
+        pivots = walked.filter("b IS NULL").join(sizes, "subtree").withColumn("slice", F.explode(F.sequence(F.lit(1).cast("long"), F.col("slices") - 1)))
+        key = F.xxhash64("subtree", "slice").alias("key")
+        met = walk(rows.filter("slice > 0").select(key, "subtree", F.lit(TOLD).alias("role"), "node").unionByName(pivots.select(key, "subtree", F.lit(PIVOT).alias("role"), F.col("a").alias("node"))), False)
+        edges = edges.unionByName(met.filter("b IS NOT NULL").select("a", "b"))
+        left = met.filter("b IS NULL").select("subtree", F.col("a").alias("node"))
+        members = staged(left.join(left.groupBy("subtree").agg(F.count(F.lit(1)).alias("n")), "subtree"), "left")
+
+
 def links(sets: list[np.ndarray], sides: np.ndarray, threshold: Fraction, across: bool) -> Iterator[tuple[int, np.ndarray]]:
     """For each i the j > i with Jaccard of at least the threshold; with ``across`` only those on another side.
 
@@ -234,6 +282,25 @@ def _verify(rows: Iterator[tuple]) -> Iterator[tuple]:
         yield from group()
 
 
+#: Rows that a task remembers to merge repeated ones.
+REMEMBERED = 500_000
+
+
+def _once(batches):
+    """Batches without the rows whose key (rep_id, no_id, rep_hash) the task has just seen. It forgets all when it has seen REMEMBERED, which costs merging and no row."""
+    import pyarrow as pa
+
+    seen: set[tuple] = set()
+    for batch in batches:
+        fresh = []
+        for key in zip(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("rep_id", "no_id", "rep_hash")), strict=True):
+            fresh.append(key not in seen)
+            seen.add(key)
+        if len(seen) > REMEMBERED:
+            seen.clear()
+        yield batch if all(fresh) else batch.filter(pa.array(fresh))
+
+
 def _shingle_rows(rows: Iterator[tuple]) -> Iterator[tuple]:
     for text, *rest in rows:
         yield (*rest, shingles(text).tobytes())
@@ -266,10 +333,8 @@ def join_ngrams(docs: DataFrame, *, target_recall: float = TARGET_RECALL) -> Dat
     # candidates: nodes that share a prefix; subtrees with the same nodes in several trees are walked once
     prefixed = nodes.select("node", F.explode("labels").alias("label")).select("node", F.xxhash64(F.substring("label", 1, 1 + 2 * depth)).alias("prefix"))
     together = prefixed.groupBy("prefix").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("members")).filter("n > 1")
-    subtrees = prefixed.join(together, "prefix").select("node", F.xxhash64("n", "members").alias("subtree")).repartition("node").distinct()
-    sketched = subtrees.join(nodes.select("node", "sketch", F.get("labels", F.lit(0)).alias("label")), "node")
-    walked = sketched.select("subtree", "label", "node", "sketch").repartition("subtree").sortWithinPartitions("subtree", "label", "node")
-    coarse = components(map_rows(walked, similar_to_pivots, "a binary, b binary"))
+    subtrees = prefixed.join(together, "prefix").select("node", F.xxhash64("n", "members").alias("subtree"), "n").repartition("node").distinct()
+    coarse = components(candidate_edges(staged(subtrees, "subtrees"), nodes.select("node", "sketch", F.get("labels", F.lit(0)).alias("label"))))
 
     # exact verification inside the components, one pair of blocks at a time
     members = coarse.join(nodes.select("node", "copies", "rep_id", "rep_hash", "n_shingles"), "node")
@@ -278,8 +343,10 @@ def join_ngrams(docs: DataFrame, *, target_recall: float = TARGET_RECALL) -> Dat
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK_NODES), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int")
     members = staged(members.join(staged(sizes, "sizes"), "root").select("node", "copies", F.coalesce("rep_id", F.lit(0)).alias("rep_id"), F.col("rep_id").isNull().alias("no_id"), "rep_hash", "root", blocks.alias("blocks")), "members")
     keyed = rows.select("text", F.coalesce("doc_id", F.lit(0)).alias("rep_id"), F.col("doc_id").isNull().alias("no_id"), F.col("text_hash").alias("rep_hash"))
+    # a row that stands many times is merged in its task before it moves, and once more where its copies meet;
     # a sort-merge join at every size, which neither side's size can turn into a broadcast
-    chosen = keyed.join(members.hint("merge"), ["rep_id", "no_id", "rep_hash"]).select("text", "node", "copies", "root", "blocks")
+    keys = ["rep_id", "no_id", "rep_hash"]
+    chosen = map_arrow(keyed, _once, keyed.schema).join(members.hint("merge"), keys).dropDuplicates(keys).select("text", "node", "copies", "root", "blocks")
     sets = map_rows(chosen, _shingle_rows, "node binary, copies long, root binary, blocks int, shingles binary")
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j"))))
@@ -303,11 +370,19 @@ def join_ngrams(docs: DataFrame, *, target_recall: float = TARGET_RECALL) -> Dat
 
 
 def keep_firsts(docs: DataFrame, joined: DataFrame) -> DataFrame:
-    """The documents that stand for their class in ``joined``, one row each, with all their columns."""
-    firsts = joined.filter("is_first").select(F.coalesce("doc_id", F.lit(0)).alias("_tf_id"), F.col("doc_id").isNull().alias("_tf_none"), F.col("text_hash").alias("_tf_hash")).distinct()
-    keyed = docs.withColumns({"_tf_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_tf_none": F.col("doc_id").isNull(), "_tf_hash": F.xxhash64(text_or_empty())})
-    keys = ["_tf_id", "_tf_none", "_tf_hash"]
-    return keyed.join(firsts, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
+    """The documents that stand for their class in ``joined``, one row each, with all their columns.
+
+    ``joined`` is ``join_ngrams`` of the same documents. Of rows equal in id
+    and text one stays, whatever its other columns are; a null id is an id, a
+    null text an empty one; an empty table stays empty; names of columns that
+    are used inside are chosen so that none clashes.
+    """
+    keys = fresh_names(docs, "id", "none", "hash")
+    of_row = (F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.col("doc_id").isNull(), F.xxhash64(text_or_empty()))
+    of_first = (F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull(), F.col("text_hash"))
+    firsts = joined.filter("is_first").select(*(c.alias(k) for k, c in zip(keys, of_first, strict=True))).distinct()
+    keyed = docs.withColumns(dict(zip(keys, of_row, strict=True)))
+    return keyed.join(firsts, keys, "left_semi").dropDuplicates(keys).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,8 @@
 import random
 
+import pytest
+
+from tallyforge.llm import components as module
 from tallyforge.llm.components import components
 
 
@@ -15,7 +18,10 @@ def brute(edges):
     return root
 
 
-def test_chains_hubs_and_random_graphs(spark):
+@pytest.mark.parametrize("hub_edges", [1_000_000, 20])
+def test_chains_hubs_and_random_graphs(spark, monkeypatch, hub_edges):
+    """Also where hubs are dealt over parts."""
+    monkeypatch.setattr(module, "HUB_EDGES", hub_edges)
     rng = random.Random(4)
     chain = [(i, i + 1) for i in range(1000, 1060)]
     hub = [(2000, 2000 + i) for i in range(1, 300)] + [(2500, 2001)]

@@ -73,8 +73,6 @@ def test_one_of_each_group_stays(make):
 
 def test_blocks(make, monkeypatch):
     """A group that is cut into several blocks gives the same links."""
-    import inspect
-
     rng = random.Random(5)
     base = prose(77, 120).split()
     docs = []
@@ -84,7 +82,6 @@ def test_blocks(make, monkeypatch):
             words[rng.randrange(len(words))] = f"v{rng.randrange(999)}"
         docs.append((i, " ".join(words)))
     monkeypatch.setattr(jaccard, "BLOCK_NODES", 7)
-    assert "BLOCK_NODES" in inspect.getsource(jaccard.join_ngrams)
     assert joined(make(docs)) == brute(docs)
 
 
@@ -110,3 +107,46 @@ def test_measured_recall_at_threshold():
         one, two = (jaccard.signature(np.unique(np.concatenate([common, x]))).reshape(jaccard.TREES, jaccard.DEPTH) for x in (a, b))
         found += bool((one[:, :depth] == two[:, :depth]).all(axis=1).any())
     assert found >= 0.99 * 600
+
+
+def test_large_subtrees(make, monkeypatch):
+    """Subtrees that are walked in slices give the same links, whatever their size is against that of a slice."""
+    rng = random.Random(6)
+    docs = near_copies()
+    base = prose(78, 90).split()
+    for i in range(120):
+        words = list(base)
+        for _ in range(rng.randrange(5)):
+            words[rng.randrange(len(words))] = f"v{rng.randrange(999)}"
+        docs.append((1000 + i, " ".join(words)))
+    want = brute(docs)
+    for n in (3, 40):
+        monkeypatch.setattr(jaccard, "SUBTREE_NODES", n)
+        assert joined(make(docs)) == want
+
+
+def test_one_row_many_times(spark, make):
+    """A row repeated 100,000 times is merged before it is verified."""
+    text = prose(5, 60)
+    near = text.rsplit(" ", 1)[0] + " other"
+    df = spark.range(100_000).selectExpr("7L AS doc_id", f"'{text}' AS text").unionByName(make([(8, near), (9, prose(6, 60))]).select("doc_id", "text"))
+    got = jaccard.join_ngrams(df)
+    assert sorted((r.doc_id, r.class_id, r.n_links, r.n_copies, r["count"]) for r in got.groupBy("doc_id", "class_id", "n_links", "n_copies").count().collect()) == [(7, 7, 100_000, 100_000, 100_000), (8, 7, 100_000, 1, 1), (9, 9, 0, 1, 1)]
+    assert sorted(r.doc_id for r in jaccard.keep_firsts(df, got).collect()) == [7, 9]
+
+
+def test_rows_merged_in_a_task():
+    import pyarrow as pa
+
+    keys = [1, 1, 2, None, None, 2]
+    batch = pa.RecordBatch.from_pydict({"text": list("aabccb"), "rep_id": [k or 0 for k in keys], "no_id": [k is None for k in keys], "rep_hash": [5, 5, 6, 7, 8, 6]})
+    assert [b.column("text").to_pylist() for b in jaccard._once([batch, batch])] == [["a", "b", "c", "c"], []]
+
+
+def test_clashing_names(make):
+    """A column named like one used inside keeps its values."""
+    from pyspark.sql import functions as F
+
+    df = make(near_copies()).withColumns({"id": F.lit("mine"), "_id": F.lit("too"), "hash": F.lit(1), "none": F.lit(2)})
+    kept = jaccard.keep_firsts(df, jaccard.join_ngrams(df))
+    assert kept.schema == df.schema and {(r.id, r._id, r.hash, r.none) for r in kept.collect()} == {("mine", "too", 1, 2)}
