@@ -12,8 +12,12 @@ from tallyforge.operators.runs import dedup
 KEY = ["model_id", "problem_id"]
 
 
-def cell_table(predictions: DataFrame, position: str = "sample_index") -> DataFrame:
-    """The last record of each model and problem, whatever its sample index."""
+def cell_table(predictions: DataFrame, position: str = "log_position") -> DataFrame:
+    """The last record of each model and problem in the log, whatever its sample index.
+
+    ``position`` orders the records: ``grade_run`` hands the log's order on
+    under this name (see ``sources.files.log_position``).
+    """
     return dedup(predictions, KEY, position, policy="last")
 
 

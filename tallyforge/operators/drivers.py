@@ -3,13 +3,11 @@
 A run folder holds ``config.json``, the log ``generations`` (a file or folder of
 JSONL) and, once graded, the Parquet tables ``predictions`` and
 ``parse_failures`` and the report ``metrics.json``. Only reports, which are
-small aggregates, pass through the driver; their folder is one that the driver
-can write to.
+small aggregates, pass through the driver.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,10 +25,6 @@ def rows_of(df: DataFrame) -> list[dict]:
     return [r.asDict(recursive=True) for r in df.collect()]
 
 
-def _local(path: str) -> str:
-    return path.removeprefix("file://")
-
-
 def generate_run(spark: SparkSession, tasks_path: str, run_dir: str, options: runs.RunOptions, *, ids: Sequence[int] | None = None, adapter: runs.Adapter = runs.echo_adapter, log_exists: bool = False) -> dict:
     """Generates the cells that the log lacks or has only failures of, appends them and returns the run's counters."""
     tasks = runs.select_tasks(files.read_tasks(spark, tasks_path), ids)
@@ -42,9 +36,9 @@ def generate_run(spark: SparkSession, tasks_path: str, run_dir: str, options: ru
 
 
 def clean_log(spark: SparkSession, run_dir: str, *, policy: str = "first") -> tuple[DataFrame, DataFrame]:
-    """(one record for each cell in the order of files and lines, counts). Resuming leaves a failed record before its retry; see ``policy``."""
-    log = files.read_generations(spark, f"{run_dir}/generations").withColumn("_file", F.input_file_name()).withColumn("_line", F.monotonically_increasing_id())
-    return runs.dedup(log, schemas.CELL, ["_line"], policy=policy).drop("_file", "_line"), runs.duplicate_counts(log, schemas.CELL)
+    """(one record for each cell, with its ``log_position``, counts). Resuming leaves a failed record before its retry; see ``policy``."""
+    log = files.read_generations(spark, f"{run_dir}/generations", position="log_position")
+    return runs.dedup(log, schemas.CELL, "log_position", policy=policy), runs.duplicate_counts(log, schemas.CELL)
 
 
 def grade_run(spark: SparkSession, run_dir: str, tasks_path: str, *, run_code: bool = False, policy: str = "first") -> dict:
@@ -55,7 +49,7 @@ def grade_run(spark: SparkSession, run_dir: str, tasks_path: str, *, run_code: b
     predictions = spark.read.parquet(f"{run_dir}/predictions")
     grade.parse_failures(predictions).write.mode("overwrite").parquet(f"{run_dir}/parse_failures")
     found = {"models": rows_of(metrics.model_summary(predictions).orderBy("model_id")), "by_category": rows_of(metrics.model_category_rollup(predictions).filter("level = 'category'").orderBy("model_id", "category"))}
-    files.write_json(f"{_local(run_dir)}/metrics.json", found)
+    files.write_json(spark, f"{run_dir}/metrics.json", found)
     return found
 
 
@@ -100,9 +94,8 @@ def validate_tasks(spark: SparkSession, tasks_path: str, *, expected: int | None
     digest = files.file_digests(spark, tasks_path).first()["sha256"]
     stored = None
     if manifest_path and files.exists(spark, manifest_path):
-        with open(_local(manifest_path), encoding="utf-8") as f:
-            stored = json.load(f)["sha256"]
+        stored = files.read_document(spark, manifest_path)["sha256"]
     found = {"sha256": validate.frozen(digest, stored), "counts": rows_of(validate.manifest(tasks).orderBy("dimension", "value")), "problems": problems}
     if manifest_path and not problems:
-        files.write_json(_local(manifest_path), found)
+        files.write_json(spark, manifest_path, found)
     return found

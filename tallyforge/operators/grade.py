@@ -10,32 +10,43 @@ from pyspark.sql import functions as F
 from tallyforge.functions.extract import answers_match, extract_answer, result, scope_for_condition
 from tallyforge.functions.legacy import audit_class, audit_fingerprint, audit_judge, grade_ablation, grade_eval20
 from tallyforge.operators.runs import succeeded
+from tallyforge.schemas import unused_name
 from tallyforge.operators.sandbox import grade_code_rows
 
 TYPED = "extraction_version string"
-#: Answer types of the first experiment's twenty tasks; code tasks carry their tests. Fixed values.
+#: Answer types of the first experiment's twenty tasks, with labels or, for code, the function and its tests. Fixed values.
 TASK_SPECS: dict[int, dict] = {
-    **{i: {"type": "number"} for i in (1, 2, 3, 4, 20)},
-    **{i: {"type": "name"} for i in (5, 8)},
-    **{i: {"type": "yesno"} for i in (6, 7)},
-    **{i: {"type": "label", "labels": ["negative", "positive", "neutral"]} for i in (9, 10)},
+    1: {"type": "number"},
+    2: {"type": "number"},
+    3: {"type": "number"},
+    4: {"type": "number"},
+    5: {"type": "name"},
+    6: {"type": "yesno"},
+    7: {"type": "yesno"},
+    8: {"type": "name"},
+    9: {"type": "label", "labels": ["negative", "positive", "neutral"]},
+    10: {"type": "label", "labels": ["negative", "positive", "neutral"]},
     11: {"type": "label", "labels": ["not spam", "spam"]},
     12: {"type": "label", "labels": ["biology", "physics", "history"]},
-    **{i: {"type": "string"} for i in (13, 14, 15)},
+    13: {"type": "string"},
+    14: {"type": "string"},
+    15: {"type": "string"},
     16: {"type": "code", "fn": "add", "tests": [[[2, 3], 5], [[-1, 4], 3], [[0, 0], 0]]},
     17: {"type": "code", "fn": "is_even", "tests": [[[4], True], [[7], False], [[0], True]]},
     18: {"type": "code", "fn": "max_of_two", "tests": [[[3, 9], 9], [[10, 5], 10], [[-2, -3], -2]]},
     19: {"type": "code", "fn": "reverse_list", "tests": [[[[1, 2, 3]], [3, 2, 1]], [[[]], []], [[["a"]], ["a"]]]},
+    20: {"type": "number"},
 }
 CONDITIONS = ("base_zero_shot", "base_few_shot", "instruct_zero_shot", "instruct_few_shot")
 
 
 def checked_join(rows: DataFrame, tasks: DataFrame, key: str = "problem_id", task_key: str = "id") -> DataFrame:
     """Rows with their tasks; a row whose task does not exist is an error. ``tasks`` is the task table, whose size a benchmark bounds."""
-    marked = tasks.withColumn("_known", F.lit(True)).withColumnRenamed(task_key, "_task")
-    joined = rows.join(marked, rows[key] == marked["_task"], "left")
-    known = F.when(F.col("_known"), F.col("_task")).otherwise(F.raise_error(F.concat(F.lit("unknown task id "), F.coalesce(F.col(key).cast("string"), F.lit("null")))).cast("long"))
-    return joined.withColumn("_task", known).filter("_task IS NOT NULL").drop("_known", "_task")
+    mark, task = (unused_name(f"_{n}", rows.columns, tasks.columns) for n in ("known", "task"))
+    marked = tasks.withColumn(mark, F.lit(True)).withColumnRenamed(task_key, task)
+    joined = rows.join(marked, rows[key] == marked[task], "left")
+    known = F.when(F.col(mark), F.col(task)).otherwise(F.raise_error(F.concat(F.lit("unknown task id "), F.coalesce(F.col(key).cast("string"), F.lit("null")))).cast("long"))
+    return joined.withColumn(task, known).filter(F.col(task).isNotNull()).drop(mark, task)
 
 
 def grade_generations(generations: DataFrame, tasks: DataFrame, *, run_code: bool = False) -> DataFrame:
@@ -43,7 +54,7 @@ def grade_generations(generations: DataFrame, tasks: DataFrame, *, run_code: boo
 
     Records with an error are unparsed with the flag generation_error. Code
     answers are executed only with ``run_code``; else they are unparsed with
-    the flag code_not_run.
+    the flag code_not_run. A ``log_position`` of the records is handed on.
     """
     facts = tasks.select("id", "category", "answer_type", "labels", "code_tests", "gold_answer")
     rows = checked_join(generations.drop("category"), facts)
@@ -60,7 +71,8 @@ def grade_generations(generations: DataFrame, tasks: DataFrame, *, run_code: boo
         code, code_right = result("unparsed", strategy="exec", flags=flags("code_not_run")), F.lit(False)
     graded = rows.withColumn("extraction", F.when(failed, result("unparsed", flags=flags("generation_error"))).when(is_code, code).otherwise(text))
     correct = F.when(failed, False).when(is_code, code_right).otherwise(answers_match(F.col("extraction"), F.col("gold_answer"), F.col("answer_type")))
-    kept = ["problem_id", "model_id", "condition", "sample_index", "seed", "gold_answer", "answer_type", "n_output_tokens", "category", "completion_text"]
+    placed = [c for c in ("log_position",) if c in generations.columns]
+    kept = [*placed, "problem_id", "model_id", "condition", "sample_index", "seed", "gold_answer", "answer_type", "n_output_tokens", "category", "completion_text"]
     return graded.withColumn("correct", correct).select(*kept, "extraction.*", "correct")
 
 
@@ -105,10 +117,13 @@ def grade_legacy(cells: DataFrame, rule_set: str, *, specs: Mapping[int, Mapping
 
 
 def apply_overrides(graded: DataFrame, overrides: DataFrame | None) -> DataFrame:
-    """final_correct, overridden and override_reason: a correction wins over the automatic verdict."""
+    """final_correct, overridden and override_reason: a correction wins over the automatic verdict; two of one cell are an error when rows are read."""
     if overrides is None:
         return graded.withColumns({"final_correct": F.col("auto_correct"), "overridden": F.lit(False), "override_reason": F.lit(None).cast("string")})
-    fixed = overrides.select("task_id", "condition", F.col("correct").alias("_fixed"), F.col("reason").alias("override_reason"))
+    twice = F.raise_error(F.concat(F.lit("several corrections of task "), F.col("task_id").cast("string"), F.lit(" "), F.col("condition")))
+    one = F.max(F.struct("correct", "reason"))
+    given = overrides.groupBy("task_id", "condition").agg(F.count(F.lit(1)).alias("n"), one.alias("one"))
+    fixed = given.select("task_id", "condition", F.when(F.col("n") > 1, twice.cast("boolean")).otherwise(F.col("one.correct")).alias("_fixed"), F.col("one.reason").alias("override_reason"))
     joined = graded.join(fixed, ["task_id", "condition"], "left")
     return joined.withColumns({"final_correct": F.coalesce("_fixed", "auto_correct"), "overridden": F.col("_fixed").isNotNull()}).select(*graded.columns, "final_correct", "overridden", "override_reason")
 

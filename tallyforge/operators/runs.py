@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import time
+from collections import deque
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -128,7 +131,8 @@ def with_seeds(cells: DataFrame, base_seed: int) -> DataFrame:
     return cells.withColumn("seed", sample_seed(*parts))
 
 
-#: A model adapter gets an iterator of (prompt_text, seed) rows and yields (completion_text, n_input_tokens, n_output_tokens).
+#: A model adapter gets an iterator of (prompt_text, seed) and yields (completion_text, n_input_tokens, n_output_tokens) for each, in order.
+#: It may take several before it answers. It is started once for a partition, and again for what is left after a prompt fails.
 Adapter = Callable[[Iterator[tuple[str, int]]], Iterator[tuple[str, int, int]]]
 
 
@@ -138,26 +142,58 @@ def echo_adapter(rows: Iterator[tuple[str, int]]) -> Iterator[tuple[str, int, in
         yield f"The answer is {seed % 100}.", len(prompt.split()), 4
 
 
+def answers(adapter: Adapter, rows: Iterator[tuple]) -> Iterator[tuple]:
+    """(row, answer or None, error or None, seconds) for rows that end in (prompt_text, seed), in order.
+
+    If the adapter fails, the first row that it has not answered has the error;
+    it is started anew with the other rows that it had taken, and goes on.
+    """
+    source = iter(rows)
+    taken: deque[tuple] = deque()  # handed out and not answered
+    again: deque[tuple] = deque()  # to be handed out once more
+
+    def asked() -> Iterator[tuple[str, int]]:
+        while True:
+            row = again.popleft() if again else next(source, None)
+            if row is None:
+                return
+            taken.append(row)
+            yield row[-2], row[-1]
+
+    model: Iterator | None = None
+    while True:
+        began = time.time()
+        answer, error = None, "RuntimeError: the adapter gave no answer"
+        try:
+            model = iter(adapter(asked())) if model is None else model
+            answer, error = tuple(next(model)), None
+        except StopIteration:
+            pass
+        except Exception as failure:  # noqa: BLE001  error rows are data
+            error = f"{type(failure).__name__}: {failure}"
+        row = taken.popleft() if taken else again.popleft() if again else next(source, None)
+        if row is None:
+            return
+        yield row, answer, error, round(time.time() - began, 3)
+        if error:
+            again.extendleft(reversed(taken))
+            taken.clear()
+            model = None
+
+
 def generate(cells: DataFrame, options: RunOptions, adapter: Adapter = echo_adapter) -> DataFrame:
     """Generation records for cells with ``prompt_text`` and ``seed``; a failing prompt gives an error record with null counts."""
     names = ["benchmark_version", "problem_id", "model_id", "model_mode", "condition", "sample_index", "seed", "prompt_text"]
 
     def run(batches):
-        import time
-
         import pandas as pd
 
-        for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
-                began = time.time()
-                try:
-                    text, n_in, n_out = next(iter(adapter(iter([(row.prompt_text, row.seed)]))))
-                    out.append((text, n_in, n_out, round(time.time() - began, 3), None))
-                except Exception as error:  # noqa: BLE001  error rows are data
-                    out.append(("", None, None, None, f"{type(error).__name__}: {error}"))
-            made = pd.DataFrame(out, columns=["completion_text", "n_input_tokens", "n_output_tokens", "elapsed_seconds", "error"], index=batch.index)
-            yield pd.concat([batch, made.astype({"n_input_tokens": "Int64", "n_output_tokens": "Int64"})], axis=1)
+        given = (tuple(row) for batch in batches for row in batch[names].astype(object).itertuples(index=False))
+        asked = ((*row, row[7], row[6]) for row in given)
+        columns = [*names, "completion_text", "n_input_tokens", "n_output_tokens", "elapsed_seconds", "error"]
+        made = ((*row[:8], *(("", None, None) if answer is None else answer), seconds, error) for row, answer, error, seconds in answers(adapter, asked))
+        while some := list(islice(made, 500)):
+            yield pd.DataFrame(some, columns=columns).astype({"n_input_tokens": "Int64", "n_output_tokens": "Int64"})
 
     types = {f.name: f.dataType.simpleString() for f in cells.schema}
     ddl = ", ".join(f"{n} {types[n]}" for n in names) + ", completion_text string, n_input_tokens long, n_output_tokens long, elapsed_seconds double, error string"

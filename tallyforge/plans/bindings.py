@@ -67,21 +67,21 @@ EXTRACTED_SQL = rf"""{COMPLETIONS_SQL}, candidates AS (
 
 
 def runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Two runs over the same problems: line 1 and line 2 of orders that have both, one line each."""
-    lines = table(spark, sf_dir, "lineitem").filter(F.col("l_linenumber").isin(1, 2))
+    """Two runs over the same problems: of each order's lines with an odd and with an even number the first; orders that lack one kind are in neither run."""
+    lines = table(spark, sf_dir, "lineitem").withColumn("side", F.col("l_linenumber") % 2)
     orders = table(spark, sf_dir, "orders")
-    first = lines.groupBy("l_orderkey", "l_linenumber").agg(F.min_by(F.struct("l_returnflag", "l_linestatus", "l_partkey"), F.struct("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")).alias("x"))
-    both = first.groupBy("l_orderkey").agg(F.max(F.when(F.col("l_linenumber") == 1, F.col("x"))).alias("one"), F.max(F.when(F.col("l_linenumber") == 2, F.col("x"))).alias("two")).filter("one IS NOT NULL AND two IS NOT NULL")
+    first = lines.groupBy("l_orderkey", "side").agg(F.min_by(F.struct("l_returnflag", "l_linestatus", "l_partkey"), F.struct("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")).alias("x"))
+    both = first.groupBy("l_orderkey").agg(F.max(F.when(F.col("side") == 1, F.col("x"))).alias("one"), F.max(F.when(F.col("side") == 0, F.col("x"))).alias("two")).filter("one IS NOT NULL AND two IS NOT NULL")
     named = both.join(orders, both.l_orderkey == orders.o_orderkey).select(F.col("l_orderkey").alias("problem_id"), F.concat(F.lit("m"), (F.col("o_custkey") % 3).cast("string")).alias("model_id"), F.col("o_orderpriority").alias("category"), F.col("o_orderstatus").alias("difficulty"), "one", "two")
     side = lambda c: named.select("problem_id", "model_id", "category", "difficulty", F.lit(0).cast("long").alias("sample_index"), (F.col(f"{c}.l_returnflag") != "R").alias("correct"), F.when(F.col(f"{c}.l_linestatus") == "O", "parsed").otherwise("unparsed").alias("status"), (F.col(f"{c}.l_partkey") % 220).alias("n_output_tokens"))
     return side("one"), side("two")
 
 
 RUNS_SQL = """lines AS (
-  SELECT * FROM lineitem WHERE l_linenumber IN (1, 2)
-  QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity, l_extendedprice) = 1
+  SELECT *, 2 - l_linenumber % 2 AS side FROM lineitem
+  QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber % 2 ORDER BY l_partkey, l_suppkey, l_quantity, l_extendedprice) = 1
 ), sides AS (
-  SELECT l_orderkey AS problem_id, 'm' || (o_custkey % 3) AS model_id, o_orderpriority AS category, o_orderstatus AS difficulty, l_linenumber AS side,
+  SELECT l_orderkey AS problem_id, 'm' || (o_custkey % 3) AS model_id, o_orderpriority AS category, o_orderstatus AS difficulty, side,
     l_returnflag <> 'R' AS correct, CASE WHEN l_linestatus = 'O' THEN 'parsed' ELSE 'unparsed' END AS status, l_partkey % 220 AS n_output_tokens
   FROM lines JOIN orders ON l_orderkey = o_orderkey WHERE l_orderkey IN (SELECT l_orderkey FROM lines GROUP BY 1 HAVING count(*) = 2)
 ), baseline AS (SELECT * FROM sides WHERE side = 1), treatment AS (SELECT * FROM sides WHERE side = 2),
@@ -93,8 +93,8 @@ pairs AS (
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tasks under four conditions: the order's lines 1 to 4, right if any line with that number was not returned."""
-    rows = table(spark, sf_dir, "lineitem").filter("l_linenumber <= 4")
+    """Tasks under four conditions: the order's lines by number, 4 standing for all above it, right if any line with that number was not returned."""
+    rows = table(spark, sf_dir, "lineitem").withColumn("l_linenumber", F.least("l_linenumber", F.lit(4)))
     return rows.groupBy(F.col("l_orderkey").alias("task_id"), F.concat(F.lit("c"), F.col("l_linenumber").cast("string")).alias("condition")).agg(
         F.max("l_returnflag").alias("category"), F.max("l_linestatus").alias("difficulty"), (F.count_if(F.col("l_returnflag") != "R") > 0).alias("final_correct")
     )
@@ -102,7 +102,7 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CELLS_SQL = """cells AS (
   SELECT l_orderkey AS task_id, 'c' || l_linenumber AS condition, max(l_returnflag) AS category, max(l_linestatus) AS difficulty, count(*) FILTER (WHERE l_returnflag <> 'R') > 0 AS final_correct
-  FROM lineitem WHERE l_linenumber <= 4 GROUP BY 1, 2
+  FROM (SELECT * REPLACE (least(l_linenumber, 4) AS l_linenumber) FROM lineitem) GROUP BY 1, 2
 )"""
 
 
@@ -131,3 +131,40 @@ TRANSCRIPTS_SQL = """transcripts AS (
     WHEN 1 THEN 'Well' || chr(10) || 'Question: why?' || chr(10) || 'same line here' || chr(10) || 'same line here' || chr(10) ELSE '' END
     || string_agg(text, chr(10) || chr(10) ORDER BY turn, text) AS text FROM conversations GROUP BY conv_id
 )"""
+
+
+def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark texts as prompts, with two demonstrations made from the region and nation tables' size."""
+    cue = F.when(F.col("item_id") % 3 == 0, "\nAnswer: ").when(F.col("item_id") % 3 == 1, "\nCode:").otherwise("")
+    number = (F.col("item_id") % 7).cast("string")
+    prefix = F.concat(F.lit("Q: one?\nAnswer: "), number, F.lit("\n\nQ: two?\nSentiment: good\nmore\n\n"))
+    rows = table(spark, sf_dir, "benchmark")
+    return rows.select(
+        F.col("item_id").alias("id"), F.when(F.col("item_id") % 2 == 0, "math").otherwise("logic").alias("category"), F.when(F.col("item_id") % 4 == 0, "extreme").otherwise("easy").alias("difficulty"),
+        F.when(F.col("item_id") % 2 == 0, "number").otherwise("string").alias("answer_type"), F.lit(None).cast("array<string>").alias("labels"), F.lit(None).cast("string").alias("code_tests"),
+        F.concat("text", cue).alias("prompt"), prefix.alias("few_shot_prefix"), F.when(F.col("item_id") % 10 == 8, "none").otherwise((F.col("item_id") % 5).cast("string")).alias("gold_answer"),
+    )
+
+
+TASKS_SQL = """tasks AS (
+  SELECT item_id AS id, CASE WHEN item_id % 2 = 0 THEN 'math' ELSE 'logic' END AS category, CASE WHEN item_id % 4 = 0 THEN 'extreme' ELSE 'easy' END AS difficulty, CASE WHEN item_id % 2 = 0 THEN 'number' ELSE 'string' END AS answer_type,
+    text || CASE item_id % 3 WHEN 0 THEN chr(10) || 'Answer: ' WHEN 1 THEN chr(10) || 'Code:' ELSE '' END AS prompt, text,
+    'Q: one?' || chr(10) || 'Answer: ' || item_id % 7 || chr(10) || chr(10) || 'Q: two?' || chr(10) || 'Sentiment: good' || chr(10) || 'more' || chr(10) || chr(10) AS few_shot_prefix,
+    CASE WHEN item_id % 10 = 8 THEN 'none' ELSE (item_id % 5)::VARCHAR END AS gold_answer FROM benchmark
+)"""
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for files of a run or a stream, below the session's checkpoint folder or a local one in local mode."""
+    import atexit
+    import shutil
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="tallyforge-stream-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -2,31 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions import extract, legacy, prompts, stats, text
 from tallyforge.operators import compare, grade, metrics, report, runs, validate
 from tallyforge.plans import bindings as b
+from tallyforge.plans.registry import ORACLES, QUERIES, query
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 #: strip() and the word borders of the oracle's regular expressions.
 _STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 
 
-def query(name: str, sql: str | None = None):
-    def add(function):
-        QUERIES[name] = function
-        if sql:
-            ORACLES[name] = sql
-        return function
-
-    return add
-
-
 def _col(name: str):
     return F.col(name)
 
@@ -131,12 +118,14 @@ _NORM_SQL = rf"lower(regexp_replace(regexp_replace({_STRIP.format("regexp_replac
 
 @query(
     "contains_gold",
-    f"""WITH t AS (SELECT d.doc_id, d.text, CASE WHEN d.doc_id % 2 = 0 THEN '  ' || substr(d.text, 5, 30) || '.' ELSE b.text END AS gold FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id)
+    f"""WITH t AS (SELECT d.doc_id, d.text, CASE WHEN d.doc_id % 2 = 0 THEN '  ' || substr(d.text, 5, 30) || '.' ELSE b.text END AS gold FROM documents d JOIN (SELECT text, row_number() OVER (ORDER BY item_id) - 1 AS place, count(*) OVER () AS n FROM benchmark) b ON d.doc_id % b.n = b.place)
     SELECT doc_id, contains({_NORM_SQL.format("text")}, {_NORM_SQL.format("gold")}) AS found FROM t""",
 )
 def contains_gold(spark, d):
-    items = b.table(spark, d, "benchmark").select(_col("item_id"), _col("text").alias("item"))
-    docs = b.table(spark, d, "documents").join(items, _col("doc_id") % 40 == _col("item_id"))
+    items = b.table(spark, d, "benchmark")
+    n = items.count()
+    placed = items.select((F.row_number().over(Window.orderBy("item_id")) - 1).alias("place"), _col("text").alias("item"))  # a benchmark is small
+    docs = b.table(spark, d, "documents").join(placed, _col("doc_id") % n == _col("place"))
     gold = F.when(_col("doc_id") % 2 == 0, F.concat(F.lit("  "), F.substring("text", 5, 30), F.lit("."))).otherwise(_col("item"))
     return docs.select("doc_id", (extract.extract_containment(_col("text"), gold)["status"] == "parsed").alias("found"))
 
@@ -488,69 +477,48 @@ def seed_policy(spark, d):
     return b.table(spark, d, "documents").select("doc_id", prompts.sample_seed(F.lit(42), _col("lang"), _col("source"), _col("doc_id"), F.lit(0)).alias("seed"))
 
 
-def _tasks(spark, d) -> DataFrame:
-    """Benchmark texts as prompts, with two demonstrations made from the region and nation tables' size."""
-    cue = F.when(_col("item_id") % 3 == 0, "\nAnswer: ").when(_col("item_id") % 3 == 1, "\nCode:").otherwise("")
-    number = (_col("item_id") % 7).cast("string")
-    prefix = F.concat(F.lit("Q: one?\nAnswer: "), number, F.lit("\n\nQ: two?\nSentiment: good\nmore\n\n"))
-    rows = b.table(spark, d, "benchmark")
-    return rows.select(
-        _col("item_id").alias("id"), F.when(_col("item_id") % 2 == 0, "math").otherwise("logic").alias("category"), F.when(_col("item_id") % 4 == 0, "extreme").otherwise("easy").alias("difficulty"),
-        F.when(_col("item_id") % 2 == 0, "number").otherwise("string").alias("answer_type"), F.lit(None).cast("array<string>").alias("labels"), F.lit(None).cast("string").alias("code_tests"),
-        F.concat("text", cue).alias("prompt"), prefix.alias("few_shot_prefix"), F.when(_col("item_id") % 10 == 8, "none").otherwise((_col("item_id") % 5).cast("string")).alias("gold_answer"),
-    )
-
-
-_TASKS_SQL = """tasks AS (
-  SELECT item_id AS id, CASE WHEN item_id % 2 = 0 THEN 'math' ELSE 'logic' END AS category, CASE WHEN item_id % 4 = 0 THEN 'extreme' ELSE 'easy' END AS difficulty, CASE WHEN item_id % 2 = 0 THEN 'number' ELSE 'string' END AS answer_type,
-    text || CASE item_id % 3 WHEN 0 THEN chr(10) || 'Answer: ' WHEN 1 THEN chr(10) || 'Code:' ELSE '' END AS prompt, text,
-    'Q: one?' || chr(10) || 'Answer: ' || item_id % 7 || chr(10) || chr(10) || 'Q: two?' || chr(10) || 'Sentiment: good' || chr(10) || 'more' || chr(10) || chr(10) AS few_shot_prefix,
-    CASE WHEN item_id % 10 = 8 THEN 'none' ELSE (item_id % 5)::VARCHAR END AS gold_answer FROM benchmark
-)"""
-
-
-@query("cot_prompt", rf"WITH {_TASKS_SQL} SELECT id, regexp_replace(text, '\s+$', '') || chr(10) || 'Think step by step, then give the final answer.' AS prompt_text FROM tasks")
+@query("cot_prompt", rf"WITH {b.TASKS_SQL} SELECT id, regexp_replace(text, '\s+$', '') || chr(10) || 'Think step by step, then give the final answer.' AS prompt_text FROM tasks")
 def cot_prompt(spark, d):
-    return prompts.build_prompts(_tasks(spark, d), "cot").select("id", "prompt_text")
+    return prompts.build_prompts(b.tasks(spark, d), "cot").select("id", "prompt_text")
 
 
-@query("few_shot_prompt", f"WITH {_TASKS_SQL} SELECT id, few_shot_prefix || prompt AS prompt_text FROM tasks")
+@query("few_shot_prompt", f"WITH {b.TASKS_SQL} SELECT id, few_shot_prefix || prompt AS prompt_text FROM tasks")
 def few_shot_prompt(spark, d):
-    return prompts.build_prompts(_tasks(spark, d), "few_shot").select("id", "prompt_text")
+    return prompts.build_prompts(b.tasks(spark, d), "few_shot").select("id", "prompt_text")
 
 
-@query("format_only_prompt", f"WITH {_TASKS_SQL} SELECT id, 'Q: one?' || chr(10) || 'Answer: ?' || chr(10) || chr(10) || 'Q: two?' || chr(10) || 'Sentiment: ?' || chr(10) || chr(10) || prompt AS prompt_text FROM tasks")
+@query("format_only_prompt", f"WITH {b.TASKS_SQL} SELECT id, 'Q: one?' || chr(10) || 'Answer: ?' || chr(10) || chr(10) || 'Q: two?' || chr(10) || 'Sentiment: ?' || chr(10) || chr(10) || prompt AS prompt_text FROM tasks")
 def format_only_prompt(spark, d):
-    return prompts.build_prompts(_tasks(spark, d), "few_shot_format_only").select("id", "prompt_text")
+    return prompts.build_prompts(b.tasks(spark, d), "few_shot_format_only").select("id", "prompt_text")
 
 
 @query("random_label_prompt")
 def random_label_prompt(spark, d):
-    return prompts.build_prompts(_tasks(spark, d), "few_shot_random_label").select("id", "prompt_text")
+    return prompts.build_prompts(b.tasks(spark, d), "few_shot_random_label").select("id", "prompt_text")
 
 
 @query(
     "ablation_prompts",
-    rf"""WITH {_TASKS_SQL}, x AS (SELECT id, rtrim(few_shot_prefix, chr(10)) AS e, regexp_replace(text, '\s+$', '') AS body, CASE id % 3 WHEN 0 THEN 'Answer:' WHEN 1 THEN 'Code:' ELSE '' END AS cue FROM tasks)
+    rf"""WITH {b.TASKS_SQL}, x AS (SELECT id, rtrim(few_shot_prefix, chr(10)) AS e, regexp_replace(text, '\s+$', '') AS body, CASE id % 3 WHEN 0 THEN 'Answer:' WHEN 1 THEN 'Code:' ELSE '' END AS cue FROM tasks)
     SELECT id, md5('<EXAMPLES>' || chr(10) || e || chr(10) || '</EXAMPLES>' || chr(10) || chr(10) || '<TARGET>' || chr(10) || body || chr(10) || '</TARGET>' || CASE WHEN cue <> '' THEN chr(10) || chr(10) || cue ELSE '' END) AS delimited FROM x""",
 )
 def ablation_prompts(spark, d):
-    return _tasks(spark, d).select("id", F.md5(prompts.ablation_prompts(_col("few_shot_prefix"), _col("prompt"))["B_delimiters"]).alias("delimited"))
+    return b.tasks(spark, d).select("id", F.md5(prompts.ablation_prompts(_col("few_shot_prefix"), _col("prompt"))["B_delimiters"]).alias("delimited"))
 
 
-@query("chat_messages", f"WITH {_TASKS_SQL} SELECT id, CASE WHEN id % 2 = 0 THEN 'You are a helpful assistant.|' || prompt END AS rendered FROM tasks")
+@query("chat_messages", f"WITH {b.TASKS_SQL} SELECT id, CASE WHEN id % 2 = 0 THEN 'You are a helpful assistant.|' || prompt END AS rendered FROM tasks")
 def chat_messages(spark, d):
     mode = F.when(_col("id") % 2 == 0, "chat").otherwise("raw")
     messages = prompts.chat_messages(_col("prompt"), mode)
-    return _tasks(spark, d).select("id", F.array_join(F.transform(messages, lambda m: m["content"]), "|").alias("rendered"))
+    return b.tasks(spark, d).select("id", F.array_join(F.transform(messages, lambda m: m["content"]), "|").alias("rendered"))
 
 
 # ---- validation
 
 
-@query("leak_check", f"WITH {_TASKS_SQL} SELECT id AS task_id, 'leaks' AS rule FROM tasks WHERE gold_answer = (id % 7)::VARCHAR")
+@query("leak_check", f"WITH {b.TASKS_SQL} SELECT id AS task_id, 'leaks' AS rule FROM tasks WHERE gold_answer = (id % 7)::VARCHAR")
 def leak_check(spark, d):
-    return validate.leaks(_tasks(spark, d)).select("task_id", "rule")
+    return validate.leaks(b.tasks(spark, d)).select("task_id", "rule")
 
 
 def _documents_as_tasks(spark, d):
@@ -565,22 +533,22 @@ def dup_prompts(spark, d):
 
 @query(
     "validate_all",
-    f"""WITH {_TASKS_SQL} SELECT rule, count(*)::BIGINT AS n FROM (SELECT 'known_values' AS rule FROM tasks WHERE difficulty = 'extreme' UNION ALL SELECT 'gold_format' FROM tasks WHERE answer_type = 'number' AND gold_answer = 'none'
+    f"""WITH {b.TASKS_SQL} SELECT rule, count(*)::BIGINT AS n FROM (SELECT 'known_values' AS rule FROM tasks WHERE difficulty = 'extreme' UNION ALL SELECT 'gold_format' FROM tasks WHERE answer_type = 'number' AND gold_answer = 'none'
       UNION ALL SELECT 'self_extraction' FROM tasks WHERE answer_type = 'number' AND gold_answer = 'none' UNION ALL SELECT 'leaks' FROM tasks WHERE gold_answer = (id % 7)::VARCHAR
       UNION ALL SELECT 'duplicate_prompts' FROM (SELECT prompt FROM tasks QUALIFY row_number() OVER (PARTITION BY prompt ORDER BY id) > 1)) GROUP BY 1""",
 )
 def validate_all(spark, d):
-    return validate.validate_all(_tasks(spark, d)).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+    return validate.validate_all(b.tasks(spark, d)).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("manifest", f"WITH {_TASKS_SQL} SELECT 'category' AS dimension, category AS value, count(*)::BIGINT AS n FROM tasks GROUP BY 2 UNION ALL SELECT 'difficulty', difficulty, count(*)::BIGINT FROM tasks GROUP BY 2")
+@query("manifest", f"WITH {b.TASKS_SQL} SELECT 'category' AS dimension, category AS value, count(*)::BIGINT AS n FROM tasks GROUP BY 2 UNION ALL SELECT 'difficulty', difficulty, count(*)::BIGINT FROM tasks GROUP BY 2")
 def manifest(spark, d):
-    return validate.manifest(_tasks(spark, d))
+    return validate.manifest(b.tasks(spark, d))
 
 
 @query("cot_audit", "SELECT count(*)::BIGINT AS n, count(*) FILTER (WHERE item_id % 3 < 2)::BIGINT AS n_had_cue, count(*) FILTER (WHERE item_id % 3 = 2)::BIGINT AS n_append_only FROM benchmark")
 def cot_audit(spark, d):
-    return validate.cot_audit(_tasks(spark, d))
+    return validate.cot_audit(b.tasks(spark, d))
 
 
 # ---- code, generation, streams
@@ -600,31 +568,18 @@ def code_grade(spark, d):
     return grade_code_rows(rows, enabled=True).select("id", "code_grade.correct", "code_grade.extracted", F.array_join("code_grade.flags", ",").alias("flags"))
 
 
-@query("generate_stub", f"WITH {_TASKS_SQL} SELECT id AS problem_id, model_id, sample_index::BIGINT AS sample_index FROM tasks, (VALUES ('a'), ('b')) m(model_id), (VALUES (0), (1)) s(sample_index)")
+@query("generate_stub", f"WITH {b.TASKS_SQL} SELECT id AS problem_id, model_id, sample_index::BIGINT AS sample_index FROM tasks, (VALUES ('a'), ('b')) m(model_id), (VALUES (0), (1)) s(sample_index)")
 def generate_stub(spark, d):
     options = runs.RunOptions((("a", "raw"), ("b", "chat")), "few_shot", n_samples=2, do_sample=True, temperature=0.7)
-    cells = runs.plan_run(spark, _tasks(spark, d).withColumn("benchmark_version", F.lit("v1")), options)
+    cells = runs.plan_run(spark, b.tasks(spark, d).withColumn("benchmark_version", F.lit("v1")), options)
     return runs.generate(cells, options).filter("error IS NULL").select("problem_id", "model_id", "sample_index")
 
 
-def _stream_folder(spark, name: str) -> str:
-    """A new folder for a stream's output and checkpoint, below the session's checkpoint folder or a local one in local mode."""
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="tallyforge-stream-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query("stream_dedup", f"WITH {b.LOG_SQL} SELECT DISTINCT problem_id, condition FROM log")
 def stream_dedup(spark, d):
     from tallyforge.streaming import log as streams
 
-    folder = _stream_folder(spark, "dedup")
+    folder = b.new_folder(spark, "dedup")
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     b.table(spark, d, "events").write.parquet(f"{folder}/log")
     events = spark.readStream.schema(schema).parquet(f"{folder}/log").select(_col("user_id").alias("problem_id"), _col("event_type").alias("condition"), "event_id")
@@ -636,7 +591,7 @@ def stream_dedup(spark, d):
 def stream_grade(spark, d):
     from tallyforge.streaming import log as streams
 
-    folder = _stream_folder(spark, "grade")
+    folder = b.new_folder(spark, "grade")
     rows = b.completions(spark, d).select("model_id", "gold_answer", "completion_text")
     rows.write.json(f"{folder}/log")
     stream = streams.read_log_stream(spark, f"{folder}/log", "model_id string, gold_answer string, completion_text string")
@@ -647,3 +602,6 @@ def stream_grade(spark, d):
 
     streams.grade_stream(stream, judged, f"{folder}/out", f"{folder}/checkpoint")
     return spark.read.parquet(f"{folder}/out").groupBy("model_id").agg(*metrics.accuracy_columns())
+
+
+from tallyforge.plans import jobs  # noqa: E402, F401  registers the queries over files and run folders

@@ -2,6 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
+
+def unused_name(name: str, *columns: Iterable[str]) -> str:
+    """The name, with underscores before it until none of the columns is called so."""
+    taken = {c.lower() for some in columns for c in some}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 TASK = "id long, category string, difficulty string, answer_type string, unit string, labels array<string>, code_tests string, prompt string, few_shot_prefix string, gold_answer string"
 TASK_FILE = f"version string, created string, note string, prompts array<struct<{TASK.replace(' ', ':').replace(',:', ',')}>>"
 OUTPUTS_WIDE = "task_id long, category string, difficulty string, gold_answer string, base_zero_shot string, base_few_shot string, instruct_zero_shot string, instruct_few_shot string"

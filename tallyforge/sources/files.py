@@ -31,16 +31,32 @@ def read_outputs_wide(spark: SparkSession, path: str) -> DataFrame:
     return read_json_array(spark, path, schemas.OUTPUTS_WIDE)
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """(records, lines that are no record); blank lines are neither."""
-    lines = spark.read.text(path).filter(F.regexp_like("value", F.lit(r"\S")))
-    parsed = lines.select("value", F.from_json("value", f"{schema}, _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("r"))
+def log_position() -> Column:
+    """Where a line of a text scan stands in its log, to be ordered by: time of its file, file, block of the file, place in the block.
+
+    Every append of a log writes files of its own, so a later append comes
+    later whatever its files' sizes and names are. Files that were copied
+    without their times stand in the order of their names.
+    """
+    return F.struct(
+        F.col("_metadata.file_modification_time").alias("time"), F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"),
+    )
+
+
+def read_jsonl(spark: SparkSession, path: str, schema: str, *, position: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(records, lines that are no record); blank lines are neither. With ``position`` the records have a column of that name: see ``log_position``."""
+    schema = f"{schema}, _corrupt_record string"
+    placed = [] if position is None else [log_position().alias(position)]
+    kept = [] if position is None else [position]
+    lines = spark.read.text(path).select("value", *placed).filter(F.regexp_like("value", F.lit(r"\S")))
+    parsed = lines.select("value", *kept, F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("r"))
     bad = F.col("r._corrupt_record").isNotNull() | F.col("r").isNull()
-    return parsed.filter(~bad).select("r.*").drop("_corrupt_record"), parsed.filter(bad).select("value")
+    return parsed.filter(~bad).select("r.*", *kept).drop("_corrupt_record"), parsed.filter(bad).select("value")
 
 
-def read_generations(spark: SparkSession, path: str) -> DataFrame:
-    return read_jsonl(spark, path, schemas.GENERATION)[0]
+def read_generations(spark: SparkSession, path: str, *, position: str | None = None) -> DataFrame:
+    return read_jsonl(spark, path, schemas.GENERATION, position=position)[0]
 
 
 def append_jsonl(records: DataFrame, path: str) -> None:
@@ -48,10 +64,19 @@ def append_jsonl(records: DataFrame, path: str) -> None:
     records.write.mode("append").json(path)
 
 
-def write_json(path: str, data: object) -> None:
-    """A report document on the driver: two spaces, characters as they are, a closing line end."""
-    with open(path, "w", encoding="utf-8") as f:
-        f.write(json.dumps(data, indent=2, ensure_ascii=False) + "\n")
+def write_json(spark: SparkSession, path: str, data: object) -> None:
+    """A report document, wherever Spark can write: two spaces, characters as they are, a closing line end."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray((json.dumps(data, indent=2, ensure_ascii=False) + "\n").encode()))
+    finally:
+        out.close()
+
+
+def read_document(spark: SparkSession, path: str) -> object:
+    """A report document as plain objects."""
+    return json.loads(spark.read.text(path, wholetext=True).first()[0])
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:

@@ -1,9 +1,11 @@
+import itertools
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
 from tallyforge import schemas
+from tallyforge.functions import prompts
 from tallyforge.operators import compare, grade, metrics, report, runs, sandbox, validate
 from tallyforge.sources import files
 
@@ -95,7 +97,7 @@ def test_compare(spark):
     with pytest.raises(Exception, match="missing in one run"):
         compare.paired(predictions("CC"), predictions("C")).collect()
     twice = predictions("C").unionByName(predictions(".").withColumn("sample_index", F.lit(1).cast("long")))
-    assert [r.correct for r in compare.cell_table(twice).collect()] == [False]
+    assert [r.correct for r in compare.cell_table(twice, "sample_index").collect()] == [False]
     text = report.comparison_markdown(compare.compare_runs(predictions("CC"), predictions("C.")), compare.by_category(pairs))
     assert "| m | 2/2 | 1/2 | -50.0 |" in text
 
@@ -126,6 +128,72 @@ def test_runs(spark):
     assert {r.error for r in runs.generate(planned, options, broken).collect()} == {"RuntimeError: no model"}
 
 
+def test_adapter_answers():
+    """One start for a partition; a failure costs its row alone, also if the adapter takes rows ahead."""
+    starts = []
+
+    def adapter(size):
+        def answer(rows):
+            starts.append(1)
+            rows = iter(rows)
+            while some := list(itertools.islice(rows, size)):
+                for prompt, seed in some:
+                    if prompt == "bad":
+                        raise ValueError("no")
+                    yield f"{prompt}{seed}", 1, 2
+
+        return answer
+
+    rows = [(i, p, i) for i, p in enumerate(["a", "bad", "c", "d", "bad", "bad", "g"])]
+    for size in (1, 2, 3, 10):
+        starts.clear()
+        got = [(r[0], a and a[0], e) for r, a, e, _ in runs.answers(adapter(size), iter(rows))]
+        assert got == [(i, None if p == "bad" else f"{p}{i}", "ValueError: no" if p == "bad" else None) for i, p, _ in rows]
+        assert len(starts) == 4
+    assert [e for *_, e, _ in runs.answers(lambda r: iter([]), iter(rows))] == ["RuntimeError: the adapter gave no answer"] * 7
+    assert list(runs.answers(adapter(3), iter([]))) == []
+
+
+def test_log_order(spark, tmp_path):
+    """The first record of a cell is that of the first append, whatever sizes and names its files have."""
+    path = f"file://{tmp_path}/log"
+    for turn, size in enumerate((10, 5000, 1)):
+        rows = spark.range(60).selectExpr("'v' benchmark_version", "id problem_id", "'m' model_id", "'direct' condition", "0L sample_index", f"repeat('{turn}', {size}) completion_text", "0D elapsed_seconds")
+        files.append_jsonl(rows.repartition(3 - turn), path)
+    log = files.read_generations(spark, path, position="log_position")
+    for policy, want in (("first", "0"), ("last", "2")):
+        assert {r.completion_text[0] for r in runs.dedup(log, schemas.CELL, "log_position", policy=policy).collect()} == {want}
+    (tmp_path / "one.jsonl").write_text("".join(f'{{"problem_id": {i % 7}, "completion_text": "{i}"}}\n\n' for i in range(70)))
+    one = files.read_generations(spark, f"file://{tmp_path}/one.jsonl", position="log_position")
+    assert sorted(int(r.completion_text) for r in runs.dedup(one, ["problem_id"], "log_position").collect()) == list(range(7))
+    assert sorted(int(r.completion_text) for r in runs.dedup(one, ["problem_id"], "log_position", policy="last").collect()) == list(range(63, 70))
+
+
+def test_two_corrections_are_an_error(spark):
+    graded = spark.createDataFrame([(1, "c", True)], "task_id long, condition string, auto_correct boolean")
+    fixed = spark.createDataFrame([(1, "c", True, "a"), (1, "c", False, "b")], "task_id long, condition string, correct boolean, reason string")
+    with pytest.raises(Exception, match="several corrections of task 1 c"):
+        grade.apply_overrides(graded, fixed).collect()
+
+
+def test_clashing_names(spark):
+    rows = spark.createDataFrame([(1, "mine", "own")], "problem_id long, _known string, _task string")
+    [got] = grade.checked_join(rows, spark.createDataFrame([(1, "t")], "id long, kind string")).collect()
+    assert (got._known, got._task, got.kind) == ("mine", "own", "t")
+
+
+def test_random_labels_against_python(spark):
+    """The permutation of demonstrations, against Python's seeded shuffle."""
+    import random
+
+    blocks = [f"Q{i}\nAnswer: a{i}" for i in range(4)]
+    rows = spark.createDataFrame([(i, "\n\n".join(blocks) + "\n\n", "P?\nAnswer:") for i in range(40)], "id long, few_shot_prefix string, prompt string")
+    for r in prompts.build_prompts(rows, "few_shot_random_label").collect():
+        labels = [f"a{i}" for i in range(4)]
+        random.Random(20260827 + r.id).shuffle(labels)
+        assert r.prompt_text == "\n\n".join(f"Q{i}\nAnswer: {x}" for i, x in enumerate(labels)) + "\n\nP?\nAnswer:"
+
+
 def test_options():
     assert runs.parse_model_spec("org/m:chat") == ("org/m", "chat")
     assert runs.parse_model_spec("m") == ("m", "raw")
@@ -173,7 +241,7 @@ def test_files(spark, tmp_path):
     files.append_jsonl(records, f"file://{tmp_path}/out")
     files.append_jsonl(records, f"file://{tmp_path}/out")
     assert files.read_generations(spark, f"file://{tmp_path}/out").count() == 4
-    files.write_json(f"{tmp_path}/tasks.json", {"version": "v1", "prompts": [{"id": 1, "labels": ["é"], "gold_answer": "2"}]})
+    files.write_json(spark, f"file://{tmp_path}/tasks.json", {"version": "v1", "prompts": [{"id": 1, "labels": ["é"], "gold_answer": "2"}]})
     assert (tmp_path / "tasks.json").read_text().endswith("}\n") and "é" in (tmp_path / "tasks.json").read_text()
     [task] = files.read_tasks(spark, f"file://{tmp_path}/tasks.json").collect()
     assert (task.benchmark_version, task.id, task.labels, task.category) == ("v1", 1, ["é"], None)
