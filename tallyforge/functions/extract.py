@@ -102,7 +102,7 @@ def _boxed(scope: Column) -> Column:
 
         return F.when(F.size(boxes) > 0, let(values, decide))
 
-    return F.when(F.regexp_like(scope, F.lit(_BOX)), let(find_boxed(scope), of))
+    return F.when(F.contains(scope, F.lit(r"\boxed")) & F.regexp_like(scope, F.lit(_BOX)), let(find_boxed(scope), of))
 
 
 def _marked(name: str, scope: Column) -> Column:
@@ -118,9 +118,12 @@ def _bold(scope: Column) -> Column:
 
 
 def extract_number(scope: Column) -> Column:
+    """The number by the first strategy that finds one. A text without a strategy's marker is not searched by it."""
+    answer = F.contains(F.lower(scope), F.lit("answer"))
     return F.coalesce(
-        _boxed(scope), _marked("answer_is", scope), _marked("answer_colon", scope), _marked("final_answer", scope),
-        _bold(scope), _marked("equals", scope), _marked("last_number", scope),
+        _boxed(scope),
+        F.when(answer, F.coalesce(_marked("answer_is", scope), _marked("answer_colon", scope), _marked("final_answer", scope))),
+        F.when(F.contains(scope, F.lit("**")), _bold(scope)), F.when(F.contains(scope, F.lit("=")), _marked("equals", scope)), _marked("last_number", scope),
         result("unparsed", flags=F.array(F.lit("no_numeric_candidate"))),
     )
 

@@ -38,7 +38,11 @@ def flips(pairs: DataFrame) -> DataFrame:
 
 
 def flip_lists(pairs: DataFrame) -> DataFrame:
-    """Regressions and fixes of each model in the order of problem ids, with their counts and exact p."""
+    """Regressions and fixes of each model in the order of problem ids, with their counts and exact p.
+
+    A model's row carries its lists, as the report wants them, so it grows with
+    the flips; ``flips`` gives them as rows.
+    """
     listed = lambda kind: F.transform(F.array_sort(F.collect_list(F.when(F.col("flip") == kind, F.struct("problem_id", "category")))), lambda s: s)
     counted = pairs.groupBy("model_id").agg(
         listed("regression").alias("regressions"), listed("fix").alias("fixes"),

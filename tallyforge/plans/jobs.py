@@ -302,7 +302,10 @@ def _typed(spark, d) -> DataFrame:
 
 
 _TYPED_SQL = f"typed AS (SELECT (l_orderkey + l_linenumber) % {len(_TYPED)} AS kind, l_partkey % 2 = 0 AS few FROM lineitem)"
-_LABELS = F.array(F.lit("spam"), F.lit("not spam"))
+
+
+def _labels():
+    return F.array(F.lit("spam"), F.lit("not spam"))
 
 
 def _judged(rows: DataFrame, g) -> DataFrame:
@@ -317,7 +320,7 @@ def _judged(rows: DataFrame, g) -> DataFrame:
 )
 def eval20_types(spark, d):
     condition = F.when(_col("few"), "base_few_shot").otherwise("base_zero_shot")
-    return _judged(_typed(spark, d), legacy.grade_eval20(_col("output"), _col("gold"), _col("type"), _LABELS, condition))
+    return _judged(_typed(spark, d), legacy.grade_eval20(_col("output"), _col("gold"), _col("type"), _labels(), condition))
 
 
 @query(
@@ -327,7 +330,7 @@ def eval20_types(spark, d):
 )
 def ablation_types(spark, d):
     condition = F.when(_col("few"), "A_original").otherwise("D_instruction_only")
-    return _judged(_typed(spark, d), legacy.grade_ablation(_col("output"), _col("gold"), _col("type"), _LABELS, condition))
+    return _judged(_typed(spark, d), legacy.grade_ablation(_col("output"), _col("gold"), _col("type"), _labels(), condition))
 
 
 @query(
