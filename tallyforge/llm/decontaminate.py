@@ -334,8 +334,9 @@ def nearest(item: np.ndarray, ids: np.ndarray, starts: set[int]) -> tuple[int, i
     n = len(item)
     most = edits_allowed(n)
     ordered = sorted(starts)
+    first, last_word = item[0], item[-1]
     for start in ordered:
-        if 0 <= start and start + n <= len(ids) and np.array_equal(ids[start : start + n], item):
+        if 0 <= start and start + n <= len(ids) and ids[start] == first and ids[start + n - 1] == last_word and np.array_equal(ids[start : start + n], item):
             return 0, start, start + n
     found = None
     at = 0
@@ -344,8 +345,11 @@ def nearest(item: np.ndarray, ids: np.ndarray, starts: set[int]) -> tuple[int, i
         while last + 1 < len(ordered) and ordered[last + 1] - ordered[last] <= n:
             last += 1
         low, high = max(0, ordered[at] - most), min(len(ids), ordered[last] + n + most)
-        words = ids[low:high].tolist()
-        near = nearest_run(item.tolist(), words, most) if occurs(item.tolist(), words, most) else None
+        near = None
+        # all but ``most`` of the item's words stand in a stretch that holds it
+        if np.count_nonzero(np.isin(item, ids[low:high])) >= n - most:
+            words = ids[low:high].tolist()
+            near = nearest_run(item.tolist(), words, most) if occurs(item.tolist(), words, most) else None
         if near and (found is None or (near[0], near[1] + low, near[2] + low) < found):
             found = (near[0], near[1] + low, near[2] + low)
         at = last + 1

@@ -117,11 +117,11 @@ def test_parts():
 
 
 @pytest.mark.parametrize("kind", ["substitution", "insertion", "deletion"])
-@pytest.mark.parametrize("size", [5, 8, 10, 12, 15, 16, 19, 20, 25, 30, 39, 50, 59, 100, 200, 400])
+@pytest.mark.parametrize("size", [5, 10, 15, 16, 19, 20, 30, 59, 100, 400])
 def test_recall_at_full_edits(size, kind):
     """Items with exactly as many edits as allowed, all of one kind, in texts of their own."""
     rng = random.Random(size)
-    items = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(size))) for i in range(max(40, min(150, 6000 // size)))]
+    items = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(size))) for i in range(max(40, min(120, 4000 // size)))]
     index = dc.index_of(items)
     docs = []
     for _, text in items:
