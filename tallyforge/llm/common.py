@@ -182,3 +182,9 @@ def map_arrow(df: DataFrame, function, schema) -> DataFrame:
         if spark.conf.get(setting) == usual:
             spark.conf.set(setting, ours)
     return df.mapInArrow(function, schema)
+
+
+def map_grouped(df: DataFrame, keys: list[str], function, schema=None) -> DataFrame:
+    """``applyInArrow`` for a function from a group's table to a table (of the same columns, if no schema is given), with this package brought to the workers."""
+    ship(df.sparkSession)
+    return df.groupBy(*keys).applyInArrow(function, schema or df.schema)
