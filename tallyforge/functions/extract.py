@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tallyforge.functions.boxes import OPENING, content, find_boxed, first_token, match_boxes
 from tallyforge.functions.text import NUM, S, WS, first_paragraph, is_blank, let, normalize_text, number_tokens, parse_number, strip
 
 VERSION = "extract_v1"
@@ -26,7 +27,6 @@ MARKERS = {
     "last_number": rf"({NUM})",
 }
 _BOLD = r"\*\*([^*]+)\*\*"
-_BOX = r"\\boxed\s*\{"
 
 
 def _no_numbers() -> Column:
@@ -49,25 +49,6 @@ def result(status, *, number=None, string=None, strategy=None, numbers=None, str
     )
 
 
-def find_boxed(text: Column) -> Column:
-    r"""What stands in the balanced braces of each ``\boxed{``, in order of the openings; null where they never close."""
-
-    def inner(rest: Column) -> Column:
-        def step(s, c):
-            depth = s["depth"] + F.when(c == "{", 1).when(c == "}", -1).otherwise(0)
-            return F.when(s["depth"] == 0, s).otherwise(F.struct(depth.alias("depth"), F.when(depth > 0, s["at"] + 1).otherwise(s["at"]).alias("at")))
-
-        start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("at"))
-        return F.aggregate(F.split(rest, ""), start, step, lambda s: F.when(s["depth"] == 0, F.substring(rest, F.lit(1), s["at"])))
-
-    def nth(k: Column) -> Column:
-        pattern = F.concat(F.lit(r"(?s)\A(?:.*?\\boxed\s*\{){"), k.cast("string"), F.lit("}"))
-        return let(F.regexp_replace(text, pattern, F.lit("")), inner)
-
-    count = F.regexp_count(text, F.lit(_BOX))
-    return F.when(count > 0, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), nth)).otherwise(_no_strings())
-
-
 def _last(values: Column) -> Column:
     return F.element_at(values, -1)
 
@@ -76,24 +57,21 @@ def _several(values: Column) -> Column:
     return F.when(F.size(F.array_distinct(values)) > 1, F.array(F.lit("multiple_distinct_values"))).otherwise(_no_strings())
 
 
-def _first_number(text: Column) -> Column:
-    return parse_number(F.nullif(F.regexp_extract(text, NUM, 0), F.lit("")))
-
-
 def _unit_after(scope: Column, part: Column) -> Column:
     """The unit after the last place where ``part`` stands in the scope."""
-    before = F.concat(F.lit(r"(?s)\A.*\Q"), F.replace(part, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
-    return F.nullif(strip(F.regexp_extract(F.regexp_replace(scope, before, F.lit("")), rf"\A{S}*([A-Za-z²³%][\p{{L}}\p{{N}}_²³%/^\- ]{{0,19}})", 1)), F.lit(""))
+    end = F.length(scope) + 2 - F.instr(F.reverse(scope), F.reverse(part))
+    return F.nullif(strip(F.regexp_extract(F.substring(scope, end, F.length(scope)), rf"\A{S}*([A-Za-z²³%][\p{{L}}\p{{N}}_²³%/^\- ]{{0,19}})", 1)), F.lit(""))
 
 
 def _boxed(scope: Column) -> Column:
-    def of(boxes: Column) -> Column:
-        values = F.filter(F.transform(boxes, lambda b: F.coalesce(parse_number(strip(b)), _first_number(b))), F.isnotnull)
+    def of(matched: Column) -> Column:
+        boxes = matched["boxes"]
+        values = F.filter(F.transform(boxes, lambda b: b["value"]), F.isnotnull)
 
         def decide(v: Column) -> Column:
-            flags = F.when(F.exists(boxes, F.isnull), F.array(F.lit("boxed_malformed"))).otherwise(_no_strings())
+            flags = F.when(F.exists(boxes, lambda b: b["end"].isNull()), F.array(F.lit("boxed_malformed"))).otherwise(_no_strings())
             distinct = F.array_sort(F.array_distinct(v))
-            last_box = F.element_at(F.filter(boxes, F.isnotnull), -1)
+            last_box = content(matched, F.element_at(F.filter(boxes, lambda b: b["end"].isNotNull()), -1))
             return (
                 F.when(F.size(v) == 0, result("malformed", strategy="boxed", flags=F.array(F.lit("boxed_malformed"))))
                 .when(F.size(distinct) > 1, result("ambiguous", strategy="boxed", numbers=distinct, flags=flags))
@@ -102,7 +80,7 @@ def _boxed(scope: Column) -> Column:
 
         return F.when(F.size(boxes) > 0, let(values, decide))
 
-    return F.when(F.contains(scope, F.lit(r"\boxed")) & F.regexp_like(scope, F.lit(_BOX)), let(find_boxed(scope), of))
+    return F.when(F.contains(scope, F.lit(r"\boxed")) & F.regexp_like(scope, F.lit(OPENING)), let(match_boxes(scope), of))
 
 
 def _marked(name: str, scope: Column) -> Column:
@@ -113,7 +91,7 @@ def _marked(name: str, scope: Column) -> Column:
 
 
 def _bold(scope: Column) -> Column:
-    values = F.filter(F.transform(F.regexp_extract_all(scope, F.lit(_BOLD), F.lit(1)), _first_number), F.isnotnull)
+    values = F.filter(F.transform(F.regexp_extract_all(scope, F.lit(_BOLD), F.lit(1)), lambda x: parse_number(first_token(x))), F.isnotnull)
     return let(values, lambda v: F.when(F.size(v) > 0, result("parsed", number=_last(v), strategy="bold", numbers=v, flags=_several(v))))
 
 

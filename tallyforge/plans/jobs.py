@@ -285,6 +285,25 @@ def boxed_forms(spark, d):
     return b.table(spark, d, "part").select("p_partkey", e.alias("e")).select("p_partkey", "e.status", F.when(_col("e.status") == "parsed", _col("e.prediction_num")).alias("number"))
 
 
+@query(
+    "boxed_storm",
+    r"""SELECT doc_id, CASE doc_id % 4 WHEN 2 THEN 'malformed' WHEN 3 THEN 'ambiguous' ELSE 'parsed' END AS status,
+      CASE WHEN doc_id % 4 < 2 THEN (doc_id % 1000)::DOUBLE END AS number, CASE doc_id % 4 WHEN 2 THEN 0 WHEN 3 THEN 2 ELSE 1 + doc_id * 7 % 300 END::BIGINT AS n_candidates FROM documents""",
+)
+def boxed_storm(spark, d):
+    r"""Whole documents that end in up to 300 boxes: in a row, inside each other, never closed, or with braces inside and differing."""
+    q, n, kind = (_col("doc_id") % 1000).cast("string"), (1 + _col("doc_id") * 7 % 300).cast("int"), _col("doc_id") % 4
+    storm = (
+        F.when(kind == 0, F.repeat(F.concat(F.lit(r"\boxed{"), q, F.lit("} ")), n))
+        .when(kind == 1, F.concat(F.repeat(F.lit(r"\boxed{"), n), q, F.repeat(F.lit("}"), n)))
+        .when(kind == 2, F.concat(F.repeat(F.lit(r"\boxed{"), n), q))
+        .otherwise(F.concat(F.lit(r"\boxed{"), q, F.lit("}"), F.repeat(F.concat(F.lit(r" \boxed{ {x} "), (_col("doc_id") % 1000 + 1).cast("string"), F.lit(" }")), n)))
+    )
+    said = F.concat(F.coalesce("text", F.lit("")), F.lit(" "), storm)
+    found = b.table(spark, d, "documents").select("doc_id", extract.extract_number(said).alias("e"))
+    return found.select("doc_id", "e.status", F.when(_col("e.status") == "parsed", _col("e.prediction_num")).alias("number"), F.size("e.candidates_num").cast("long").alias("n_candidates"))
+
+
 # ---- older rule sets on every answer type
 
 #: Text and gold by type: (type, text, gold); ``#`` stands for the row's quantity.

@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -52,6 +53,37 @@ def test_numbers(spark):
     assert {r["e"]["extraction_version"] for r in got} == {"extract_v1"}
 
 
+def boxes_by_hand(t):
+    found = []
+    for m in re.finditer(r"\\boxed\s*\{", t):
+        depth, end = 1, m.end()
+        while end < len(t) and depth:
+            depth += {"{": 1, "}": -1}.get(t[end], 0)
+            end += 1
+        found.append(None if depth else t[m.end() : end - 1])
+    return found
+
+
+def test_boxes_of_random_braces(spark):
+    rng = random.Random(1)
+    parts = ["\\boxed{", "\\boxed {", "\\boxed\u2003{", "\\boxed", "{", "}", "}", "12", "^3", " 4 / 5 ", "-$1,200.50", "x", "\\", "\U0001f600", "\n", "a-b", "7"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(0, 25))) for _ in range(1500)] + ["", "{" * 300 + "\\boxed{1}" + "}" * 400]
+    got = values(spark, [(t,) for t in texts], "t string", t=F.col("t"), b=x.find_boxed(F.col("t")))
+    assert [r["b"] for r in got] == [boxes_by_hand(r["t"]) for r in got]
+
+
+@pytest.mark.parametrize(
+    ("t", "status", "number", "n"),
+    [
+        ("\\boxed{7} " * 10_000, "parsed", 7.0, 10_000), ("\\boxed{" * 10_000 + "7" + "}" * 10_000, "parsed", 7.0, 10_000), ("\\boxed{" * 10_000, "malformed", None, 0),
+        ("\\boxed{a{b}7} " * 3000, "parsed", 7.0, 3000), ("\\boxed{5}" + "{" * 20_000 + "}" * 20_000, "parsed", 5.0, 1), ("".join(f"\\boxed{{{i}}}" for i in range(4000)), "ambiguous", None, 4000),
+    ],
+)
+def test_very_many_boxes(spark, t, status, number, n):
+    [row] = values(spark, [(t,)], "t string", e=x.extract_number(F.col("t")))
+    assert (row["e"]["status"], row["e"]["prediction_num"], len(row["e"]["candidates_num"])) == (status, number, n)
+
+
 def test_first_paragraph_scope(spark):
     got = values(spark, [("5\n\nSome other question\nAnswer: 99",)], "t string", e=x.extract_answer(F.col("t"), F.lit("number"), x.scope_for_condition(F.lit("few_shot_x")), F.lit(None).cast("array<string>"), F.lit(None).cast("string")))
     assert got[0]["e"]["prediction_num"] == 5.0
