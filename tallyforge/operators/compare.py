@@ -21,10 +21,24 @@ def cell_table(predictions: DataFrame, position: str = "log_position") -> DataFr
     return dedup(predictions, KEY, position, policy="last")
 
 
+def last_records(predictions: DataFrame) -> DataFrame:
+    """One record of each model and problem: the last by ``log_position``, else by ``sample_index``.
+
+    Predictions with neither column have one record a cell; a second one is an
+    error, raised when rows are read.
+    """
+    for position in ("log_position", "sample_index"):
+        if position in predictions.columns:
+            return cell_table(predictions, position)
+    picked = predictions.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(KEY)]).agg(F.count(F.lit(1)).alias("_n"), F.any_value(F.struct(*predictions.columns)).alias("_row"))
+    twice = F.raise_error(F.concat(F.lit("several records of one cell and nothing to order them by: "), F.col("_k0").cast("string"), F.lit(" "), F.col("_k1").cast("string"))).cast("long")
+    return picked.filter(F.when(F.col("_n") > 1, twice).otherwise(F.col("_n")) == 1).select("_row.*")
+
+
 def paired(baseline: DataFrame, treatment: DataFrame) -> DataFrame:
-    """Both runs side by side; a problem that one of them lacks is an error, raised when rows are read."""
+    """Both runs side by side, the last record of each cell; a problem that one of them lacks is an error, raised when rows are read."""
     sides = []
-    for name, run in (("b", baseline), ("t", treatment)):
+    for name, run in (("b", last_records(baseline)), ("t", last_records(treatment))):
         sides.append(run.select(*KEY, F.struct("correct", "status", "category", "n_output_tokens").alias(name)))
     both = sides[0].join(sides[1], KEY, "full")
     missing = F.concat(F.lit("predictions missing in one run: "), F.coalesce(F.col("model_id").cast("string"), F.lit("null")), F.lit(" "), F.coalesce(F.col("problem_id").cast("string"), F.lit("null")))
@@ -58,10 +72,10 @@ def by_category(pairs: DataFrame) -> DataFrame:
 
 
 def compare_runs(baseline: DataFrame, treatment: DataFrame) -> DataFrame:
-    """Summaries of both runs by model, with the difference of the rounded accuracies and its points."""
+    """Summaries of both runs by model, over the last record of each cell, with the difference of the rounded accuracies and its points."""
     sides = []
     for name, run in (("baseline", baseline), ("treatment", treatment)):
-        summary = model_summary(run)
+        summary = model_summary(last_records(run))
         sides.append(summary.select("model_id", *[F.col(c).alias(f"{name}_{c}") for c in summary.columns if c != "model_id"]))
     delta = F.col("treatment_accuracy") - F.col("baseline_accuracy")
     return sides[0].join(sides[1], "model_id", "full").withColumns({"delta_accuracy": F.round(delta, 3), "delta_percentage_points": F.round(delta * 100, 1)})
@@ -74,4 +88,4 @@ def inspect_records(log: DataFrame, predictions: DataFrame) -> DataFrame:
     return log.join(found, ["model_id", "problem_id", "sample_index"], "left").withColumn("truncated", cut)
 
 
-__all__ = ["accuracy_columns", "by_category", "cell_table", "compare_runs", "flip_lists", "flips", "inspect_records", "paired"]
+__all__ = ["accuracy_columns", "by_category", "cell_table", "compare_runs", "flip_lists", "flips", "inspect_records", "last_records", "paired"]

@@ -54,16 +54,19 @@ def grade_run(spark: SparkSession, run_dir: str, tasks_path: str, *, run_code: b
 
 
 def compare_run_folders(spark: SparkSession, baseline: str, treatment: str) -> tuple[dict, str]:
-    """(report, Markdown) of two graded runs."""
-    sides = []
+    """(report, Markdown) of two graded runs, with their names and parse failures."""
+    sides, names, failures = [], [], []
     for folder in (baseline, treatment):
         if not files.exists(spark, f"{folder}/predictions"):
             raise FileNotFoundError(f"{folder}: grade the run first")
-        sides.append(compare.cell_table(spark.read.parquet(f"{folder}/predictions")))
+        sides.append(spark.read.parquet(f"{folder}/predictions"))
+        names.append(folder.rstrip("/").rpartition("/")[2])
+        failures.append(grade.parse_failures(sides[-1]).count())
     pairs, summary = compare.paired(*sides), compare.compare_runs(*sides)
     categories = compare.by_category(pairs)
-    found = {"models": rows_of(summary.orderBy("model_id")), "by_category": rows_of(categories.orderBy("model_id", "category")), "flips": rows_of(compare.flip_lists(pairs).orderBy("model_id"))}
-    return found, report.comparison_markdown(summary, categories)
+    found = {"baseline": names[0], "treatment": names[1], "baseline_parse_failures": failures[0], "treatment_parse_failures": failures[1]}
+    found |= {"models": rows_of(summary.orderBy("model_id")), "by_category": rows_of(categories.orderBy("model_id", "category")), "flips": rows_of(compare.flip_lists(pairs).orderBy("model_id"))}
+    return found, report.comparison_page((names[0], names[1]), summary, categories, compare.flips(pairs), (failures[0], failures[1]))
 
 
 def eval20(spark: SparkSession, outputs_path: str, overrides_path: str | None = None, *, run_code: bool = False) -> tuple[DataFrame, dict, str]:

@@ -49,6 +49,28 @@ def comparison_markdown(comparison: DataFrame, categories: DataFrame) -> str:
     return "\n\n".join(["# Comparison", md_table(head, rows), "## By category", md_table(["Model", "Category", "n", "Baseline", "Treatment"], by)]) + "\n"
 
 
+def comparison_page(names: tuple[str, str], comparison: DataFrame, categories: DataFrame, flips: DataFrame, parse_failures: tuple[int, int]) -> str:
+    """The whole comparison of two named runs: parse failures, and for each model accuracy with interval, tokens, categories and flips.
+
+    ``comparison``, ``categories`` and ``flips`` are ``compare.compare_runs``, ``compare.by_category`` and ``compare.flips``.
+    """
+    first, second = names
+    parts = [f"# {first} and {second}", f"Parse failures: {first} {parse_failures[0]}, {second} {parse_failures[1]}"]
+    by, changed = categories.orderBy("model_id", "category").collect(), flips.orderBy("model_id", "problem_id").collect()
+    for r in comparison.orderBy("model_id").collect():
+        sides = [{c: r[f"{s}_{c}"] for c in ("n", "n_correct", "accuracy", "ci_low", "ci_high", "mean_output_tokens")} for s in ("baseline", "treatment")]
+        rows = [
+            ("accuracy", *(f"{x['accuracy']:.1%}" for x in sides)), ("95% interval", *(f"{x['ci_low']:.3f}-{x['ci_high']:.3f}" for x in sides)),
+            ("correct", *(f"{x['n_correct']}/{x['n']}" for x in sides)), ("mean output tokens", *(x["mean_output_tokens"] for x in sides)),
+        ]
+        parts += [f"## {r['model_id']}", f"Change: {r['delta_percentage_points']:+.1f} points", md_table(["", first, second], rows)]
+        parts.append(md_table(["Category", "n", first, second], [(c["category"], c["n"], c["baseline_correct"], c["treatment_correct"]) for c in by if c["model_id"] == r["model_id"]]))
+        for kind, title in (("regression", "Regressions"), ("fix", "Fixes")):
+            found = [f"- task {c['problem_id']} ({c['category']})" for c in changed if c["model_id"] == r["model_id"] and c["flip"] == kind]
+            parts.append("\n".join([f"{title}: {len(found)}", *found]))
+    return "\n\n".join(parts) + "\n"
+
+
 def verdict_marks(graded: DataFrame, keys: Sequence[str], position: str, correct: str = "correct") -> DataFrame:
     """One line of ``C`` and ``.`` for each key, in order of position."""
     marks = F.array_sort(F.collect_list(F.struct(F.col(position), F.when(F.col(correct), "C").otherwise(".").alias("m"))))

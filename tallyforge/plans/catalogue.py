@@ -329,6 +329,36 @@ def flip_by_category(spark, d):
     return compare.by_category(compare.paired(*b.runs(spark, d)))
 
 
+_SAMPLES_SQL = """samples AS (
+  SELECT l_orderkey AS problem_id, 'm' || (l_orderkey % 3) AS model_id, l_linenumber AS sample_index, l_linenumber % 2 AS side, l_returnflag <> 'R' AS correct, l_linestatus = 'O' AS parsed, l_partkey % 220 AS tokens, l_partkey, l_suppkey, l_quantity, l_extendedprice FROM lineitem
+  WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_linenumber % 2) = 2)
+), cells AS (
+  SELECT * FROM samples QUALIFY row_number() OVER (PARTITION BY problem_id, model_id, side ORDER BY sample_index DESC, l_partkey DESC, l_suppkey DESC, l_quantity DESC, l_extendedprice DESC) = 1
+), compared AS (
+  SELECT b.model_id, b.correct AS b, t.correct AS t, b.parsed AS bp, t.parsed AS tp, b.tokens AS bt, t.tokens AS tt FROM cells b JOIN cells t USING (problem_id, model_id) WHERE b.side = 1 AND t.side = 0
+)"""
+
+
+@query(
+    "compare_samples",
+    f"""WITH {_SAMPLES_SQL} SELECT model_id, count(*)::BIGINT AS n, sum(b::INT)::BIGINT AS baseline_correct, sum(t::INT)::BIGINT AS treatment_correct, sum((NOT bp)::INT)::BIGINT AS baseline_unparsed, sum((NOT tp)::INT)::BIGINT AS treatment_unparsed,
+      round(avg(bt), 1) AS baseline_tokens, round(avg(tt), 1) AS treatment_tokens, sum((b AND NOT t)::INT)::BIGINT AS n_regressions, sum((t AND NOT b)::INT)::BIGINT AS n_fixes FROM compared GROUP BY 1""",
+)
+def compare_samples(spark, d):
+    """Two runs with several records of a cell, all lines of an order: the last record of each cell counts."""
+    lines = b.table(spark, d, "lineitem")
+    both = lines.groupBy(_col("l_orderkey").alias("k")).agg(F.count_distinct(_col("l_linenumber") % 2).alias("sides")).filter("sides = 2")
+    samples = lines.join(both, _col("l_orderkey") == _col("k"), "left_semi").select(
+        F.concat(F.lit("m"), (_col("l_orderkey") % 3).cast("string")).alias("model_id"), _col("l_orderkey").alias("problem_id"), _col("l_linenumber").cast("long").alias("sample_index"), (_col("l_returnflag") != "R").alias("correct"),
+        F.when(_col("l_linestatus") == "O", "parsed").otherwise("unparsed").alias("status"), F.lit("all").alias("category"), (_col("l_partkey") % 220).alias("n_output_tokens"),
+        F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice").alias("log_position"),
+    )
+    sides = samples.filter("sample_index % 2 = 1"), samples.filter("sample_index % 2 = 0")
+    flips = compare.paired(*sides).groupBy("model_id").agg(F.count_if(_col("flip") == "regression").cast("long").alias("n_regressions"), F.count_if(_col("flip") == "fix").cast("long").alias("n_fixes"))
+    named = {"n": "baseline_n", "baseline_correct": "baseline_n_correct", "treatment_correct": "treatment_n_correct", "baseline_unparsed": "baseline_n_unparsed_or_failed", "treatment_unparsed": "treatment_n_unparsed_or_failed", "baseline_tokens": "baseline_mean_output_tokens", "treatment_tokens": "treatment_mean_output_tokens"}
+    return compare.compare_runs(*sides).select("model_id", *(_col(v).alias(k) for k, v in named.items())).join(flips, "model_id")
+
+
 @query(
     "inspect_records",
     f"WITH {b.RUNS_SQL} SELECT b.problem_id, b.model_id, t.status AS prediction_status, t.correct AS prediction_correct, b.n_output_tokens >= 200 AS truncated FROM baseline b LEFT JOIN (SELECT * FROM treatment WHERE correct) t ON b.problem_id = t.problem_id AND b.model_id = t.model_id",
@@ -556,16 +586,23 @@ def cot_audit(spark, d):
 
 @query(
     "code_grade",
-    """SELECT * FROM (VALUES (1, true, '2/2 tests passed', ''), (2, false, '1/2 tests passed', ''), (3, false, NULL, 'function_not_defined'), (4, false, NULL, 'exec_error: SyntaxError'), (5, false, NULL, 'empty_output'), (6, false, NULL, 'exec_error: TimeoutError'))
-    AS t(id, correct, extracted, flags)""",
+    """SELECT item_id, k = 0 AS correct, CASE k WHEN 0 THEN '2/2 tests passed' WHEN 1 THEN '1/2 tests passed' WHEN 6 THEN '0/2 tests passed' END AS extracted,
+      CASE k WHEN 2 THEN 'function_not_defined' WHEN 3 THEN 'exec_error: SyntaxError' WHEN 4 THEN 'empty_output' WHEN 5 THEN 'exec_error: SystemExit' WHEN 7 THEN 'exec_error: BlockingIOError' WHEN 8 THEN 'exec_error: SystemExit' ELSE '' END AS flags
+    FROM (SELECT item_id, item_id % 9 AS k FROM benchmark)""",
 )
 def code_grade(spark, d):
+    """An answer for each item: right, half right, without the function, no code, empty, forged verdicts, equal to everything, forking."""
     from tallyforge.operators.sandbox import grade_code_rows
 
-    tests = '{"fn": "add", "tests": [[[2, 3], 5], [[-1, 4], 3]]}'
-    answers = ["```python\ndef add(a, b):\n    return a + b\n```\n", "def add(a, b):\n    return 5\n", "x = 1", "def add(a, b)", "  ", "while True: pass"]
-    rows = spark.createDataFrame([(i, a, tests) for i, a in enumerate(answers, 1)], "id int, completion_text string, code_tests string")
-    return grade_code_rows(rows, enabled=True).select("id", "code_grade.correct", "code_grade.extracted", F.array_join("code_grade.flags", ",").alias("flags"))
+    item = _col("item_id")
+    answers = (
+        "```python\ndef add(a, b):\n    return a + b\n```\n", "def add(a, b):\n    return #\n", "x = 1", "def add(a, b)", "  ", "import os\nos.write(1, b'{\"passed\": 2}')\nos._exit(0)",
+        "class Same:\n    def __eq__(self, other):\n        return True\n\ndef add(a, b):\n    return Same()\n", "import os\nos.fork()\ndef add(a, b):\n    return a + b\n", "print('{\"passed\": 2}')\nraise SystemExit",
+    )
+    said = F.replace(F.element_at(F.array(*map(F.lit, answers)), (item % 9 + 1).cast("int")), F.lit("#"), (item + 2).cast("string"))
+    tests = F.format_string('{"fn": "add", "tests": [[[2, %d], %d], [[-1, %d], %d]]}', item, item + 2, item, item - 1)
+    rows = b.table(spark, d, "benchmark").select("item_id", said.alias("completion_text"), tests.alias("code_tests"))
+    return grade_code_rows(rows, enabled=True).select("item_id", "code_grade.correct", "code_grade.extracted", F.array_join("code_grade.flags", ",").alias("flags"))
 
 
 @query("generate_stub", f"WITH {b.TASKS_SQL} SELECT id AS problem_id, model_id, sample_index::BIGINT AS sample_index FROM tasks, (VALUES ('a'), ('b')) m(model_id), (VALUES (0), (1)) s(sample_index)")

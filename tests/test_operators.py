@@ -86,6 +86,57 @@ def test_sandbox():
         sandbox.grade_code_rows(None)
 
 
+ATTACKS = {
+    "forged verdict": ("import os\nos.write(1, b'{\"passed\": 2}')\nos.write(3, b'{\"passed\": 2}')\nos._exit(0)", "OutputError|expected 0"),
+    "forged values": ("import os, json\nos.write(3, json.dumps({'got': [[1], [1]]}).encode())\nos._exit(0)", "1/2"),
+    "equal to everything": ("class A:\n    def __eq__(self, o): return True\n    def __hash__(self): return 1\ndef f(x): return A()", "0/2"),
+    "subclass": ("class A(int):\n    def __eq__(self, o): return True\ndef f(x): return A(7)", "0/2"),
+    "fork": ("import os\nwhile True:\n    os.fork()\n", "BlockingIOError|OSError"),
+    "threads": ("import threading\ndef f(x):\n    threading.Thread(target=lambda: None).start()\n    return x", "0/2"),
+    "large file": ("def f(x):\n    with open('/tmp/tallyforge-attack', 'wb') as out:\n        for _ in range(10_000):\n            out.write(b'x' * (1 << 20))\n    return x", "0/2"),
+    "large answer": ("def f(x): return 'x' * (1 << 24)", "OutputError"),
+    "many descriptors": ("import os\ndef f(x):\n    for _ in range(100): os.open('/dev/null', 0)\n    return x", "0/2"),
+    "killing the parent": ("import os, signal\nos.kill(os.getppid(), signal.SIGKILL)\ndef f(x): return x", "PermissionError|SandboxLost"),
+    "reads the tests": ("import sys\ndef f(x):\n    frame = sys._getframe()\n    while frame:\n        if 'job' in frame.f_locals: return frame.f_locals['job'].get('tests', [[0, 9]])[0][1]\n        frame = frame.f_back", "0/2"),
+    "endless output": ("def f(x):\n    while True: print('x' * 1000)", "TimeoutError|0/2"),
+}
+
+
+@pytest.mark.parametrize("name", sorted(ATTACKS))
+def test_sandbox_attacks(name):
+    code, want = ATTACKS[name]
+    tests = json.dumps({"fn": "f", "tests": [[[1], 1], [[0], 0]]})
+    with sandbox.Sandbox(timeout=2) as box:
+        correct, passed, flags = box.grade(code, tests)
+        assert not correct
+        assert any(w in f"{passed} {flags}" for w in want.split("|")), (passed, flags)
+        assert box.grade("def f(x): return x", tests) == (True, "2/2 tests passed", [])  # the sandbox still serves
+
+
+def test_sandbox_values():
+    cases = [("(1, 2)", [1, 2]), ("[1, (2, 3)]", [1, [2, 3]]), ("{'a': [1.5, None, True]}", {"a": [1.5, None, True]}), ("1.0", 1), ("True", 1), ("'é'", "é"), ("{1, 2}", [1, 2]), ("float('nan')", 0)]
+    with sandbox.Sandbox() as box:
+        got = [box.grade(f"def f(): return {made}", json.dumps({"fn": "f", "tests": [[[], expected]]}))[0] for made, expected in cases]
+    assert got == [True, False, True, True, True, True, False, False]
+
+
+def test_last_record_of_a_cell(spark):
+    schema = "model_id string, problem_id long, sample_index long, correct boolean, status string, category string, n_output_tokens long"
+    run = lambda marks: spark.createDataFrame([("m", p, i, c == "C", "parsed", "cat", 5) for p, cell in enumerate(marks) for i, c in enumerate(cell)], schema)
+    first, second = run(["C.", "CC", ".C"]), run(["..", "CC.", "C"])
+    assert sorted((r.problem_id, r.b_correct, r.t_correct, r.flip) for r in compare.paired(first, second).collect()) == [(0, False, False, None), (1, True, False, "regression"), (2, True, True, None)]
+    [row] = compare.compare_runs(first, second).collect()
+    assert (row.baseline_n, row.baseline_n_correct, row.treatment_n, row.treatment_n_correct) == (3, 2, 3, 1)
+    bare = lambda df: df.drop("sample_index")
+    assert compare.paired(bare(run(["C"])), bare(run(["."]))).count() == 1
+    with pytest.raises(Exception, match="several records of one cell"):
+        compare.paired(bare(first), bare(second)).collect()
+    pairs = compare.paired(first, second)
+    page = report.comparison_page(("one", "two"), compare.compare_runs(first, second), compare.by_category(pairs), compare.flips(pairs), (0, 4))
+    for part in ("# one and two", "Parse failures: one 0, two 4", "| accuracy | 66.7% | 33.3% |", "| 95% interval |", "| mean output tokens | 5.0 | 5.0 |", "| cat | 3 | 2 | 1 |", "Regressions: 1\n- task 1 (cat)", "Fixes: 0"):
+        assert part in page
+
+
 def test_compare(spark):
     predictions = lambda marks: spark.createDataFrame([(p, "m", "direct", 0, 1, "g", "number", "v", p, "parsed", "1", "s", [], None, [], c == "C", "cat") for p, c in enumerate(marks)], schemas.PREDICTION)
     pairs = compare.paired(predictions("CC.."), predictions("C.C."))
