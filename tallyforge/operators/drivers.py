@@ -1,20 +1,20 @@
 """End-to-end jobs over run folders: generate, clean up, grade, compare, validate, and the older experiments.
 
 A run folder holds ``config.json``, the log ``generations`` (a file or folder of
-JSONL) and, once graded, the Parquet tables ``predictions`` and
+JSONL, with a folder for each slice that was committed), its lock and plans, and, once graded, the Parquet tables ``predictions`` and
 ``parse_failures`` and the report ``metrics.json``. Only reports, which are
 small aggregates, pass through the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge import schemas
-from tallyforge.operators import compare, grade, metrics, report, runs, validate
+from tallyforge.operators import compare, durable, grade, metrics, report, runs, validate
 from tallyforge.sources import files
 
 PAIRS = (("Tuning, zero-shot", "base_zero_shot", "instruct_zero_shot"), ("Few-shot, base", "base_zero_shot", "base_few_shot"), ("Few-shot, instruct", "instruct_zero_shot", "instruct_few_shot"), ("Best base and best instruct", "base_few_shot", "instruct_zero_shot"))
@@ -25,14 +25,24 @@ def rows_of(df: DataFrame) -> list[dict]:
     return [r.asDict(recursive=True) for r in df.collect()]
 
 
-def generate_run(spark: SparkSession, tasks_path: str, run_dir: str, options: runs.RunOptions, *, ids: Sequence[int] | None = None, adapter: runs.Adapter = runs.echo_adapter, log_exists: bool = False) -> dict:
-    """Generates the cells that the log lacks or has only failures of, appends them and returns the run's counters."""
+def generate_run(
+    spark: SparkSession, tasks_path: str, run_dir: str, options: runs.RunOptions, *, ids: Sequence[int] | None = None, adapter: runs.Adapter = runs.echo_adapter, log_exists: bool | None = None,
+    slice_cells: int = durable.SLICE_CELLS, owner: str | None = None, lease: float = durable.LEASE, after_slice: Callable[[int], None] | None = None,
+) -> dict:
+    """Generates the cells that the log lacks or has only failures of, and returns the run's counters.
+
+    Answers are committed in slices of about ``slice_cells``; a run that ends
+    early keeps them, and the next call generates the rest. One writer at a
+    time: see ``durable.RunLock``. The lock is given back however the run ends.
+    """
     tasks = runs.select_tasks(files.read_tasks(spark, tasks_path), ids)
     path = f"{run_dir}/generations"
-    log = files.read_generations(spark, path) if log_exists else None
-    files.append_jsonl(runs.generate(runs.plan_run(spark, tasks, options, log), options, adapter), path)
-    grid = runs.plan_run(spark, tasks, options)
-    return rows_of(runs.run_summary(grid, files.read_generations(spark, path)))[0]
+    with durable.RunLock(spark, run_dir, owner, lease) as lock:
+        log = files.read_generations(spark, path) if (files.exists(spark, path) if log_exists is None else log_exists) else None
+        n_cells = tasks.count() * len(options.models) * options.n_samples
+        durable.generate_slices(spark, runs.plan_run(spark, tasks, options, log), run_dir, options, lock, n_slices=max(1, -(-n_cells // slice_cells)), adapter=adapter, after_slice=after_slice)
+    written = files.read_generations(spark, path) if files.exists(spark, path) else spark.createDataFrame([], schemas.GENERATION)
+    return rows_of(runs.run_summary(runs.plan_run(spark, tasks, options), written))[0]
 
 
 def clean_log(spark: SparkSession, run_dir: str, *, policy: str = "first") -> tuple[DataFrame, DataFrame]:

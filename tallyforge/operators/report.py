@@ -55,15 +55,16 @@ def comparison_page(names: tuple[str, str], comparison: DataFrame, categories: D
     ``comparison``, ``categories`` and ``flips`` are ``compare.compare_runs``, ``compare.by_category`` and ``compare.flips``.
     """
     first, second = names
-    parts = [f"# {first} and {second}", f"Parse failures: {first} {parse_failures[0]}, {second} {parse_failures[1]}"]
-    by, changed = categories.orderBy("model_id", "category").collect(), flips.orderBy("model_id", "problem_id").collect()
-    for r in comparison.orderBy("model_id").collect():
+    parts = [f"# Comparison of {first} and {second}", f"Parse failures: {first} {parse_failures[0]}, {second} {parse_failures[1]}"]
+    by, changed, models = categories.orderBy("model_id", "category").collect(), flips.orderBy("model_id", "problem_id").collect(), comparison.orderBy("model_id").collect()
+    parts.append(md_table(["Model", first, second, "Points"], [(r["model_id"], f"{r['baseline_n_correct']}/{r['baseline_n']}", f"{r['treatment_n_correct']}/{r['treatment_n']}", f"{r['delta_percentage_points']:+.1f}") for r in models]))
+    for r in models:
         sides = [{c: r[f"{s}_{c}"] for c in ("n", "n_correct", "accuracy", "ci_low", "ci_high", "mean_output_tokens")} for s in ("baseline", "treatment")]
         rows = [
             ("accuracy", *(f"{x['accuracy']:.1%}" for x in sides)), ("95% interval", *(f"{x['ci_low']:.3f}-{x['ci_high']:.3f}" for x in sides)),
             ("correct", *(f"{x['n_correct']}/{x['n']}" for x in sides)), ("mean output tokens", *(x["mean_output_tokens"] for x in sides)),
         ]
-        parts += [f"## {r['model_id']}", f"Change: {r['delta_percentage_points']:+.1f} points", md_table(["", first, second], rows)]
+        parts += [f"## {r['model_id']}", md_table(["", first, second], rows)]
         parts.append(md_table(["Category", "n", first, second], [(c["category"], c["n"], c["baseline_correct"], c["treatment_correct"]) for c in by if c["model_id"] == r["model_id"]]))
         for kind, title in (("regression", "Regressions"), ("fix", "Fixes")):
             found = [f"- task {c['problem_id']} ({c['category']})" for c in changed if c["model_id"] == r["model_id"] and c["flip"] == kind]

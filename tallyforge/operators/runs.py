@@ -115,11 +115,15 @@ def duplicate_counts(log: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def run_summary(grid: DataFrame, log: DataFrame, keys: Sequence[str] = schemas.CELL) -> DataFrame:
-    """expected_records, n_records_written, n_errors and n_records_skipped of a grid and its log."""
-    expected = grid.agg(F.count(F.lit(1)).cast("long").alias("expected_records"))
-    written = log.agg(F.count(F.lit(1)).cast("long").alias("n_records_written"), F.coalesce(F.count_if(~succeeded(F.col("error"))), F.lit(0)).cast("long").alias("n_errors"))
-    todo = resume(grid, log, keys).agg(F.count(F.lit(1)).cast("long").alias("n_missing"))
-    return expected.crossJoin(written).crossJoin(todo)  # one row each
+    """expected_records, n_records_written, n_errors and n_missing of a grid and its log, from one scan of each."""
+    one = F.lit(1).cast("long")
+    per_cell = log.groupBy(*keys).agg(F.count(F.lit(1)).alias("_written"), F.count_if(~succeeded(F.col("error"))).alias("_errors"))
+    both = grid.select(*keys, one.alias("_wanted")).join(per_cell, list(keys), "full")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    lacks = F.coalesce(F.col("_written"), F.lit(0)) == F.coalesce(F.col("_errors"), F.lit(0))
+    return both.agg(
+        total("_wanted").alias("expected_records"), total("_written").alias("n_records_written"), total("_errors").alias("n_errors"), total(F.when(F.col("_wanted").isNotNull() & lacks, one)).alias("n_missing"),
+    )
 
 
 def truncated(n_output: Column, most: Column) -> Column:

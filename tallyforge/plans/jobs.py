@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tallyforge import schemas
 from tallyforge.functions import extract, legacy, prompts, text
-from tallyforge.operators import compare, drivers, grade, report, runs, validate
+from tallyforge.operators import compare, drivers, durable, grade, report, runs, validate
 from tallyforge.plans import bindings as b
 from tallyforge.plans.registry import query
 from tallyforge.sources import files
@@ -505,6 +505,42 @@ def generate_run(spark, d):
     return spark.createDataFrame([(*first.values(), again["n_records_written"])], ", ".join(f"{k} long" for k in [*first, "n_after_resume"]))
 
 
+@query(
+    "generate_resumed",
+    "SELECT 4 * count(*)::BIGINT AS n_records, 4 * count(*)::BIGINT AS n_cells, true AS kept_some, true AS lacked_some, true AS writer_refused, true AS late_writer_refused, 0::BIGINT AS n_missing FROM benchmark",
+)
+def generate_resumed(spark, d):
+    """A run that fails on purpose after its second slice, is resumed, and meets a second and a late writer."""
+    folder = b.new_folder(spark, "resumed")
+    path = _task_document(b.tasks(spark, d), f"{folder}/tasks")
+    options = runs.RunOptions((("a", "raw"), ("b", "chat")), "direct", n_samples=2, do_sample=True, temperature=0.7)
+    total = 4 * b.table(spark, d, "benchmark").count()
+
+    def fail(number: int) -> None:
+        if number >= 1:
+            raise InterruptedError("on purpose")
+
+    def refused(action, error) -> bool:
+        try:
+            action()
+        except error:
+            return True
+        return False
+
+    run = lambda **more: drivers.generate_run(spark, path, folder, options, slice_cells=-(-total // 5), **more)
+    refused(lambda: run(after_slice=fail), InterruptedError)
+    kept = files.read_generations(spark, f"{folder}/generations").count()
+    with durable.RunLock(spark, folder, "late") as late:
+        writer_refused = refused(run, durable.RunLocked)
+        durable.RunLock(spark, folder, "late").claim()  # the same owner, started again
+        late_refused = refused(late.renew, durable.RunFenced)
+    found = run(owner="late")
+    log = files.read_generations(spark, f"{folder}/generations")
+    flags = {"kept_some": kept > 0, "lacked_some": kept < total, "writer_refused": writer_refused, "late_writer_refused": late_refused}
+    counted = log.agg(F.count(F.lit(1)).alias("n_records"), F.count_distinct("model_id", "problem_id", "sample_index").alias("n_cells"))
+    return counted.select("*", *(F.lit(v).alias(k) for k, v in flags.items()), F.lit(found["n_missing"]).cast("long").alias("n_missing"))
+
+
 #: Types of the older experiments' tasks, and the golds given to them here.
 _KINDS = {i: s["type"] for i, s in grade.TASK_SPECS.items()}
 _GOLDS = {"yesno": "yes", "label": "", "name": "Bob", "string": "May 1", "code": "def f"}

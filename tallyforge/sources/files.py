@@ -45,11 +45,11 @@ def log_position() -> Column:
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str, *, position: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(records, lines that are no record); blank lines are neither. With ``position`` the records have a column of that name: see ``log_position``."""
+    """(records, lines that are no record) of a file or of a folder and the folders in it; blank lines are neither. With ``position`` the records have a column of that name: see ``log_position``."""
     schema = f"{schema}, _corrupt_record string"
     placed = [] if position is None else [log_position().alias(position)]
     kept = [] if position is None else [position]
-    lines = spark.read.text(path).select("value", *placed).filter(F.regexp_like("value", F.lit(r"\S")))
+    lines = spark.read.option("recursiveFileLookup", True).text(path).select("value", *placed).filter(F.regexp_like("value", F.lit(r"\S")))
     parsed = lines.select("value", *kept, F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("r"))
     bad = F.col("r._corrupt_record").isNotNull() | F.col("r").isNull()
     return parsed.filter(~bad).select("r.*", *kept).drop("_corrupt_record"), parsed.filter(bad).select("value")

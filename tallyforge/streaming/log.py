@@ -12,7 +12,7 @@ from tallyforge import schemas
 
 def read_log_stream(spark: SparkSession, path: str, schema: str = schemas.GENERATION, *, files_per_trigger: int = 1000) -> DataFrame:
     """Records of a folder of JSONL files as they come; lines that are no record and blank lines are passed over."""
-    lines = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path)
+    lines = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).option("recursiveFileLookup", True).text(path)
     parsed = lines.select(F.from_json("value", f"{schema}, _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("r"))
     return parsed.filter("r IS NOT NULL AND r._corrupt_record IS NULL").select("r.*").drop("_corrupt_record")
 

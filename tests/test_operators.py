@@ -133,7 +133,7 @@ def test_last_record_of_a_cell(spark):
         compare.paired(bare(first), bare(second)).collect()
     pairs = compare.paired(first, second)
     page = report.comparison_page(("one", "two"), compare.compare_runs(first, second), compare.by_category(pairs), compare.flips(pairs), (0, 4))
-    for part in ("# one and two", "Parse failures: one 0, two 4", "| accuracy | 66.7% | 33.3% |", "| 95% interval |", "| mean output tokens | 5.0 | 5.0 |", "| cat | 3 | 2 | 1 |", "Regressions: 1\n- task 1 (cat)", "Fixes: 0"):
+    for part in ("# Comparison of one and two", "Parse failures: one 0, two 4", "| accuracy | 66.7% | 33.3% |", "| 95% interval |", "| mean output tokens | 5.0 | 5.0 |", "| cat | 3 | 2 | 1 |", "Regressions: 1\n- task 1 (cat)", "Fixes: 0"):
         assert part in page
 
 
