@@ -23,6 +23,8 @@ EXTRACTED = "page_id long, url string, text string, n_chars long"
 # and its tag ends at the next >; no quote of that kind follows, so each kind is searched in vain once a page.
 _TAG = re.compile(r"""<!--(?:.*?--!?>|.*\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""", re.DOTALL)
 _ATTRIBUTE = re.compile(r"""([^\s/=>]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"'][^\s>]*+))?+)?+""")
+#: Attributes of a named place that closes itself, as XHTML writes it. Otherwise a slash at the end of a tag means nothing, as in HTML.
+_PLACE = re.compile(r"""\s(?:name|id)\s*=\s*(?:"[^"]*"|'[^']*')\s*/""", re.IGNORECASE)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea xmp iframe noembed noframes".split())
 CUT = frozenset("script style title textarea xmp iframe noembed noframes head nav footer header aside form button select noscript template object embed svg canvas dialog menu audio video map datalist".split())
@@ -31,10 +33,11 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 CLOSES = {t: frozenset(["p"]) for t in "address article aside blockquote center details dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()}
 CLOSES |= {"li": frozenset(["li", "p"]), "dt": frozenset(["dt", "dd", "p"]), "dd": frozenset(["dt", "dd", "p"]), "tr": frozenset(["tr", "td", "th", "p"]), "td": frozenset(["td", "th", "p"]), "th": frozenset(["td", "th", "p"]), "tbody": frozenset(["tr", "td", "th", "thead", "p"]), "body": frozenset(["head"]), "option": frozenset(["option"])}
 SCOPES = frozenset("html body div article section main table ul ol dl td th blockquote nav aside header footer form button".split())
-#: Fixed word lists for classes and ids: boilerplate unless the element is an article or holds most of the text; boilerplate; content, beside which neither counts.
+#: Fixed word lists for classes and ids: boilerplate unless the element is an article or holds most of the text; boilerplate; content; boilerplate inside lines, too.
 ALWAYS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr sidebar nav navbar navigation menu breadcrumb breadcrumbs comment comments disqus share sharing social related recommended newsletter subscribe popup modal pagination pager skip".split())
 UNLESS = frozenset("header footer masthead notice notices widget side rail toolbar login signup alert form replies respond overlay meta tags byline".split())
 CONTENT = frozenset("article body content entry main post story text page".split())
+ALWAYS_INLINE = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner share sharing social newsletter subscribe breadcrumb breadcrumbs".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 #: Words of a class or id after which its other words tell what an element has or lacks, not what it is.
 HAVING = frozenset("has no with without".split())
@@ -46,26 +49,42 @@ REACH = 5
 
 
 class Node:
-    __slots__ = ("children", "cut", "doubtful", "inline", "links", "main", "parent", "points", "size", "tag")
+    __slots__ = ("children", "cut", "doubtful", "inline", "links", "main", "named", "parent", "points", "size", "tag")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent = tag, parent
         self.children: list[Node | str] = []
         self.cut, self.inline, self.main = tag in CUT, tag in INLINE, tag in ("article", "main")
-        self.doubtful = False
+        self.doubtful = self.named = False
         self.points = 0.0
         self.size = self.links = 0
 
 
+def _judge(words: list[str]) -> str:
+    """What one class or id says by its last word, or by the others if that says nothing: cut, named (boilerplate), doubtful, content or nothing."""
+    last, rest = words[-1], set(words)
+    if last in UNLESS or not rest & (ALWAYS | CONTENT) and rest & UNLESS:
+        return "cut"
+    if last in ALWAYS:
+        return "named"
+    if rest & ALWAYS or last in CONTENT and rest & UNLESS:
+        return "doubtful"
+    return "content" if rest & CONTENT else ""
+
+
 def _describe(node: Node, attributes: str) -> None:
     """Marks a node as boilerplate or as the main element by its attributes."""
-    words: set[str] = set()
+    said: set[str] = set()
+    inline = False
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name in ("class", "id"):
             for one in re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "-", m[2] or m[3] or m[4] or "").lower().split():
                 own = re.findall(r"[a-z]+", one)
-                words.update(own[: next((i for i, w in enumerate(own) if w in HAVING), None)])
+                own = own[: next((i for i, w in enumerate(own) if w in HAVING), None)]
+                if own:
+                    said.add(_judge(own))
+                    inline |= own[-1] in ALWAYS_INLINE
         elif name == "role":
             node.cut |= value.strip() in ROLES
             node.main |= value.strip() == "main"
@@ -73,9 +92,13 @@ def _describe(node: Node, attributes: str) -> None:
             node.cut = True
         elif name == "itemprop":
             node.main |= value == "articlebody"
-    if words and not node.inline and not words & CONTENT:
-        node.cut |= bool(words & UNLESS)
-        node.doubtful = bool(words & ALWAYS) and not node.main
+    if node.inline:
+        node.cut |= inline and "content" not in said
+    elif "content" not in said:
+        node.cut |= "cut" in said
+        node.doubtful, node.named = bool(said & {"named", "doubtful"}) and not node.main, "named" in said
+    else:  # beside a name of content, the score decides on one of boilerplate
+        node.doubtful = bool(said & {"cut", "named", "doubtful"}) and not node.main
 
 
 def parse(page: str) -> Node:
@@ -133,7 +156,7 @@ def parse(page: str) -> Node:
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.IGNORECASE).search(page, at)
             at = end.end() if end else len(page)
-        elif tag not in VOID and not attributes.endswith("/"):
+        elif tag not in VOID and not (tag == "a" and _PLACE.fullmatch(attributes)):
             if tag in SCOPES:
                 scopes.append((len(stack), {}))
             else:
@@ -193,11 +216,12 @@ def _own_texts(root: Node) -> Iterator[tuple[Node, bool, str, str]]:
         yield x, False, *(" ".join("".join(parts).split()) for parts in both)
 
 
-def _settle(root: Node) -> None:
+def _settle(root: Node) -> dict[int, float]:
     """Cuts the elements that words of ALWAYS name, except where one holds most of the page's paragraph points: the score decides on it.
 
-    Inside a marked article it must hold nearly all, because the score takes a marked article whole.
-    Points are those of blocks of 25 characters or more, links not counted.
+    Inside a marked article it must hold nearly all, because the score takes a marked article whole; all, if its name
+    ends in a word of boilerplate. Points are those of blocks of 25 characters or more, links not counted; returns them
+    by node.
     """
     doubtful: list[tuple[Node, Node | None]] = []  # with the marked article around it
     mains: list[Node] = []
@@ -218,7 +242,8 @@ def _settle(root: Node) -> None:
         clean[id(node)] = own + sum(clean[id(c)] for c in inside if not c.doubtful)
     for node, article in doubtful:
         most = held[id(node)] > 0.5 * held[id(root)]
-        node.cut = not most or article is not None and clean[id(article)] > 0.1 * held[id(node)]
+        node.cut = not most or article is not None and clean[id(article)] > (0.0 if node.named else 0.1 * held[id(node)])
+    return held
 
 
 def _points(own: str) -> float:
@@ -226,16 +251,18 @@ def _points(own: str) -> float:
 
 
 def _score(root: Node) -> list[Node]:
-    """Sums sizes and links, cuts lists of links, gives points; returns the containers that got some and are not inside a cut element."""
+    """Sums sizes and links, cuts lists of links (in a marked article those of links alone), gives points; returns the containers that got some and are not inside a cut element."""
     scored: dict[int, Node] = {}
     anchors: dict[int, int] = {}
+    mains = 0
     for node, first, own, _ in _own_texts(root):
+        mains += node.main if first else -node.main
         if first:
             continue
         node.size = sum(len(c.strip()) if isinstance(c, str) else 0 if c.cut else c.size for c in node.children)
         node.links = node.size if node.tag == "a" else sum(c.links for c in node.children if isinstance(c, Node) and not c.cut)
         n_links = anchors[id(node)] = (node.tag == "a") + sum(anchors.get(id(c), 0) for c in node.children if isinstance(c, Node) and not c.cut)
-        if node.tag in LISTS and n_links >= 3 and node.links > 0.7 * node.size:
+        if node.tag in LISTS and n_links >= 3 and node.links > (0.95 if mains else 0.7) * node.size:
             node.cut = True
             continue
         if own:
@@ -254,19 +281,54 @@ def _density(node: Node) -> float:
     return node.links / node.size if node.size else 0.0
 
 
+def _whole_article(around: list[Node], held: dict[int, float]) -> Node:
+    """Of marked elements inside each other the nearest, unless an outer one holds more of the same text.
+
+    That is an article around a marked part of it, an article with a fifth as
+    much text outside the inner one, and a main element with other articles of
+    a fifth as much.
+    """
+    chosen = around[0]
+    for outer in around[1:]:
+        own = held.get(id(chosen), 0.0)
+        if outer.tag == "article":
+            more = chosen.tag != "article" or held.get(id(outer), 0.0) - own >= 0.2 * own
+        else:
+            more = sum(held.get(id(x), 0.0) for x in _articles(outer) if x is not chosen) >= max(0.2 * own, 1.0)
+        if more:
+            chosen = outer
+    return chosen
+
+
+def _articles(node: Node) -> Iterator[Node]:
+    """The outermost articles in a node."""
+    stack = [c for c in node.children if isinstance(c, Node)]
+    while stack:
+        x = stack.pop()
+        if x.cut:
+            continue
+        if x.tag == "article":
+            yield x
+        else:
+            stack.extend(c for c in x.children if isinstance(c, Node))
+
+
 def _chosen(root: Node) -> list[Node]:
     """The best container and the siblings kept, in page order."""
-    _settle(root)
+    held = _settle(root)
     containers = _score(root)
     if not containers:
         return [root]
     value = {id(c): c.points * (1 - _density(c)) for c in containers}
     best = max(containers, key=lambda c: value[id(c)])
+    around: list[Node] = []  # marked elements around the best container, the nearest first
     up: Node | None = best
-    while up is not None:  # a marked article is the whole of it, whichever section of it is best
+    while up is not None:
         if up.main:
-            return [up]
+            around.append(up)
         up = up.parent
+    if around:  # a marked article is the whole of it, whichever section of it is best
+        return [_whole_article(around, held)]
     # an article or main element that holds all but a little of the points is the container, too
     marked = [c for c in containers if c.main and value[id(c)] >= 0.5 * value[id(best)]]
     if len(marked) == 1:

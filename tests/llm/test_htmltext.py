@@ -59,6 +59,66 @@ def test_containers_named_like_boilerplate(tag):
     assert htmltext.main_text(f"<article><h1>T</h1><div class=share-wrap><p>{P[0]}</p><p>{P[1]}</p></div></article>") == f"T {P[0]} {P[1]}"
 
 
+@pytest.mark.parametrize("name", ["article-comments", "post-comments", "entry-footer", "text-ad", "story-promo", "entryFooter", "page-sidebar", "content-nav", "post-share", "article_newsletter", "comments", "main-menu", "text-widget", "post ad-slot"])
+def test_boilerplate_with_a_word_of_content(name):
+    """The last word of a class or id says what an element is."""
+    for tag in ("div", "section"):
+        for attribute in ("class", "id"):
+            more = f"<{tag} {attribute}='{name}'><p>{P[2]}</p><p>{P[3]}</p><p>{P[4]}</p></{tag}>"
+            assert htmltext.main_text(f"<article><p>{P[0]}</p>{more}<p>{P[1]}</p></article>") == f"{P[0]} {P[1]}"
+            assert htmltext.main_text(f"<body><div class=content><p>{P[0]}</p><p>{P[5]}</p><p>{P[6]}</p>{more}<p>{P[1]}</p></div></body>") == f"{P[0]} {P[5]} {P[6]} {P[1]}"
+
+
+def test_many_comments_in_an_article():
+    comments = "".join(f"<p>{prose(i, 60)}, yes.</p>" for i in range(60))
+    assert htmltext.main_text(f"<article><h1>T</h1><p>{P[0]}</p><div class=post-comments>{comments}</div></article>") == f"T {P[0]}"
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<article><p>{P[0]} <span class=ad>buy it</span> {P[1]}</p></article>", f"{P[0]} {P[1]}"), (f"<article><p>{P[0]} <b id=text-ad>buy</b></p></article>", P[0]),
+        (f"<article><pre>x = 1 <span class=comment># one</span></pre><p>{P[0]}</p></article>", f"x = 1 # one {P[0]}"), (f"<article><p>{P[0]}</p><p>File, <span class=menu>Open</span></p></article>", f"{P[0]} File, Open"),
+        (f"<article><p>{P[0]}</p><aside/>{P[1]}</aside><p>{P[2]}</p></article>", f"{P[0]} {P[2]}"), (f"<article><p>{P[0]}<br/>x<hr/></p><p/>{P[1]}</article>", f"{P[0]} x {P[1]}"),
+        (f"<article><p><a name='top'/>{P[0]}</p><p>{P[1]}</p></article>", f"{P[0]} {P[1]}"), (f"<body><div><p>{P[0]}</p><p>{P[1]}</p></div><div><p><a href=/c/>{P[2]}</a></p></div>", f"{P[0]} {P[1]}"),
+        (f"<main><h1>T</h1><article><p>{P[0]}</p><p>{P[1]}</p></article><article><p>{P[2]}</p></article><div class=sidebar><p>{P[3]}</p></div></main>", f"T {P[0]} {P[1]} {P[2]}"),
+        (f"<article><p>{P[0]}</p><article><h2>S</h2><p>{P[1]}</p><p>{P[2]}</p></article></article>", f"{P[0]} S {P[1]} {P[2]}"),
+        (f"<article><h1>T</h1><div itemprop=articleBody><p>{P[0]}</p></div></article>", f"T {P[0]}"),
+        (f"<article><p>{P[0]}</p><ul><li><a href=x>one</a>: {P[1]}</li><li><a href=y>a longer link than its text</a> ok</li><li><a href=z>three of them</a></li></ul></article>", f"{P[0]} one: {P[1]} a longer link than its text ok three of them"),
+        (f"<main><article><p>{P[0]}</p><p>{P[1]}</p><p>{P[2]}</p><p>{P[3]}</p><p>{P[4]}</p><p>{P[5]}</p></article><article>next</article></main>", f"{P[0]} {P[1]} {P[2]} {P[3]} {P[4]} {P[5]}"),
+    ],
+)
+def test_lines_slashes_and_several_articles(page, want):
+    assert htmltext.main_text(page) == want
+
+
+def test_random_pages_with_hidden_truth():
+    """Pages put together of article blocks and boilerplate under many names: all of the article comes out and nothing else."""
+    import random
+
+    boilerplate = ["nav", "footer", "aside", "form", "header"]
+    classes = ["sidebar", "article-comments", "entry-footer", "post-share", "promo", "text-ad", "comments", "page-footer", "newsletter", "main-nav", "cookie-notice", "ad-slot", "comment-list"]
+    for seed in range(300):
+        rng = random.Random(seed)
+        truth: list[str] = []
+
+        def block(truth=truth, rng=rng):
+            text = prose(rng.randrange(10**6), rng.randrange(12, 60)) + ", so."
+            truth.append(text)
+            return rng.choice([f"<p>{text}</p>", f"<p>{text}", f"<div><p>{text}</p></div>", f"<blockquote>{text}</blockquote>", f"<section class=post-text><p>{text}</p></section>"])
+
+        def noise(rng=rng):
+            text = "".join(f"<p>{prose(rng.randrange(10**6), rng.randrange(3, 40))}</p>" for _ in range(rng.randrange(1, 4)))
+            if rng.random() < 0.4:
+                tag = rng.choice(boilerplate)
+                return f"<{tag}>{text}</{tag}>"
+            return f"<div {rng.choice(['class', 'id'])}='{rng.choice(classes)}'>{text}</div>"
+
+        body = "".join(noise() if rng.random() < 0.3 else block() for _ in range(rng.randrange(3, 12))) + block()
+        page = "".join(noise() for _ in range(rng.randrange(3))) + rng.choice(["<article>{}</article>", "<main>{}</main>", "<main><article>{}</article></main>", "<div role=main>{}</div>"]).format(body) + "".join(noise() for _ in range(rng.randrange(3)))
+        assert htmltext.main_text(f"<html><body>{page}</body></html>") == " ".join(truth), (seed, page)
+
+
 def test_unpaired_quotes():
     """Quotes that are not right after an equals sign open nothing; unpaired ones take linear time."""
     import time
