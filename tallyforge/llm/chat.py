@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,44 +77,31 @@ def fold(events: Iterable[tuple[str, object, str | None, str | None]]) -> list[t
 
     An event on a message that was never started starts it; unknown kinds are errors.
     """
-    order: list[object] = []
-    roles: dict[object, str] = {}
-    texts: dict[object, list[str]] = {}
+    messages: dict[object, tuple[str, list[str]]] = {}  # in order; each event takes time for its own message and those that it ends
     for kind, turn, role, text in events:
-        if turn not in texts or kind == "start":
-            if turn in texts:
-                order.remove(turn)
-            order.append(turn)
-            roles[turn], texts[turn] = role or "", []
+        if turn not in messages or kind == "start":
+            messages.pop(turn, None)
+            messages[turn] = role or "", []
+        said = messages[turn][1]
         if kind == "delta":
-            texts[turn].append(text or "")
+            said.append(text or "")
         elif kind == "edit":
-            texts[turn] = [text or ""]
-            for later in order[order.index(turn) + 1 :]:
-                del roles[later], texts[later]
-            del order[order.index(turn) + 1 :]
+            said[:] = [text or ""]
+            while next(reversed(messages)) != turn:
+                messages.popitem()
         elif kind == "regenerate":
-            texts[turn] = []
+            said.clear()
         elif kind == "remove":
-            order.remove(turn)
-            del roles[turn], texts[turn]
+            del messages[turn]
         elif kind != "start":
             raise ValueError(f"unknown kind of event: {kind}")
-    return [(roles[t], "".join(texts[t])) for t in order]
+    return [(role, "".join(said)) for role, said in messages.values()]
 
 
 def _fold_partition(rows: Iterator[tuple]) -> Iterator[tuple]:
-    """Rows (conv_id, kind, turn, role, text), sorted: one conversation is held at a time."""
-    held: list[tuple] = []
-    now: object = None
-    for conv, *event in rows:
-        if held and conv != now:
-            yield now, *render(fold(held))
-            held = []
-        now = conv
-        held.append(event)
-    if held:
-        yield now, *render(fold(held))
+    """Rows (conv_id, kind, turn, role, text), sorted: folded as they come, the messages of one conversation are held at a time."""
+    for conv, events in groupby(rows, key=lambda row: row[0]):
+        yield conv, *render(fold(row[1:] for row in events))
 
 
 def format_conversations(events: DataFrame) -> DataFrame:

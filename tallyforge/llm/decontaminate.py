@@ -398,8 +398,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     without punctuation at their ends. The windows searched start at every
     word; words are counted from 0, end exclusive.
 
-    Null, empty and white-space texts, of documents or items, have no words and
-    no rows; items of one word are found exactly; repeated items and rows give
+    Very long texts are searched whole, each in one task whose memory grows
+    with the text. Null, empty and white-space texts, of documents or items,
+    have no words and no rows; items of one word are found exactly; repeated items and rows give
     repeated rows; null ids are kept; either table may be empty; other columns
     are not read. Items go to executors in parts of bounded size; a larger
     benchmark means more passes over the documents.
@@ -441,8 +442,8 @@ def _parts(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents in which no benchmark item is found (see ``find_leaks``), with all their columns, in one pass and without a shuffle.
 
-    Null and empty texts, null ids and repeated rows stay as they are; either
-    table may be empty; no column is added, so none can clash.
+    Very long texts are searched whole, each in one task. Null and empty texts,
+    null ids and repeated rows stay as they are; either table may be empty; no column is added, so none can clash.
     """
     import pyarrow as pa
 

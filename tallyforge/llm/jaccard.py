@@ -319,7 +319,8 @@ def join_ngrams(docs: DataFrame, *, target_recall: float = TARGET_RECALL) -> Dat
 
     Null and empty texts and texts of white space have no shingles and are
     copies of each other; texts of one to four words have one shingle of all
-    words. Null ids are passed over in class_id unless a class has no other.
+    words; very long texts are read whole, and their set of shingles is one
+    row. Null ids are passed over in class_id unless a class has no other.
     Empty tables give no rows; other columns are not read.
     """
     depth = matched_depth(target=target_recall)
@@ -373,7 +374,8 @@ def keep_firsts(docs: DataFrame, joined: DataFrame) -> DataFrame:
     """The documents that stand for their class in ``joined``, one row each, with all their columns.
 
     ``joined`` is ``join_ngrams`` of the same documents. Of rows equal in id
-    and text one stays, whatever its other columns are; a null id is an id, a
+    and text one stays, whatever its other columns are; very long texts move as
+    rows like others; a null id is an id, a
     null text an empty one; an empty table stays empty; names of columns that
     are used inside are chosen so that none clashes.
     """

@@ -178,9 +178,14 @@ def content_key(span: str) -> str:
     return _digits(span)[-10:]
 
 
+#: Longest content, in characters, that has links to contents one edit apart: an address's local part has 64 at most, and the keys of one
+#: content take the square of its length in memory. Longer ones have links to equal contents only.
+LONGEST_NEAR = 64
+
+
 def left_without(key: str) -> set[str]:
     """A content key and what is left of it without one character: keys one edit apart have one of these in common. Short and very long keys have none."""
-    return {key, *(key[:i] + key[i + 1 :] for i in range(len(key)))} if LEAST_DIGITS <= len(key) <= 64 else set()
+    return {key, *(key[:i] + key[i + 1 :] for i in range(len(key)))} if LEAST_DIGITS <= len(key) <= LONGEST_NEAR else set()
 
 
 @dataclass(frozen=True)
@@ -420,7 +425,8 @@ def masked(text: str, spans: list[Span]) -> str:
 def mask_personal_data(docs: DataFrame, field: Field) -> DataFrame:
     """The documents with personal data masked in ``text`` and ``n_chars`` counted anew where that column exists.
 
-    Null texts stay with what ``n_chars`` they have; empty texts, null ids and
+    Very long texts are searched whole, each in one task. Null texts stay with
+    what ``n_chars`` they have; empty texts, null ids and
     repeated rows are rows like others; an empty table stays empty; no column
     is added, so none can clash.
     """

@@ -290,8 +290,9 @@ def judge_quality(docs: DataFrame, model: LineModel, *, min_content: float = MIN
 def keep_quality(docs: DataFrame, model: LineModel, *, min_content: float = MIN_CONTENT) -> DataFrame:
     """The documents that are kept (see ``judge_quality``), with all their columns, in one pass and without a shuffle.
 
-    Null and empty texts go; null ids and repeated rows are judged row by row;
-    an empty table stays empty; no column is added, so none can clash.
+    Null and empty texts go; very long texts are labelled whole, line by line,
+    each in one task; null ids and repeated rows are judged row by row; an
+    empty table stays empty; no column is added, so none can clash.
     """
     import pyarrow as pa
 

@@ -52,8 +52,9 @@ def judge_urls(pages: DataFrame, rules: DataFrame, *, default: str = "allow", br
     host and path together wins, then the longer host, then the action and
     rule text in order.
 
-    Null urls and urls without ``://`` have empty host and path and so meet no
-    rule with a host; null page_ids are kept; repeated rows each get a verdict;
+    Very long urls are read whole: each is expanded only to as many labels and
+    lengths of paths as rules have. Null urls and urls without ``://`` have
+    empty host and path and so meet no rule with a host; null page_ids are kept; repeated rows each get a verdict;
     empty tables and an empty rule table work; other columns are not read.
     Repeated urls are judged once: the rows then fetch the verdict by
     (host, path), where adaptive execution splits a frequent pair.

@@ -108,3 +108,15 @@ def test_turn_rows(spark):
     events = chat.events_of_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
     got = {r.conv_id: chat.parse(r.formatted) for r in chat.format_conversations(events).collect()}
     assert got == {1: [("user", ""), ("assistant", long), ("", "same"), ("", "same")], None: [("user", "n")]}
+
+
+def test_many_events_on_many_messages():
+    """Starts, edits and removals take time in proportion to the events."""
+    import time
+
+    began = time.perf_counter()
+    n = 100_000
+    events = [("start", i, "user", None) for i in range(n)] + [("delta", i, None, "x") for i in range(n)] + [("remove", i, None, None) for i in range(0, n, 2)] + [("edit", i, None, "y") for i in range(n - 1, 0, -2)]
+    assert chat.fold(events) == [("user", "y")]
+    assert chat.fold(events[: 2 * n]) == [("user", "x")] * n
+    assert time.perf_counter() - began < 10
