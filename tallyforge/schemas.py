@@ -30,8 +30,5 @@ PREDICTION = (
 )
 PREDICTION_FILE = f"graded_utc string, extraction_version string, n long, predictions array<struct<{PREDICTION.replace(', ', ',').replace(' ', ':')}>>"
 CELL = ("benchmark_version", "model_id", "condition", "problem_id", "sample_index")
-ABLATION_FILE = (
-    "metadata map<string,string>, tasks array<struct<task_id:long,category:string,difficulty:string,gold_answer:string,"
-    "conditions:map<string,struct<user_prompt:string,samples:array<struct<seed:long,output:string>>>>>>"
-)
+ABLATION_TASK = "task_id long, category string, difficulty string, gold_answer string, conditions map<string,struct<user_prompt:string,samples:array<struct<seed:long,output:string>>>>"
 OVERRIDES = "task_id long, condition string, correct boolean, reason string"

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge import schemas
+from tallyforge.sources import documents
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -18,13 +19,12 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 def read_tasks(spark: SparkSession, path: str) -> DataFrame:
     """The tasks of a task file, one row each, with the file's version."""
-    whole = spark.read.schema(schemas.TASK_FILE).option("multiLine", True).json(path)
-    return whole.select(F.col("version").alias("benchmark_version"), F.explode("prompts").alias("t")).select("benchmark_version", "t.*")
+    return documents.read_objects(spark, path, schemas.TASK, key="prompts", head="version string").withColumnRenamed("version", "benchmark_version")
 
 
 def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A file that is one array of objects."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+    """A file that is one array of objects, of any size: see ``documents``."""
+    return documents.read_objects(spark, path, schema)
 
 
 def read_outputs_wide(spark: SparkSession, path: str) -> DataFrame:
@@ -90,8 +90,7 @@ def read_predictions_or_none(spark: SparkSession, path: str) -> DataFrame:
     """As ``read_predictions``; a missing file gives no rows."""
     if not exists(spark, path):
         return spark.createDataFrame([], schemas.PREDICTION)
-    whole = spark.read.schema(schemas.PREDICTION_FILE).option("multiLine", True).json(path)
-    return whole.select(F.explode("predictions").alias("p")).select("p.*")
+    return documents.read_objects(spark, path, schemas.PREDICTION, key="predictions")
 
 
 def count_parse_failures(spark: SparkSession, path: str) -> int:
@@ -117,8 +116,8 @@ def read_overrides(spark: SparkSession, path: str) -> DataFrame:
 
 def read_ablation(spark: SparkSession, path: str, *, all_samples: bool = False) -> DataFrame:
     """Ablation outputs as rows (task_id, category, difficulty, gold_answer, condition, sample_index, seed, output); by default the first sample of each cell."""
-    whole = spark.read.schema(schemas.ABLATION_FILE).option("multiLine", True).json(path).select(F.explode("tasks").alias("t"))
-    cells = whole.select("t.task_id", "t.category", "t.difficulty", "t.gold_answer", F.explode("t.conditions").alias("condition", "c"))
+    tasks = documents.read_objects(spark, path, schemas.ABLATION_TASK, key="tasks")
+    cells = tasks.select("task_id", "category", "difficulty", "gold_answer", F.explode("conditions").alias("condition", "c"))
     rows = cells.select("task_id", "category", "difficulty", "gold_answer", "condition", F.posexplode("c.samples").alias("sample_index", "s"))
     kept = rows if all_samples else rows.filter("sample_index = 0")
     return kept.select("task_id", "category", "difficulty", "gold_answer", "condition", F.col("sample_index").cast("long").alias("sample_index"), "s.seed", "s.output")
