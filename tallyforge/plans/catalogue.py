@@ -284,6 +284,18 @@ def mcnemar(spark, d):
     return g.withColumn("p", stats.mcnemar_exact_p(_col("x"), _col("y")))
 
 
+@query(
+    "mcnemar_large",
+    """WITH g AS (SELECT p_brand, 100000 + 7 * count(*) FILTER (WHERE p_size <= 20)::BIGINT AS x, 100000 + 7 * count(*) FILTER (WHERE p_size > 28)::BIGINT AS y FROM part GROUP BY 1),
+      terms AS (SELECT p_brand, x, y, least(x, y) AS k, x + y AS n, unnest(range(least(x, y) - 20000, least(x, y) + 1)) AS i FROM g)
+      SELECT p_brand, x, y, round(CASE WHEN x = y THEN 1 ELSE least(1, 2 * sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2::DOUBLE)))) END, 4) AS p FROM terms GROUP BY 1, 2, 3""",
+)
+def mcnemar_large(spark, d):
+    """Hundreds of thousands of discordant pairs: the same work as for a few."""
+    g = b.table(spark, d, "part").groupBy("p_brand").agg((100_000 + 7 * F.count_if(_col("p_size") <= 20)).cast("long").alias("x"), (100_000 + 7 * F.count_if(_col("p_size") > 28)).cast("long").alias("y"))
+    return g.withColumn("p", stats.mcnemar_exact_p(_col("x"), _col("y")))
+
+
 @query(
     "pairwise_conditions",
     f"""WITH {b.CELLS_SQL}, p AS (SELECT a.condition || '__vs__' || b.condition AS pair, count(*) FILTER (WHERE a.final_correct AND NOT b.final_correct)::BIGINT AS x, count(*) FILTER (WHERE b.final_correct AND NOT a.final_correct)::BIGINT AS y

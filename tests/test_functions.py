@@ -153,6 +153,40 @@ def test_wilson_and_mcnemar(spark):
         assert row["p"] == pytest.approx(exact, abs=6e-5), (b, c)
 
 
+def test_mcnemar_of_any_size(spark):
+    import math
+    from fractions import Fraction
+
+    def exact(b, c):
+        n, k = b + c, min(b, c)
+        return float(min(Fraction(1), Fraction(2 * sum(math.comb(n, i) for i in range(k + 1)), 2**n))) if n else 1.0
+
+    def summed(b, c):  # terms from the largest down, by their logarithms
+        n, k = b + c, min(b, c)
+        log = lambda i: math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) - n * math.log(2)
+        return min(1.0, 2 * math.fsum(math.exp(log(i)) for i in range(max(0, k - 40_000), k + 1)))
+
+    rng = random.Random(2)
+    small = [(b, c) for b in range(22) for c in range(22)] + [(rng.randrange(60), rng.randrange(2000)) for _ in range(60)]
+    middle = [(2500 + d, 2700 - d) for d in range(0, 260, 20)] + [(0, 5200), (1, 5199), (40, 5000), (2000, 3200)]
+    large = [(500_000 - d, 500_000 + d) for d in (1, 10, 300, 900, 1500, 3000)] + [(100_000, 101_000)]
+    pairs = small + middle + large
+    got = [r["p"] for r in values(spark, pairs, "b long, c long", p=stats.mcnemar_exact_p(F.col("b"), F.col("c"), None))]
+    for (b, c), p in zip(pairs, got, strict=True):
+        want = (summed if b + c > 6000 else exact)(b, c)
+        assert p == pytest.approx(want, abs=1e-9), (b, c)
+        if b + c <= 6000 and want > 1e-290:
+            assert p == pytest.approx(want, rel=1e-9), (b, c)
+    # around the middle of a thousand million pairs the normal curve is exact to eight places
+    n = 1_000_000_000
+    cases = [(n // 2 - int(z * math.sqrt(n) / 2), n // 2 + int(z * math.sqrt(n) / 2)) for z in (0.1, 0.5, 1.0, 2.0, 3.0, 5.0)]
+    got = [r["p"] for r in values(spark, cases, "b long, c long", p=stats.mcnemar_exact_p(F.col("b"), F.col("c"), None))]
+    for (b, c), p in zip(cases, got, strict=True):
+        assert p == pytest.approx(math.erfc((c - b - 1) / math.sqrt(2 * (b + c))), rel=1e-7)
+    [row] = values(spark, [(None, 3)], "b long, c long", p=stats.mcnemar_exact_p(F.col("b"), F.col("c")))
+    assert row["p"] is None
+
+
 def test_legacy_numbers(spark):
     rows = [("answer is 5, no, answer is 6",), ("so **about 7 kg** and = 9",), ("a = 3 b = 4, 8",), ("1 2 3",), ("none",), ("Answer: 12 then 13",)]
     got = values(spark, rows, "t string", final=legacy.number_final(F.col("t")), first=legacy.number_completion(F.col("t")))
