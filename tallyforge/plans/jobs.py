@@ -615,3 +615,24 @@ def stream_first(spark, d):
     rows = spark.readStream.schema(events.schema).parquet(f"{folder}/log").select(_col("user_id").alias("problem_id"), _col("event_type").alias("condition"), "event_id", "value")
     streams.run_available(streams.first_in_log(rows, ["problem_id", "condition"], "event_id"), f"{folder}/out", f"{folder}/checkpoint")
     return spark.read.parquet(f"{folder}/out").select("problem_id", "condition", "event_id", "value")
+
+
+@query(
+    "stream_cells",
+    """SELECT user_id, event_type, event_id, CASE WHEN event_id % 3 = 0 THEN 'failed' ELSE 'succeeded' END AS status FROM events
+      QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id % 3 = 0, event_id) = 1""",
+)
+def stream_cells(spark, d):
+    """A log whose records come in three batches out of order: for each cell the first success, else the first failure, once the delay is over."""
+    from tallyforge.streaming import log as streams
+
+    folder = b.new_folder(spark, "cells")
+    events = b.table(spark, d, "events").select("user_id", "event_type", "event_id", F.when(_col("event_id") % 3 == 0, "failed").alias("error"))
+    batch = lambda number: events.filter(_col("event_id") % 5 % 3 == 2 - number).withColumn("arrived", F.timestamp_seconds(F.lit(1_700_000_000 + 60 * number)))
+    last = spark.range(1).select(F.lit(None).cast("long").alias("user_id"), F.lit("end").alias("event_type"), F.lit(0).cast("long").alias("event_id"), F.lit(None).cast("string").alias("error"), F.timestamp_seconds(F.lit(1_700_100_000)).alias("arrived"))
+    schema = batch(0).schema
+    for part in (batch(0), batch(1), batch(2), last):  # the last record moves the watermark past all others
+        part.write.mode("append").parquet(f"{folder}/log")
+        stream = spark.readStream.schema(schema).parquet(f"{folder}/log")
+        streams.run_cells(streams.cell_stream(stream, ["user_id", "event_type"], "event_id", "arrived", policy="prefer_success", delay="1 hour"), f"{folder}/out", f"{folder}/checkpoint")
+    return spark.read.schema("user_id long, event_type string, event_id long, status string").parquet(f"{folder}/out").select("user_id", "event_type", "event_id", "status")

@@ -1,4 +1,4 @@
-"""The generation log as a stream: tolerant reading, first-wins deduplication, grading as it arrives."""
+"""The generation log as a stream: tolerant reading, deduplication, cells with state and timers, grading as it arrives."""
 
 from __future__ import annotations
 
@@ -6,8 +6,10 @@ from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from tallyforge import schemas
+from tallyforge.shipping import ship
 
 
 def read_log_stream(spark: SparkSession, path: str, schema: str = schemas.GENERATION, *, files_per_trigger: int = 1000) -> DataFrame:
@@ -59,3 +61,92 @@ def grade_stream(stream: DataFrame, grade: Callable[[DataFrame], DataFrame], pat
         grade(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     run_available(stream, path, checkpoint, each=write)
+
+
+class _Cell(StatefulProcessor):
+    """One cell of a run: its best record while it is open, then only that it is decided, until that is forgotten.
+
+    Timers stand on event time. The first record of a cell sets one at its own
+    time, which the watermark passes after the allowed delay; the decision sets
+    another, after which nothing of the cell is left.
+    """
+
+    def __init__(self, policy: str, keep_ms: int):
+        self.policy, self.keep_ms = policy, keep_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.best = handle.getValueState("best", "succeeded boolean, position long, body string")
+        self.decided = handle.getValueState("decided", "succeeded boolean")
+
+    def _rank(self, record: tuple) -> tuple:
+        succeeded, position, _ = record
+        return (self.policy == "prefer_success" and not succeeded, position)
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+        if self.decided.exists():
+            return iter(())
+        # by place, as names are lost on the way: the last four are time in milliseconds, succeeded, position and body
+        found = [row for frame in rows for row in zip(*(frame.iloc[:, i] for i in range(-4, 0)), strict=True)]
+        records = [(bool(s), int(p), b) for _, s, p, b in found]
+        if self.best.exists():
+            records.append(self.best.get())
+        else:
+            self.handle.registerTimer(int(min(row[0] for row in found)) + 1)
+        self.best.update(min(records, key=self._rank))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+        import pandas as pd
+
+        if not self.best.exists():
+            self.decided.clear()
+            return
+        succeeded, _, body = self.best.get()
+        self.best.clear()
+        self.decided.update((succeeded,))
+        self.handle.registerTimer(expiredTimerInfo.getExpiryTimeInMs() + self.keep_ms)
+        yield pd.DataFrame({"_body": [body], "status": ["succeeded" if succeeded else "failed"]})
+
+    def close(self) -> None:
+        pass
+
+
+def cell_stream(stream: DataFrame, keys: Sequence[str], position: str, arrival: str, *, policy: str = "first", delay: str = "1 hour", keep_seconds: int = 7 * 86_400, error: str = "error") -> DataFrame:
+    """The record that stands for each cell, with its ``status`` (succeeded or failed), once the watermark has passed the cell's first record by ``delay``.
+
+    ``policy`` is as in ``operators.runs.dedup``: ``first`` takes the least
+    ``position`` (a whole number), ``prefer_success`` the least of those
+    without an error if there is one. Within the delay the records of a cell
+    may come in any order and in any number of batches, and the result is that
+    of the batch. A pending cell holds its best record; a decided one holds one
+    flag and passes over what comes for it for ``keep_seconds`` of event time;
+    then its state is gone, so that state does not grow with the log. Needs the
+    RocksDB state store: see ``run_cells``.
+    """
+    if policy not in ("first", "prefer_success"):
+        raise ValueError(f"unknown policy {policy!r}")
+    schema = stream.schema
+    ship(stream.sparkSession)
+    marked = stream.select(
+        *keys, F.col(arrival).cast("timestamp").alias("_arrived"), F.unix_millis(F.col(arrival).cast("timestamp")).alias("_ms"), F.coalesce(F.col(error) == "", F.lit(True)).alias("_succeeded") if error in stream.columns else F.lit(True).alias("_succeeded"),
+        F.col(position).cast("long").alias("_position"), F.to_json(F.struct(*stream.columns)).alias("_body"),
+    ).withWatermark("_arrived", delay)
+    chosen = marked.groupBy(*keys).transformWithStateInPandas(_Cell(policy, keep_seconds * 1000), "_body string, status string", "append", "eventTime")
+    return chosen.select(F.from_json("_body", schema).alias("r"), "status").select("r.*", "status")
+
+
+#: The setting that names the state store, and the store that keeps lists and timers for processors with state.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def run_cells(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """``run_available`` for ``cell_stream``: the query starts with the RocksDB state store, and the session keeps its own setting."""
+    spark, (name, store) = stream.sparkSession, STATE_STORE
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, store)
+    try:
+        query = stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint).option("path", path).trigger(availableNow=True).format("parquet").start()
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+    query.awaitTermination()

@@ -1,7 +1,10 @@
 import json
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
+from tallyforge.operators import runs
 from tallyforge.streaming import log as streams
 
 SCHEMA = "problem_id long, position long, completion_text string, error string"
@@ -48,3 +51,35 @@ def test_batch_equals_stream(spark, tmp_path):
     streams.grade_stream(streams.read_log_stream(spark, str(log), SCHEMA), grade, f"{tmp_path}/out", f"{tmp_path}/checkpoint")
     got = sorted((r.problem_id, r.correct) for r in spark.read.parquet(f"{tmp_path}/out").collect())
     assert got == sorted(tuple(r) for r in grade(spark.read.schema(SCHEMA).json(str(log))).collect())
+
+
+def feed(spark, folder, batches, **options):
+    """Runs the cell stream after each batch of (problem_id, position, error, seconds), as a log that grows."""
+    for i, rows in enumerate(batches):
+        frame = spark.createDataFrame([(*r[:3], r[3]) for r in rows], "problem_id long, position long, error string, at long").withColumn("arrived", F.timestamp_seconds("at"))
+        frame.coalesce(1).write.mode("append").parquet(f"{folder}/log")
+        stream = spark.readStream.schema(frame.schema).parquet(f"{folder}/log")
+        streams.run_cells(streams.cell_stream(stream, ["problem_id"], "position", "arrived", **options), f"{folder}/out-{i // 99}", f"{folder}/checkpoint")
+    return [(r.problem_id, r.position, r.status) for r in spark.read.parquet(f"{folder}/out-0").collect()]
+
+
+@pytest.mark.parametrize("policy", ["first", "prefer_success"])
+def test_cells_equal_the_batch(spark, tmp_path, policy):
+    rng = random.Random(5)
+    rows = [(rng.randrange(25), i, rng.choice([None, "", "failed", "failed"]), 1000 + rng.randrange(600)) for i in range(120)]
+    rng.shuffle(rows)
+    got = feed(spark, tmp_path, [rows[:50], rows[50:90], rows[90:], [(-1, 999, None, 10**6)]], policy=policy, delay="1 hour")
+    batch = runs.dedup(spark.createDataFrame(rows, "problem_id long, position long, error string, at long"), ["problem_id"], "position", policy=policy).collect()
+    assert sorted(got) == sorted((r.problem_id, r.position, "failed" if r.error else "succeeded") for r in batch)
+
+
+def test_decided_cells_are_passed_over_and_then_forgotten(spark, tmp_path):
+    before = spark.conf.get(streams.STATE_STORE[0], None)
+    moves = lambda at: [(-1, 0, None, at)]  # noqa: E731  another cell that moves the watermark
+    batches = [[(1, 5, None, 0)], moves(1000), [(1, 4, None, 1000)], moves(2000), moves(9000), [(1, 9, None, 9000)], moves(20_000)]
+    batches = [[(*r[:3], r[3] + 10**6) for r in rows] for rows in batches]  # a time of 0 is not after the first watermark
+    got = feed(spark, tmp_path, batches, delay="10 seconds", keep_seconds=5000)
+    assert sorted(g for g in got if g[0] == 1) == [(1, 5, "succeeded"), (1, 9, "succeeded")]
+    assert spark.conf.get(streams.STATE_STORE[0], None) == before
+    with pytest.raises(ValueError, match="policy"):
+        streams.cell_stream(spark.readStream.schema("a long").parquet(str(tmp_path / "log")), ["a"], "a", "a", policy="last")
