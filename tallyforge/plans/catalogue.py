@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions import extract, legacy, prompts, stats, text
-from tallyforge.operators import compare, grade, metrics, report, runs, validate
+from tallyforge.operators import compare, contain, grade, metrics, report, runs, validate
 from tallyforge.plans import bindings as b
 from tallyforge.plans.registry import ORACLES, QUERIES, query
 
@@ -130,6 +130,20 @@ def contains_gold(spark, d):
     return docs.select("doc_id", (extract.extract_containment(_col("text"), gold)["status"] == "parsed").alias("found"))
 
 
+@query(
+    "containments",
+    f"""WITH golds AS (SELECT item_id AS gold_id, text AS gold FROM benchmark UNION ALL SELECT 1000000 + item_id, left(text, 8) FROM benchmark UNION ALL SELECT 2000000 + n_nationkey, n_name FROM nation),
+      t AS (SELECT doc_id AS text_id, {_NORM_SQL.format("text")} AS t FROM documents WHERE text IS NOT NULL), g AS (SELECT gold_id, {_NORM_SQL.format("gold")} AS g FROM golds)
+    SELECT text_id, gold_id FROM t JOIN g ON contains(t, g)""",
+)
+def containments(spark, d):
+    """Every document against every item, the beginning of every item, and the names of nations: all pairs of which one contains the other."""
+    items, nations = b.table(spark, d, "benchmark"), b.table(spark, d, "nation")
+    golds = items.select(_col("item_id").alias("gold_id"), _col("text").alias("gold")).unionByName(items.select((1_000_000 + _col("item_id")).alias("gold_id"), F.left("text", F.lit(8)).alias("gold")))
+    golds = golds.unionByName(nations.select((2_000_000 + _col("n_nationkey")).alias("gold_id"), _col("n_name").alias("gold")))
+    return contain.containments(b.table(spark, d, "documents"), golds, text_id="doc_id", text="text", gold_id="gold_id", gold="gold")
+
+
 @query("answers_match", f"WITH {b.EXTRACTED_SQL} SELECT model_id, line, count(*)::BIGINT AS n, sum(correct::INT)::BIGINT AS n_correct FROM graded GROUP BY 1, 2")
 def answers_match(spark, d):
     return _graded(spark, d).groupBy("model_id", "line").agg(*metrics.accuracy_columns())

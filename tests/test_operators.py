@@ -1,12 +1,14 @@
 import itertools
 import json
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from tallyforge import schemas
 from tallyforge.functions import prompts
-from tallyforge.operators import compare, grade, metrics, report, runs, sandbox, validate
+from tallyforge.operators import compare, contain, grade, metrics, report, runs, sandbox, validate
 from tallyforge.sources import files
 
 TASKS = [
@@ -325,3 +327,18 @@ def test_report_tables(spark):
     assert "| x | 0.75 |" in text
     assert [r.marks for r in report.verdict_marks(cells, ["condition"], "task_id", "final_correct").orderBy("condition").collect()] == [".CCC", "...C"]
     assert sorted(r.votes for r in metrics.majority_vote(cells, ["task_id"], "condition").collect()) == [1] * 4
+
+
+def test_containments(spark):
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("ab c") for _ in range(n))
+    texts = [(i, word(rng.randrange(40))) for i in range(80)] + [(80, None), (81, ""), (82, '"AB  b." '), (82, "ab b")]
+    golds = [(i, word(rng.randrange(1, 6))) for i in range(60)] + [(60, None), (61, ""), (62, '  "ab B" '), (63, "b"), (64, "b")]
+    both = spark.createDataFrame(texts, "k long, t string"), spark.createDataFrame(golds, "g long, gold string")
+    norm = lambda t: re.sub(r"\s+", " ", re.sub(r"\.+$", "", t.strip().strip('"').strip())).lower()
+    want = sorted((k, g) for k, t in texts if t is not None for g, x in golds if x is not None and norm(x) in norm(t))
+    for part_bytes in (1 << 20, 40):
+        found = contain.containments(*both, text_id="k", text="t", gold_id="g", gold="gold", part_bytes=part_bytes)
+        assert "NestedLoop" not in found._jdf.queryExecution().toString() and "Cartesian" not in found._jdf.queryExecution().toString()
+        assert sorted((r.text_id, r.gold_id) for r in found.collect()) == want
+    assert contain.containments(both[0], both[1].limit(0), text_id="k", text="t", gold_id="g", gold="gold").collect() == []
