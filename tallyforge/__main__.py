@@ -40,6 +40,23 @@ def parser() -> argparse.ArgumentParser:
     e.add_argument("--outputs", required=True)
     e.add_argument("--overrides")
     e.add_argument("--run-code", action="store_true")
+    for name, text in (("ablation", "generate and grade the prompt formats"), ("audit", "sample again what few-shot got wrong")):
+        p = jobs.add_parser(name, help=text)
+        p.add_argument("--tasks", required=True)
+        p.add_argument("--run", required=True)
+        p.add_argument("--model", action="append", required=True, type=runs.parse_model_spec, help="model:mode, repeatable")
+        p.add_argument("--samples", type=int, default=1 if name == "ablation" else 5)
+        p.add_argument("--temperature", type=float, default=None if name == "ablation" else 0.3)
+        p.add_argument("--max-new-tokens", type=int, default=200)
+        p.add_argument("--seed", type=int, default=0)
+        if name == "ablation":
+            p.add_argument("--problems", default="all", type=runs.parse_ids)
+        else:
+            p.add_argument("--outputs", required=True)
+            p.add_argument("--reclassify", action="store_true")
+    i = jobs.add_parser("inspect", help="records of a run with their predictions")
+    i.add_argument("--run", required=True)
+    i.add_argument("--problem", type=int, required=True)
     return top
 
 
@@ -57,6 +74,14 @@ def run(spark, args: argparse.Namespace) -> str:
         return drivers.compare_run_folders(spark, args.baseline, args.treatment)[1]
     if args.job == "validate":
         return show(drivers.validate_tasks(spark, args.tasks, expected=args.expected, manifest_path=args.manifest))
+    if args.job in ("ablation", "audit"):
+        options = runs.RunOptions(tuple(args.model), "few_shot", args.samples, args.temperature is not None, args.temperature, args.max_new_tokens, args.seed)
+        if args.job == "ablation":
+            return show(drivers.rows_of(drivers.ablation_run(spark, args.tasks, args.run, options, ids=args.problems)[1].orderBy("model_id", "condition")))
+        audit, by_hand = drivers.audit_run(spark, args.tasks, args.outputs, args.run, options, reclassify=args.reclassify)
+        return show({"audit": drivers.rows_of(audit.orderBy("task_id", "model_id")), "review_by_hand": [r.task_id for r in by_hand.orderBy("task_id").collect()]})
+    if args.job == "inspect":
+        return show(drivers.rows_of(drivers.inspect_run(spark, args.run, args.problem)))
     return drivers.eval20(spark, args.outputs, args.overrides, run_code=args.run_code)[2]
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge import schemas
+from tallyforge.functions import prompts
 from tallyforge.operators import compare, durable, grade, metrics, report, runs, validate
 from tallyforge.sources import files
 
@@ -63,6 +64,14 @@ def grade_run(spark: SparkSession, run_dir: str, tasks_path: str, *, run_code: b
     return found
 
 
+def inspect_run(spark: SparkSession, run_dir: str, problem: int) -> DataFrame:
+    """A run's records of one problem, with their predictions where the run is graded."""
+    log = files.read_generations(spark, f"{run_dir}/generations").filter(F.col("problem_id") == problem)
+    graded = files.exists(spark, f"{run_dir}/predictions")
+    predictions = spark.read.parquet(f"{run_dir}/predictions") if graded else spark.createDataFrame([], schemas.PREDICTION)
+    return compare.inspect_records(log, predictions.filter(F.col("problem_id") == problem)).orderBy("model_id", "sample_index")
+
+
 def compare_run_folders(spark: SparkSession, baseline: str, treatment: str) -> tuple[dict, str]:
     """(report, Markdown) of two graded runs, with their names and parse failures."""
     sides, names, failures = [], [], []
@@ -100,6 +109,72 @@ def ablation(spark: SparkSession, path: str, *, run_code: bool = False, all_samp
     return graded, metrics.with_rates(graded.groupBy("condition").agg(*metrics.accuracy_columns("final_correct"), review)).orderBy("condition")
 
 
+def _generate_cells(spark: SparkSession, grid: DataFrame, run_dir: str, options: runs.RunOptions, adapter: runs.Adapter, slice_cells: int, owner: str | None) -> DataFrame:
+    """The log of a run folder after the cells of a grid that it lacks were generated into it."""
+    path = f"{run_dir}/generations"
+    with durable.RunLock(spark, run_dir, owner) as lock:
+        todo = runs.resume(grid, files.read_generations(spark, path)) if files.exists(spark, path) else grid
+        durable.generate_slices(spark, todo, run_dir, options, lock, n_slices=max(1, -(-grid.count() // slice_cells)), adapter=adapter)
+    return clean_log(spark, run_dir, policy="prefer_success")[0] if files.exists(spark, path) else spark.createDataFrame([], schemas.GENERATION)
+
+
+def ablation_run(
+    spark: SparkSession, tasks_path: str, run_dir: str, options: runs.RunOptions, *, ids: Sequence[int] | None = None, adapter: runs.Adapter = runs.echo_adapter, run_code: bool = False,
+    slice_cells: int = durable.SLICE_CELLS, owner: str | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Generates the four prompt formats of the ablation for tasks, samples and models, and grades them: (graded cells, accuracy by model and condition).
+
+    A cell's seed is the base seed, plus 10,000 for each task before it in
+    order of ``ids`` (else of the task ids), 1,000 for each format and 1 for
+    each sample. Answers are committed and resumed as in ``generate_run``.
+    """
+    tasks = runs.select_tasks(files.read_tasks(spark, tasks_path), ids)
+    order = list(ids) if ids is not None else sorted(r.id for r in tasks.select("id").collect())  # the experiment's tasks
+    place = spark.createDataFrame([(t, i) for i, t in enumerate(order)], "id long, task_index long")
+    models = spark.createDataFrame(list(options.models), "model_id string, model_mode string")
+    formats = tasks.join(F.broadcast(place), "id").select(
+        "benchmark_version", F.col("id").alias("problem_id"), "task_index", F.posexplode(F.map_entries(prompts.ablation_prompts(F.col("few_shot_prefix"), F.col("prompt")))).alias("format_index", "f"),
+    ).withColumns({"condition": F.col("f.key"), "prompt_text": F.col("f.value")})
+    grid = runs.expected_grid(models, formats.drop("f"), options.n_samples)
+    seed = prompts.ablation_seed(F.lit(options.base_seed), F.col("task_index"), F.col("format_index"), F.col("sample_index")).cast("long")
+    cells = grid.withColumn("seed", seed).drop("task_index", "format_index")
+    log = _generate_cells(spark, cells, run_dir, options, adapter, slice_cells, owner)
+    facts = tasks.select(F.col("id").alias("task_id"), "category", "difficulty", "gold_answer")
+    said = log.select("model_id", F.col("problem_id").alias("task_id"), "condition", "sample_index", "seed", F.coalesce("completion_text", F.lit("")).alias("output"))
+    graded = grade.grade_legacy(said.join(facts, "task_id"), "ablation", run_code=run_code)
+    review = F.count_if(F.array_contains("flags", "needs_review")).cast("long").alias("n_review")
+    return graded, metrics.with_rates(graded.groupBy("model_id", "condition").agg(*metrics.accuracy_columns("final_correct"), review, F.count_if("overridden").cast("long").alias("n_override")))
+
+
+def audit_run(
+    spark: SparkSession, tasks_path: str, outputs_path: str, run_dir: str, options: runs.RunOptions, *, few_shot: str = "instruct_few_shot", zero_shot: str = "instruct_zero_shot",
+    reclassify: bool = False, adapter: runs.Adapter = runs.echo_adapter, slice_cells: int = durable.SLICE_CELLS, owner: str | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """(audit, code tasks to review by hand): tasks that few-shot got wrong and zero-shot right are sampled again, and judged by how stable their failure is.
+
+    Samples are kept in the run folder's log; with ``reclassify`` those that it
+    holds are judged again and nothing is generated. The audit is written to
+    ``audit`` in the run folder and holds the task, the greedy output, the
+    verdict over its samples and the distinct wrong answers.
+    """
+    tasks = files.read_tasks(spark, tasks_path)
+    chosen, by_hand = grade.audit_candidates(files.read_outputs_wide(spark, outputs_path), few_shot, zero_shot)
+    path = f"{run_dir}/generations"
+    if reclassify:
+        if not files.exists(spark, path):
+            raise FileNotFoundError(f"{path}: there are no samples to judge again")
+        log = clean_log(spark, run_dir, policy="prefer_success")[0]
+    else:
+        wanted = tasks.join(chosen.select(F.col("task_id").alias("id")).distinct(), "id", "left_semi")
+        log = _generate_cells(spark, runs.plan_run(spark, wanted, options), run_dir, options, adapter, slice_cells, owner)
+    facts = tasks.select(F.col("id").alias("task_id"), "category", "gold_answer")
+    samples = log.filter(runs.succeeded(F.col("error"))).select(F.col("problem_id").alias("task_id"), "model_id", F.col("completion_text").alias("output")).join(facts, "task_id")
+    greedy = chosen.groupBy("task_id").agg(F.any_value(few_shot).alias("greedy_output"))
+    audit = grade.audit_samples(samples, ["task_id", "model_id"]).join(facts, "task_id").join(greedy, "task_id", "left")
+    audit.write.mode("overwrite").parquet(f"{run_dir}/audit")
+    return spark.read.schema(audit.schema).parquet(f"{run_dir}/audit"), by_hand.select("task_id")
+
+
 def validate_tasks(spark: SparkSession, tasks_path: str, *, expected: int | None = None, manifest_path: str | None = None) -> dict:
     """Problems, digest and counts of a task file; a digest that differs from a stored manifest is an error. A valid set's manifest is stored."""
     tasks = files.read_tasks(spark, tasks_path)

@@ -588,6 +588,42 @@ def ablation_summary(spark, d):
     return drivers.ablation(spark, folder)[1].select("condition", "n", "n_correct", "n_review")
 
 
+@query(
+    "ablation_run",
+    f"""WITH {b.TASKS_SQL}, o AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS place FROM tasks), f AS (SELECT * FROM (VALUES (0, 'A_original'), (1, 'B_delimiters'), (2, 'C_delimiters_and_instruction'), (3, 'D_instruction_only')) v(i, condition))
+    SELECT condition, 2 * count(*)::BIGINT AS n, sum(2 * (7 + 10000 * place + 1000 * i) + 1)::BIGINT AS seeds FROM o, f GROUP BY 1""",
+)
+def ablation_run(spark, d):
+    """The ablation's generation over all tasks in four formats and two samples, run again when nothing is missing."""
+    folder = b.new_folder(spark, "ablation-run")
+    path = _task_document(b.tasks(spark, d), f"{folder}/tasks")
+    options = runs.RunOptions((("m", "chat"),), "few_shot", n_samples=2, do_sample=True, temperature=0.3, base_seed=7)
+    drivers.ablation_run(spark, path, folder, options, slice_cells=200)
+    graded, _ = drivers.ablation_run(spark, path, folder, options)
+    return graded.groupBy("condition").agg(F.count(F.lit(1)).cast("long").alias("n"), F.sum("seed").cast("long").alias("seeds"))
+
+
+@query("audit_run", f"WITH {b.TASKS_SQL} SELECT id AS task_id, 3::BIGINT AS n_samples, 0::BIGINT AS n_correct, 'STABLE failure (same wrong answer every run)' AS verdict FROM tasks WHERE id % 3 = 0 AND category <> 'code'")
+def audit_run(spark, d):
+    """The audit's job: every third task failed with few-shot only, is sampled three times, and its samples are judged again."""
+    folder = b.new_folder(spark, "audit-run")
+    tasks = b.tasks(spark, d)
+    path = _task_document(tasks, f"{folder}/tasks")
+    gold = _col("gold_answer")
+    said = {"base_zero_shot": F.lit(""), "base_few_shot": F.lit(""), "instruct_zero_shot": F.concat(F.lit("It is "), gold), "instruct_few_shot": F.when(_col("id") % 3 == 0, "zzz").otherwise(gold)}
+    wide = tasks.select(_col("id").alias("task_id"), "category", F.lit("easy").alias("difficulty"), "gold_answer", *(v.alias(k) for k, v in said.items()))
+
+    def stuck(rows):
+        for _ in rows:
+            yield "qqq qqq", 1, 2
+
+    options = runs.RunOptions((("m", "chat"),), "few_shot", n_samples=3, do_sample=True, temperature=0.3)
+    outputs = _array_document(wide, f"{folder}/outputs")
+    drivers.audit_run(spark, path, outputs, folder, options, adapter=stuck)
+    audit, _ = drivers.audit_run(spark, path, outputs, folder, options, reclassify=True)
+    return audit.select("task_id", _col("n_samples").cast("long").alias("n_samples"), _col("n_correct").cast("long").alias("n_correct"), "verdict")
+
+
 # ---- streams
 
 

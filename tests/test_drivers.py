@@ -62,3 +62,20 @@ def test_eval20_page(spark, tmp_path):
     (tmp_path / "ablation.json").write_text(json.dumps(data))
     summary = drivers.ablation(spark, f"file://{tmp_path}/ablation.json")[1].collect()
     assert [(r.condition, r.n_correct) for r in summary] == [("A_original", 1), ("B_delimiters", 0)]
+
+
+def test_ablation_audit_and_inspect(spark, tmp_path):
+    path, outputs, run = tmp_path / "tasks.json", tmp_path / "wide.json", f"{tmp_path}/run"
+    prompts = [{"id": i, "category": "math", "difficulty": "easy", "answer_type": "number", "prompt": f"What is {i}?\nAnswer:", "few_shot_prefix": "Q: 1+1\nAnswer: 2\n\n", "gold_answer": str(i)} for i in (1, 2, 3)]
+    path.write_text(json.dumps({"version": "v1", "prompts": prompts}))
+    outputs.write_text(json.dumps([{"task_id": i, "category": "math", "difficulty": "easy", "gold_answer": str(i), "base_zero_shot": "", "base_few_shot": "", "instruct_zero_shot": f"{i}", "instruct_few_shot": "99" if i < 3 else "3"} for i in (1, 2, 3)]))
+    call = lambda *more: cli.run(spark, cli.parser().parse_args([*more]))
+    found = json.loads(call("ablation", "--tasks", str(path), "--run", f"{run}-ablation", "--model", "m:chat", "--problems", "3,1"))
+    assert [(r["condition"][0], r["n"], r["n_override"]) for r in found] == [("A", 2, 0), ("B", 2, 0), ("C", 2, 0), ("D", 2, 0)]
+    audit = ["audit", "--tasks", str(path), "--outputs", str(outputs), "--run", run, "--model", "m:chat"]
+    with pytest.raises(FileNotFoundError, match="no samples"):
+        call(*audit, "--reclassify")
+    first = json.loads(call(*audit))
+    assert [(r["task_id"], r["n_samples"], r["greedy_output"]) for r in first["audit"]] == [(1, 5, "99"), (2, 5, "99")]
+    assert json.loads(call(*audit, "--reclassify")) == first
+    assert [(r["problem_id"], r["sample_index"], r["prediction_status"]) for r in json.loads(call("inspect", "--run", run, "--problem", "2"))] == [(2, i, None) for i in range(5)]
