@@ -43,8 +43,24 @@ def _stirling_rest(n: Column) -> Column:
     return F.when(n <= 20, small).otherwise(series)
 
 
+#: Throws up to which the tail is a sum of whole numbers, all below 2 ** 53.
+EXACT = 56
+
+
+def _whole_tail(k: Column, n: Column) -> Column:
+    """The tail for few throws, exact: at most EXACT / 2 terms."""
+
+    def add(state: Column, i: Column) -> Column:
+        term = F.call_function("div", state["term"] * (n - i + 1), i)
+        return F.struct(term.alias("term"), (state["sum"] + term).alias("sum"))
+
+    one = F.lit(1).cast("long")
+    steps = F.filter(F.sequence(one, F.greatest(one, F.least(k, F.lit(EXACT // 2).cast("long")))), lambda i: i <= k)
+    return F.aggregate(steps, F.struct(one.alias("term"), one.alias("sum")), add, lambda s: s["sum"]) * F.pow(F.lit(0.5), n.cast("double"))
+
+
 def fair_coin_tail(k: Column, n: Column) -> Column:
-    """The chance of at most ``k`` heads in ``n`` throws of a fair coin, for 0 <= k <= n / 2, to about 12 digits.
+    """The chance of at most ``k`` heads in ``n`` throws of a fair coin, for 0 <= k <= n / 2, to about 12 digits; exact for few throws.
 
     It is the regularized incomplete beta function at a half: its integrand,
     scaled to 1 at a half, is summed over a fixed number of nodes below it, as
@@ -66,7 +82,7 @@ def fair_coin_tail(k: Column, n: Column) -> Column:
     d = (n - 2 * k).cast("double") / n
     deviance = n / 2 * ((1 - d) * F.log1p(-d) + (1 + d) * F.log1p(d))
     top = F.sqrt(n / (2 * math.pi * x * (n - k))) * F.exp(_stirling_rest(n) - _stirling_rest(k) - _stirling_rest(n - k) - deviance)
-    return F.when(k == 0, F.pow(F.lit(0.5), n.cast("double"))).otherwise(2 * (n - k) * top * let(reach, integral))
+    return F.when(k == 0, F.pow(F.lit(0.5), n.cast("double"))).when(n <= EXACT, _whole_tail(k, n)).otherwise(2 * (n - k) * top * let(reach, integral))
 
 
 def mcnemar_exact_p(b: Column, c: Column, places: int | None = 4) -> Column:
