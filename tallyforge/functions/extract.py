@@ -63,24 +63,35 @@ def _unit_after(scope: Column, part: Column) -> Column:
     return F.nullif(strip(F.regexp_extract(F.substring(scope, end, F.length(scope)), rf"\A{S}*([A-Za-z²³%][\p{{L}}\p{{N}}_²³%/^\- ]{{0,19}})", 1)), F.lit(""))
 
 
+def _decide(scope: Column, values: Column, malformed: Column, last_box: Column) -> Column:
+    """The result of boxes with these numbers; ``last_box`` is the content of the last box that is closed."""
+
+    def of(v: Column) -> Column:
+        flags = F.when(malformed, F.array(F.lit("boxed_malformed"))).otherwise(_no_strings())
+        distinct = F.array_sort(F.array_distinct(v))
+        return (
+            F.when(F.size(v) == 0, result("malformed", strategy="boxed", flags=F.array(F.lit("boxed_malformed"))))
+            .when(F.size(distinct) > 1, result("ambiguous", strategy="boxed", numbers=distinct, flags=flags))
+            .otherwise(result("parsed", number=_last(v), strategy="boxed", numbers=v, unit=_unit_after(scope, last_box), flags=flags))
+        )
+
+    return let(values, of)
+
+
 def _boxed(scope: Column) -> Column:
-    def of(matched: Column) -> Column:
-        boxes = matched["boxes"]
-        values = F.filter(F.transform(boxes, lambda b: b["value"]), F.isnotnull)
-
-        def decide(v: Column) -> Column:
-            flags = F.when(F.exists(boxes, lambda b: b["end"].isNull()), F.array(F.lit("boxed_malformed"))).otherwise(_no_strings())
-            distinct = F.array_sort(F.array_distinct(v))
-            last_box = content(matched, F.element_at(F.filter(boxes, lambda b: b["end"].isNotNull()), -1))
-            return (
-                F.when(F.size(v) == 0, result("malformed", strategy="boxed", flags=F.array(F.lit("boxed_malformed"))))
-                .when(F.size(distinct) > 1, result("ambiguous", strategy="boxed", numbers=distinct, flags=flags))
-                .otherwise(result("parsed", number=_last(v), strategy="boxed", numbers=v, unit=_unit_after(scope, last_box), flags=flags))
-            )
-
-        return F.when(F.size(boxes) > 0, let(values, decide))
-
-    return F.when(F.contains(scope, F.lit(r"\boxed")) & F.regexp_like(scope, F.lit(OPENING)), let(match_boxes(scope), of))
+    """By its boxes; those of most texts have no braces inside, and only the others need matching."""
+
+    def plain(contents: Column) -> Column:
+        values = F.filter(F.transform(contents, lambda b: F.coalesce(parse_number(strip(b)), parse_number(first_token(b)))), F.isnotnull)
+        return _decide(scope, values, F.lit(False), _last(contents))
+
+    def matched(m: Column) -> Column:
+        closed = content(m, F.element_at(F.filter(m["boxes"], lambda b: b["end"].isNotNull()), -1))
+        return _decide(scope, F.filter(F.transform(m["boxes"], lambda b: b["value"]), F.isnotnull), F.exists(m["boxes"], lambda b: b["end"].isNull()), closed)
+
+    whole = F.regexp_extract_all(scope, F.lit(rf"{OPENING}([^{{}}]*)\}}"), F.lit(1))
+    by = let(whole, lambda contents: F.when(F.size(contents) == F.regexp_count(scope, F.lit(OPENING)), plain(contents)).otherwise(let(match_boxes(scope), matched)))
+    return F.when(F.contains(scope, F.lit(r"\boxed")) & F.regexp_like(scope, F.lit(OPENING)), by)
 
 
 def _marked(name: str, scope: Column) -> Column:
