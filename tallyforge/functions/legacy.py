@@ -14,8 +14,7 @@ REFUSAL = r"(?i)unable to|cannot provide|can't provide|i'm sorry|as an ai"
 
 
 def _last_of(text: Column, pattern: str, group: int) -> Column:
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    return F.when(F.size(found) > 0, F.element_at(found, -1))
+    return F.try_element_at(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.lit(-1))
 
 
 def number_final(text: Column) -> Column:

@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 #: White space as Python's ``\s`` and ``strip`` see it, for use inside a character class.
 WS = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 S = f"[{WS}]"
+_WS_CHARACTERS = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 #: Number token of the current rule set: not right after ``^``, with an optional fraction tail.
 NUM = rf"(?<!\^)-?\$?\d[\d,]*\.?\d*(?:{S}*/{S}*\d+)?"
 #: Number token of the older rule sets.
 NUM_PLAIN = r"-?\$?\d[\d,]*\.?\d*"
+#: A number that needs no cleaning, as most do.
+_PLAIN = r"\A-?\d+(?:\.\d+)?\z"
 _LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 
@@ -23,7 +26,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"\A{S}+|{S}+\z", "")
+    return F.btrim(text, F.lit(_WS_CHARACTERS))
 
 
 def is_blank(text: Column) -> Column:
@@ -33,7 +36,8 @@ def is_blank(text: Column) -> Column:
 def first_paragraph(text: Column) -> Column:
     """The first piece between blank lines that is not blank, stripped; else empty."""
     pieces = F.filter(F.transform(F.split(text, rf"\n{S}*\n"), strip), lambda x: x != "")
-    return F.coalesce(F.try_element_at(pieces, F.lit(1)), F.lit(""))
+    # most answers are one line, which needs no cutting
+    return F.when(F.contains(text, F.lit("\n")) | text.isNull(), F.coalesce(F.try_element_at(pieces, F.lit(1)), F.lit(""))).otherwise(strip(text))
 
 
 def lines(text: Column) -> Column:
@@ -51,8 +55,8 @@ def collapse(text: Column) -> Column:
 
 def normalize_text(text: Column) -> Column:
     """Strips space, quotes, space and closing dots, in this order, collapses white space and lowers."""
-    unquoted = strip(F.regexp_replace(strip(text), r'\A"+|"+\z', ""))
-    return F.lower(collapse(F.regexp_replace(unquoted, r"\.+\z", "")))
+    unquoted = strip(F.btrim(strip(text), F.lit('"')))
+    return F.lower(collapse(F.rtrim(unquoted, F.lit("."))))
 
 
 def normalize_audit(text: Column) -> Column:
@@ -68,14 +72,15 @@ def _to_double(text: Column) -> Column:
 
 def clean_number(token: Column) -> Column:
     """A number token without ``$``, ``,`` and closing dots as a double; null if it is none."""
-    return _to_double(F.regexp_replace(F.translate(token, "$,", ""), r"\.+\z", ""))
+    return F.when(F.regexp_like(token, F.lit(_PLAIN)), token.try_cast("double")).otherwise(_to_double(F.rtrim(F.translate(token, "$,", ""), F.lit("."))))
 
 
 def parse_number(token: Column) -> Column:
     """As ``clean_number``, and ``a/b`` is a fraction; a zero divisor gives null."""
-    bare = F.regexp_replace(strip(F.translate(token, "$,", "")), r"\.+\z", "")
+    bare = F.rtrim(strip(F.translate(token, "$,", "")), F.lit("."))
     top, bottom = F.substring_index(bare, "/", 1), F.regexp_replace(bare, r"\A[^/]*/", "")
-    return F.when(bare.contains("/"), F.try_divide(_to_double(top), F.nullif(_to_double(bottom), F.lit(0.0)))).otherwise(_to_double(bare))
+    cleaned = F.when(bare.contains("/"), F.try_divide(_to_double(top), F.nullif(_to_double(bottom), F.lit(0.0)))).otherwise(_to_double(bare))
+    return F.when(F.regexp_like(token, F.lit(_PLAIN)), token.try_cast("double")).otherwise(cleaned)
 
 
 def number_tokens(text: Column) -> Column:
