@@ -60,7 +60,11 @@ def _several(values: Column) -> Column:
 def _unit_after(scope: Column, part: Column) -> Column:
     """The unit after the last place where ``part`` stands in the scope."""
     end = F.length(scope) + 2 - F.instr(F.reverse(scope), F.reverse(part))
-    return F.nullif(strip(F.regexp_extract(F.substring(scope, end, F.length(scope)), rf"\A{S}*([A-Za-z²³%][\p{{L}}\p{{N}}_²³%/^\- ]{{0,19}})", 1)), F.lit(""))
+    return _unless_empty(F.regexp_extract(F.substring(scope, end, F.length(scope)), rf"\A{S}*([A-Za-z²³%][\p{{L}}\p{{N}}_²³%/^\- ]{{0,19}})", 1))
+
+
+def _unless_empty(unit: Column) -> Column:
+    return let(strip(unit), lambda u: F.when(u != "", u))
 
 
 def _decide(scope: Column, values: Column, malformed: Column, last_box: Column) -> Column:
@@ -97,7 +101,7 @@ def _boxed(scope: Column) -> Column:
 def _marked(name: str, scope: Column) -> Column:
     pattern = F.lit(MARKERS[name] + _UNIT)
     values = F.filter(F.transform(F.regexp_extract_all(scope, pattern, F.lit(1)), parse_number), F.isnotnull)
-    unit = F.nullif(strip(_last(F.regexp_extract_all(scope, pattern, F.lit(2)))), F.lit(""))
+    unit = _unless_empty(_last(F.regexp_extract_all(scope, pattern, F.lit(2))))
     return let(values, lambda v: F.when(F.size(v) > 0, result("parsed", number=_last(v), strategy=name, numbers=v, unit=unit, flags=_several(v))))
 
 
@@ -107,8 +111,13 @@ def _bold(scope: Column) -> Column:
 
 
 def extract_number(scope: Column) -> Column:
-    """The number by the first strategy that finds one. A text without a strategy's marker is not searched by it."""
-    answer = F.contains(F.lower(scope), F.lit("answer"))
+    """The number by the first strategy that finds one; the scope, which may be costly to make, is made once."""
+    return let(scope, _number)
+
+
+def _number(scope: Column) -> Column:
+    """A text without a strategy's marker is not searched by it."""
+    answer = F.regexp_like(scope, F.lit("(?i)answer"))
     return F.coalesce(
         _boxed(scope),
         F.when(answer, F.coalesce(_marked("answer_is", scope), _marked("answer_colon", scope), _marked("final_answer", scope))),
@@ -168,7 +177,7 @@ def extract_answer(text: Column, answer_type: Column, scope: Column, labels: Col
 
     def by_type(scoped):
         return (
-            F.when(answer_type == "number", extract_number(scoped))
+            F.when(answer_type == "number", _number(scoped))
             .when(answer_type == "yesno", extract_yesno(scoped))
             .when(answer_type == "label", F.when(F.coalesce(F.size(labels), F.lit(0)) > 0, extract_label(scoped, labels)).otherwise(error("label extraction needs labels")))
             .when(answer_type.isin("name", "string"), F.when(gold.isNotNull(), extract_containment(scoped, gold)).otherwise(error("containment needs the gold answer")))
