@@ -7,8 +7,6 @@ however deep they lie in each other, and no stack is kept.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,34 +15,36 @@ from tallyforge.functions.text import NUM, S, let, parse_number, strip
 OPENING = rf"\\boxed{S}*\{{"
 #: A box without braces inside; an opening; a brace; a number; other text. Together they cover the text.
 _PIECES = rf"(?s){OPENING}[^{{}}]*\}}|{OPENING}|[{{}}]|{NUM}|[^\\{{}}0-9$\-]+|."
-#: Elements that are appended to one array while it is scanned.
-CHUNK = 128
+#: Values that are added up together.
+CHUNK = 16
+#: What a number adds to a running sum, beside the 1 of an opening and the -1 of a closing brace.
+_TOKEN = 1 << 32
 _OTHER, _NUMBER, _OPEN, _CLOSE, _BOX, _WHOLE = range(6)
 
 
-def scan(values: Column, start: Column, step: Callable[[Column, Column], Column], kind: str) -> Column:
-    """The state after each value, in order. Appending is kept to short arrays, so the work is linear; ``kind`` is the state's type."""
-    none = lambda k: F.array().cast(f"array<{k}>")
-    last = F.size(values) - 1
-    chunk_at = lambda i: F.transform(F.sequence(i * CHUNK, F.least(i * CHUNK + CHUNK - 1, last)), lambda j: F.get(values, j))
-    chunks = F.transform(F.sequence(F.lit(0), F.floor(last / CHUNK).cast("int")), chunk_at)
-    begin = lambda state, k: F.struct(state.alias("state"), none(k).alias("seen"))
+def running(values: Column) -> Column:
+    """The sum of whole numbers up to and with each one. Sums run inside chunks, onto the sums of the chunks before, which run inside chunks of chunks."""
+    total = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + x)
+    first = lambda xs, n: F.slice(xs, F.lit(1), n)
+    starts = lambda xs: F.filter(F.transform(xs, lambda _, i: F.when(i % CHUNK == 0, i + 1)), F.isnotnull)
+    cut = lambda xs: F.transform(starts(xs), lambda at: F.slice(xs, at, F.lit(CHUNK)))
+    whole = lambda i: (i / CHUNK).cast("int")
+
+    def onto(chunks: Column) -> Column:
+        def with_sums(sums: Column) -> Column:
+            def with_tops(tops: Column) -> Column:
+                before = F.transform(sums, lambda _, i: total(first(tops, whole(i))) + total(F.slice(sums, whole(i) * CHUNK + 1, i % CHUNK)))
+                return let(before, lambda b: F.flatten(F.transform(chunks, lambda chunk, i: F.transform(chunk, lambda _, j: F.get(b, i) + total(first(chunk, j + 1))))))
 
-    # states are computed twice, as let() would copy all that is gathered so far
-    def over_value(acc: Column, value: Column) -> Column:
-        state = step(acc["state"], value)
-        return F.struct(state.alias("state"), F.array_append(acc["seen"], state).alias("seen"))
+            return let(F.transform(cut(sums), total), with_tops)
 
-    def over_chunk(acc: Column, chunk: Column) -> Column:
-        done = F.aggregate(chunk, begin(acc["state"], kind), over_value)
-        return F.struct(done["state"].alias("state"), F.array_append(acc["seen"], done["seen"]).alias("seen"))
+        return let(F.transform(chunks, total), with_sums)
 
-    found = F.aggregate(chunks, begin(start, f"array<{kind}>"), over_chunk, lambda acc: F.flatten(acc["seen"]))
-    return F.when(F.size(values) > 0, found).otherwise(none(kind))
+    return let(cut(values), onto)
 
 
 def first_token(text: Column) -> Column:
-    return F.nullif(F.regexp_extract(text, NUM, 0), F.lit(""))
+    return F.try_element_at(F.regexp_extract_all(text, F.lit(NUM), F.lit(0)), F.lit(1))
 
 
 def _content(box: Column) -> Column:
@@ -58,7 +58,11 @@ def _piece(text: Column, at: Column) -> Column:
         F.when(boxed & (last == "}"), _WHOLE).when(boxed & (last == "{"), _BOX).when(text == "{", _OPEN).when(text == "}", _CLOSE)
         .when(F.regexp_like(text, F.lit(r"\A-?\$?\d")) & ((F.length(text) > 1) | F.regexp_like(text, F.lit(NUM))), _NUMBER).otherwise(_OTHER)
     )
-    return let(kind, lambda k: F.struct(at.alias("at"), k.alias("kind"), F.when(k == _NUMBER, text).when(k == _WHOLE, first_token(_content(text))).alias("token")))
+    return let(kind, lambda k: let(F.when(k == _NUMBER, text).when(k == _WHOLE, first_token(_content(text))), lambda token: F.struct(at.alias("at"), k.alias("kind"), token.alias("token"), _step(k, token).alias("step"))))
+
+
+def _step(kind: Column, token: Column) -> Column:
+    return F.when(token.isNotNull(), _TOKEN).when((kind == _OPEN) | (kind == _BOX), 1).when(kind == _CLOSE, -1).otherwise(0).cast("long")
 
 
 def match_boxes(text: Column) -> Column:
@@ -73,8 +77,9 @@ def match_boxes(text: Column) -> Column:
         marked = F.filter(F.transform(pieces, _piece), lambda p: p["kind"] != _OTHER)
 
         def with_marks(marks: Column) -> Column:
-            counted = scan(marks, F.struct(*(F.lit(0).alias(n) for n in ("level", "at", "kind", "depth", "seen"))), _after, "struct<level:int,at:int,kind:int,depth:int,seen:int>")
             tokens = F.filter(F.transform(marks, lambda m: m["token"]), F.isnotnull)
+            steps = F.transform(marks, lambda m: m["step"])
+            counted = let(running(steps), lambda sums: _braces(marks, sums))
             return let(tokens, lambda t: let(counted, lambda c: F.sort_array(F.concat(_nested(c, t), _whole(marks, pieces)))))
 
         return F.struct(pieces.alias("pieces"), let(marked, with_marks).alias("boxes"))
@@ -82,14 +87,15 @@ def match_boxes(text: Column) -> Column:
     return let(F.regexp_extract_all(text, F.lit(_PIECES), F.lit(0)), of)
 
 
-def _after(state: Column, mark: Column) -> Column:
-    """State after a mark: its level is the depth inside an opening, and before a closing brace."""
-    opens, closes = mark["kind"].isin(_OPEN, _BOX), mark["kind"] == _CLOSE
-    depth = state["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)
-    return F.struct(
-        F.when(closes, state["depth"]).otherwise(depth).alias("level"), mark["at"].alias("at"), mark["kind"].alias("kind"), depth.alias("depth"),
-        (state["seen"] + F.when(mark["token"].isNotNull(), 1).otherwise(0)).alias("seen"),
-    )
+def _braces(marks: Column, sums: Column) -> Column:
+    """Openings and closing braces with their level, the depth inside an opening and before a closing brace, and the numbers seen so far."""
+
+    def of(mark: Column, i: Column) -> Column:
+        seen = F.shiftright(F.get(sums, i) + (_TOKEN >> 1), 32)
+        level = F.get(sums, i) - seen * _TOKEN + F.when(mark["kind"] == _CLOSE, 1).otherwise(0)
+        return F.when(mark["kind"].between(_OPEN, _BOX), F.struct(level.alias("level"), mark["at"].alias("at"), mark["kind"].alias("kind"), seen.cast("int").alias("seen")))
+
+    return F.filter(F.transform(marks, of), F.isnotnull)
 
 
 def _nested(counted: Column, tokens: Column) -> Column:
@@ -105,7 +111,7 @@ def _nested(counted: Column, tokens: Column) -> Column:
 
         return F.filter(F.transform(by_level, pair), F.isnotnull)
 
-    return let(F.sort_array(F.filter(counted, lambda c: c["kind"].isin(_OPEN, _CLOSE, _BOX))), of)
+    return let(F.sort_array(counted), of)
 
 
 def _whole(marks: Column, pieces: Column) -> Column:

@@ -248,3 +248,17 @@ def test_seed(spark):
 
     [row] = values(spark, [("m", 3)], "m string, i long", s=prompts.sample_seed(F.lit(42), F.col("m"), F.col("i")))
     assert row["s"] == int(hashlib.sha256(b"42|m|3").hexdigest()[:8], 16)
+
+
+def test_plain_numbers_and_strips_need_no_pattern(spark):
+    """What is stripped and parsed on the short way is as before."""
+    from tallyforge.functions import boxes
+
+    shown = text.strip(F.col("t"))._jc.toString()
+    assert "btrim" in shown and "regexp" not in shown
+    got = values(spark, [(t,) for t in ("  7\x1c", "7", "-7.50", "7.", "$1,0.", "3/4", "")], "t string", s=text.strip(F.col("t")), n=text.parse_number(F.col("t")))
+    assert [r["s"] for r in got] == ["7", "7", "-7.50", "7.", "$1,0.", "3/4", ""]
+    assert [r["n"] for r in got] == [7.0, 7.0, -7.5, 7.0, 10.0, 0.75, None]
+    many = [((i * 7) % 5 - 2) for i in range(1000)]
+    [r] = values(spark, [(many,)], "a array<long>", r=boxes.running(F.col("a")))
+    assert list(r["r"]) == [sum(many[: i + 1]) for i in range(1000)]
