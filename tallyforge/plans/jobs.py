@@ -23,8 +23,7 @@ _col = F.col
 
 def _array_document(df: DataFrame, path: str) -> str:
     """Writes the table as a file that is one array of objects."""
-    df.agg(F.to_json(F.array_sort(F.collect_list(F.struct(*df.columns)))).alias("value")).coalesce(1).write.text(path)
-    return path
+    return files.write_array(df, path)
 
 
 def _task_document(tasks: DataFrame, path: str) -> str:
@@ -584,7 +583,7 @@ def ablation_summary(spark, d):
     cells = F.create_map(F.lit("A_original"), samples(F.lit("zzz")), F.lit("B_delimiters"), samples(F.when(_col("odd"), _col("gold_answer")).otherwise("zzz")), F.lit("D_instruction_only"), samples(F.lit("zzz")))
     tasks = _small_tasks(spark, d).withColumn("conditions", cells).drop("odd")
     folder = b.new_folder(spark, "ablation")
-    tasks.select(F.struct(*tasks.columns).alias("t")).agg(F.to_json(F.struct(F.create_map(F.lit("model"), F.lit("m")).alias("metadata"), F.collect_list("t").alias("tasks"))).alias("value")).coalesce(1).write.text(folder)
+    files.write_array(tasks, folder, head='{"metadata":{"model":"m"},"tasks":[', tail="]}")
     return drivers.ablation(spark, folder)[1].select("condition", "n", "n_correct", "n_review")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge import schemas
+from tallyforge.shipping import ship
 from tallyforge.sources import documents
 
 
@@ -64,6 +65,32 @@ def append_jsonl(records: DataFrame, path: str) -> None:
     records.write.mode("append").json(path)
 
 
+def write_array(rows: DataFrame, path: str, *, head: str = "[", tail: str = "]") -> str:
+    """Writes a table, in no order, as one JSON document that is one array of objects, or that holds it between ``head`` and ``tail``.
+
+    Objects are made by all tasks, a line each; one task lays them out as they
+    come, so that a document of any size takes bounded memory.
+    """
+    none = rows.sparkSession.range(1).select(F.lit(None).cast("string").alias("value"))  # so that an empty table has its task, too
+    lines = rows.select(F.to_json(F.struct(*rows.columns)).alias("value")).union(none).repartition(1)
+
+    def lay(batches):
+        import pandas as pd
+
+        yield pd.DataFrame({"value": [head]})
+        first = True
+        for batch in batches:
+            found = "," + batch["value"].dropna()
+            if first and len(found):
+                found.iloc[0], first = found.iloc[0][1:], False
+            yield pd.DataFrame({"value": found})
+        yield pd.DataFrame({"value": [tail]})
+
+    ship(rows.sparkSession)
+    lines.mapInPandas(lay, "value string").write.text(path)
+    return path
+
+
 def write_json(spark: SparkSession, path: str, data: object) -> None:
     """A report document, wherever Spark can write: two spaces, characters as they are, a closing line end."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -129,6 +156,12 @@ def file_digests(spark: SparkSession, paths: str | Iterable[str]) -> DataFrame:
     return found.select("path", F.sha2("content", 256).alias("sha256"))
 
 
+def changed_files(spark: SparkSession, paths: str | Iterable[str], manifest: DataFrame) -> DataFrame:
+    """(path, sha256, changed) of files as they are now; ``changed`` where the manifest has another digest or none for the path."""
+    stored = manifest.select("path", F.col("sha256").alias("_stored"))
+    return file_digests(spark, paths).join(stored, "path", "left").select("path", "sha256", (~F.col("sha256").eqNullSafe(F.col("_stored"))).alias("changed"))
+
+
 def utc_now() -> Column:
     """The time to the second with a closing Z, in a session whose zone is UTC."""
     return F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")

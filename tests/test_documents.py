@@ -66,3 +66,27 @@ def test_same_rows_as_before(spark, tmp_path):
     (tmp_path / "t.json").write_text(json.dumps({"version": "v1", "created": "now", "note": None, "prompts": tasks}, indent=2))
     found = files.read_tasks(spark, f"{tmp_path}/t.json").orderBy("id").collect()
     assert [(r.benchmark_version, r.id, r.labels, r.prompt, r.unit) for r in found] == [("v1", i, ["a", "b"], f'p "{i}"', None) for i in range(3)]
+
+
+def test_an_array_is_written_by_lines_as_one_file(spark, tmp_path):
+    from tallyforge.sources import files
+
+    for n in (0, 1, 5000):
+        rows = spark.range(n).selectExpr("id AS a", "concat('say \"', id, '\"') AS b").repartition(3)
+        path = files.write_array(rows, f"file://{tmp_path}/array-{n}", head='{"x":[', tail="]}")
+        [file] = (tmp_path / f"array-{n}").glob("*.txt")
+        document = json.loads(file.read_text())
+        assert sorted(r["a"] for r in document["x"]) == list(range(n))
+        assert max(map(len, file.read_text().splitlines())) < 100  # a row never holds the table
+        assert documents.read_objects(spark, path, "a long, b string", key="x").count() == n
+
+
+def test_changed_files(spark, tmp_path):
+    from tallyforge.sources import files
+
+    for name in "ab":
+        (tmp_path / f"{name}.bin").write_text(name)
+    digests = files.file_digests(spark, f"file://{tmp_path}/*.bin").collect()
+    (tmp_path / "b.bin").write_text("other")
+    found = files.changed_files(spark, f"file://{tmp_path}/*.bin", spark.createDataFrame(digests)).collect()
+    assert sorted((r.path[-5:], r.changed) for r in found) == [("a.bin", False), ("b.bin", True)]
