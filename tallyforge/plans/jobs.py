@@ -127,12 +127,15 @@ def overrides_file(spark, d):
     return files.read_overrides(spark, folder)
 
 
-@query("file_digests", f"SELECT sha256(n_name || {_NL}) AS sha256 FROM nation")
+@query("file_digests", f"SELECT sha256(n_name || {_NL}) AS sha256, n_regionkey % 1 AS changed FROM nation")
 def file_digests(spark, d):
+    """Digests of files, stored as a manifest and held against the files read again."""
     folder = b.new_folder(spark, "digests")
     b.table(spark, d, "nation").select("n_name", "n_nationkey").repartition("n_nationkey").write.partitionBy("n_nationkey").text(folder)
-    found = files.file_digests(spark, f"{folder}/n_nationkey=*/*")
-    return found.select("sha256")
+    manifest = b.new_folder(spark, "manifest")
+    files.file_digests(spark, f"{folder}/n_nationkey=*/*").write.parquet(manifest)
+    found = files.changed_files(spark, f"{folder}/n_nationkey=*/*", spark.read.parquet(manifest))
+    return found.select("sha256", _col("changed").cast("int").alias("changed"))
 
 
 @query("clock", "SELECT n_nationkey, true AS well_formed, true AS now FROM nation")
