@@ -50,13 +50,26 @@ def nonempty_lines(text: Column) -> Column:
 
 
 def collapse(text: Column) -> Column:
-    return F.regexp_replace(text, f"{S}+", " ")
+    # visible ASCII is ruled out first, as most characters are
+    return F.regexp_replace(text, f"[[^!-~]&&{S}]+", " ")
+
+
+def collapse_str(text: str) -> str:
+    """``collapse`` of a text in Python, by words, which takes a tenth of the pattern's time."""
+    words = " ".join(text.split())
+    if not words:
+        return " " if text else ""
+    return f"{' ' if text[0].isspace() else ''}{words}{' ' if text[-1].isspace() else ''}"
+
+
+def bare_text(text: Column) -> Column:
+    """Strips space, quotes, space and closing dots, in this order."""
+    return F.rtrim(strip(F.btrim(strip(text), F.lit('"'))), F.lit("."))
 
 
 def normalize_text(text: Column) -> Column:
     """Strips space, quotes, space and closing dots, in this order, collapses white space and lowers."""
-    unquoted = strip(F.btrim(strip(text), F.lit('"')))
-    return F.lower(collapse(F.rtrim(unquoted, F.lit("."))))
+    return F.lower(collapse(bare_text(text)))
 
 
 def normalize_audit(text: Column) -> Column:

@@ -342,3 +342,17 @@ def test_containments(spark):
         assert "NestedLoop" not in found._jdf.queryExecution().toString() and "Cartesian" not in found._jdf.queryExecution().toString()
         assert sorted((r.text_id, r.gold_id) for r in found.collect()) == want
     assert contain.containments(both[0], both[1].limit(0), text_id="k", text="t", gold_id="g", gold="gold").collect() == []
+
+
+def test_containments_collapse_white_space_of_texts_in_the_scan(spark):
+    from tallyforge.functions import text as t
+
+    points = [chr(c) for c in range(1, 0x3002) if not 0xD800 <= c < 0xE000]
+    texts = [(i, f"{c}a{c} b{c}{c}") for i, c in enumerate(points)] + [(-1, ""), (-2, " \n"), (-3, "\tA \u3000\x1c b. ."), (-4, "a\nb ..")]
+    both = spark.createDataFrame(texts, "k long, t string"), spark.createDataFrame([(1, "a b"), (2, "a b "), (3, "b")], "g long, gold string")
+    assert [r.t for r in both[0].select("t", t.collapse(F.col("t")).alias("c")).collect() if t.collapse_str(r.t) != r.c] == []
+    found = contain.containments(*both, text_id="k", text="t", gold_id="g", gold="gold")
+    assert "regexp" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
+    both[0].select("k", t.normalize_text(F.col("t")).alias("n")).createOrReplaceTempView("n")
+    both[1].select("g", t.normalize_text(F.col("gold")).alias("o")).createOrReplaceTempView("o")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, spark.sql("SELECT k, g FROM n JOIN o ON contains(n, o)").collect()))
