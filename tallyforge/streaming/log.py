@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
@@ -76,37 +76,34 @@ class _Cell(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.best = handle.getValueState("best", "succeeded boolean, position long, body string")
-        self.decided = handle.getValueState("decided", "succeeded boolean")
+        # one value and not two, as each call to the store is a round trip; a decided cell has no position and no body
+        self.cell = handle.getValueState("cell", "succeeded boolean, position long, body string")
 
     def _rank(self, record: tuple) -> tuple:
         succeeded, position, _ = record
         return (self.policy == "prefer_success" and not succeeded, position)
 
     def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
-        if self.decided.exists():
+        held = self.cell.get()
+        if held is not None and held[1] is None:
             return iter(())
         # by place, as names are lost on the way: the last four are time in milliseconds, succeeded, position and body
-        found = [row for frame in rows for row in zip(*(frame.iloc[:, i] for i in range(-4, 0)), strict=True)]
-        records = [(bool(s), int(p), b) for _, s, p, b in found]
-        if self.best.exists():
-            records.append(self.best.get())
-        else:
+        found = [tuple(row)[-4:] for row in rows]
+        best = min([(bool(s), int(p), b) for _, s, p, b in found] + ([] if held is None else [tuple(held)]), key=self._rank)
+        if held is None:
             self.handle.registerTimer(int(min(row[0] for row in found)) + 1)
-        self.best.update(min(records, key=self._rank))
+        if held is None or best != tuple(held):
+            self.cell.update(best)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
-        import pandas as pd
-
-        if not self.best.exists():
-            self.decided.clear()
+        succeeded, position, body = self.cell.get()
+        if position is None:
+            self.cell.clear()
             return
-        succeeded, _, body = self.best.get()
-        self.best.clear()
-        self.decided.update((succeeded,))
+        self.cell.update((succeeded, None, None))
         self.handle.registerTimer(expiredTimerInfo.getExpiryTimeInMs() + self.keep_ms)
-        yield pd.DataFrame({"_body": [body], "status": ["succeeded" if succeeded else "failed"]})
+        yield Row(_body=body, status="succeeded" if succeeded else "failed")
 
     def close(self) -> None:
         pass
@@ -132,7 +129,7 @@ def cell_stream(stream: DataFrame, keys: Sequence[str], position: str, arrival:
         *keys, F.col(arrival).cast("timestamp").alias("_arrived"), F.unix_millis(F.col(arrival).cast("timestamp")).alias("_ms"), F.coalesce(F.col(error) == "", F.lit(True)).alias("_succeeded") if error in stream.columns else F.lit(True).alias("_succeeded"),
         F.col(position).cast("long").alias("_position"), F.to_json(F.struct(*stream.columns)).alias("_body"),
     ).withWatermark("_arrived", delay)
-    chosen = marked.groupBy(*keys).transformWithStateInPandas(_Cell(policy, keep_seconds * 1000), "_body string, status string", "append", "eventTime")
+    chosen = marked.groupBy(*keys).transformWithState(_Cell(policy, keep_seconds * 1000), "_body string, status string", "append", "eventTime")
     return chosen.select(F.from_json("_body", schema).alias("r"), "status").select("r.*", "status")
 
 
@@ -141,12 +138,21 @@ STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark
 
 
 def run_cells(stream: DataFrame, path: str, checkpoint: str) -> None:
-    """``run_available`` for ``cell_stream``: the query starts with the RocksDB state store, and the session keeps its own setting."""
-    spark, (name, store) = stream.sparkSession, STATE_STORE
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, store)
+    """``run_available`` for ``cell_stream``: the query starts with the RocksDB state store, and the session keeps its own settings.
+
+    Each part of the state costs a Python worker and a commit in every batch
+    and is not held in memory, so that there are at most two parts a core. The
+    checkpoint keeps the number of its first run.
+    """
+    spark = stream.sparkSession
+    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    settings = dict([STATE_STORE, ("spark.sql.shuffle.partitions", str(parts))])
+    before = {name: spark.conf.get(name, None) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
     try:
         query = stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint).option("path", path).trigger(availableNow=True).format("parquet").start()
     finally:
-        spark.conf.set(name, before) if before else spark.conf.unset(name)
+        for name, value in before.items():
+            spark.conf.set(name, value) if value else spark.conf.unset(name)
     query.awaitTermination()

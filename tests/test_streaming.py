@@ -83,3 +83,16 @@ def test_decided_cells_are_passed_over_and_then_forgotten(spark, tmp_path):
     assert spark.conf.get(streams.STATE_STORE[0], None) == before
     with pytest.raises(ValueError, match="policy"):
         streams.cell_stream(spark.readStream.schema("a long").parquet(str(tmp_path / "log")), ["a"], "a", "a", policy="last")
+
+
+def test_parts_of_the_cells_state_are_bounded(spark, tmp_path):
+    name = "spark.sql.shuffle.partitions"
+    before, most = spark.conf.get(name), 2 * spark.sparkContext.defaultParallelism
+    spark.conf.set(name, str(most + 5))
+    try:
+        got = feed(spark, tmp_path, [[(k, k, "failed" if k % 2 else None, 1000) for k in range(9)], [(-1, 0, None, 10**6)]])
+        assert spark.conf.get(name) == str(most + 5)
+    finally:
+        spark.conf.set(name, before)
+    assert sorted(got) == [(k, k, "failed" if k % 2 else "succeeded") for k in range(9)]
+    assert len([p for p in (tmp_path / "checkpoint/state/0").iterdir() if p.name.isdigit()]) == most
