@@ -26,25 +26,47 @@ def dedup_stream(stream: DataFrame, keys: Sequence[str], *, arrival: str | None
     return stream.withWatermark(arrival, delay).dropDuplicatesWithinWatermark(list(keys))
 
 
-def first_in_log(stream: DataFrame, keys: Sequence[str], position: str) -> DataFrame:
-    """The record of the least position of each key within its first batch; later batches of the key are dropped.
+#: Bytes of rows from which a task reduces them to one for each key as it reads.
+HELD_BYTES = 64 << 20
 
-    The order of rows inside a micro-batch is not the log's, hence a state of
-    one flag for each key and a choice by position.
-    """
-    schema = stream.schema
 
-    def pick(key: tuple, batches: Iterator, state) -> Iterator:
-        frames = list(batches)
-        if state.exists or not frames:
-            return
-        import pandas as pd
+def _least(keys: Sequence[str], position: str) -> Callable[[Iterator], Iterator]:
+    """The row of the least position (nulls last) of each key that a task gets, over whole Arrow batches."""
+    keys = list(keys)
+
+    def firsts(batches: list) -> list:
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        rows = pa.Table.from_batches(batches)
+        rows = rows.take(pc.sort_indices(rows.select([position]), sort_keys=[(position, "ascending")]))
+        places = pa.table([*(rows[k] for k in keys), pa.array(np.arange(len(rows)))], names=[*map(str, range(len(keys))), "place"])
+        return rows.take(places.group_by(places.column_names[:-1], use_threads=False).aggregate([("place", "min")])["place_min"]).to_batches()
 
-        rows = pd.concat(frames)
-        state.update((True,))
-        yield rows.sort_values(position, kind="stable").head(1)[schema.names]
+    def run(batches: Iterator) -> Iterator:
+        held, size, kept = [], 0, 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if size > max(HELD_BYTES, 2 * kept):
+                held = firsts(held)
+                size = kept = sum(b.nbytes for b in held)
+        if held:
+            yield from firsts(held)
 
-    return stream.groupBy(*keys).applyInPandasWithState(pick, schema, "seen boolean", "append", "NoTimeout")
+    return run
+
+
+def first_in_log(stream: DataFrame, keys: Sequence[str], position: str) -> DataFrame:
+    """The record of the least position of each key within its first batch; later batches of the key are dropped.
+
+    The order of rows inside a micro-batch is not the log's, hence the keys are
+    dealt out and each task reduces its rows to the least of each key; what is
+    left is deduplicated with Spark's own state of the keys. A task holds one
+    row for each of its keys. Keys are plain values, no structs or arrays.
+    """
+    return stream.repartition(*keys).mapInArrow(_least(keys, position), stream.schema).dropDuplicates(list(keys))
 
 
 def run_available(stream: DataFrame, path: str, checkpoint: str, *, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None) -> None:

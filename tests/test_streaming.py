@@ -36,6 +36,25 @@ def test_first_in_log(spark, tmp_path):
     assert sorted((r.problem_id, r.completion_text) for r in spark.read.parquet(f"{tmp_path}/out").collect() if r.problem_id == 1) == [(1, "first")]
 
 
+def test_first_in_log_reduces_whole_batches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(streams, "HELD_BYTES", 100)  # reduced many times
+    rng = random.Random(7)
+    big = 2**53  # doubles would not tell these positions and keys apart
+    rows = [(rng.choice([None, big, big + 1, 3]), big + p if p % 9 else None, rng.choice([None, "a", "b"])) for p in rng.sample(range(3000), 600)]
+    frame = spark.createDataFrame(rows, "problem_id long, position long, kind string")
+    frame.repartition(7).write.parquet(f"{tmp_path}/log")
+    stream = streams.first_in_log(spark.readStream.schema(frame.schema).parquet(f"{tmp_path}/log"), ["problem_id", "kind"], "position")
+    streams.run_available(stream, f"{tmp_path}/out", f"{tmp_path}/checkpoint")
+    want = {}
+    for r in rows:
+        key = r[0], r[2]
+        if r[1] is not None and (key not in want or r[1] < want[key]):
+            want[key] = r[1]
+    got = spark.read.parquet(f"{tmp_path}/out").collect()
+    assert len(got) == len(want) == 12 and {(r.problem_id, r.kind): r.position for r in got} == want
+    assert "InPandas" not in stream._jdf.queryExecution().toString()
+
+
 def test_watermark(spark, tmp_path):
     log = tmp_path / "log"
     write(log, "a.jsonl", [{"problem_id": 1, "position": 1}, {"problem_id": 1, "position": 2}])
