@@ -38,6 +38,7 @@ def parser() -> argparse.ArgumentParser:
     v.add_argument("--manifest")
     e = jobs.add_parser("eval20", help="grade and report wide outputs")
     e.add_argument("--outputs", required=True)
+    e.add_argument("--run", help="folder for tables and page of more outputs than the driver holds")
     e.add_argument("--overrides")
     e.add_argument("--run-code", action="store_true")
     for name, text in (("ablation", "generate and grade the prompt formats"), ("audit", "sample again what few-shot got wrong")):
@@ -82,6 +83,9 @@ def run(spark, args: argparse.Namespace) -> str:
         return show({"audit": drivers.rows_of(audit.orderBy("task_id", "model_id")), "review_by_hand": [r.task_id for r in by_hand.orderBy("task_id").collect()]})
     if args.job == "inspect":
         return show(drivers.rows_of(drivers.inspect_run(spark, args.run, args.problem)))
+    if args.run:
+        found = drivers.eval20_run(spark, args.outputs, args.run, args.overrides, run_code=args.run_code)
+        return show({name: drivers.rows_of(found[name]) for name in ("conditions", "behavior", "pairwise")})
     return drivers.eval20(spark, args.outputs, args.overrides, run_code=args.run_code)[2]
 
 

@@ -88,18 +88,55 @@ def compare_run_folders(spark: SparkSession, baseline: str, treatment: str) -> t
     return found, report.comparison_page((names[0], names[1]), summary, categories, compare.flips(pairs), (failures[0], failures[1]))
 
 
-def eval20(spark: SparkSession, outputs_path: str, overrides_path: str | None = None, *, run_code: bool = False) -> tuple[DataFrame, dict, str]:
-    """(graded cells, metrics, results page) of the first experiment's wide outputs."""
+def _eval20_graded(spark: SparkSession, outputs_path: str, overrides_path: str | None, run_code: bool) -> tuple[DataFrame, DataFrame]:
+    """(cells, graded cells)."""
     cells = grade.unpivot_conditions(files.read_outputs_wide(spark, outputs_path))
     overrides = files.read_overrides(spark, overrides_path) if overrides_path else None
-    graded = grade.grade_legacy(cells, "eval20", run_code=run_code, overrides=overrides)
-    by = metrics.accuracy_by(graded, "condition", ["category", "difficulty"])
-    overall = metrics.ranked(by.filter("dimension = 'overall'"), grade.CONDITIONS)
-    pairs = metrics.pairwise(graded, grade.CONDITIONS)
-    review = grade.needs_review(graded).select("task_id", "condition", F.coalesce(F.col("extracted_num").cast("string"), "extracted_str").alias("extracted")).orderBy("task_id", "condition")
-    found = {"conditions": rows_of(by), "behavior": rows_of(metrics.behavior(cells)), "pairwise": rows_of(pairs), "needs_review": rows_of(review), "overrides_applied": rows_of(graded.filter("overridden").select("task_id", "condition", "auto_correct", "final_correct", "override_reason"))}
-    tables = [(title, report.pivot_accuracy(graded, key, grade.CONDITIONS)) for title, key in (("By category", "category"), ("By difficulty", "difficulty"))]
-    return graded, found, report.results_markdown(overall, tables, report.head_to_head(pairs, PAIRS), review)
+    return cells, grade.grade_legacy(cells, "eval20", run_code=run_code, overrides=overrides)
+
+
+def _eval20_tables(cells: DataFrame, graded: DataFrame, *, lists: bool) -> dict[str, DataFrame]:
+    """The metrics of graded cells; with ``lists`` the tasks of behaviours and pairs are arrays, else rows of tables of their own."""
+    review = grade.needs_review(graded).select("task_id", "condition", F.coalesce(F.col("extracted_num").cast("string"), "extracted_str").alias("extracted"))
+    tables = {
+        "conditions": metrics.accuracy_by(graded, "condition", ["category", "difficulty"]), "behavior": metrics.behavior(cells, lists=lists), "pairwise": metrics.pairwise(graded, grade.CONDITIONS, lists=lists),
+        "needs_review": review, "overrides_applied": graded.filter("overridden").select("task_id", "condition", "auto_correct", "final_correct", "override_reason"),
+    }
+    return tables if lists else tables | {"behavior_tasks": metrics.behavior_tasks(cells), "discordant": metrics.discordant(graded, grade.CONDITIONS)}
+
+
+def _eval20_page(graded: DataFrame, tables: dict[str, DataFrame]) -> tuple[DataFrame, list[tuple[str, DataFrame]], DataFrame]:
+    """What the results page shows before the cells to review."""
+    overall = metrics.ranked(tables["conditions"].filter("dimension = 'overall'"), grade.CONDITIONS)
+    pivots = [(title, report.pivot_accuracy(graded, key, grade.CONDITIONS).orderBy(key)) for title, key in (("By category", "category"), ("By difficulty", "difficulty"))]
+    return overall, pivots, report.head_to_head(tables["pairwise"], PAIRS)
+
+
+def eval20(spark: SparkSession, outputs_path: str, overrides_path: str | None = None, *, run_code: bool = False) -> tuple[DataFrame, dict, str]:
+    """(graded cells, metrics, results page) of the first experiment's wide outputs, for as many as the driver holds; ``eval20_run`` takes any number."""
+    cells, graded = _eval20_graded(spark, outputs_path, overrides_path, run_code)
+    tables = _eval20_tables(cells, graded, lists=True)
+    tables["needs_review"] = tables["needs_review"].orderBy("task_id", "condition", "extracted")
+    return graded, {name: rows_of(t) for name, t in tables.items()}, report.results_markdown(*_eval20_page(graded, tables), tables["needs_review"])
+
+
+def eval20_run(spark: SparkSession, outputs_path: str, run_dir: str, overrides_path: str | None = None, *, run_code: bool = False) -> dict[str, DataFrame]:
+    """The job of ``eval20`` over any number of outputs: the tables as they are written to a run folder.
+
+    ``graded`` holds the graded cells, ``conditions``, ``behavior`` and
+    ``pairwise`` are small, ``behavior_tasks`` and ``discordant`` are their
+    lists of tasks as rows, and ``needs_review`` and ``overrides_applied`` have
+    a row a cell. ``results`` is the results page as text files that follow one
+    another by name. Cells are graded once; only small aggregates pass the driver.
+    """
+    def stored(name: str, table: DataFrame) -> DataFrame:
+        table.write.mode("overwrite").parquet(f"{run_dir}/{name}")
+        return spark.read.schema(table.schema).parquet(f"{run_dir}/{name}")
+
+    graded = stored("graded", _eval20_graded(spark, outputs_path, overrides_path, run_code)[1])
+    tables = {name: stored(name, t) for name, t in _eval20_tables(graded, graded, lists=False).items()}
+    report.results_lines(*_eval20_page(graded, tables), tables["needs_review"]).write.mode("overwrite").text(f"{run_dir}/results")
+    return {"graded": graded, **tables}
 
 
 def ablation(spark: SparkSession, path: str, *, run_code: bool = False, all_samples: bool = False) -> tuple[DataFrame, DataFrame]:

@@ -42,22 +42,42 @@ def accuracy_by(cells: DataFrame, key: str, dimensions: Sequence[str], correct:
     return with_rates(cells.select(key, correct, levels.alias("l")).groupBy(key, "l.dimension", "l.value").agg(*accuracy_columns(correct)))
 
 
-def behavior(cells: DataFrame, key: str = "condition", task: str = "task_id", output: str = "output") -> DataFrame:
-    """Drift, repetition, refusals, empty outputs and lengths by ``key``; lists of tasks in their order."""
+def behavior(cells: DataFrame, key: str = "condition", task: str = "task_id", output: str = "output", *, lists: bool = True) -> DataFrame:
+    """Drift, repetition, refusals, empty outputs and lengths by ``key``; lists of tasks in their order, or without ``lists`` how many they hold (their rows: ``behavior_tasks``)."""
     marked = cells.select(key, task, drifted(F.col(output)).alias("drift"), repetition_score(F.col(output)).alias("repetition"), refused(F.col(output)).alias("refusal"), is_blank(F.col(output)).alias("blank"), F.length(output).alias("chars"))
-    listed = lambda c: F.array_sort(F.collect_list(F.when(F.col(c), F.col(task))))
+    listed = (lambda c: F.array_sort(F.collect_list(F.when(F.col(c), F.col(task))))) if lists else (lambda c: F.count_if(F.col(c)).cast("long"))
+    names = ("drift_tasks", "refusals", "empty_outputs") if lists else ("n_drift", "n_refusals", "n_empty_outputs")
+    drift, refusals, empty = (listed(c).alias(n) for c, n in zip(("drift", "refusal", "blank"), names, strict=True))
     return marked.groupBy(key).agg(
-        F.round(F.avg(F.col("drift").cast("int")), 3).alias("drift_rate"), listed("drift").alias("drift_tasks"), F.round(F.avg("repetition"), 3).alias("mean_repetition"),
-        listed("refusal").alias("refusals"), listed("blank").alias("empty_outputs"), F.round(F.avg("chars"), 1).alias("mean_chars"), F.median("chars").alias("median_chars"),
+        F.round(F.avg(F.col("drift").cast("int")), 3).alias("drift_rate"), drift, F.round(F.avg("repetition"), 3).alias("mean_repetition"),
+        refusals, empty, F.round(F.avg("chars"), 1).alias("mean_chars"), F.median("chars").alias("median_chars"),
     )
 
 
-def pairwise(cells: DataFrame, conditions: Sequence[str], *, task: str = "task_id", condition: str = "condition", correct: str = "final_correct", lists: bool = True) -> DataFrame:
-    """Discordant tasks and exact p for every pair of the named conditions, by a pivot on the task instead of a self-join."""
+def behavior_tasks(cells: DataFrame, key: str = "condition", task: str = "task_id", output: str = "output") -> DataFrame:
+    """The lists of ``behavior`` as rows (key, list, task), one for each entry, for tables whose lists no single row can hold."""
+    text = F.col(output)
+    found = F.array(*[F.when(when, F.lit(name)) for name, when in (("drift_tasks", drifted(text)), ("refusals", refused(text)), ("empty_outputs", is_blank(text)))])
+    return cells.select(key, F.explode(F.array_compact(found)).alias("list"), task)
+
+
+def _paired_tasks(cells: DataFrame, conditions: Sequence[str], task: str, condition: str, correct: str) -> tuple[DataFrame, Column, Column]:
+    """(a row for each task and pair of conditions, only the first is right, only the second is)."""
     wide = cells.groupBy(task).pivot(condition, list(conditions)).agg(F.max(F.col(correct).cast("int")))
     pairs = [(a, b) for i, a in enumerate(conditions) for b in conditions[i + 1 :]]
     rows = wide.select(task, F.explode(F.array(*[F.struct(F.lit(a).alias("first"), F.lit(b).alias("second"), F.col(f"`{a}`").alias("x"), F.col(f"`{b}`").alias("y")) for a, b in pairs])).alias("p")).select(task, "p.*")
-    only_first, only_second = (F.col("x") == 1) & (F.col("y") == 0), (F.col("x") == 0) & (F.col("y") == 1)
+    return rows, (F.col("x") == 1) & (F.col("y") == 0), (F.col("x") == 0) & (F.col("y") == 1)
+
+
+def discordant(cells: DataFrame, conditions: Sequence[str], *, task: str = "task_id", condition: str = "condition", correct: str = "final_correct") -> DataFrame:
+    """The lists of ``pairwise`` as rows (first, second, list, task)."""
+    rows, only_first, only_second = _paired_tasks(cells, conditions, task, condition, correct)
+    return rows.select("first", "second", F.when(only_first, "only_first_correct").when(only_second, "only_second_correct").alias("list"), task).filter("list IS NOT NULL")
+
+
+def pairwise(cells: DataFrame, conditions: Sequence[str], *, task: str = "task_id", condition: str = "condition", correct: str = "final_correct", lists: bool = True) -> DataFrame:
+    """Discordant tasks and exact p for every pair of the named conditions, by a pivot on the task instead of a self-join."""
+    rows, only_first, only_second = _paired_tasks(cells, conditions, task, condition, correct)
     counts = [F.count_if(only_first).cast("long").alias("n_only_first"), F.count_if(only_second).cast("long").alias("n_only_second")]
     if lists:
         counts += [F.array_sort(F.collect_list(F.when(only_first, F.col(task)))).alias("only_first_correct"), F.array_sort(F.collect_list(F.when(only_second, F.col(task)))).alias("only_second_correct")]

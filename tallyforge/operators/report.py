@@ -30,18 +30,31 @@ def head_to_head(pairs: DataFrame, named: Sequence[tuple[str, str, str]]) -> Dat
     return wanted.join(both, (wanted["a"] == both["first"]) & (wanted["b"] == both["second"])).orderBy("place").select("title", "first", "second", "n_only_first", "n_only_second", "mcnemar_exact_p")
 
 
-def results_markdown(summary: DataFrame, pivots: Iterable[tuple[str, DataFrame]], pairs: DataFrame, review: DataFrame) -> str:
-    """The results page: accuracies, tables by dimension, paired tests, cells to review. All inputs are small aggregates."""
+def _results_head(summary: DataFrame, pivots: Iterable[tuple[str, DataFrame]], pairs: DataFrame) -> list[str]:
+    """The results page up to the cells to review, of small aggregates."""
     percent = lambda x: f"{x:.0%}"
     parts = ["# Results", "", "## Accuracy", ""]
     parts.append(md_table(["Condition", "Accuracy", "95% CI", "Correct"], [(r["condition"], f"{r['accuracy']:.2f}", f"{percent(r['ci_low'])}-{percent(r['ci_high'])}", f"{r['n_correct']}/{r['n']}") for r in summary.collect()]))
     for title, table in pivots:
         parts += ["", f"## {title}", "", md_table(table.columns, ([("-" if v is None else v) for v in r] for r in table.collect()))]
-    parts += ["", "## Paired comparisons", "", md_table(pairs.columns, pairs.collect())]
-    parts += ["", "## Cells to review", "", md_table(review.columns, review.collect()) if review.columns else ""]
+    return [*parts, "", "## Paired comparisons", "", md_table(pairs.columns, pairs.collect()), "", "## Cells to review", ""]
+
+
+def results_markdown(summary: DataFrame, pivots: Iterable[tuple[str, DataFrame]], pairs: DataFrame, review: DataFrame) -> str:
+    """The results page: accuracies, tables by dimension, paired tests, cells to review. All inputs are small; for more cells than the driver holds see ``results_lines``."""
+    parts = [*_results_head(summary, pivots, pairs), md_table(review.columns, review.collect()) if review.columns else ""]
     return "\n".join(parts) + "\n"
 
 
+def results_lines(summary: DataFrame, pivots: Iterable[tuple[str, DataFrame]], pairs: DataFrame, review: DataFrame) -> DataFrame:
+    """The same page as sorted rows ``value``, for any number of cells to review, which stand in the order of their columns and do not pass the driver."""
+    head = "\n".join([*_results_head(summary, pivots, pairs), md_table(review.columns, [])])
+    shown = F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("None")) for c in review.columns]), F.lit(" |"))
+    cells = review.select(F.lit(1).alias("part"), F.struct(*review.columns).alias("at"), shown.alias("value"))
+    first = review.sparkSession.range(1).select(F.lit(0).alias("part"), F.lit(None).cast(cells.schema["at"].dataType).alias("at"), F.lit(head).alias("value"))
+    return first.union(cells).orderBy("part", "at").select("value")
+
+
 def comparison_markdown(comparison: DataFrame, categories: DataFrame) -> str:
     head = ["Model", "Baseline", "Treatment", "Points"]
     rows = [(r["model_id"], f"{r['baseline_n_correct']}/{r['baseline_n']}", f"{r['treatment_n_correct']}/{r['treatment_n']}", f"{r['delta_percentage_points']:+.1f}") for r in comparison.orderBy("model_id").collect()]

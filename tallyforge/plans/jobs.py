@@ -570,9 +570,9 @@ def eval20_metrics(spark, d):
     gold = _col("gold_answer")
     said = {"base_zero_shot": F.when(_col("odd"), gold).otherwise("zzz"), "base_few_shot": F.lit(""), "instruct_zero_shot": F.concat(F.lit("It is "), gold), "instruct_few_shot": F.lit("zzz")}
     wide = _small_tasks(spark, d).withColumns(said).drop("odd")
-    _, found, _ = drivers.eval20(spark, _array_document(wide, b.new_folder(spark, "eval20")))
-    rows = [(r["condition"], r["dimension"], r["value"], r["n"], r["n_correct"]) for r in found["conditions"] if r["dimension"] in ("overall", "difficulty")]
-    return spark.createDataFrame(rows, "condition string, dimension string, value string, n long, n_correct long")
+    folder = b.new_folder(spark, "eval20")
+    found = drivers.eval20_run(spark, _array_document(wide, f"{folder}/outputs"), folder)["conditions"]
+    return found.filter("dimension IN ('overall', 'difficulty')").select("condition", "dimension", "value", "n", "n_correct")
 
 
 @query(

@@ -64,6 +64,52 @@ def test_eval20_page(spark, tmp_path):
     assert [(r.condition, r.n_correct) for r in summary] == [("A_original", 1), ("B_delimiters", 0)]
 
 
+def test_eval20_run_holds_what_eval20_does(spark, tmp_path):
+    said = [("10", "10", "answer is 10", ""), ("10", "Answer: 11", "no number", "\nwords"), ("x", "", "I'm sorry.\n\n4", "It is.\nReview: a\nb")]
+    facts = [(1, "math", "easy", "10"), (6, "logic", "hard", "yes"), (6, "logic", "hard", "yes"), (9, "labels", "easy", "positive"), (1, None, "easy", "10")]
+    rows = [dict(zip(("task_id", "category", "difficulty", "gold_answer", *drivers.grade.CONDITIONS), (*f, *s), strict=True)) for f in facts for s in said]
+    fixes = {"6": {"base_zero_shot": {"correct": True, "reason": "by hand"}}}
+    for name, overrides, data in (("some", fixes, rows), ("none", None, [])):
+        (tmp_path / f"{name}.json").write_text(json.dumps(data))
+        (tmp_path / "fixes.json").write_text(json.dumps(overrides))
+        paths = f"file://{tmp_path}/{name}.json", f"file://{tmp_path}/fixes.json" if overrides else None
+        _, found, page = drivers.eval20(spark, *paths)
+        tables = {k: drivers.rows_of(t) for k, t in drivers.eval20_run(spark, paths[0], f"file://{tmp_path}/{name}", paths[1]).items()}
+        assert "".join(f.read_text() for f in sorted((tmp_path / name / "results").glob("part-*"))) == page
+        plain = lambda rows: sorted(map(str, rows))
+        for same in ("conditions", "needs_review", "overrides_applied"):
+            assert plain(tables[same]) == plain(found[same])
+        lists = [(r["condition"], k, t) for r in found["behavior"] for k in ("drift_tasks", "refusals", "empty_outputs") for t in r[k]]
+        assert plain((r["condition"], r["list"], r["task_id"]) for r in tables["behavior_tasks"]) == plain(lists)
+        assert plain((r["condition"], r["n_drift"], r["n_refusals"], r["n_empty_outputs"], r["mean_chars"]) for r in tables["behavior"]) == plain((r["condition"], *(len(r[k]) for k in ("drift_tasks", "refusals", "empty_outputs")), r["mean_chars"]) for r in found["behavior"])
+        flips = [(r["first"], r["second"], k, t) for r in found["pairwise"] for k in ("only_first_correct", "only_second_correct") for t in r[k]]
+        assert plain((r["first"], r["second"], r["list"], r["task_id"]) for r in tables["discordant"]) == plain(flips)
+        assert len(tables["graded"]) == 4 * len(data) and (not data or lists and flips and found["needs_review"])
+
+
+def test_eval20_metrics_sends_only_small_results_to_the_driver(spark, sf_dir, monkeypatch):
+    from tallyforge.plans import catalogue
+
+    sizes, frame = [], type(spark.range(1))
+    collect = frame.collect
+
+    def counted(self):
+        rows = collect(self)
+        sizes.append(sum(1 + sum(len(v) for v in r if isinstance(v, list)) for r in rows))
+        return rows
+
+    monkeypatch.setattr(frame, "collect", counted)
+    catalogue.QUERIES["eval20_metrics"](spark, sf_dir)
+    assert sizes and max(sizes) < 50 < spark.read.parquet(f"{sf_dir}/part.parquet").count()
+
+
+def test_eval20_run_on_the_command_line(spark, tmp_path):
+    (tmp_path / "wide.json").write_text(json.dumps([{"task_id": 1, "category": "math", "difficulty": "easy", "gold_answer": "10", **dict.fromkeys(drivers.grade.CONDITIONS, "10")}]))
+    found = json.loads(cli.run(spark, cli.parser().parse_args(["eval20", "--outputs", f"file://{tmp_path}/wide.json", "--run", f"file://{tmp_path}/run"])))
+    assert [r["n"] for r in found["conditions"]] == [1] * 12 and len(found["pairwise"]) == 6
+    assert (tmp_path / "run/results/_SUCCESS").exists()
+
+
 def test_ablation_audit_and_inspect(spark, tmp_path):
     path, outputs, run = tmp_path / "tasks.json", tmp_path / "wide.json", f"{tmp_path}/run"
     prompts = [{"id": i, "category": "math", "difficulty": "easy", "answer_type": "number", "prompt": f"What is {i}?\nAnswer:", "few_shot_prefix": "Q: 1+1\nAnswer: 2\n\n", "gold_answer": str(i)} for i in (1, 2, 3)]
